@@ -10,7 +10,7 @@ from auditframe.functions.columns import (
 )
 from auditframe.guards import Guard, GuardedChain
 from auditframe.operators.filters import predicate
-from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles, join_on_keys
 from auditframe.plans.specs import (
     DeriveColumn, DropDuplicates, FilterRows, GroupAggregate, HandleMissing, RenameColumns, SelectColumns, SortRows,
 )
@@ -136,7 +136,7 @@ def _operand(df: DataFrame, column: str) -> Column:
     return c.cast("int") if family(df.schema[column].dataType) == "boolean" else c
 
 
-def group_aggregate(df: DataFrame, op: GroupAggregate, buffered_rows: int | None = None) -> DataFrame:
+def group_aggregate(df: DataFrame, op: GroupAggregate, buffered_rows: int = BUFFERED_GROUP_ROWS) -> DataFrame:
     """Group-by with missing keys as their own group; a sum over only missing values is 0."""
     require_columns(df, [*op.group_by, *[a.column for a in op.aggregations]])
     aggregates, medians = [], []
@@ -163,9 +163,10 @@ def group_aggregate(df: DataFrame, op: GroupAggregate, buffered_rows: int | None
         return df.groupBy(*keys).agg(*aggregates)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     largest = sizes.agg(F.max("__size")).first()[0] or 0
-    options = {} if buffered_rows is None else {"buffered_rows": buffered_rows}
-    result = grouped_percentiles(df, op.group_by, medians, largest, **options)
-    if aggregates or buffered_rows is not None or largest > 0:
+    if largest <= buffered_rows:
+        exact = [F.percentile(number(df, c), F.lit(0.5)).alias(a) for a, c, _ in medians]
+        result = df.groupBy(*keys).agg(*aggregates, *exact)
+    else:
         base = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
-        result = join_on_keys(base, result, op.group_by, "left")
+        result = join_on_keys(base, grouped_percentiles(df, op.group_by, medians, largest, buffered_rows), op.group_by, "left")
     return result.select(*keys, *[ref(a.output) for a in op.aggregations])
