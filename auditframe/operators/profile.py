@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditframe.functions.columns import family, is_numeric, missing, number, present, ref
-from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles
+from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles, join_on_keys
 
 TOP_VALUES = 5
 MAX_LISTED_VALUES = 100
@@ -109,8 +109,7 @@ def profile_numeric(df: DataFrame, buffered_rows: int = BUFFERED_GROUP_ROWS) ->
     if total <= buffered_rows:
         wide = df.agg(*basics, *[F.percentile(number(df, c), F.lit(0.5)).alias(a) for a, c, _ in wanted])
     else:
-        medians = grouped_percentiles(df, [], wanted, total, buffered_rows)
-        wide = df.agg(*basics).join(F.broadcast(medians), F.lit(True))  # one row each
+        wide = join_on_keys(df.agg(*basics), grouped_percentiles(df, [], wanted, total, buffered_rows), [], "inner")
     structs = [
         F.struct(
             F.lit(c).alias("column_name"),

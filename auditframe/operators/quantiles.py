@@ -41,7 +41,8 @@ def grouped_percentiles(
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join two tables with one row per key; missing keys match missing keys."""
     if not keys:
-        return left.join(right, F.lit(True), how)
+        only = right.first()
+        return left.withColumns({f.name: F.lit(only[f.name]).cast(f.dataType) for f in right.schema.fields})
     renamed = right.withColumnsRenamed({k: f"__r_{i}" for i, k in enumerate(keys)})
     right_keys = [F.col(f"__r_{i}") for i in range(len(keys))]
     joined = left.join(renamed, null_safe_equal([ref(k) for k in keys], right_keys), how)
@@ -73,7 +74,7 @@ def _ranked_percentiles(df: DataFrame, keys: Sequence[str], column: str, wanted:
         right = totals.withColumnsRenamed({n: f"{n}_t" for n in names})
         located = cumulative.join(right, null_safe_equal([F.col(n) for n in names], [F.col(f"{n}_t") for n in names]))
     else:
-        located = cumulative.join(F.broadcast(totals), F.lit(True))  # the totals are one row
+        located = join_on_keys(cumulative, totals, [], "inner")
     first = F.col("__from") - F.col("__start")
     last = first + F.col("__n") - 1
     aggregates = []

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import (
-    is_numeric, missing, null_safe_equal, number, present, ref, require_columns, require_numeric, require_unique_names,
+    is_numeric, missing, number, present, ref, require_columns, require_numeric, require_unique_names,
     unsafe_number,
 )
 from auditframe.functions.identity import canonical_json, group_suffix
 from auditframe.guards import Guard, refuse_if
 from auditframe.operators.filters import apply_filters
+from auditframe.operators.ordering import ONE_TASK_ROWS
 from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles, join_on_keys
 from auditframe.operators.windows import last_rolling, rank_rows, refuse_unsafe, rolling_mean, series_change
 from auditframe.plans.specs import AnalyticsPlan, Metric
@@ -41,15 +42,23 @@ class AnalyticsResult:
     input_rows: int
 
 
-def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset", **options) -> AnalyticsResult:
-    """Validate, filter and analyse. ``options`` set the size limits of the in-task methods."""
+@dataclass(frozen=True)
+class Limits:
+    """Proven sizes up to which a method may work inside one task."""
+
+    buffered_rows: int = BUFFERED_GROUP_ROWS
+    one_task_rows: int = ONE_TASK_ROWS
+
+
+def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset", limits: Limits = Limits()) -> AnalyticsResult:
+    """Validate, filter and analyse."""
     require_unique_names(df)
     if plan.expected_columns and df.columns != plan.expected_columns:
         raise RefusedError("Dataset schema does not match the analytical plan; inspect the current columns first.")
     require_columns(df, plan.referenced_columns())
     rows = apply_filters(df, plan.filters)
     if plan.analysis in ("metrics", "group_compare"):
-        result = _metrics(rows, plan, dataset, options)
+        result = _metrics(rows, plan, dataset, limits)
     else:
         handler = {
             "distribution": _distribution,
@@ -60,7 +69,7 @@ def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset", **opt
             "growth_rate": _change,
             "target_variance": _target_variance,
         }[plan.analysis]
-        result = handler(rows, plan, dataset, options)
+        result = handler(rows, plan, dataset, limits)
     return result
 
 
@@ -134,9 +143,9 @@ def _compare_metrics(plan: AnalyticsPlan) -> AnalyticsPlan:
     return replace(plan, analysis="metrics", metrics=metrics, value_column=None)
 
 
-def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> AnalyticsResult:
+def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
     plan = _compare_metrics(plan)
-    buffered = options.get("buffered_rows", BUFFERED_GROUP_ROWS)
+    buffered = limits.buffered_rows
     columns = plan.value_columns()
     for m in plan.metrics:
         if m.name not in ("count", "distinct_count"):
@@ -203,10 +212,10 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) ->
 # ---- whole-table analyses ---------------------------------------------------------------------
 
 
-def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> AnalyticsResult:
+def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
     column = plan.value_column
     require_numeric(df, column)
-    buffered = options.get("buffered_rows", BUFFERED_GROUP_ROWS)
+    buffered = limits.buffered_rows
     v = number(df, column)
     row, basics = _one_row(
         df.agg(
@@ -227,7 +236,7 @@ def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dic
     wanted = [("median", column, 50.0), ("p25", column, 25.0), ("p75", column, 75.0)]
     percentiles = grouped_percentiles(df, [], wanted, row["rows"], buffered)
     names = ["count", "missing_count", "min", "max", "mean", "median", "std", "p25", "p75"]
-    whole = basics.join(F.broadcast(percentiles), F.lit(True))  # one row each
+    whole = join_on_keys(basics, percentiles, [], "inner")
     structs = [
         _fact(
             F.lit(f"distribution.{n}"), F.lit(n), F.col(n), F.lit(n), dataset, F.lit(f"distribution of {column}"),
@@ -238,7 +247,7 @@ def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dic
     return AnalyticsResult(whole.select(*names), _facts(whole, structs).filter("value is not null"), row["rows"])
 
 
-def _correlation(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> AnalyticsResult:
+def _correlation(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
     a, b = plan.value_column, plan.second_column
     require_numeric(df, a)
     require_numeric(df, b)
@@ -284,9 +293,9 @@ def _checked_input(df: DataFrame, plan: AnalyticsPlan) -> int:
     return row["rows"]
 
 
-def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> AnalyticsResult:
+def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
     rows = _checked_input(df, plan)
-    ranked = rank_rows(df, plan.value_column, plan.rank_method, plan.ascending, **options)
+    ranked = rank_rows(df, plan.value_column, plan.rank_method, plan.ascending, limits.one_task_rows)
     best = number(df, plan.value_column)
     top = df.agg((F.min(best) if plan.ascending else F.max(best)).alias("top"), F.count(F.lit(1)).alias("rows"))
     fact = _fact(
@@ -297,9 +306,9 @@ def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> An
     return AnalyticsResult(ranked.orderBy(*order).limit(plan.limit), _facts(top, [fact]), rows)
 
 
-def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> AnalyticsResult:
+def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
     rows = _checked_input(df, plan)
-    rolled = rolling_mean(df, plan.value_column, plan.order_column, plan.window, plan.group_by, **options)
+    rolled = rolling_mean(df, plan.value_column, plan.order_column, plan.window, plan.group_by, limits.one_task_rows)
     last = materialize(last_rolling(rolled, plan.order_column, plan.group_by))
     summary = last.agg(F.count("value").alias("groups")).first()
     if not summary["groups"]:
@@ -314,9 +323,9 @@ def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) ->
     return AnalyticsResult(rolled.orderBy(*order).limit(plan.limit), _facts(last, [fact]), rows)
 
 
-def _change(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> AnalyticsResult:
+def _change(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
     rows = _checked_input(df, plan)
-    changed = series_change(df, plan.value_column, plan.order_column, **options)
+    changed = series_change(df, plan.value_column, plan.order_column, limits.one_task_rows)
     column = plan.analysis
     order = F.struct(present(changed, plan.order_column).isNull().alias("n"), present(changed, plan.order_column).alias("k"))
     complete = changed.filter(F.col(column).isNotNull())
@@ -335,7 +344,7 @@ def _change(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) ->
 # ---- targets ----------------------------------------------------------------------------------
 
 
-def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str, options: dict) -> AnalyticsResult:
+def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
     """Actual against target per group; the worst group and its largest contributor as facts."""
     value, target = plan.value_column, plan.second_column
     require_numeric(df, value)
@@ -404,12 +413,12 @@ def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str, options:
 
 
 def contributors(df: DataFrame, plan: AnalyticsPlan, worst: DataFrame) -> DataFrame:
-    """Sum per contributor inside the worst group (one row, so it is broadcast)."""
-    names = [f"__w{i}" for i in range(len(plan.group_by))]
-    one = worst.select(*[ref(k).alias(n) for k, n in zip(plan.group_by, names)])
-    inside = df.join(
-        F.broadcast(one), null_safe_equal([present(df, k) for k in plan.group_by], [F.col(n) for n in names]), "left_semi"
-    )
+    """Sum per contributor inside the worst group; its one row of keys becomes a pushed-down filter."""
+    keys = worst.first()
+    inside = df
+    for f in worst.schema.fields:
+        if f.name in plan.group_by:
+            inside = inside.filter(present(df, f.name).eqNullSafe(F.lit(keys[f.name]).cast(f.dataType)))
     return inside.groupBy(present(df, plan.contributor_column).alias("contributor")).agg(
         F.sum(number(df, plan.value_column)).alias("value"), F.count(F.lit(1)).alias("row_count")
     )
@@ -417,11 +426,9 @@ def contributors(df: DataFrame, plan: AnalyticsPlan, worst: DataFrame) -> DataFr
 
 def _top_contributor(df: DataFrame, plan: AnalyticsPlan, worst: DataFrame, dataset: str) -> DataFrame:
     sums = contributors(df, plan, worst).withColumn("contributor", F.col("contributor").cast("string"))
-    top = sums.agg(
-        F.min_by(F.struct("contributor", "value"), F.struct(-F.col("value"), F.col("contributor").isNull(), "contributor")).alias("t"),
-        F.sum("row_count").alias("row_count"),
-    ).select("t.contributor", "t.value", "row_count")
-    placed = worst.select(*[ref(k) for k in plan.group_by]).join(F.broadcast(top), F.lit(True))  # one row each
+    best_first = F.struct(-F.col("value"), F.col("contributor").isNull(), "contributor")
+    top = sums.agg(F.min_by(F.struct("contributor", "value"), best_first).alias("t"), F.sum("row_count").alias("row_count"))
+    placed = join_on_keys(top.select("t.*", "row_count"), worst.select(*[ref(k) for k in plan.group_by]), [], "inner")
     placed = placed.withColumn(plan.contributor_column, F.coalesce("contributor", F.lit("nan")))
     fact = _fact(
         F.lit("target.top_contributor"), F.lit("sum"), F.col("value"), ref(plan.contributor_column), dataset,
