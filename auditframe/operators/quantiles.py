@@ -25,15 +25,25 @@ def grouped_percentiles(
     wanted: Sequence[tuple[str, str, float]],
     largest_group: int,
     buffered_rows: int = BUFFERED_GROUP_ROWS,
+    nearest_rank: bool = False,
 ) -> DataFrame:
-    """One row per group with each wanted ``(alias, column, percent)``."""
+    """One row per group with each wanted ``(alias, column, percent)``.
+
+    ``nearest_rank`` takes the smallest value that covers the percentage instead of interpolating.
+    """
+    if largest_group <= buffered_rows and nearest_rank:
+        named = df.select(*[ref(k) for k in keys], *[number(df, c).alias(f"__v{i}") for i, (_, c, _) in enumerate(wanted)])
+        disc = "percentile_disc({}) WITHIN GROUP (ORDER BY __v{})"
+        return named.groupBy(*[ref(k) for k in keys]).agg(
+            *[F.expr(disc.format(p / 100.0, i)).alias(a) for i, (a, _, p) in enumerate(wanted)]
+        )
     if largest_group <= buffered_rows:
         return df.groupBy(*[ref(k) for k in keys]).agg(
             *[F.percentile(number(df, c), F.lit(p / 100.0)).alias(a) for a, c, p in wanted]
         )
     result = None
     for column in dict.fromkeys(c for _, c, _ in wanted):
-        part = _ranked_percentiles(df, keys, column, [(a, p) for a, c, p in wanted if c == column])
+        part = _ranked_percentiles(df, keys, column, [(a, p) for a, c, p in wanted if c == column], nearest_rank)
         result = part if result is None else join_on_keys(result, part, keys, "full_outer")
     return result
 
@@ -52,7 +62,9 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
 
 
-def _ranked_percentiles(df: DataFrame, keys: Sequence[str], column: str, wanted: Sequence[tuple[str, float]]) -> DataFrame:
+def _ranked_percentiles(
+    df: DataFrame, keys: Sequence[str], column: str, wanted: Sequence[tuple[str, float]], nearest_rank: bool
+) -> DataFrame:
     names = [f"__k{i}" for i in range(len(keys))]
     value = number(df, column)
     counted = (
@@ -79,7 +91,8 @@ def _ranked_percentiles(df: DataFrame, keys: Sequence[str], column: str, wanted:
     last = first + F.col("__n") - 1
     aggregates = []
     for alias, percent in wanted:
-        at = (F.col("__total") - 1) * F.lit(percent / 100.0)
+        share_of = F.lit(percent / 100.0)
+        at = F.greatest(F.ceil(F.col("__total") * share_of) - 1, F.lit(0)) if nearest_rank else (F.col("__total") - 1) * share_of
         low = F.max(F.when((first <= F.floor(at)) & (F.floor(at) <= last), F.col("__v")))
         high = F.max(F.when((first <= F.ceil(at)) & (F.ceil(at) <= last), F.col("__v")))
         share = F.max(at - F.floor(at))
