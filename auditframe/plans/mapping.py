@@ -78,12 +78,14 @@ def type_compatible(target_type: Column, data_type: Column) -> Column:
     )
 
 
-def _alias_table(spark, extra: dict[str, list[str]]) -> DataFrame:
-    rows = [("*", target, alias) for target, aliases in ALIASES.items() for alias in aliases]
-    rows += [(name, "", alias) for name, aliases in extra.items() for alias in aliases]
-    return spark.createDataFrame(rows, "target_name string, target_norm string, alias string").select(
-        "target_name", "target_norm", normalized_name(F.col("alias")).alias("alias_norm")
-    )
+def _aliased_targets(fields: DataFrame, extra: dict[str, list[str]]) -> DataFrame:
+    """(target_field, target_type, alias_norm): documented aliases by normalised name, given ones by name."""
+    spark = fields.sparkSession
+    documented = spark.createDataFrame([(t, a) for t, aliases in ALIASES.items() for a in aliases], "t_norm string, alias string")
+    given = spark.createDataFrame([(t, a) for t, aliases in extra.items() for a in aliases], "target_field string, alias string")
+    columns = ["target_field", "target_type", normalized_name(F.col("alias")).alias("alias_norm")]
+    by_norm = fields.join(F.broadcast(documented), "t_norm").select(*columns)
+    return by_norm.unionByName(fields.join(F.broadcast(given), "target_field").select(*columns)).distinct()
 
 
 def field_candidates(
@@ -116,11 +118,7 @@ def field_candidates(
         s, (F.col("wish_role") == F.col("source_role")) & (F.col("wish_field") == F.col("source_field")), "left"
     )
     free = t.join(F.broadcast(wishes.select("target_field")), "target_field", "left_anti")
-    known = _alias_table(spark, aliases or {})
-    aliased = free.join(
-        F.broadcast(known),
-        ((F.col("target_name") == "*") & (F.col("target_norm") == F.col("t_norm"))) | (F.col("target_name") == F.col("target_field")),
-    ).select("target_field", "target_type", "alias_norm").distinct()
+    aliased = _aliased_targets(free, aliases or {})
     by_name = (
         stage(chosen, 0, "explicit")
         .unionByName(stage(free.join(s, F.col("t_name") == F.col("s_name")), 1, "exact"))
@@ -187,13 +185,14 @@ def clarifications(mappings: DataFrame, required: list[str], derived: list[str]
 
 @dataclass(frozen=True)
 class TargetTable:
-    """The target-shaped table, its checks, per-field provenance and join warnings."""
+    """The target-shaped table, its checks, per-field provenance, join warnings and cited evidence per field."""
 
     frame: DataFrame
     checks: DataFrame
     provenance: DataFrame
     warnings: list[str]
     join_accounts: list[dict]
+    citations: dict[str, DataFrame]
 
 
 def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence: DataFrame | None = None) -> TargetTable:
@@ -220,12 +219,13 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
     types = {c.name: c.type for c in plan.target}
     mapping = {m.target_field: m for m in plan.mappings}
     guards: list[tuple[str, Column]] = []
-    lineage: list[tuple[str, str, str, str]] = []
+    lineage: list[tuple[str, str, str]] = []
+    citations: dict[str, DataFrame] = {}
     work = merged
     names = {h: f"__t{i}" for i, h in enumerate(plan.headers)}
     outputs: dict[str, str] = {}
 
-    def add(target: str, value: Column, kind: str) -> None:
+    def add(target: str, value: Column) -> None:
         nonlocal work
         work = work.withColumn("__raw", value)
         kind = family(work.schema["__raw"].dataType)
@@ -245,8 +245,8 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
         source = f"{m.source_role}.{m.source_field}"
         if source not in merged.columns:
             raise RefusedError(f"Mapped source field '{source}' does not exist after joins.")
-        add(header, map_value(merged, source, m.transformation), "")
-        lineage.append((header, source, m.transformation, ""))
+        add(header, map_value(merged, source, m.transformation))
+        lineage.append((header, source, m.transformation))
 
     for rule in plan.derivations:
         inputs = []
@@ -262,14 +262,15 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
                 if column not in merged.columns:
                     raise RefusedError(f"Mapped source field '{column}' does not exist after joins.")
             inputs.append(map_value(work, column, reference.transformation))
-        cited = ""
         if rule.operation == "concat":
             value = strip(F.concat_ws(rule.separator, *[F.coalesce(i.cast("string"), F.lit("")) for i in inputs]))
         else:
             value, more, cited = _arithmetic(rule, work, inputs, evidence)
             guards += more
-        add(rule.target_field, value, "")
-        lineage.append((rule.target_field, ", ".join(f"{i.source_role}.{i.source_field}" for i in rule.inputs), rule.operation, cited))
+            if cited is not None:
+                citations[rule.target_field] = cited
+        add(rule.target_field, value)
+        lineage.append((rule.target_field, ", ".join(f"{i.source_role}.{i.source_field}" for i in rule.inputs), rule.operation))
 
     output = work.select(
         *[F.col(outputs[h]).alias(h) if h in outputs else F.lit(None).cast("string").alias(h) for h in plan.headers]
@@ -304,9 +305,10 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
     return TargetTable(
         output,
         spark.createDataFrame(checks, "name string, passed boolean, detail string"),
-        spark.createDataFrame(lineage, "target_field string, source_fields string, transformation string, evidence string"),
+        spark.createDataFrame(lineage, "target_field string, source_fields string, transformation string"),
         warnings,
         accounts,
+        citations,
     )
 
 
@@ -318,8 +320,8 @@ def _unfilled(df: DataFrame, column: str | None) -> Column:
 
 def _arithmetic(
     rule: DerivationRule, df: DataFrame, inputs: list[Column], evidence: DataFrame | None
-) -> tuple[Column, list[tuple[str, Column]], str]:
-    """The derived column, the checks it needs and the cited evidence ids."""
+) -> tuple[Column, list[tuple[str, Column]], DataFrame | None]:
+    """The derived column, the checks it needs and the cited evidence."""
     kinds = [family(t.dataType) for t in df.select(*[c.alias(f"i{k}") for k, c in enumerate(inputs)]).schema.fields]
     numbers = [to_number(c) if k == "text" else c.try_cast("double") for c, k in zip(inputs, kinds)]
     checks = [
@@ -330,9 +332,8 @@ def _arithmetic(
         if evidence is None:
             raise RefusedError("A policy-grounded derivation requires retrieved policy evidence.")
         rate = policy_rate(evidence, rule.policy_query)
-        cited = ",".join(sorted(str(r["chunk_id"]) for r in rate.citations.limit(100).collect()))
-        return numbers[0] * F.lit(rate.value), checks, cited
+        return numbers[0] * F.lit(rate.value), checks, rate.citations
     right = numbers[1] if len(numbers) == 2 else F.lit(float(rule.constant))
     if rule.operation == "divide":
         checks.append((f"Derivation '{rule.target_field}' would divide by zero ({{n}} row(s)).", right == 0))
-    return arithmetic(rule.operation, numbers[0], right), checks, ""
+    return arithmetic(rule.operation, numbers[0], right), checks, None
