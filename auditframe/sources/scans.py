@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from auditframe.errors import RefusedError
-from auditframe.functions.columns import is_binary_float, ref, require_unique_names
+from auditframe.functions.columns import ref, require_unique_names
 from auditframe.functions.scalars import collapse_spaces
 
 # The texts a CSV scan reads as missing, and schemas that are never imported.
@@ -25,18 +25,6 @@ def expect_size(df: DataFrame, max_rows: int | None = None, max_columns: int | N
     return df
 
 
-def _nan_to_null(df: DataFrame) -> DataFrame:
-    """Missing is one notion: NaN becomes null at the scan."""
-    if not any(is_binary_float(f.dataType) for f in df.schema.fields):
-        return df
-    return df.select(
-        *[
-            F.nanvl(ref(f.name), F.lit(None)).alias(f.name) if is_binary_float(f.dataType) else ref(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
 # ---- CSV --------------------------------------------------------------------------------------
 
 
@@ -101,11 +89,15 @@ def infer_types(text: DataFrame) -> dict[str, str]:
 
 
 def read_parquet(spark: SparkSession, path: str, max_rows: int | None = None, max_columns: int | None = None) -> DataFrame:
-    """Parquet with unique, flat columns; the scan stays lazy, so filters and columns are pushed down."""
+    """Parquet with unique, flat columns; the scan stays lazy, so filters and columns are pushed down.
+
+    NaN is left to the operators, all of which treat it as missing: rewriting it here would keep
+    float filters from reaching the files.
+    """
     df = spark.read.parquet(path)
     require_unique_names(df)
     refuse_nested(df)
-    return expect_size(_nan_to_null(df), max_rows, max_columns)
+    return expect_size(df, max_rows, max_columns)
 
 
 def refuse_nested(df: DataFrame) -> None:
@@ -266,7 +258,7 @@ def read_table(spark: SparkSession, options: dict[str, str], properties: dict[st
     """Import a relational table through Spark's JDBC reader; filters and columns are pushed down."""
     df = spark.read.format("jdbc").options(**options, **(properties or {})).load()
     require_unique_names(df)
-    return expect_size(_nan_to_null(df), max_rows)
+    return expect_size(df, max_rows)
 
 
 # ---- provenance -------------------------------------------------------------------------------
