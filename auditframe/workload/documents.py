@@ -163,7 +163,7 @@ def retrieval_hit_and_mrr(spark, sf):
 @query(
     """
     SELECT doc_id, len(r)::INTEGER AS rates, round(list_max(r), 6) AS highest
-    FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '(?:^|[^\\d.])(\\d+(?:\\.\\d+)?)\\s*%', 1), x -> x::DOUBLE / 100) AS r FROM documents)
+    FROM (SELECT doc_id, [x::DOUBLE / 100 FOR x IN regexp_extract_all(text, '(?:^|[^\\d.])(\\d+(?:\\.\\d+)?)\\s*%', 1)] AS r FROM documents)
     WHERE len(r) > 0
     """
 )

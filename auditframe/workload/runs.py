@@ -106,8 +106,8 @@ def compare_missing_values(spark, sf):
     f"""
     WITH s AS (SELECT period, list(DISTINCT event_type ORDER BY event_type) AS v FROM ({_EVENTS}) GROUP BY period)
     SELECT 'events' AS input_key, 'event_type' AS column_name, len(p.v) AS previous_unique_count, len(c.v) AS current_unique_count,
-           array_to_string(list_filter(c.v, x -> NOT list_contains(p.v, x)), '|') AS added,
-           array_to_string(list_filter(p.v, x -> NOT list_contains(c.v, x)), '|') AS removed, true AS values_complete
+           array_to_string([x FOR x IN c.v IF NOT list_contains(p.v, x)], '|') AS added,
+           array_to_string([x FOR x IN p.v IF NOT list_contains(c.v, x)], '|') AS removed, true AS values_complete
     FROM s p, s c WHERE p.period = 'first' AND c.period = 'second'
     """
 )
