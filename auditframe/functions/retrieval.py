@@ -1,22 +1,23 @@
-"""Exact cosine retrieval over sparse and dense vectors, and its evaluation."""
+"""Exact cosine retrieval over dense or sparse vectors, and its evaluation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from auditframe.errors import RefusedError
+from auditframe.functions.text import VECTOR_BUCKETS
 from auditframe.guards import Guard, refuse_if
 
-# Query vectors up to these sizes are sent to every task; larger query sets are shuffled (sparse)
-# or handled slice by slice (dense).
-BROADCAST_QUERY_ENTRIES = 2_000_000
-DENSE_SLICE_VALUES = 4_000_000
+# A slice of the query set sent to every task holds at most this many numbers; a larger query set
+# is searched slice by slice.
+SLICE_VALUES = 4_000_000
 # Scores are compared at this precision, so that equal vectors tie and the id decides.
 SCORE_DIGITS = 9
+_BLOCK_ROWS = 1024
 
 
 def validate_vectors(df: DataFrame, vector: str, dimension: int) -> None:
@@ -49,96 +50,85 @@ def top_k(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def sparse_scores(items: DataFrame, queries: DataFrame, item: str, query: str) -> DataFrame:
-    """Cosine of every (query, item) pair that shares a bucket; all other pairs score 0.
-
-    ``items`` come partitioned by item id. While the query entries are provably few they are
-    broadcast, so products are summed where the item lies and only per-task bests travel on.
-    """
-    probe = queries.select(query, "bucket", F.col("weight").alias("query_weight"))
-    if queries.limit(BROADCAST_QUERY_ENTRIES + 1).count() <= BROADCAST_QUERY_ENTRIES:
-        probe = F.broadcast(probe)
-    products = items.join(probe, "bucket").select(
-        item, query, (F.col("weight") * F.col("query_weight")).alias("product")
-    )
-    return products.groupBy(item, query).agg(F.round(F.sum("product"), SCORE_DIGITS).alias("score"))
+def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int) -> DataFrame:
+    """Exact cosine top-k over dense vectors, ties by item id."""
+    first = items.select(F.size(vector)).first()
+    if first is None:
+        raise RefusedError("There are no stored vectors to search.")
+    width = first[0]
+    validate_vectors(items, vector, width)
+    validate_vectors(queries, vector, width)
+    return _search(items, queries, item, query, [vector], k, width, lambda c: np.stack(c[0]).astype("float64"))
 
 
-def sparse_top_k(
-    items: DataFrame, queries: DataFrame, item: str, query: str, k: int, all_items: DataFrame, all_queries: DataFrame
-) -> DataFrame:
-    """Exact cosine top-k over unit-length sparse vectors.
+def sparse_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, k: int, width: int = VECTOR_BUCKETS) -> DataFrame:
+    """Exact cosine top-k over sparse vectors given as ``buckets`` and ``weights`` arrays.
 
-    ``all_items`` lists the ids to search (it may be a selection of documents) and
-    ``all_queries`` the queries, including those without a single word.
+    Texts without a word have an empty vector, score 0 and take part like any other. To search a
+    selection of documents, pass only their vectors as ``items``.
     """
-    scored = sparse_scores(items.join(all_items.select(item), item, "left_semi"), queries, item, query)
-    found = top_k(scored, query, item, k).drop("rank")
-    return top_k(found.unionByName(_zero_scores(found, all_items, all_queries, item, query, k)), query, item, k)
 
+    def fill(columns: list[np.ndarray]) -> np.ndarray:
+        buckets, weights = columns
+        sizes = [len(b) for b in buckets]
+        matrix = np.zeros((len(buckets), width))
+        if sum(sizes):
+            matrix[np.repeat(np.arange(len(buckets)), sizes), np.concatenate(buckets)] = np.concatenate(weights)
+        return matrix
 
-def _zero_scores(
-    found: DataFrame, all_items: DataFrame, all_queries: DataFrame, item: str, query: str, k: int
-) -> DataFrame:
-    """Fillers for queries with fewer than ``k`` matches: unmatched items score 0, smallest ids first.
+    return _search(items, queries, item, query, ["buckets", "weights"], k, width, fill)
 
-    Such a query has at most ``k - 1`` matches, so the ``2k - 1`` smallest ids hold all fillers.
-    """
-    counts = found.groupBy(query).agg(F.count(F.lit(1)).alias("__found"))
-    short = all_queries.select(query).join(counts, query, "left").filter(F.coalesce("__found", F.lit(0)) < k)
-    smallest = [row[0] for row in all_items.select(item).distinct().orderBy(item).limit(2 * k - 1).collect()]
-    item_type = all_items.schema[item].dataType
-    ids = F.array(*[F.lit(i).cast(item_type) for i in smallest]).cast(f"array<{item_type.simpleString()}>")
-    fillers = short.select(query, F.explode(ids).alias(item), F.lit(0.0).alias("score"))
-    return fillers.join(found.select(query, item), [query, item], "left_anti").select(item, query, "score")
 
-
-def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int) -> DataFrame:
-    """Exact cosine top-k over dense vectors.
-
-    Every task multiplies its batches with the query matrix and hands on at most ``k`` rows per
-    query and batch. Large query sets are cut into slices that fit a task; each slice is one
-    pass over the items.
-    """
-    width = items.select(F.size(vector)).first()
-    if width is None:
-        raise RefusedError("There are no stored vectors to search.")
-    dimension = width[0]
-    validate_vectors(items, vector, dimension)
-    validate_vectors(queries, vector, dimension)
-    per_slice = max(1, DENSE_SLICE_VALUES // dimension)
+def _search(
+    items: DataFrame, queries: DataFrame, item: str, query: str, vector: list[str], k: int, width: int,
+    matrix_of: Callable[[list[np.ndarray]], np.ndarray],
+) -> DataFrame:
+    """Every task scores its items against a slice of the queries and hands on only its best ``k``
+    per query, so what is shuffled does not grow with the number of items."""
     total = queries.count()
-    slices = (total + per_slice - 1) // per_slice
-    candidates = None
+    if not total:
+        raise RefusedError("There are no queries to search for.")
+    slices = -(-total * width // SLICE_VALUES)
+    found = None
     for index in range(slices):
         part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64(query), F.lit(slices)) == index)
-        found = _slice_candidates(items, part.select(query, vector).toPandas(), item, query, vector, k)
-        candidates = found if candidates is None else candidates.unionByName(found)
-    if candidates is None:
-        raise RefusedError("There are no queries to search for.")
-    return top_k(candidates, query, item, k)
-
-
-def _slice_candidates(items: DataFrame, slice_: pd.DataFrame, item: str, query: str, vector: str, k: int) -> DataFrame:
-    keys = slice_[query].to_numpy()
-    matrix = _unit_rows(np.stack(slice_[vector].to_numpy()).astype("float64"))
-    shared = items.sparkSession.sparkContext.broadcast((keys, matrix))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = part.select(query, *vector).toPandas()  # bounded by the slice size
+        if held.empty:
+            continue
+        shared = items.sparkSession.sparkContext.broadcast(
+            (held[query].tolist(), _unit_rows(matrix_of([held[c].to_numpy() for c in vector])))
+        )
+        types = f"{query} {queries.schema[query].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}"
+        best = items.select(item, *vector).mapInPandas(_best_of_task(shared, item, query, vector, k, matrix_of), f"{types}, score double")
+        found = best if found is None else found.unionByName(best)
+    return top_k(found, query, item, k)
+
+
+def _best_of_task(shared, item: str, query: str, vector: list[str], k: int, matrix_of: Callable) -> Callable:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, probe = shared.value
+        ids: list[np.ndarray | None] = [None] * len(names)
+        scores = [np.empty(0)] * len(names)
+        floor = np.full(len(names), -np.inf)  # the k-th best score so far
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch[item].to_numpy()
-            vectors = _unit_rows(np.stack(batch[vector].to_numpy()).astype("float64"))
-            scores = np.round(vectors @ probe.T, SCORE_DIGITS)
-            for column, name in enumerate(names):
-                chosen = np.lexsort((ids, -scores[:, column]))[:k]
-                yield pd.DataFrame({query: name, item: ids[chosen], "score": scores[chosen, column]})
-
-    query_type = items.sparkSession.createDataFrame(slice_[[query]]).schema[query].dataType.simpleString()
-    item_type = items.schema[item].dataType.simpleString()
-    return items.select(item, vector).mapInPandas(best, f"{query} {query_type}, {item} {item_type}, score double")
+            for start in range(0, len(batch), _BLOCK_ROWS):
+                block = batch.iloc[start:start + _BLOCK_ROWS]
+                keys = block[item].to_numpy()
+                keys = keys.astype(str) if keys.dtype == object else keys
+                block_scores = np.round(probe @ _unit_rows(matrix_of([block[c].to_numpy() for c in vector])).T, SCORE_DIGITS)
+                for q in np.flatnonzero((block_scores >= floor[:, None]).any(axis=1)):
+                    near = block_scores[q] >= floor[q]
+                    all_ids = keys[near] if ids[q] is None else np.concatenate([ids[q], keys[near]])
+                    all_scores = np.concatenate([scores[q], block_scores[q][near]])
+                    kept = np.lexsort((all_ids, -all_scores))[:k]
+                    ids[q], scores[q] = all_ids[kept], all_scores[kept]
+                    if len(kept) == k:
+                        floor[q] = scores[q][-1]
+        for name, name_ids, name_scores in zip(names, ids, scores):
+            if name_ids is not None:
+                yield pd.DataFrame({query: name, item: name_ids, "score": name_scores})
+
+    return search
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:

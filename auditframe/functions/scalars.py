@@ -10,8 +10,12 @@ from auditframe.functions.columns import family, present, ref
 # Whitespace as text splitting understands it (Unicode white space and the
 # four ASCII separators), and the words accepted as booleans.
 SPACE = "(?U)[\\s\\x{1c}-\\x{1f}]"
+SPACE_CHARACTERS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 TRUE_WORDS = ("true", "yes", "1")
 FALSE_WORDS = ("false", "no", "0")
+FORMULA_STARTS = ("=", "+", "-", "@")
 
 RELATIVE_TOLERANCE = 1e-9
 ABSOLUTE_TOLERANCE = 1e-6
@@ -19,7 +23,7 @@ ABSOLUTE_TOLERANCE = 1e-6
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -82,7 +86,7 @@ def coerce(column: Column, kind: str, target_type: str) -> Column:
 
 def formula_safe(text: Column) -> Column:
     """Keep a spreadsheet from reading text as a formula: a leading quote is put in front."""
-    return F.when(text.rlike(f"^{SPACE}*[=+\\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+    return F.when(F.substring(F.ltrim(text, F.lit(SPACE_CHARACTERS)), 1, 1).isin(*FORMULA_STARTS), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def neutralize_formulas(df: DataFrame) -> DataFrame:

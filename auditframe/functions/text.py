@@ -65,7 +65,7 @@ def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = C
             if rows:
                 yield pd.DataFrame(rows, columns=_CHUNK_COLUMNS)
 
-    source = pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "text")
+    source = spread_small_scan(pages, "document_id").select("document_id", F.col("page_number").cast("int"), "text")
     chunks = source.mapInPandas(cut, _CHUNK_SCHEMA)
     name = F.concat(
         F.lit("page:"), F.col("page_number").cast("string"), F.lit(":chunk:"), F.col("chunk_index").cast("string"),
@@ -93,27 +93,33 @@ def _chunk_texts(text: str, size: int, overlap: int) -> list[str]:
     return pieces
 
 
-def tokens(text: str = "text"):
-    """Lower-case letter-and-digit words without the ignored ones."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), 0)
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Text work is CPU-bound: a table of fewer files than cores is spread by key before it.
+
+    A large table has more files than cores and is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def token_vectors(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Sparse token-hash vectors: (key, bucket, weight) with unit length per key.
+    """Sparse token-hash vectors of unit length: (key, ``buckets``, ``weights``), one row per key.
 
-    Counting per (key, bucket) is complete before the shuffle, because a text's words start out
-    in one task; what is shuffled is at most one row per bucket of a text.
+    Counting per (key, bucket) is complete before anything is shuffled, because a text's words
+    start out in one task; at most one row per bucket of a text moves, never a word.
     """
-    words = df.select(F.col(key), F.explode(tokens(text)).alias("w"))
-    bucket = (F.conv(F.substring(F.sha2(F.encode("w", "UTF-8"), 256), 1, 8), 16, 10).cast("long") % VECTOR_BUCKETS).cast("int")
-    counts = words.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    words = F.split(F.lower(F.col(text)), "[^a-z0-9]+")
+    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    exploded = spread_small_scan(df.select(key, text), key).select(key, F.explode_outer(kept).alias("w"))
+    bucket = (F.conv(F.substring(F.sha2(F.col("w"), 256), 1, 8), 16, 10).cast("long") % VECTOR_BUCKETS).cast("int")
+    counts = exploded.groupBy(key, bucket.alias("bucket")).agg(F.count("w").alias("n"))
     # At most VECTOR_BUCKETS entries per key, so the list is bounded.
+    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))
     vectors = counts.groupBy(key).agg(
-        F.collect_list(F.struct("bucket", "n")).alias("entries"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")
+        F.array_sort(F.collect_list(entry)).alias("e"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")
     )
-    return vectors.select(key, "norm", F.explode("entries").alias("e")).select(
-        key, F.col("e.bucket").alias("bucket"), (F.col("e.n") / F.col("norm")).alias("weight")
+    return vectors.select(
+        key, F.col("e.bucket").alias("buckets"), F.transform("e.n", lambda n: n / F.col("norm")).alias("weights")
     )
 
 

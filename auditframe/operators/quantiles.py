@@ -38,9 +38,15 @@ def grouped_percentiles(
             *[F.expr(disc.format(p / 100.0, i)).alias(a) for i, (a, _, p) in enumerate(wanted)]
         )
     if largest_group <= buffered_rows:
-        return df.groupBy(*[ref(k) for k in keys]).agg(
-            *[F.percentile(number(df, c), F.lit(p / 100.0)).alias(a) for a, c, p in wanted]
-        )
+        # One buffer per column, whatever the number of percentiles.
+        columns = list(dict.fromkeys(c for _, c, _ in wanted))
+        parts = {c: [(a, p) for a, d, p in wanted if d == c] for c in columns}
+        buffers = [
+            F.percentile(number(df, c), F.array(*[F.lit(p / 100.0) for _, p in parts[c]])).alias(f"__p{i}")
+            for i, c in enumerate(columns)
+        ]
+        read = [F.col(f"__p{i}")[j].alias(a) for i, c in enumerate(columns) for j, (a, _) in enumerate(parts[c])]
+        return df.groupBy(*[ref(k) for k in keys]).agg(*buffers).select(*[ref(k) for k in keys], *read)
     result = None
     for column in dict.fromkeys(c for _, c, _ in wanted):
         part = _ranked_percentiles(df, keys, column, [(a, p) for a, c, p in wanted if c == column], nearest_rank)

@@ -84,7 +84,9 @@ def _vector_sql(source, key):
 
 @query(f"SELECT doc_id, bucket, round(weight, 9) AS weight FROM ({_vector_sql('documents', 'doc_id')})")
 def token_vectors_documents(spark, sf):
-    return token_vectors(table(spark, sf, "documents"), "doc_id").withColumn("weight", F.round("weight", 9))
+    vectors = token_vectors(table(spark, sf, "documents"), "doc_id")
+    entries = vectors.select("doc_id", F.explode(F.arrays_zip("buckets", "weights")).alias("e"))
+    return entries.select("doc_id", F.col("e.buckets").alias("bucket"), F.round("e.weights", 9).alias("weight"))
 
 
 _SPARSE = f"""
@@ -99,9 +101,7 @@ _SPARSE = f"""
 def cosine_topk_sparse(spark, sf):
     """The five documents most like every benchmark passage."""
     documents, passages = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    found = sparse_top_k(
-        token_vectors(documents, "doc_id"), token_vectors(passages, "item_id"), "doc_id", "item_id", 5, documents, passages
-    )
+    found = sparse_top_k(token_vectors(documents, "doc_id"), token_vectors(passages, "item_id"), "doc_id", "item_id", 5)
     return found.withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
@@ -155,7 +155,7 @@ def retrieval_hit_and_mrr(spark, sf):
     corpus = table(spark, sf, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), "text").unionByName(
         passages.select(F.concat(F.lit("passage:"), "item_id").alias("id"), "text")
     )
-    ranked = sparse_top_k(token_vectors(corpus, "id"), token_vectors(passages, "item_id"), "id", "item_id", 2, corpus, passages)
+    ranked = sparse_top_k(token_vectors(corpus, "id"), token_vectors(passages, "item_id"), "id", "item_id", 2)
     expected = passages.select("item_id", F.concat(F.lit("passage:"), "item_id").alias("id"))
     return hit_metrics(ranked, expected, "item_id", "id")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditframe.operators.joins import join_frames
+from auditframe.operators.joins import join_frames, lookup
 from auditframe.plans.analytics import FACT_COLUMNS, Limits, run_plan, select_facts
 from auditframe.plans.specs import AnalyticsPlan, JoinSpec, Metric, PlanFilter
 from auditframe.workload.registry import query, table
@@ -62,7 +62,7 @@ def regional_sales(spark, sf):
         "l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_sales")
     )
     sales = join_frames(lines, orders.select("o_orderkey", "n_name", "r_name"), JoinSpec(["l_orderkey"], ["o_orderkey"]))
-    return join_frames(sales, targets, JoinSpec(["r_name"], ["r_name"])).select("r_name", "n_name", "net_sales", "target")
+    return lookup(sales, targets, JoinSpec(["r_name"], ["r_name"])).select("r_name", "n_name", "net_sales", "target")
 
 
 _TARGET_PLAN = AnalyticsPlan(
