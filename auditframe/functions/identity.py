@@ -30,13 +30,17 @@ def float_text(value: Column) -> Column:
     """Shortest decimal text of a double: plain between 1e-4 and 1e16, exponent form outside."""
     size = F.abs(value)
     whole = (value == F.floor(value)) & (size < 1e16)
-    plain = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    # Plain digits where the string cast would use an exponent: below 1e-3 and from 1e7 on.
+    small = F.regexp_replace(value.try_cast("decimal(38,24)").cast("string"), "0+$", "")
+    large = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "0+$", "")
     java = F.regexp_replace(value.cast("string"), "\\.0E", "E")
     signed = F.regexp_replace(F.regexp_replace(java, "E(\\d)", "e+$1"), "E-", "e-")
     exponent = F.regexp_replace(signed, "e([+-])(\\d)$", "e$10$2")
     return (
         F.when(whole, F.concat(value.cast("decimal(20,0)").cast("string"), F.lit(".0")))
-        .when((size >= 1e-4) & (size < 1e16), plain)
+        .when((size >= 1e-3) & (size < 1e7), value.cast("string"))
+        .when((size >= 1e-4) & (size < 1e-3), small)
+        .when((size >= 1e7) & (size < 1e16), large)
         .otherwise(exponent)
     )
 

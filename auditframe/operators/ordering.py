@@ -13,6 +13,9 @@ position in a global order using only bounded tasks:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditframe.session import materialize, shuffle_partitions
@@ -24,35 +27,59 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bit
 
 
 def add_positions(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """``df`` plus ``__part`` (range partition) and ``__pos`` (0-based position in ``order``)."""
-    partitions = partitions or shuffle_partitions(df.sparkSession)
-    spread = df.withColumn("__src", F.spark_partition_id())
-    ranged = (
-        spread.repartitionByRange(partitions, *order, F.col("__src"))
-        .sortWithinPartitions(*order)
-        .withColumn("__id", F.monotonically_increasing_id())
-        .drop("__src")
-    )
-    numbered = materialize(ranged)
-    numbered = numbered.withColumn("__part", F.shiftright("__id", _LOCAL_BITS)).withColumn(
+    """``df`` plus ``__pos``, the 0-based position of the row in ``order``."""
+    numbered = _sorted_ranges(df, order, partitions).withColumn("__id", F.monotonically_increasing_id())
+    numbered = materialize(numbered).withColumn("__part", F.shiftright("__id", _LOCAL_BITS)).withColumn(
         "__local", F.col("__id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     )
-    offsets = partition_offsets(numbered, {"__first": F.max("__local") + 1})
+    offsets = _partition_offsets(numbered, F.max("__local") + 1)
+    placed = numbered.join(F.broadcast(offsets), "__part").withColumn("__pos", F.col("__first") + F.col("__local"))
+    return placed.drop("__id", "__part", "__local", "__first")
+
+
+def add_running_counts(counted: DataFrame, order: list[Column], count: str, partitions: int | None = None) -> DataFrame:
+    """A (value, count) table plus ``__from``: the rows counted before it, and ``__pos``: its own position.
+
+    The running sum is carried through the sorted batches of a partition; a window would shuffle
+    the partitions once more.
+    """
+    ranged = _sorted_ranges(counted, order, partitions).withColumn("__part", F.spark_partition_id())
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, total = 0, 0
+        for batch in batches:
+            until = batch[count].cumsum() + total
+            yield batch.assign(__local=range(rows, rows + len(batch)), __c=until - batch[count])
+            if len(batch):
+                rows, total = rows + len(batch), int(until.iloc[-1])
+
+    numbered = materialize(ranged.mapInPandas(carry, f"{types}, __local long, __c long"))
+    offsets = _partition_offsets(numbered, F.max("__local") + 1, F.sum(count))
+    placed = numbered.join(F.broadcast(offsets), "__part")
     return (
-        numbered.join(F.broadcast(offsets), "__part")
-        .withColumn("__pos", F.col("__first") + F.col("__local"))
-        .drop("__id", "__local", "__first")
+        placed.withColumn("__pos", F.col("__first") + F.col("__local"))
+        .withColumn("__from", F.col("__before") + F.col("__c"))
+        .drop("__part", "__local", "__c", "__first", "__before")
     )
 
 
-def partition_offsets(numbered: DataFrame, totals: dict[str, Column]) -> DataFrame:
-    """Per range partition, the sum of each total over all earlier partitions.
+def _sorted_ranges(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
+    """Range partitions in ``order``, sorted inside. Equal keys are spread by source partition."""
+    partitions = partitions or shuffle_partitions(df.sparkSession)
+    spread = df.withColumn("__src", F.spark_partition_id())
+    return spread.repartitionByRange(partitions, *order, F.col("__src")).drop("__src").sortWithinPartitions(*order)
+
+
+def _partition_offsets(numbered: DataFrame, rows: Column, total: Column | None = None) -> DataFrame:
+    """Per range partition, the rows (and the total) of all earlier partitions.
 
     One row per range partition, so the ordered window over it is bounded by that count.
     """
-    sizes = numbered.groupBy("__part").agg(*[c.alias(name) for name, c in totals.items()])
+    sums = {"__first": rows} | ({"__before": total} if total is not None else {})
+    sizes = numbered.groupBy("__part").agg(*[c.alias(name) for name, c in sums.items()])
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("__part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in totals])
+    return sizes.select("__part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
 
 
 def with_halo(positioned: DataFrame, reach: int, block_rows: int = 65_536) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from auditframe.functions.columns import null_safe_equal, number, ref
-from auditframe.operators.ordering import add_positions, partition_offsets
+from auditframe.operators.ordering import add_running_counts
 
 # Groups up to this size may buffer their values in one task.
 BUFFERED_GROUP_ROWS = 1_000_000
@@ -79,14 +79,7 @@ def _ranked_percentiles(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     order = [F.col(n).asc_nulls_last() for n in names] + [F.col("__v")]
-    ranged = add_positions(counted, order)
-    inside = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = partition_offsets(ranged, {"__before": F.sum("__n")})
-    cumulative = (
-        ranged.withColumn("__c", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "__part")
-        .withColumn("__from", F.col("__c") + F.col("__before"))
-    )
+    cumulative = add_running_counts(counted, order, "__n")
     totals = cumulative.groupBy(*names).agg(F.sum("__n").alias("__total"), F.min("__from").alias("__start"))
     if names:
         right = totals.withColumnsRenamed({n: f"{n}_t" for n in names})

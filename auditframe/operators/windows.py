@@ -15,7 +15,7 @@ from auditframe.errors import RefusedError
 from auditframe.functions.columns import (
     is_numeric, number, present, ref, require_columns, require_numeric, unsafe_number,
 )
-from auditframe.operators.ordering import ONE_TASK_ROWS, add_positions, partition_offsets, with_halo
+from auditframe.operators.ordering import ONE_TASK_ROWS, add_positions, add_running_counts, with_halo
 from auditframe.session import shuffle_partitions
 
 
@@ -77,19 +77,9 @@ def _rank_by_value(df: DataFrame, value: str, method: str, ascending: bool) -> D
     """
     v = present(df, value)
     counted = df.filter(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranged = add_positions(counted, [F.col("__v").asc() if ascending else F.col("__v").desc()])
-    if method == "dense":
-        ranks = ranged.select("__v", (F.col("__pos") + 1).alias("__rank"))
-    else:
-        until = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        offsets = partition_offsets(ranged, {"__before": F.sum("__n")})
-        last = F.sum("__n").over(until)
-        ranks = (
-            ranged.withColumn("__last", last)
-            .join(F.broadcast(offsets), "__part")
-            .withColumn("__max", F.col("__before") + F.col("__last"))
-            .select("__v", (F.col("__max") if method == "max" else F.col("__max") - F.col("__n") + 1).alias("__rank"))
-        )
+    ranged = add_running_counts(counted, [F.col("__v").asc() if ascending else F.col("__v").desc()], "__n")
+    rank = {"dense": F.col("__pos") + 1, "min": F.col("__from") + 1, "max": F.col("__from") + F.col("__n")}[method]
+    ranks = ranged.select("__v", rank.alias("__rank"))
     salts = shuffle_partitions(df.sparkSession)
     scattered = F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(salts)) + 1
     left = df.withColumn("__lv", v).withColumn("__salt", F.when(v.isNotNull(), F.lit(0)).otherwise(scattered))
