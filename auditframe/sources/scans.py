@@ -34,10 +34,7 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
     With ``types`` the file is read once, lazily. Without, one aggregate over the file finds the
     narrowest of long, double, boolean and string for every column; dates stay text until asked.
     """
-    header = spark.read.csv(path, header=True, encoding="UTF-8").limit(0)
-    names = [c.lstrip("﻿") for c in header.columns]
-    if len(names) != len(set(names)):
-        raise RefusedError("CSV column names must be unique.")
+    names = _header_names(spark, path)
     if max_columns is not None and len(names) > max_columns:
         raise RefusedError(f"Datasets may contain at most {max_columns} columns.")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -50,6 +47,22 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
     return text.select(*[_typed(c, types.get(c, "string")).alias(c) for c in names])
 
 
+def _header_names(spark: SparkSession, path: str) -> list[str]:
+    """Header names; a repeated one gets a number and an empty one its position, as CSV readers do."""
+    header = spark.read.csv(path, header=False, encoding="UTF-8", escape='"').first()
+    if header is None:
+        raise RefusedError("The CSV dataset is empty.")
+    given = [(name or "").lstrip("\ufeff") or f"Unnamed: {i}" for i, name in enumerate(header)]
+    names: list[str] = []
+    for name in given:
+        repeat, candidate = 0, name
+        while candidate in names or (repeat and candidate in given):
+            repeat += 1
+            candidate = f"{name}.{repeat}"
+        names.append(candidate)
+    return names
+
+
 _BOOLEAN_WORDS = ("true", "True", "TRUE", "false", "False", "FALSE")
 
 
@@ -132,7 +145,7 @@ def read_json(spark: SparkSession, path: str, records_key: str | None = None) ->
             raise RefusedError("The JSON top-level array mixes objects and scalars; the structure is ambiguous.")
         if "]" in seconds:
             raise RefusedError("The JSON top-level array is empty.")
-        return _scalar_column(documents.select(F.explode(F.from_json(trimmed, "array<string>")).alias("value")))
+        return _scalar_column(_only_scalars(documents.select(F.explode(F.from_json(trimmed, "array<string>")).alias("value")), "top-level array"))
     if tops != {"{"}:
         raise RefusedError("JSON must be an array of records or an object wrapping one record array.")
     return _wrapped_records(_parse(spark, path), records_key)
@@ -172,9 +185,13 @@ def _wrapped_records(wrapper: DataFrame, records_key: str | None) -> DataFrame:
     records = wrapper.select(F.explode(ref(chosen)).alias("value"))
     if isinstance(arrays[chosen], T.StructType):
         return flatten_records(records.select("value.*"))
-    if isinstance(arrays[chosen], T.StringType) and records.filter(F.col("value").rlike("^\\s*\\{")).limit(1).count():
-        raise RefusedError(f"The JSON {chosen} mixes objects and scalars; the structure is ambiguous.")
-    return records
+    return _only_scalars(records, chosen) if isinstance(arrays[chosen], T.StringType) else records
+
+
+def _only_scalars(values: DataFrame, label: str) -> DataFrame:
+    if values.filter(F.col("value").rlike("^\\s*[{\\[]")).limit(1).count():
+        raise RefusedError(f"The JSON {label} mixes objects and scalars; the structure is ambiguous.")
+    return values
 
 
 def _scalar_column(values: DataFrame) -> DataFrame:
