@@ -51,14 +51,26 @@ def top_k(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
 
 
 def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int) -> DataFrame:
-    """Exact cosine top-k over dense vectors, ties by item id."""
-    first = items.select(F.size(vector)).first()
+    """Exact cosine top-k over dense vectors, ties by item id.
+
+    Queries are validated up front; the stored vectors are checked where they are scored, which
+    spares a second scan of them.
+    """
+    first = queries.select(F.size(vector)).first()
     if first is None:
-        raise RefusedError("There are no stored vectors to search.")
+        raise RefusedError("There are no queries to search for.")
     width = first[0]
-    validate_vectors(items, vector, width)
     validate_vectors(queries, vector, width)
-    return _search(items, queries, item, query, [vector], k, width, lambda c: np.stack(c[0]).astype("float64"))
+
+    def stack(columns: list[np.ndarray]) -> np.ndarray:
+        if any(len(v) != width for v in columns[0]):
+            raise ValueError(f"Stored and query embedding dimensions do not match (expected {width}).")
+        matrix = np.stack(columns[0]).astype("float64")
+        if not np.isfinite(matrix).all():
+            raise ValueError("A stored embedding contains a non-finite value.")
+        return matrix
+
+    return _search(items, queries, item, query, [vector], k, width, stack)
 
 
 def sparse_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, k: int, width: int = VECTOR_BUCKETS) -> DataFrame:

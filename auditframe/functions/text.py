@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.identity import uuid5
 from auditframe.functions.scalars import collapse_spaces
-from auditframe.guards import Guard, refuse_if
 
 # The namespace of document ids, the vector width and the ignored words.
 DOCUMENT_NAMESPACE = "ba42ea1e-9c5d-4fde-90b3-809bb0119685"
@@ -34,9 +33,14 @@ def document_ids(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pages_from_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """One page per text: NUL characters refused, white space collapsed, empty texts dropped."""
-    refuse_if(df, [Guard("{n} text document(s) contain null bytes.", F.col(text).contains("\0"))])
-    pages = document_ids(df, text).withColumn(text, collapse_spaces(F.col(text)))
+    """One page per text: white space collapsed, empty texts dropped, NUL characters an error.
+
+    The NUL check is part of the text expression. The length filter reads that expression for
+    every row, so it cannot be pruned, and the texts are not scanned a second time for it.
+    """
+    refusal = F.raise_error(F.lit("Text documents containing null bytes are not accepted."))
+    checked = F.when(F.col(text).contains("\0"), refusal).otherwise(collapse_spaces(F.col(text)))
+    pages = document_ids(df, text).withColumn(text, checked)
     return pages.filter(F.length(text) > 0).withColumn("page_number", F.lit(1))
 
 

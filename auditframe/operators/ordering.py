@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from auditframe.session import materialize, shuffle_partitions
 
@@ -34,7 +34,7 @@ def add_positions(df: DataFrame, order: list[Column], partitions: int | None = N
     )
     offsets = _partition_offsets(numbered, F.max("__local") + 1)
     placed = numbered.join(F.broadcast(offsets), "__part").withColumn("__pos", F.col("__first") + F.col("__local"))
-    return placed.drop("__id", "__part", "__local", "__first")
+    return placed.drop("__id", "__part", "__local", "__first", "__before")
 
 
 def add_running_counts(counted: DataFrame, order: list[Column], count: str, partitions: int | None = None) -> DataFrame:
@@ -74,12 +74,15 @@ def _sorted_ranges(df: DataFrame, order: list[Column], partitions: int | None) -
 def _partition_offsets(numbered: DataFrame, rows: Column, total: Column | None = None) -> DataFrame:
     """Per range partition, the rows (and the total) of all earlier partitions.
 
-    One row per range partition, so the ordered window over it is bounded by that count.
+    Only one row per range partition passes the driver, a number set by the shuffle settings.
     """
-    sums = {"__first": rows} | ({"__before": total} if total is not None else {})
-    sizes = numbered.groupBy("__part").agg(*[c.alias(name) for name, c in sums.items()])
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select("__part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
+    sums = [rows.alias("rows"), (total if total is not None else F.lit(0)).alias("total")]
+    sizes = numbered.groupBy("__part").agg(*sums).orderBy("__part").collect()
+    offsets, first, before = [], 0, 0
+    for size in sizes:
+        offsets.append((size["__part"], first, before))
+        first, before = first + size["rows"], before + size["total"]
+    return numbered.sparkSession.createDataFrame(offsets, "__part long, __first long, __before long")
 
 
 def with_halo(positioned: DataFrame, reach: int, block_rows: int = 65_536) -> DataFrame:

@@ -44,13 +44,22 @@ def refuse_unsafe(columns: Sequence[str], row: dict) -> None:
 # ---- ranks ------------------------------------------------------------------------------------
 
 
+def rank_checks(df: DataFrame, value: str) -> dict:
+    """Refuse values that cannot be ranked; the row count and the number of values."""
+    require_columns(df, [value])
+    require_numeric(df, value)
+    checked = check_values(df, [value], {"filled": F.count(number(df, value))})
+    if checked["rows"] and not checked["filled"]:
+        raise RefusedError("Rank requires at least one non-null numeric value.")
+    return checked
+
+
 def rank_rows(
-    df: DataFrame, value: str, method: str = "dense", ascending: bool = False, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, value: str, method: str = "dense", ascending: bool = False, one_task_rows: int = ONE_TASK_ROWS,
+    checked: dict | None = None,
 ) -> DataFrame:
     """``df`` plus ``rank`` (dense, min or max); a missing value has no rank."""
-    checked = check_values(df, [value], {"present": F.count(number(df, value))})
-    if not checked["present"]:
-        raise RefusedError("Rank requires at least one non-null numeric value.")
+    checked = checked or rank_checks(df, value)
     if checked["rows"] <= one_task_rows:
         return _rank_in_one_task(df, value, method, ascending)
     return _rank_by_value(df, value, method, ascending)
@@ -124,11 +133,18 @@ def _series_order(df: DataFrame, order: str, first: Sequence[str] = ()) -> list[
     return [*[ref(c).asc_nulls_last() for c in first], present(df, order).asc_nulls_last(), *[ref(c).asc_nulls_last() for c in rest]]
 
 
+def rolling_checks(df: DataFrame, value: str, order: str) -> dict:
+    require_columns(df, [value, order])
+    require_numeric(df, value)
+    return check_order(df, order, [value], {"filled": F.count(number(df, value))})
+
+
 def rolling_mean(
-    df: DataFrame, value: str, order: str, window: int, group_by: Sequence[str] = (), one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, value: str, order: str, window: int, group_by: Sequence[str] = (), one_task_rows: int = ONE_TASK_ROWS,
+    checked: dict | None = None,
 ) -> DataFrame:
     """``df`` plus ``rolling_mean`` over the last ``window`` rows; null until all are present."""
-    checked = check_order(df, order, [value])
+    checked = checked or rolling_checks(df, value, order)
     df = with_order_key(df, order)
     v = number(df, value)
     groups = [ref(c) for c in group_by]
@@ -141,11 +157,11 @@ def rolling_mean(
     return result.filter("__own").select(*[ref(c) for c in df.columns], "rolling_mean")
 
 
-def series_change(df: DataFrame, value: str, order: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """``df`` plus ``percent_change`` and ``growth_rate`` against the previous ordered row.
+def change_checks(df: DataFrame, value: str, order: str) -> dict:
+    """Refuse a series without changes or with a zero to divide by.
 
-    A previous value of zero refuses the whole series. Whether one exists follows from the zero
-    count and the last row's value, so the check needs no ordered pass.
+    Whether a previous value is zero follows from the zero count and the last row's value, so
+    the check needs no ordered pass.
     """
     require_columns(df, [value, order])
     require_numeric(df, value)
@@ -158,12 +174,23 @@ def series_change(df: DataFrame, value: str, order: str, one_task_rows: int = ON
         {"zeros": F.count_if(v == 0), "filled": F.count(v), "last": F.max_by(F.struct(v.alias("v")), last)},
     )
     if not checked["rows"]:
-        raise RefusedError("Percent change requires at least two ordered values.")
+        return checked
     last_value = checked["last"]["v"]
     if checked["zeros"] - (last_value == 0) > 0:
         raise RefusedError("Division by zero: a previous period value is 0.")
     if checked["filled"] - (last_value is not None) <= 0:
         raise RefusedError("Percent change requires at least two ordered values.")
+    return checked
+
+
+def series_change(
+    df: DataFrame, value: str, order: str, one_task_rows: int = ONE_TASK_ROWS, checked: dict | None = None
+) -> DataFrame:
+    """``df`` plus ``percent_change`` and ``growth_rate`` against the previous ordered row.
+
+    A previous value of zero refuses the whole series.
+    """
+    checked = checked or change_checks(df, value, order)
     df = with_order_key(df, order)
     v = number(df, value)
     sort = _series_order(df, order)

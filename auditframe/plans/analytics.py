@@ -21,7 +21,9 @@ from auditframe.guards import Guard, refuse_if
 from auditframe.operators.filters import apply_filters
 from auditframe.operators.ordering import ONE_TASK_ROWS
 from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles, join_on_keys
-from auditframe.operators.windows import last_rolling, rank_rows, refuse_unsafe, rolling_mean, series_change
+from auditframe.operators.windows import (
+    change_checks, last_rolling, rank_checks, rank_rows, refuse_unsafe, rolling_checks, rolling_mean, series_change,
+)
 from auditframe.plans.specs import AnalyticsPlan, Metric
 from auditframe.session import materialize
 
@@ -282,20 +284,17 @@ def _correlation(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limit
     return AnalyticsResult(table, _facts(table, [fact]), row["rows"])
 
 
-def _checked_input(df: DataFrame, plan: AnalyticsPlan) -> int:
-    """Row count and null policy of the row-level analyses, in one job."""
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(missing(df, c)).alias(f"n{i}") for i, c in enumerate(plan.value_columns())]
-    ).first()
-    if not row["rows"]:
+def _refuse_empty(plan: AnalyticsPlan, checked: dict) -> int:
+    if not checked["rows"]:
         raise _no_rows()
-    _refuse_nulls(plan, sum(row[f"n{i}"] for i in range(len(plan.value_columns()))))
-    return row["rows"]
+    _refuse_nulls(plan, checked["rows"] - checked["filled"])
+    return checked["rows"]
 
 
 def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
-    rows = _checked_input(df, plan)
-    ranked = rank_rows(df, plan.value_column, plan.rank_method, plan.ascending, limits.one_task_rows)
+    checked = rank_checks(df, plan.value_column)
+    rows = _refuse_empty(plan, checked)
+    ranked = rank_rows(df, plan.value_column, plan.rank_method, plan.ascending, limits.one_task_rows, checked)
     best = number(df, plan.value_column)
     top = df.agg((F.min(best) if plan.ascending else F.max(best)).alias("top"), F.count(F.lit(1)).alias("rows"))
     fact = _fact(
@@ -307,8 +306,11 @@ def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> A
 
 
 def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
-    rows = _checked_input(df, plan)
-    rolled = rolling_mean(df, plan.value_column, plan.order_column, plan.window, plan.group_by, limits.one_task_rows)
+    checked = rolling_checks(df, plan.value_column, plan.order_column)
+    rows = _refuse_empty(plan, checked)
+    rolled = rolling_mean(
+        df, plan.value_column, plan.order_column, plan.window, plan.group_by, limits.one_task_rows, checked
+    )
     last = materialize(last_rolling(rolled, plan.order_column, plan.group_by))
     summary = last.agg(F.count("value").alias("groups")).first()
     if not summary["groups"]:
@@ -324,8 +326,9 @@ def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -
 
 
 def _change(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
-    rows = _checked_input(df, plan)
-    changed = series_change(df, plan.value_column, plan.order_column, limits.one_task_rows)
+    checked = change_checks(df, plan.value_column, plan.order_column)
+    rows = _refuse_empty(plan, checked)
+    changed = series_change(df, plan.value_column, plan.order_column, limits.one_task_rows, checked)
     column = plan.analysis
     order = F.struct(present(changed, plan.order_column).isNull().alias("n"), present(changed, plan.order_column).alias("k"))
     complete = changed.filter(F.col(column).isNotNull())

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from auditframe.errors import RefusedError
-from auditframe.functions.columns import family, missing, ref
+from auditframe.functions.columns import family, missing
 from auditframe.functions.scalars import blank, coerce, map_value, name_tokens, normalized_name, strip, to_number
 from auditframe.operators.joins import join_sources
 from auditframe.operators.transforms import arithmetic
@@ -88,90 +88,148 @@ def _aliased_targets(fields: DataFrame, extra: dict[str, list[str]]) -> DataFram
     return by_norm.unionByName(fields.join(F.broadcast(given), "target_field").select(*columns)).distinct()
 
 
+# Which target types accept a source, as one flag per class of target types.
+_CLASSES = ("any", "number", "date", "boolean")
+
+
+def _class_of(target_type: Column) -> Column:
+    return F.when(target_type.isin("number", "date", "boolean"), target_type).otherwise(F.lit("any"))
+
+
+def _summary(sources: DataFrame, key: str) -> DataFrame:
+    """Per key value: how many source columns there are, and one of them."""
+    return sources.groupBy(F.col(key).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("source_role", "source_field", "data_type")).alias("one")
+    )
+
+
 def field_candidates(
     targets: DataFrame, sources: DataFrame, explicit: dict[str, str] | None = None, aliases: dict[str, list[str]] | None = None
 ) -> DataFrame:
-    """Every (target, source column) pair of the first stage that matches the target.
+    """Per target field and stage: whether one or several source columns match, and one of them.
 
     ``targets``: target_field, target_type. ``sources``: source_role, source_field, data_type.
-    The stages are equi-joins on explicit reference, name, normalised name, documented alias and
-    shared word; only fields no earlier stage has matched go on to the shared words.
+    The stages are explicit reference, name, normalised name, documented alias and shared word;
+    only fields without any earlier match go on to the shared words. The sources are folded to
+    one row per name or word before they meet the targets, so a word that a third of all columns
+    share costs one row, and no target-source pairs are produced.
     """
     spark = targets.sparkSession
     t = targets.select(
         "target_field", "target_type", F.lower("target_field").alias("t_name"), normalized_name(F.col("target_field")).alias("t_norm")
     )
-    s = sources.select(
-        "source_role", "source_field", "data_type", F.lower("source_field").alias("s_name"),
-        normalized_name(F.col("source_field")).alias("s_norm"),
+    s = sources.select("source_role", "source_field", "data_type").withColumns(
+        {"s_name": F.lower("source_field"), "s_norm": normalized_name(F.col("source_field"))}
     )
-    keep = ["target_field", "target_type", "source_role", "source_field", "data_type"]
 
-    def stage(pairs: DataFrame, order: int, kind: str) -> DataFrame:
-        return pairs.select(*keep, F.lit(order).alias("stage"), F.lit(kind).alias("mapping_type"))
+    def stage(matches: DataFrame, order: int, kind: str) -> DataFrame:
+        return matches.select("target_field", "target_type", "one", F.col("n") > 1, F.lit(order), F.lit(kind)).toDF(
+            "target_field", "target_type", "one", "several", "stage", "mapping_type"
+        )
 
     wishes = spark.createDataFrame(
         [(f, *(reference.split(".", 1) if "." in reference else (None, None))) for f, reference in (explicit or {}).items()],
         "target_field string, wish_role string, wish_field string",
     )
-    chosen = t.join(F.broadcast(wishes), "target_field").join(
-        s, (F.col("wish_role") == F.col("source_role")) & (F.col("wish_field") == F.col("source_field")), "left"
+    wished = F.struct("source_role", "source_field", "data_type")
+    chosen = (
+        t.join(F.broadcast(wishes), "target_field")
+        .join(s, (F.col("wish_role") == F.col("source_role")) & (F.col("wish_field") == F.col("source_field")), "left")
+        .withColumn("one", F.when(F.col("source_field").isNotNull(), wished))
+        .withColumn("n", F.lit(1))
     )
     free = t.join(F.broadcast(wishes.select("target_field")), "target_field", "left_anti")
-    aliased = _aliased_targets(free, aliases or {})
+    by_norm = _summary(s, "s_norm")
+    # Different aliases name different columns, so their counts add up.
+    aliased = _aliased_targets(free, aliases or {}).join(by_norm, F.col("alias_norm") == F.col("key"))
+    aliased = aliased.groupBy("target_field", "target_type").agg(F.sum("n").alias("n"), F.min("one").alias("one"))
     by_name = (
         stage(chosen, 0, "explicit")
-        .unionByName(stage(free.join(s, F.col("t_name") == F.col("s_name")), 1, "exact"))
-        .unionByName(stage(free.join(s, F.col("t_norm") == F.col("s_norm")), 2, "normalized"))
-        .unionByName(stage(aliased.join(s, F.col("alias_norm") == F.col("s_norm")), 3, "documented_alias"))
+        .unionByName(stage(free.join(_summary(s, "s_name"), F.col("t_name") == F.col("key")), 1, "exact"))
+        .unionByName(stage(free.join(by_norm, F.col("t_norm") == F.col("key")), 2, "normalized"))
+        .unionByName(stage(aliased, 3, "documented_alias"))
     )
     open_fields = free.join(by_name.select("target_field").distinct(), "target_field", "left_anti")
-    t_words = open_fields.select("target_field", "target_type", F.explode(name_tokens(F.col("target_field"))).alias("word"))
-    s_words = s.select("source_role", "source_field", "data_type", F.explode(name_tokens(F.col("source_field"))).alias("word"))
-    by_word = t_words.join(s_words, "word").select(*keep).distinct()
-    by_word = by_word.filter(type_compatible(F.col("target_type"), F.col("data_type")))
-    candidates = by_name.unionByName(stage(by_word, 4, "semantic_candidate"))
-    per_stage = candidates.groupBy("target_field", "stage").agg(F.count("source_field").alias("options"))
-    # A stage with a single option decides; otherwise the first stage with several is reported.
-    # Exact and normalised names count as one step: several exact names and one normalised
-    # name cannot occur together, because an exact match is a normalised one too.
-    rank = F.when(F.col("stage") == 0, 0).when(F.col("options") == 1, 2 * F.col("stage")).otherwise(
-        F.when(F.col("stage") == 1, 5).otherwise(2 * F.col("stage") + 1)
+    return by_name.unionByName(stage(_word_matches(open_fields, s), 4, "semantic_candidate"))
+
+
+def _word_matches(fields: DataFrame, sources: DataFrame) -> DataFrame:
+    """Fields sharing a word with type-compatible columns. ``n`` is 1 or "more than 1": the columns
+    behind several words are one column exactly if every word names one and all name the same."""
+    column = F.struct("source_role", "source_field", "data_type")
+    words = sources.select(column.alias("c"), F.explode(name_tokens(F.col("source_field"))).alias("word"))
+    folded = []
+    for name in _CLASSES:
+        fits = type_compatible(F.lit(name), F.col("c.data_type"))
+        folded += [
+            F.count_if(fits).alias(f"n_{name}"), F.min(F.when(fits, F.col("c"))).alias(f"low_{name}"),
+        ]
+    per_word = words.groupBy("word").agg(*folded)
+    asked = fields.select("target_field", "target_type", F.explode(name_tokens(F.col("target_field"))).alias("word"))
+    joined = asked.join(per_word, "word")
+    n, low = F.lit(None).cast("long"), None
+    for name in _CLASSES:
+        chosen = _class_of(F.col("target_type")) == name
+        n = F.when(chosen, F.col(f"n_{name}")).otherwise(n)
+        low = F.when(chosen, F.col(f"low_{name}")) if low is None else F.when(chosen, F.col(f"low_{name}")).otherwise(low)
+    matches = joined.withColumn("k", n).withColumn("low", low).filter("k > 0").groupBy("target_field", "target_type").agg(
+        F.max("k").alias("k"), F.min("low").alias("one"), F.max("low").alias("other")
     )
-    first = Window.partitionBy("target_field").orderBy(rank, "stage")
-    decided = per_stage.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").drop("__rn")
-    return candidates.join(decided, ["target_field", "stage"])
+    return matches.withColumn("n", F.when(F.col("one") == F.col("other"), F.col("k")).otherwise(F.lit(2)))
 
 
 def propose_mappings(candidates: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target field: mapping type, source, confidence and status."""
-    one = candidates.filter((F.col("options") == 1) | (F.col("stage") == 0)).select(
-        "target_field", "source_role", "source_field", "data_type", "mapping_type", "stage"
+    """One row per target field: mapping type, source, confidence and status.
+
+    A stage with a single match decides; otherwise the first stage with several is reported. An
+    ambiguous name outranks an alias, but a single normalised name outranks an ambiguous one.
+    """
+    order = F.when(F.col("stage") == 0, 0).when(~F.col("several"), 2 * F.col("stage")).otherwise(
+        F.when(F.col("stage") == 1, 5).otherwise(2 * F.col("stage") + 1)
     )
-    many = candidates.filter((F.col("options") > 1) & (F.col("stage") > 0)).select("target_field", "options").distinct()
-    compatible = type_compatible(F.col("target_type"), F.col("data_type"))
-    found = F.col("source_field").isNotNull()
+    best = F.min_by(F.struct("one", "several", "mapping_type"), F.struct(order.alias("o"), F.col("stage")))
+    decided = candidates.groupBy("target_field").agg(best.alias("b")).select("target_field", "b.*")
+    decided = targets.join(decided, "target_field", "left")
+    single = ~F.col("several") & F.col("one").isNotNull()
+    compatible = type_compatible(F.col("target_type"), F.col("one.data_type"))
     confidence = F.element_at(F.create_map(*[F.lit(x) for p in CONFIDENCE.items() for x in p]), F.col("mapping_type"))
     status = (
-        F.when(F.col("options").isNotNull(), "ambiguous")
-        .when(F.col("mapping_type").isNull(), "missing")
-        .when(~found | ~compatible, "incompatible")
+        F.when(F.col("mapping_type").isNull(), "missing")
+        .when(F.col("several"), "ambiguous")
+        .when(F.col("one").isNull() | ~compatible, "incompatible")
         .when(F.col("mapping_type") == "explicit", "confirmed")
         .when(F.col("mapping_type") == "semantic_candidate", "ambiguous")
         .otherwise("proposed_high_confidence")
     )
-    joined = targets.join(one, "target_field", "left").join(many, "target_field", "left")
-    return joined.select(
+    return decided.select(
         "target_field",
         "target_type",
-        F.when(F.col("mapping_type").isNull() | ~found, "unmapped").otherwise(F.col("mapping_type")).alias("mapping_type"),
-        "source_role",
-        "source_field",
-        F.when(found & compatible, confidence).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(single, F.col("mapping_type")).otherwise("unmapped").alias("mapping_type"),
+        F.when(single, F.col("one.source_role")).alias("source_role"),
+        F.when(single, F.col("one.source_field")).alias("source_field"),
+        F.when(single & compatible, confidence).otherwise(F.lit(0.0)).alias("confidence"),
         status.alias("status"),
     )
 
 
+def field_options(
+    fields: DataFrame, sources: DataFrame, aliases: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """Every source column that may be meant by the given fields, for the questions put to a person.
+
+    ``fields`` are the few open ones of ``clarifications`` joined back to their targets.
+    """
+    t = fields.select("target_field", "target_type", normalized_name(F.col("target_field")).alias("t_norm"))
+    s = sources.select("source_role", "source_field", "data_type", normalized_name(F.col("source_field")).alias("s_norm"))
+    keep = ["target_field", "source_role", "source_field"]
+    named = t.join(s, F.col("t_norm") == F.col("s_norm")).select(*keep)
+    aliased = _aliased_targets(t, aliases or {}).join(s, F.col("alias_norm") == F.col("s_norm")).select(*keep)
+    t_words = t.select("target_field", "target_type", F.explode(name_tokens(F.col("target_field"))).alias("word"))
+    s_words = s.select("source_role", "source_field", "data_type", F.explode(name_tokens(F.col("source_field"))).alias("word"))
+    shared = t_words.join(s_words, "word").filter(type_compatible(F.col("target_type"), F.col("data_type"))).select(*keep)
+    return named.unionByName(aliased).unionByName(shared).distinct()
+
+
 def clarifications(mappings: DataFrame, required: list[str], derived: list[str] = ()) -> DataFrame:
     """Required fields whose mapping is not settled, with the kind of question to ask."""
     codes = {"ambiguous": "ambiguous_mapping", "missing": "missing_required_field", "incompatible": "incompatible_type"}
@@ -275,11 +333,10 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
     output = work.select(
         *[F.col(outputs[h]).alias(h) if h in outputs else F.lit(None).cast("string").alias(h) for h in plan.headers]
     )
-    row = work.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(bad).alias(f"g{i}") for i, (_, bad) in enumerate(guards)],
-        *[F.count_if(_unfilled(work, outputs.get(f))).alias(f"r{i}") for i, f in enumerate(plan.required_fields)],
-    ).first()
+    counters = [F.count(F.lit(1)).alias("rows")]
+    counters += [F.count_if(bad).alias(f"g{i}") for i, (_, bad) in enumerate(guards)]
+    counters += [F.count_if(_unfilled(work, outputs.get(f))).alias(f"r{i}") for i, f in enumerate(plan.required_fields)]
+    row, shared = _checked_counts(work, counters, outputs, plan.unique_fields)
     for i, (message, _) in enumerate(guards):
         if row[f"g{i}"]:
             raise RefusedError(message.format(n=row[f"g{i}"]))
@@ -290,8 +347,7 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
     for i, f in enumerate(plan.required_fields):
         checks.append((f"required:{f}", row[f"r{i}"] == 0, f"{row[f'r{i}']} missing required values in {f}."))
     for f in plan.unique_fields:
-        groups = output.groupBy(ref(f)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        n = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        n = shared[f]
         checks.append((f"unique:{f}", n == 0, f"{n} rows violate uniqueness for {f}."))
     failed = [detail for _, passed, detail in checks if not passed]
     if failed:
@@ -312,6 +368,29 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
     )
 
 
+def _checked_counts(
+    work: DataFrame, counters: list[Column], outputs: dict[str, str], unique_fields: list[str]
+) -> tuple[dict, dict[str, int]]:
+    """All counters, and per unique field the rows sharing their value, in one pass per unique field.
+
+    The counters ride along with the first unique field: counted per value, then summed.
+    """
+    names = work.agg(*counters).columns
+
+    def shared_rows(field: str, extra: list[Column]) -> dict:
+        key = F.col(outputs[field]) if field in outputs else F.lit(None).cast("string")
+        per_value = work.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("__n"), *extra)
+        sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (names if extra else [])]
+        repeated = F.coalesce(F.sum(F.when(F.col("__n") > 1, F.col("__n"))), F.lit(0)).alias("__shared")
+        return per_value.agg(repeated, *sums).first().asDict()
+
+    if not unique_fields:
+        return work.agg(*counters).first().asDict(), {}
+    first = shared_rows(unique_fields[0], counters)
+    shared = {f: (first if i == 0 else shared_rows(f, []))["__shared"] for i, f in enumerate(unique_fields)}
+    return first, shared
+
+
 def _unfilled(df: DataFrame, column: str | None) -> Column:
     if column is None:
         return F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import family, ref, require_columns
@@ -239,10 +239,9 @@ def regional_performance(totals: DataFrame, targets: DataFrame, periods: list[st
         performance_status(F.col("target"), variance).alias("performance_status"),
         "match_state",
     )
-    # One row per region and period from here on.
-    total = F.coalesce(F.sum("underperformance").over(Window.partitionBy("period")), F.lit(0.0))
-    shared = F.when(total != 0, F.col("underperformance") / total * 100).otherwise(F.lit(0.0))
-    return shaped.withColumn("share_of_shortfall_pct", shared)
+    shortfalls = shaped.groupBy("period").agg(F.coalesce(F.sum("underperformance"), F.lit(0.0)).alias("__total"))
+    share = F.when(F.col("__total") != 0, F.col("underperformance") / F.col("__total") * 100).otherwise(F.lit(0.0))
+    return shaped.join(shortfalls, "period").withColumn("share_of_shortfall_pct", share).drop("__total")
 
 
 def salesperson_commissions(totals: DataFrame) -> DataFrame:
@@ -252,7 +251,7 @@ def salesperson_commissions(totals: DataFrame) -> DataFrame:
         F.sum("net_sales").alias("net_sales"),
         F.sum("commission").alias("commission"),
     )
-    # The total per period is joined in; a window would gather all salespeople of a month in one task.
+    # The total is joined in; a window would gather all salespeople of a month in one task.
     per_period = totals.groupBy("period").agg(F.sum("net_sales").alias("__total"))
     total = F.col("__total")
     share = F.when(total != 0, F.col("net_sales") / total * 100).otherwise(F.lit(0.0))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from auditframe.plans import verify
 from auditframe.plans.analytics import run_plan
 from auditframe.plans.runs import (
-    RunLog, category_changes, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, metric_changes,
-    missing_changes, row_count_changes, run_by_period, run_diagnostics, run_facts, snapshot_input, unique_count_changes,
+    RunLog, categories_snapshot, category_changes, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
+    metric_changes, missing_changes, missing_snapshot, row_count_changes, run_by_period, run_diagnostics, run_facts, unique_count_changes,
     warning_changes,
 )
 from auditframe.operators.joins import join_diagnostics
@@ -69,7 +69,7 @@ def compare_metric_changes(spark, sf):
     """
 )
 def compare_row_counts(spark, sf):
-    previous, current = (snapshot_input(h, "events", "events.parquet").inputs for h in _halves(spark, sf))
+    previous, current = (input_snapshot(h, "events", "events.parquet") for h in _halves(spark, sf))
     return rounded(row_count_changes(previous, current))
 
 
@@ -83,7 +83,7 @@ def compare_row_counts(spark, sf):
     """
 )
 def compare_duplicates(spark, sf):
-    previous, current = (snapshot_input(h, "events", "events.parquet").inputs for h in _halves(spark, sf))
+    previous, current = (input_snapshot(h, "events", "events.parquet") for h in _halves(spark, sf))
     return rounded(duplicate_changes(previous, current).drop("percent_change_reason"))
 
 
@@ -98,7 +98,7 @@ def compare_duplicates(spark, sf):
     """
 )
 def compare_missing_values(spark, sf):
-    previous, current = (snapshot_input(h, "events", "events.parquet").missing for h in _halves(spark, sf))
+    previous, current = (missing_snapshot(h, "events") for h in _halves(spark, sf))
     return rounded(missing_changes(previous, current))
 
 
@@ -112,7 +112,7 @@ def compare_missing_values(spark, sf):
     """
 )
 def compare_categories(spark, sf):
-    previous, current = (snapshot_input(h, "events", "events.parquet").categories for h in _halves(spark, sf))
+    previous, current = (categories_snapshot(h, "events") for h in _halves(spark, sf))
     changes = category_changes(previous, current)
     return changes.withColumn("added", F.array_join("added", "|")).withColumn("removed", F.array_join("removed", "|"))
 
@@ -125,7 +125,7 @@ def compare_categories(spark, sf):
     """
 )
 def compare_unique_counts(spark, sf):
-    previous, current = (snapshot_input(h, "events", "events.parquet").categories for h in _halves(spark, sf))
+    previous, current = (categories_snapshot(h, "events") for h in _halves(spark, sf))
     return unique_count_changes(previous, current).drop("percent_change", "percent_change_reason")
 
 
@@ -146,7 +146,7 @@ def compare_inputs(spark, sf):
     current = [(customers, "same"), (second, "events"), (retyped, "widened"), (customers, "new")]
 
     def inputs(pairs):
-        frames = [snapshot_input(df, key, key).inputs for df, key in pairs]
+        frames = [input_snapshot(df, key, key) for df, key in pairs]
         out = frames[0]
         for frame in frames[1:]:
             out = out.unionByName(frame)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from auditframe.errors import RefusedError
 from auditframe.functions.scalars import formula_safe, normalize_currency, normalize_number
-from auditframe.plans.mapping import SALES_ROLES, clarifications, column_catalog, field_candidates, identify_roles, propose_mappings, run_transform
+from auditframe.plans.mapping import SALES_ROLES, clarifications, column_catalog, field_candidates, field_options, identify_roles, propose_mappings, run_transform
 from auditframe.plans.specs import DerivationRule, FieldMapping, FieldReference, JoinRule, TargetColumn, TransformPlan
 
 
@@ -69,6 +69,22 @@ def test_ambiguity_and_given_aliases(spark):
     assert found["Zone"] == ("documented_alias", "area51", 0.94, "proposed_high_confidence")
 
 
+def test_options_of_open_fields(spark, as_rows):
+    fields = spark.createDataFrame([("Customer Label", "text"), ("Region", "text")], "target_field string, target_type string")
+    s = spark.createDataFrame(SOURCES, "source_role string, source_field string, data_type string")
+    assert as_rows(field_options(fields, s)) == [
+        ("Customer Label", "master", "customer_name"), ("Customer Label", "orders", "customer_id"), ("Region", "master", "territory")
+    ]
+
+
+def test_one_column_behind_two_words(spark):
+    sources = [("a", "big_red_box", "string"), ("b", "small_red", "boolean")]
+    found = proposals(spark, [("Box Red", "number"), ("Red Box", "text"), ("Box Big", "text")], sources)
+    assert found["Box Red"][:2] == ("semantic_candidate", "big_red_box")
+    assert found["Red Box"][3] == "ambiguous" and found["Red Box"][1] is None
+    assert found["Box Big"] == ("semantic_candidate", "big_red_box", 0.75, "ambiguous")
+
+
 def test_clarifications(spark, as_rows):
     mappings = spark.createDataFrame(
         [("A", "ambiguous"), ("B", "missing"), ("C", "incompatible"), ("D", "confirmed"), ("E", "missing"), ("F", "missing")], "target_field string, status string"

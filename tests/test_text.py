@@ -76,8 +76,10 @@ def test_chunk_refusals(spark):
     for size, overlap in ((0, 0), (5, 5), (5, -1)):
         with pytest.raises(RefusedError):
             chunk_pages(pages, size, overlap)
-    with pytest.raises(RefusedError, match="null bytes"):
-        pages_from_text(spark.createDataFrame([("a\0b",)], "text string"))
+    bad = pages_from_text(spark.createDataFrame([("a\0b",)], "text string"))
+    for action in (lambda: bad.count(), lambda: bad.select("page_number").collect(), lambda: chunk_pages(bad).collect()):
+        with pytest.raises(Exception, match="null bytes"):
+            action()
 
 
 def python_vector(text):
@@ -167,6 +169,9 @@ def test_vector_guards(spark):
             validate_vectors(spark.createDataFrame([(1, bad)], "id long, v array<double>"), "v", 2)
     with pytest.raises(RefusedError):
         dense_top_k(good, good.limit(0), "id", "id", "v", 1)
+    for bad in ([1.0], [1.0, float("nan")]):
+        with pytest.raises(Exception, match="dimensions do not match|non-finite"):
+            dense_top_k(spark.createDataFrame([(1, bad)], "id long, v array<double>"), good.withColumnRenamed("id", "q"), "id", "q", "v", 1).collect()
     spaces = spark.createDataFrame([(1, "p", "m", 2), (2, "p", "n", 2)], "id long, embedding_provider string, embedding_model string, embedding_dimensions int")
     assert [r["id"] for r in require_space(spaces, "p", "m", 2).collect()] == [1]
 
