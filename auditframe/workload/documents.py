@@ -105,6 +105,20 @@ def cosine_topk_sparse(spark, sf):
     return found.withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
+@query(
+    f"""
+    SELECT item_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (
+        SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+        FROM ({_SPARSE}) JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 3
+    """
+)
+def cosine_topk_selected_documents(spark, sf):
+    """The same search bound to a selection of documents."""
+    documents, passages = table(spark, sf, "documents").filter("lang = 'en'"), table(spark, sf, "benchmark")
+    found = sparse_top_k(token_vectors(documents, "doc_id"), token_vectors(passages, "item_id"), "doc_id", "item_id", 3)
+    return found.withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
+
+
 _CENTROIDS = """
     SELECT label AS query_id, list(v ORDER BY i) AS embedding
     FROM (SELECT label, i, avg(x::DOUBLE) AS v

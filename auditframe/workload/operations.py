@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 
 from auditframe.operators.transforms import apply_operations
 from auditframe.operators.profile import candidate_keys, duplicate_rows, uniqueness_violations
-from auditframe.plans.specs import operation
+from auditframe.plans.specs import JoinSpec, operation
+from auditframe.plans.workflow import join_workflow
 from auditframe.workload.registry import query, table
 
 
-def _run(df, *operations):
-    return apply_operations(df, [operation(o) for o in operations])
+def _operations(*payloads):
+    return [operation(p) for p in payloads]
+
+
+def _run(df, *payloads):
+    return apply_operations(df, _operations(*payloads))
 
 
 def _priced(spark, sf):
@@ -277,26 +282,24 @@ def group_aggregate_all(spark, sf):
     """
 )
 def join_group_derive_chain(spark, sf):
-    from auditframe.operators.joins import join_frames
-    from auditframe.plans.specs import JoinSpec
-
     customers = table(spark, sf, "customer").withColumn("segment", F.expr("nullif(c_mktsegment, 'BUILDING')"))
-    joined = join_frames(
-        _run(table(spark, sf, "orders"), {"type": "select", "columns": ["o_orderkey", "o_custkey", "o_totalprice"]}),
-        _run(customers, {"type": "select", "columns": ["c_custkey", "segment"]}),
+    grouped = join_workflow(
+        table(spark, sf, "orders"),
+        customers,
         JoinSpec(["o_custkey"], ["c_custkey"]),
-    )
-    grouped = _run(
-        joined,
-        {"type": "derive", "new_column": "net_order", "left_column": "o_totalprice", "operator": "subtract", "constant": 10.0},
-        {
-            "type": "group",
-            "group_by": ["segment"],
-            "aggregations": [
-                {"column": "o_orderkey", "function": "count", "alias": "orders"},
-                {"column": "net_order", "function": "sum", "alias": "net"},
-            ],
-        },
-        {"type": "derive", "new_column": "net_per_100", "left_column": "net", "operator": "percentage", "right_column": "orders"},
-    )
+        left_operations=_operations({"type": "select", "columns": ["o_orderkey", "o_custkey", "o_totalprice"]}),
+        right_operations=_operations({"type": "select", "columns": ["c_custkey", "segment"]}),
+        operations=_operations(
+            {"type": "derive", "new_column": "net_order", "left_column": "o_totalprice", "operator": "subtract", "constant": 10.0},
+            {
+                "type": "group",
+                "group_by": ["segment"],
+                "aggregations": [
+                    {"column": "o_orderkey", "function": "count", "alias": "orders"},
+                    {"column": "net_order", "function": "sum", "alias": "net"},
+                ],
+            },
+            {"type": "derive", "new_column": "net_per_100", "left_column": "net", "operator": "percentage", "right_column": "orders"},
+        ),
+    ).frame
     return grouped.select("segment", "orders", F.round("net", 4).alias("net"), F.round("net_per_100", 4).alias("net_per_100"))

@@ -64,10 +64,10 @@ def _customers(spark, sf):
     return joined.select(F.concat(F.lit("C"), "c_custkey").alias("customer_id"), F.col("r_name").alias("region"))
 
 
-def _report(spark, sf):
+def _report(spark, sf, transactions=None):
     targets = table(spark, sf, "region").select(F.col("r_name").alias("region"), (F.col("r_regionkey") * 250000.0).alias("target"))
     evidence = spark.createDataFrame([("policy-1", POLICY)], "chunk_id string, text string")
-    return sales_report(_transactions(spark, sf), _customers(spark, sf), targets, evidence, single_period=False)
+    return sales_report(_transactions(spark, sf) if transactions is None else transactions, _customers(spark, sf), targets, evidence, single_period=False)
 
 
 @query(_REGIONAL)
@@ -133,6 +133,22 @@ def sales_data_quality(spark, sf):
     return spark.createDataFrame(list(quality.items()), "counter string, value long")
 
 
+@query(
+    f"""
+    SELECT transaction_id, date, salesperson, customer_id, region, amount, coalesce(discount, 0)::DOUBLE AS discount,
+           round(net_sales, 2) AS net_sales, round(net_sales * 0.05, 4) AS commission, trim(status) AS status, o_custkey AS account, period
+    FROM ({_NET}) JOIN orders ON transaction_id = 'T' || o_orderkey
+    """
+)
+def sales_cleaned_transactions(spark, sf):
+    """Cleaned transactions with their region; an extra source column is carried along."""
+    rows = _transactions(spark, sf).join(
+        table(spark, sf, "orders").select(F.concat(F.lit("T"), "o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("account")), "transaction_id"
+    )
+    cleaned = _report(spark, sf, rows).cleaned
+    return cleaned.withColumn("net_sales", F.round("net_sales", 2)).withColumn("commission", F.round("commission", 4))
+
+
 _GRADES = """
     SELECT user_id AS student_id, CASE event_type WHEN 'purchase' THEN 'Final Exam' ELSE event_type END AS category,
            CASE WHEN event_type <> 'purchase' THEN least(max(value), 100) END AS score,

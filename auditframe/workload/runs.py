@@ -8,7 +8,8 @@ from auditframe.plans import verify
 from auditframe.plans.analytics import run_plan
 from auditframe.plans.runs import (
     RunLog, categories_snapshot, category_changes, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
-    metric_changes, missing_changes, missing_snapshot, row_count_changes, run_by_period, run_diagnostics, run_facts, unique_count_changes,
+    metric_changes, missing_changes, missing_snapshot, row_count_changes, run_by_period, run_diagnostics, run_facts, step_changes,
+    unique_count_changes,
     warning_changes,
 )
 from auditframe.operators.joins import join_diagnostics
@@ -236,6 +237,31 @@ def run_log_history(spark, sf):
     return log.page("orders-by-status").select("run_id", "status", "verification", "fact_count")
 
 
+@query(
+    f"""
+    WITH s AS (SELECT period, dense_rank() OVER (ORDER BY event_type) AS step, event_type, count(*) FILTER (value IS NULL) AS w,
+                      count(DISTINCT value) AS a FROM ({_EVENTS}) GROUP BY period, event_type)
+    SELECT coalesce(p.step, c.step)::INTEGER AS step, coalesce(c.event_type, p.event_type) AS tool_name,
+           CASE WHEN p.step IS NOT NULL THEN 'succeeded' END AS previous_status, CASE WHEN c.step IS NOT NULL THEN 'succeeded' END AS current_status,
+           coalesce(c.w, 0) - coalesce(p.w, 0) AS warning_change, coalesce(c.a, 0) - coalesce(p.a, 0) AS artifact_change
+    FROM (SELECT * FROM s WHERE period = 'first') p FULL JOIN (SELECT * FROM s WHERE period = 'second') c ON p.step = c.step
+    """
+)
+def compare_steps(spark, sf):
+    """One step per event type: missing values as its warnings, distinct values as its outputs."""
+    first, second = _halves(spark, sf)
+    names = sorted(r["event_type"] for r in first.unionByName(second).select("event_type").distinct().collect())
+    numbers = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i))])
+
+    def steps(half):
+        grouped = half.groupBy(F.col("event_type").alias("tool_name")).agg(
+            F.count_if(F.col("value").isNull()).alias("warning_count"), F.count_distinct("value").alias("artifact_count")
+        )
+        return grouped.withColumn("step", F.element_at(numbers, F.col("tool_name"))).withColumn("status", F.lit("succeeded"))
+
+    return step_changes(steps(first), steps(second))
+
+
 # ---- claims -----------------------------------------------------------------------------------
 
 @query(
