@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,7 +27,6 @@ UNASSIGNED = "Unassigned"
 class CleanTransactions:
     frame: DataFrame
     quality: dict[str, int]
-    periods: list[str]
 
 
 @dataclass(frozen=True)
@@ -134,11 +134,6 @@ def clean_transactions(transactions: DataFrame, single_period: bool = True) -> C
         .withColumn("net_sales", F.col("amount") - F.col("discount"))
         .drop("__eligible", "__complete", "__identified", "__bad_discount", "__infinite", "__no_discount")
     )
-    if row["first_month"] == row["last_month"]:
-        periods = [row["first_month"].strftime("%B %Y")]
-    else:
-        months = cleaned.select("period", F.date_trunc("month", "date").alias("m")).distinct().orderBy("m")
-        periods = [r["period"] for r in months.collect()]  # one row per month
     quality = {
         "original_transaction_rows": row["n"],
         "non_complete_rows_excluded": row["non_complete"],
@@ -149,7 +144,7 @@ def clean_transactions(transactions: DataFrame, single_period: bool = True) -> C
         "missing_discounts_filled_with_zero": row["no_discount"],
         "cleaned_rows": row["kept"],
     }
-    return CleanTransactions(cleaned, quality, periods)
+    return CleanTransactions(cleaned, quality)
 
 
 def clean_customers(customers: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -305,7 +300,9 @@ def sales_report(
             f"{unmatched} cleaned transaction row(s) had no matching customer; "
             f"their sales remain visible under {UNASSIGNED} and still contribute to salesperson commissions."
         )
-    regional = regional_performance(totals, goals, clean.periods)
+    labels = [r["period"] for r in totals.select("period").distinct().collect()]  # one per month
+    periods = sorted(labels, key=lambda label: datetime.strptime(label, "%B %Y"))
+    regional = materialize(regional_performance(totals, goals, periods))
     matched = match_counts(regional).first()
     if matched["left_only"]:
         warnings.append(f"{matched['left_only']} region(s) with sales had no target; variance and attainment remain unreported.")
@@ -329,7 +326,7 @@ def sales_report(
         "targets_without_sales": matched["right_only"],
     }
     return SalesReport(
-        clean.periods, cleaned, regional, commissions, report_facts(regional, commissions), quality, account, rate.value,
+        periods, cleaned, regional, commissions, report_facts(regional, commissions), quality, account, rate.value,
         rate.citations, warnings,
     )
 
