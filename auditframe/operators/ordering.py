@@ -16,19 +16,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from auditframe.session import materialize, shuffle_partitions
 
 # Up to this many rows a plain one-task window is used; it fits any executor.
 ONE_TASK_ROWS = 1_000_000
 
+# Beyond that, ordered work is cut into partitions of about this many rows.
+PARTITION_ROWS = 4_000_000
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bits of row number
 
 
-def add_positions(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+def add_positions(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     """``df`` plus ``__pos``, the 0-based position of the row in ``order``."""
-    numbered = _sorted_ranges(df, order, partitions).withColumn("__id", F.monotonically_increasing_id())
+    numbered = _sorted_ranges(df, order, rows).withColumn("__id", F.monotonically_increasing_id())
     numbered = materialize(numbered).withColumn("__part", F.shiftright("__id", _LOCAL_BITS)).withColumn(
         "__local", F.col("__id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     )
@@ -37,13 +40,13 @@ def add_positions(df: DataFrame, order: list[Column], partitions: int | None = N
     return placed.drop("__id", "__part", "__local", "__first", "__before")
 
 
-def add_running_counts(counted: DataFrame, order: list[Column], count: str, partitions: int | None = None) -> DataFrame:
+def add_running_counts(counted: DataFrame, order: list[Column], count: str, rows: int) -> DataFrame:
     """A (value, count) table plus ``__from``: the rows counted before it, and ``__pos``: its own position.
 
     The running sum is carried through the sorted batches of a partition; a window would shuffle
     the partitions once more.
     """
-    ranged = _sorted_ranges(counted, order, partitions).withColumn("__part", F.spark_partition_id())
+    ranged = _sorted_ranges(counted, order, rows).withColumn("__part", F.spark_partition_id())
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,9 +67,14 @@ def add_running_counts(counted: DataFrame, order: list[Column], count: str, part
     )
 
 
-def _sorted_ranges(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """Partitions of at most ``PARTITION_ROWS`` rows, and no fewer than the session's shuffles use."""
+    return max(shuffle_partitions(spark), -(-rows // PARTITION_ROWS))
+
+
+def _sorted_ranges(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     """Range partitions in ``order``, sorted inside. Equal keys are spread by source partition."""
-    partitions = partitions or shuffle_partitions(df.sparkSession)
+    partitions = partitions_for(df.sparkSession, rows)
     spread = df.withColumn("__src", F.spark_partition_id())
     return spread.repartitionByRange(partitions, *order, F.col("__src")).drop("__src").sortWithinPartitions(*order)
 
@@ -85,7 +93,7 @@ def _partition_offsets(numbered: DataFrame, rows: Column, total: Column | None =
     return numbered.sparkSession.createDataFrame(offsets, "__part long, __first long, __before long")
 
 
-def with_halo(positioned: DataFrame, reach: int, block_rows: int = 65_536) -> DataFrame:
+def with_halo(positioned: DataFrame, reach: int, rows: int, block_rows: int = 65_536) -> DataFrame:
     """Cut a positioned table into equal blocks; each also gets the ``reach`` rows before it.
 
     Adds ``__block`` and ``__own`` (false for borrowed rows). A frame of at most ``reach``
@@ -95,6 +103,6 @@ def with_halo(positioned: DataFrame, reach: int, block_rows: int = 65_536) -> Da
     block = F.floor(F.col("__pos") / F.lit(block_rows))
     lends = (F.col("__pos") % block_rows) >= block_rows - reach
     homes = F.when(lends, F.array(block, block + 1)).otherwise(F.array(block))
-    return positioned.withColumn("__home", block).withColumn("__block", F.explode(homes)).withColumn(
-        "__own", F.col("__block") == F.col("__home")
-    ).drop("__home")
+    lent = positioned.withColumn("__home", block).withColumn("__block", F.explode(homes))
+    lent = lent.withColumn("__own", F.col("__block") == F.col("__home")).drop("__home")
+    return lent.repartition(partitions_for(positioned.sparkSession, rows), "__block")

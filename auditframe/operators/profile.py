@@ -109,7 +109,7 @@ def profile_numeric(df: DataFrame, buffered_rows: int = BUFFERED_GROUP_ROWS) ->
     if total <= buffered_rows:
         wide = df.agg(*basics, *[F.percentile(number(df, c), F.lit(0.5)).alias(a) for a, c, _ in wanted])
     else:
-        wide = join_on_keys(df.agg(*basics), grouped_percentiles(df, [], wanted, total, buffered_rows), [], "inner")
+        wide = join_on_keys(df.agg(*basics), grouped_percentiles(df, [], wanted, total, total, buffered_rows), [], "inner")
     structs = [
         F.struct(
             F.lit(c).alias("column_name"),

@@ -24,11 +24,14 @@ def grouped_percentiles(
     keys: Sequence[str],
     wanted: Sequence[tuple[str, str, float]],
     largest_group: int,
+    rows: int,
     buffered_rows: int = BUFFERED_GROUP_ROWS,
     nearest_rank: bool = False,
 ) -> DataFrame:
     """One row per group with each wanted ``(alias, column, percent)``.
 
+    The caller knows the size of the largest group and of the table, which choose the method.
+
     ``nearest_rank`` takes the smallest value that covers the percentage instead of interpolating.
     """
     if largest_group <= buffered_rows and nearest_rank:
@@ -49,11 +52,18 @@ def grouped_percentiles(
         return df.groupBy(*[ref(k) for k in keys]).agg(*buffers).select(*[ref(k) for k in keys], *read)
     result = None
     for column in dict.fromkeys(c for _, c, _ in wanted):
-        part = _ranked_percentiles(df, keys, column, [(a, p) for a, c, p in wanted if c == column], nearest_rank)
+        part = _ranked_percentiles(df, keys, column, [(a, p) for a, c, p in wanted if c == column], rows, nearest_rank)
         result = part if result is None else join_on_keys(result, part, keys, "full_outer")
     return result
 
 
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of the whole table; only the keys are read."""
+    sizes = df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("__size"))
+    row = sizes.agg(F.max("__size").alias("largest"), F.sum("__size").alias("rows")).first()
+    return row["largest"] or 0, row["rows"] or 0
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join two tables with one row per key; missing keys match missing keys."""
     if not keys:
@@ -69,7 +79,7 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
 
 
 def _ranked_percentiles(
-    df: DataFrame, keys: Sequence[str], column: str, wanted: Sequence[tuple[str, float]], nearest_rank: bool
+    df: DataFrame, keys: Sequence[str], column: str, wanted: Sequence[tuple[str, float]], rows: int, nearest_rank: bool
 ) -> DataFrame:
     names = [f"__k{i}" for i in range(len(keys))]
     value = number(df, column)
@@ -79,7 +89,7 @@ def _ranked_percentiles(
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     order = [F.col(n).asc_nulls_last() for n in names] + [F.col("__v")]
-    cumulative = add_running_counts(counted, order, "__n")
+    cumulative = add_running_counts(counted, order, "__n", rows)
     totals = cumulative.groupBy(*names).agg(F.sum("__n").alias("__total"), F.min("__from").alias("__start"))
     if names:
         right = totals.withColumnsRenamed({n: f"{n}_t" for n in names})

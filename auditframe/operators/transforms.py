@@ -10,7 +10,7 @@ from auditframe.functions.columns import (
 )
 from auditframe.guards import Guard, GuardedChain
 from auditframe.operators.filters import predicate
-from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, group_sizes, grouped_percentiles, join_on_keys
 from auditframe.plans.specs import (
     DeriveColumn, DropDuplicates, FilterRows, GroupAggregate, HandleMissing, RenameColumns, SelectColumns, SortRows,
 )
@@ -161,12 +161,12 @@ def group_aggregate(df: DataFrame, op: GroupAggregate, buffered_rows: int = BUFF
     keys = [ref(k) for k in op.group_by]
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    largest = sizes.agg(F.max("__size")).first()[0] or 0
+    largest, rows = group_sizes(df, op.group_by)
     if largest <= buffered_rows:
         exact = [F.percentile(number(df, c), F.lit(0.5)).alias(a) for a, c, _ in medians]
         result = df.groupBy(*keys).agg(*aggregates, *exact)
     else:
         base = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
-        result = join_on_keys(base, grouped_percentiles(df, op.group_by, medians, largest, buffered_rows), op.group_by, "left")
+        exact = grouped_percentiles(df, op.group_by, medians, largest, rows, buffered_rows)
+        result = join_on_keys(base, exact, op.group_by, "left")
     return result.select(*keys, *[ref(a.output) for a in op.aggregations])

@@ -62,7 +62,7 @@ def rank_rows(
     checked = checked or rank_checks(df, value)
     if checked["rows"] <= one_task_rows:
         return _rank_in_one_task(df, value, method, ascending)
-    return _rank_by_value(df, value, method, ascending)
+    return _rank_by_value(df, value, method, ascending, checked["rows"])
 
 
 def _rank_in_one_task(df: DataFrame, value: str, method: str, ascending: bool) -> DataFrame:
@@ -77,7 +77,7 @@ def _rank_in_one_task(df: DataFrame, value: str, method: str, ascending: bool) -
     return df.withColumn("rank", F.when(v.isNotNull(), rank.cast("double")))
 
 
-def _rank_by_value(df: DataFrame, value: str, method: str, ascending: bool) -> DataFrame:
+def _rank_by_value(df: DataFrame, value: str, method: str, ascending: bool, rows: int) -> DataFrame:
     """Rank the distinct values, then look the rank up by value.
 
     Repeated values are folded to (value, count) before the ordering, so ties carry no skew. In
@@ -86,7 +86,7 @@ def _rank_by_value(df: DataFrame, value: str, method: str, ascending: bool) -> D
     """
     v = present(df, value)
     counted = df.filter(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranged = add_running_counts(counted, [F.col("__v").asc() if ascending else F.col("__v").desc()], "__n")
+    ranged = add_running_counts(counted, [F.col("__v").asc() if ascending else F.col("__v").desc()], "__n", rows)
     rank = {"dense": F.col("__pos") + 1, "min": F.col("__from") + 1, "max": F.col("__from") + F.col("__n")}[method]
     ranks = ranged.select("__v", rank.alias("__rank"))
     salts = shuffle_partitions(df.sparkSession)
@@ -151,7 +151,7 @@ def rolling_mean(
     if checked["rows"] <= one_task_rows:
         frame = Window.partitionBy(*groups).orderBy(*_series_order(df, order, group_by)).rowsBetween(1 - window, 0)
         return df.withColumn("rolling_mean", F.when(F.count(v).over(frame) == window, F.avg(v).over(frame)))
-    blocks = with_halo(add_positions(df, _series_order(df, order, group_by)), window - 1)
+    blocks = with_halo(add_positions(df, _series_order(df, order, group_by), checked["rows"]), window - 1, checked["rows"])
     frame = Window.partitionBy("__block", *groups).orderBy("__pos").rowsBetween(1 - window, 0)
     result = blocks.withColumn("rolling_mean", F.when(F.count(v).over(frame) == window, F.avg(v).over(frame)))
     return result.filter("__own").select(*[ref(c) for c in df.columns], "rolling_mean")
@@ -198,7 +198,7 @@ def series_change(
         source, previous, columns = df, F.lag(v).over(Window.orderBy(*sort)), [ref(c) for c in df.columns]
         result = source.withColumn("__prev", previous)
     else:
-        blocks = with_halo(add_positions(df, sort), 1)
+        blocks = with_halo(add_positions(df, sort, checked["rows"]), 1, checked["rows"])
         result = blocks.withColumn("__prev", F.lag(v).over(Window.partitionBy("__block").orderBy("__pos"))).filter("__own")
         columns = [ref(c) for c in df.columns]
     growth = F.try_divide(v - F.col("__prev"), F.col("__prev"))

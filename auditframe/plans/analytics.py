@@ -184,7 +184,7 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -
     if exact:
         keyed = df.select(*keys, *[ref(c) for c in dict.fromkeys(m.column for m in exact)])
         wanted = [(f"__m{plan.metrics.index(m)}", m.column, 50.0 if m.name == "median" else m.percentile) for m in exact]
-        percentiles = grouped_percentiles(keyed, names, wanted, check["largest"], buffered)
+        percentiles = grouped_percentiles(keyed, names, wanted, check["largest"], check["rows"], buffered)
         table = join_on_keys(table, percentiles, names, "inner")
     table = table.select(
         *[F.col(n).alias(k) for n, k in zip(names, plan.group_by)],
@@ -236,7 +236,7 @@ def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limi
     refuse_unsafe([column], row)
     _refuse_nulls(plan, row["missing_count"])
     wanted = [("median", column, 50.0), ("p25", column, 25.0), ("p75", column, 75.0)]
-    percentiles = grouped_percentiles(df, [], wanted, row["rows"], buffered)
+    percentiles = grouped_percentiles(df, [], wanted, row["rows"], row["rows"], buffered)
     names = ["count", "missing_count", "min", "max", "mean", "median", "std", "p25", "p75"]
     whole = join_on_keys(basics, percentiles, [], "inner")
     structs = [

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import require_columns
 from auditframe.functions.scalars import is_close, sum_available
-from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles
+from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, group_sizes, grouped_percentiles
 
 PRECEDENCE = ("failed", "conflicting", "unsupported", "insufficient_evidence")
 
@@ -139,10 +139,9 @@ def call_usage(
         tokens_out.alias("output_tokens"),
         ((tokens_in * F.lit(input_cost_per_million) + tokens_out * F.lit(output_cost_per_million)) / 1_000_000).alias("cost"),
     )
-    sizes = calls.groupBy(*group_by).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    median = grouped_percentiles(calls, group_by, [("latency_ms_median", "latency_ms", 50.0)], largest, buffered_rows)
-    p95 = grouped_percentiles(calls, group_by, [("latency_ms_p95", "latency_ms", 95.0)], largest, buffered_rows, nearest_rank=True)
+    sizes = group_sizes(calls, group_by)
+    median = grouped_percentiles(calls, group_by, [("latency_ms_median", "latency_ms", 50.0)], *sizes, buffered_rows)
+    p95 = grouped_percentiles(calls, group_by, [("latency_ms_p95", "latency_ms", 95.0)], *sizes, buffered_rows, nearest_rank=True)
     return base.join(median, group_by).join(p95, group_by)
 
 
