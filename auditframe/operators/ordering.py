@@ -85,12 +85,13 @@ def _partition_offsets(numbered: DataFrame, rows: Column, total: Column | None =
     Only one row per range partition passes the driver, a number set by the shuffle settings.
     """
     sums = [rows.alias("rows"), (total if total is not None else F.lit(0)).alias("total")]
-    sizes = numbered.groupBy("__part").agg(*sums).orderBy("__part").collect()
+    sizes = numbered.groupBy("__part").agg(*sums).collect()
     offsets, first, before = [], 0, 0
-    for size in sizes:
+    for size in sorted(sizes, key=lambda size: size["__part"]):
         offsets.append((size["__part"], first, before))
         first, before = first + size["rows"], before + size["total"]
-    return numbered.sparkSession.createDataFrame(offsets, "__part long, __first long, __before long")
+    table = pd.DataFrame(offsets, columns=["__part", "__first", "__before"], dtype="int64")
+    return numbered.sparkSession.createDataFrame(table, "__part long, __first long, __before long")
 
 
 def with_halo(positioned: DataFrame, reach: int, rows: int, block_rows: int = 65_536) -> DataFrame:
