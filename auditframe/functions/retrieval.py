@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.text import VECTOR_BUCKETS
 from auditframe.guards import Guard, refuse_if
+from auditframe.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 # A slice of the query set sent to every task holds at most this many numbers; a larger query set
 # is searched slice by slice.

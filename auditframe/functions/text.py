@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.identity import uuid5
 from auditframe.functions.scalars import collapse_spaces
+from auditframe.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 # The namespace of document ids, the vector width and the ignored words.
 DOCUMENT_NAMESPACE = "ba42ea1e-9c5d-4fde-90b3-809bb0119685"

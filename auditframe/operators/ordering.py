@@ -18,7 +18,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from auditframe.session import materialize, shuffle_partitions
+from auditframe.session import materialize, shuffle_partitions, ship_with_tasks
+
+ship_with_tasks(__name__)
 
 # Up to this many rows a plain one-task window is used; it fits any executor.
 ONE_TASK_ROWS = 1_000_000
@@ -68,8 +70,9 @@ def add_running_counts(counted: DataFrame, order: list[Column], count: str, rows
 
 
 def partitions_for(spark: SparkSession, rows: int) -> int:
-    """Partitions of at most ``PARTITION_ROWS`` rows, and no fewer than the session's shuffles use."""
-    return max(shuffle_partitions(spark), -(-rows // PARTITION_ROWS))
+    """Partitions of at most ``PARTITION_ROWS`` rows, and enough of them to keep the cores busy."""
+    busy = min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    return max(busy, -(-rows // PARTITION_ROWS))
 
 
 def _sorted_ranges(df: DataFrame, order: list[Column], rows: int) -> DataFrame:

@@ -26,6 +26,7 @@ from auditframe.operators.windows import (
 )
 from auditframe.plans.specs import AnalyticsPlan, Metric
 from auditframe.session import materialize
+from auditframe.sources.scans import expect_size
 
 FACT_SCHEMA = (
     "key string, metric string, value double, label string, dataset string, calculation string, "
@@ -441,16 +442,17 @@ def _top_contributor(df: DataFrame, plan: AnalyticsPlan, worst: DataFrame, datas
     return _facts(placed, [fact])
 
 
-def select_facts(spark, select_sql: str, dataset: str = "sql") -> DataFrame:
+def select_facts(spark, select_sql: str, dataset: str = "sql", max_rows: int | None = None) -> DataFrame:
     """Facts of one read-only SELECT: its row count, and every number when it returns one row.
 
-    Spark's own parser runs the text; anything but a query is refused before it runs.
+    Spark's own parser runs the text; anything but a query is refused before it runs, and a
+    result beyond ``max_rows`` after.
     """
     head = select_sql.lstrip().split(None, 1)[0].lower() if select_sql.strip() else ""
     if head not in ("select", "with"):
         raise RefusedError("Only a single read-only SELECT is accepted.")
     bounded = spark.sql(f"SELECT * FROM ({select_sql.strip().rstrip(';')}) AS bounded_source")
-    rows = bounded.limit(2).collect()
+    rows = expect_size(bounded, max_rows).limit(2).collect()
     count = len(rows) if len(rows) < 2 else bounded.count()
     facts = [("metric.count", "count", float(count), "count", dataset, "count", count, "{}", None)]
     if count == 1:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from auditframe.errors import RefusedError
@@ -59,5 +61,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_with_tasks(module_name: str) -> None:
+    """Send a module's functions along with the tasks that call them.
+
+    Executors then need no copy of this package on their path.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
