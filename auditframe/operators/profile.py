@@ -176,17 +176,25 @@ def category_snapshot(df: DataFrame) -> DataFrame:
     """Distinct values of every non-numeric column, listed only when the set is small.
 
     ``category_values`` is complete or empty: more than 100 values, or one longer than 200
-    characters, gives the count alone. Only complete sets are ever gathered into one list.
+    characters, gives the count alone. Only complete sets are ever gathered into one list, and
+    long values, which are never listed, are counted by their digest instead of being shuffled.
     """
     columns = categorical_columns(df)
-    counted = value_counts(df, columns)
-    sizes = counted.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_count"), F.max(F.length("value")).alias("longest")
+    texts = {c: present(df, c).cast("string") for c in columns}
+    long = {c: F.length(v) > MAX_LISTED_LENGTH for c, v in texts.items()}
+    entries = [
+        F.struct(F.lit(c).alias("c"), F.when(long[c], F.sha2(v, 256)).otherwise(v).alias("v"), long[c].alias("long"))
+        for c, v in texts.items()
+    ]
+    exploded = df.select(F.explode(F.array(*entries)).alias("e")).select(
+        F.col("e.c").alias("column_name"), F.col("e.v").alias("value"), F.col("e.long").alias("long")
     )
-    complete = (F.col("unique_count") <= MAX_LISTED_VALUES) & (F.col("longest") <= MAX_LISTED_LENGTH)
-    listable = sizes.filter(complete).select("column_name")
+    distinct = exploded.filter(F.col("value").isNotNull()).distinct()
+    sizes = distinct.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), F.max("long").alias("any_long"))
+    complete = (F.col("unique_count") <= MAX_LISTED_VALUES) & ~F.col("any_long")
+    listable = sizes.filter(complete).select("column_name")  # at most one row per column
     listed = (
-        counted.join(F.broadcast(listable), "column_name")
+        distinct.join(F.broadcast(listable), "column_name")
         .groupBy("column_name")
         .agg(F.sort_array(F.collect_list("value")).alias("category_values"))
     )
