@@ -32,15 +32,16 @@ def build_session(app_name: str = "auditframe", master: str | None = None, shuff
 def work_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session may fall back to a
-    folder of its own; on a cluster a machine-local folder would not survive a lost node.
+    ``spark.checkpoint.dir`` names it, or the checkpoint folder that the context already has. Only a
+    local session may fall back to a folder of its own; on a cluster a machine-local folder would not
+    survive a lost node.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
         if not context.master.startswith("local"):
             raise RefusedError("Set spark.checkpoint.dir to a shared folder before running on a cluster.")
-        configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="auditframe-")
+        configured = tempfile.mkdtemp(prefix="auditframe-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
