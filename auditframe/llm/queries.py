@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import bpe, simhash, vectors
+from auditframe.llm import bpe, mixing, simhash, spans, vectors
 from auditframe.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the entry points)
 from auditframe.workload.registry import table
 
@@ -43,3 +43,58 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+# The tables name no domain: sources are dealt to three by the first digit of their md5.
+DOMAIN = "CASE WHEN substr(md5(coalesce(source, '(none)')), 1, 1) < '6' THEN 'a' WHEN substr(md5(coalesce(source, '(none)')), 1, 1) < 'b' THEN 'b' ELSE 'c' END"
+MIX_WEIGHTS = {"domain": {"a": 3, "b": 2, "c": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    levels = {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, levels, MIX_WEIGHTS, budget=F.expr("tokens * 6 div 10"), tokens=mixing.word_tokens("text"), max_epochs=2, seed=17)
+
+
+def _share_sql(name: str, parent: str, level: str, weight: str) -> str:
+    """One level of the tree in SQL: fill the children of every parent up by weight."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    join = f"JOIN {name}_above USING ({parent})" if parent else "CROSS JOIN total_budget"
+    head = f"{parent}, {level}" if parent else level
+    return f"""
+    {name}_0 AS (SELECT {head}, sum(total * 2)::HUGEINT AS capacity, {weight} AS weight FROM leaves GROUP BY {head}),
+    {name}_1 AS (SELECT *, sum(capacity) OVER (w ROWS UNBOUNDED PRECEDING) AS filled, sum(weight) OVER ({by}) - sum(weight) OVER (w ROWS UNBOUNDED PRECEDING) AS later
+        FROM {name}_0 {join} WINDOW w AS ({by} ORDER BY capacity / weight::DOUBLE, {level})),
+    {name}_2 AS (SELECT *, filled <= budget AND capacity * later <= weight * (budget - filled) AS is_full FROM {name}_1),
+    {name}_3 AS (SELECT *, budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({by}) AS rest, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({by}) AS still FROM {name}_2),
+    {name} AS (SELECT {head}, (CASE WHEN is_full THEN capacity ELSE least(capacity, weight * rest // greatest(still, 1)) END)::HUGEINT AS share FROM {name}_3)"""
+
+
+MIX_SQL = f"""
+    WITH RECURSIVE rows_ AS (
+        SELECT doc_id, {DOMAIN} AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+            len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents
+    ), full_rows AS (SELECT * FROM rows_ WHERE n_tokens > 0),
+    leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS total FROM full_rows GROUP BY ALL),
+    total_budget AS (SELECT sum(total)::HUGEINT * 6 // 10 AS budget FROM leaves),
+    {_share_sql("s1", "", "domain", "CASE domain WHEN 'a' THEN 3 WHEN 'b' THEN 2 ELSE 1 END")},
+    s2_above AS (SELECT domain, share AS budget FROM s1),
+    {_share_sql("s2", "domain", "lang", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END")},
+    s3_above AS (SELECT domain, lang, share AS budget FROM s2),
+    {_share_sql("s3", "domain, lang", "source", "1")},
+    plan AS (SELECT domain, lang, source, share // total AS whole, share % total AS rest FROM s3 JOIN leaves USING (domain, lang, source)),
+    drawn AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '(none)')) RANGE UNBOUNDED PRECEDING) AS upto
+        FROM full_rows JOIN plan USING (domain, lang, source))
+    SELECT doc_id, domain, lang, source, n_tokens, (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM drawn
+    WHERE whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
+@query(sql=MIX_SQL)
+def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.without_repeats(docs).select("doc_id", "text", "n_sentences", "n_removed")
