@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import bpe, mixing, simhash, spans, vectors
+from auditframe.llm import bpe, language, mixing, simhash, spans, toxicity, vectors
 from auditframe.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the entry points)
 from auditframe.workload.registry import table
 
@@ -98,3 +98,18 @@ def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.without_repeats(docs).select("doc_id", "text", "n_sentences", "n_removed")
+
+
+@query()
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn_from(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.fold() == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
