@@ -162,3 +162,23 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 def learn_from(df: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang") -> tuple[list[str], np.ndarray]:
     return learn(df.where(remainder(id_column, 4) != 2), text, language)
+
+
+def keep_determined(df: DataFrame, model: tuple[list[str], np.ndarray], least_share: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose leading language has a proportion of at least ``least_share``; all columns are kept.
+
+    When nothing was labelled no language is known, and rows with letters stay.
+    """
+    names, likely = model
+    shared = df.sparkSession.sparkContext.broadcast((general_classes() == LETTER, likely))
+    at = df.columns.index(text)
+
+    def keep(batches):
+        letters, likely = shared.value
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for row, cells in text_cells(batch.column(at).to_pylist(), letters):
+                kept[row] = len(cells) > 0 and (not len(likely) or proportions(cells, likely).max() >= least_share)
+            yield batch.filter(pa.array(kept))
+
+    return df.mapInArrow(keep, df.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import bpe, language, mixing, simhash, spans, toxicity, vectors
+from auditframe.llm import bpe, html, language, mixing, quality, simhash, spans, toxicity, urls, vectors
 from auditframe.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the entry points)
 from auditframe.workload.registry import table
 
@@ -50,7 +50,7 @@ DOMAIN = "CASE WHEN substr(md5(coalesce(source, '(none)')), 1, 1) < '6' THEN 'a'
 MIX_WEIGHTS = {"domain": {"a": 3, "b": 2, "c": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 
 
-def _mixed(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame) -> DataFrame:
     levels = {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
     return mixing.mix(docs, levels, MIX_WEIGHTS, budget=F.expr("tokens * 6 div 10"), tokens=mixing.word_tokens("text"), max_epochs=2, seed=17)
 
@@ -91,7 +91,7 @@ MIX_SQL = f"""
 
 @query(sql=MIX_SQL)
 def op2_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(table(spark, sf_dir, "documents"))
+    return mixed_documents(table(spark, sf_dir, "documents"))
 
 
 @query()
@@ -113,3 +113,46 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(toxicity.fold() == 0, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@query()
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page counts as blocked in the labels if the label of its number calls it poor or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    blocked = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(blocked).alias("blocked"))
+    return urls.judge(pages, pages.join(labels, "page_id").select("url", "blocked"), URL_RULES)
+
+
+@query()
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query(sql="""
+    WITH docs AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
+    words AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT n, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs)),
+    windows AS (SELECT n, i, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS win, count(*) OVER (PARTITION BY n) - i AS later
+        FROM words WINDOW o AS (PARTITION BY n ORDER BY i)),
+    twice AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, win) AS times FROM windows WHERE later >= 4) WHERE times > 1),
+    repeated AS (SELECT n, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(5) AS r(k) GROUP BY n),
+    lines AS (SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs),
+    dups AS (SELECT n, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY n),
+    measured AS (
+        SELECT d.doc_id, d.source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_words,
+            length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+        FROM docs d LEFT JOIN dups USING (n) LEFT JOIN repeated USING (n)
+    ), based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+    hosts AS (SELECT source, count(*) AS docs, sum(base_failed::INT) AS failed FROM based WHERE source IS NOT NULL GROUP BY source),
+    corpus AS (SELECT sum(failed) / sum(docs) AS mean FROM hosts),
+    spread AS (SELECT mean, sum(docs * (failed / docs - mean) ** 2) / sum(docs) - count(*) * mean * (1 - mean) / sum(docs) AS between_hosts FROM hosts, corpus GROUP BY mean),
+    prior AS (SELECT mean, CASE WHEN between_hosts > 0 THEN least(1e6, greatest(1e-3, mean * (1 - mean) / between_hosts - 1)) ELSE 1e6 END AS weight FROM spread),
+    verdicts AS (SELECT source, (failed + weight * mean) / (docs + weight) <= 0.5 AS host_kept FROM hosts, prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, true) AS kept FROM based LEFT JOIN verdicts USING (source)
+""")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
