@@ -17,7 +17,7 @@ nothing; unlisted path values weigh 1, and a weight of 0 takes only what no sibl
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,34 +66,34 @@ def share_among_children(children: DataFrame, parent: Sequence[str], level: str)
     return rows.withColumn("share", share.cast("bigint")).drop("filled", "later", "full", "rest", "open")
 
 
-def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int) -> DataFrame:
+def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], budget: int, max_epochs: int) -> DataFrame:
     """(levels, total, share): the tokens that every leaf (levels, total) has and may take.
 
     One row per leaf: the table is as long as the list of sources, not as the corpus.
     """
     tree = leaves.withColumn("leaf_capacity", F.col("total") * max_epochs)
-    shares = tree.agg(F.coalesce(F.sum("total"), F.lit(0).cast("bigint")).alias("tokens")).select(budget.cast("bigint").alias("share"))
+    shares = None
     for depth, level in enumerate(levels):
         parent = list(levels[:depth])
         here = tree.groupBy(*parent, level).agg(F.sum("leaf_capacity").alias("capacity"))
-        above = shares.select(*parent, F.col("share").alias("budget"))
-        joined = here.join(above, parent) if parent else here.crossJoin(F.broadcast(above))  # one row
+        joined = here.withColumn("budget", F.lit(budget).cast("bigint")) if shares is None else here.join(shares.withColumnRenamed("share", "budget"), parent)
         joined = joined.withColumn("weight", _weight(level, weights.get(level, {})))
         shares = settle(share_among_children(joined, parent, level).select(*parent, level, "share"), f"shares-{level}")
     return shares.join(leaves, list(levels)).select(*levels, "total", "share")
 
 
-def mix(df: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], budget: Column, tokens: Column, max_epochs: int = 2, seed: int = 17, id_column: str = "doc_id") -> DataFrame:
+def mix(df: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], budget: Callable[[int], int], tokens: Column, max_epochs: int = 2, seed: int = 17, id_column: str = "doc_id") -> DataFrame:
     """(id, levels, n_tokens, md5 keys, copies): every row with at least one copy in the mix.
 
-    ``levels`` names the tree from the root down; ``budget`` is an expression over ``tokens``, the
-    tokens of the corpus. Rows keep their multiplicity.
+    ``levels`` names the tree from the root down; ``budget`` makes the token budget of the tokens that
+    the corpus has. Rows keep their multiplicity.
     """
     names = list(levels)
     rows = df.select(F.col(id_column).alias("id"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in levels.items()], tokens.alias("n_tokens"))
     rows = settle(rows.where("n_tokens > 0"), "mix-rows")
     leaves = settle(rows.groupBy(*names).agg(F.sum("n_tokens").alias("total")), "mix-leaves")
-    budgets = leaf_budgets(leaves, names, weights, budget, max_epochs)
+    total = leaves.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]  # one number
+    budgets = leaf_budgets(leaves, names, weights, budget(int(total)), max_epochs)
     plan = settle(budgets.select(*names, F.expr("cast(share div total as int)").alias("whole"), F.expr("share % total").alias("rest")), "mix-plan")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(NONE))).cast("binary"))
     keyed = settle(rows.join(plan, names).withColumn("draw", key), "mix-keyed")

@@ -73,20 +73,16 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     """(host, n_docs, n_failed, shrunk_rate, host_kept) of every host in rows (host, base_failed)."""
     hosts = rows.where("host is not null").groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("n_failed"))
     hosts = settle(hosts, "hosts")
-    # Moments: spread of the host rates about the corpus rate, less what chance alone gives.
+    # Moments: spread of the host rates about the corpus rate, less what chance alone gives. Two rows reach the driver.
+    corpus = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("mean")).first()
+    mean = F.lit(corpus.mean or 0.0)
     rate = F.col("n_failed") / F.col("n_docs")
-    corpus = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("mean"), F.count("*").alias("hosts"), F.sum("n_docs").alias("docs"))
-    joined = hosts.crossJoin(F.broadcast(corpus))  # one row
-    spread = joined.agg(
-        F.first("mean").alias("mean"),
-        (F.sum(F.col("n_docs") * (rate - F.col("mean")) * (rate - F.col("mean"))) / F.sum("n_docs")).alias("seen"),
-        (F.count("*") * F.first("mean") * (1 - F.first("mean")) / F.sum("n_docs")).alias("chance"),
-    )
-    between = F.col("seen") - F.col("chance")
-    weight = F.when(between > 0, F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.col("mean") * (1 - F.col("mean")) / between - 1))).otherwise(STRONGEST)
-    prior = spread.select("mean", weight.alias("weight"))
-    shrunk = (F.col("n_failed") + F.col("weight") * F.col("mean")) / (F.col("n_docs") + F.col("weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= MOST_FAILED).alias("host_kept"))
+    seen = F.sum(F.col("n_docs") * (rate - mean) * (rate - mean)) / F.sum("n_docs")
+    between = seen - F.count("*") * mean * (1 - mean) / F.sum("n_docs")
+    weight = F.when(between > 0, F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), mean * (1 - mean) / between - 1))).otherwise(STRONGEST)
+    prior = F.lit(hosts.agg(weight.alias("weight")).first().weight)
+    shrunk = (F.col("n_failed") + prior * mean) / (F.col("n_docs") + prior)
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk <= MOST_FAILED).alias("host_kept"))
 
 
 def judged(df: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

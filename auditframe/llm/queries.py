@@ -52,7 +52,7 @@ MIX_WEIGHTS = {"domain": {"a": 3, "b": 2, "c": 1}, "lang": {"en": 4, "de": 2, "f
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     levels = {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
-    return mixing.mix(docs, levels, MIX_WEIGHTS, budget=F.expr("tokens * 6 div 10"), tokens=mixing.word_tokens("text"), max_epochs=2, seed=17)
+    return mixing.mix(docs, levels, MIX_WEIGHTS, budget=lambda tokens: tokens * 6 // 10, tokens=mixing.word_tokens("text"), max_epochs=2, seed=17)
 
 
 def _share_sql(name: str, parent: str, level: str, weight: str) -> str:
