@@ -113,7 +113,8 @@ def repeated_spans(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     again = settle(every.groupBy("run").count().where("count > 1").select("run"), "repeated-runs")
     rows = settle(every.join(again, "run"), "run-occurrences")
     place = F.struct(F.col("id").isNotNull().alias("named"), "id", "text_key", "first")
-    starts = rows.groupBy("run").agg(F.min(place).alias("start"))
+    # Written, so that the join sees two plain shuffles and Spark can split a run that is everywhere.
+    starts = settle(rows.groupBy("run").agg(F.min(place).alias("start")), "run-starts")
     own = F.struct(F.col("id").isNotNull().alias("named"), "id", "text_key", "first")
     later = rows.join(starts, "run").where(~own.eqNullSafe(F.col("start")))
     return later.groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "length")).alias("spans"))
