@@ -32,7 +32,7 @@ ship_with_tasks(__name__)
 
 BITS = 64
 #: A node of the distributed levels is searched in one task once it has no more fingerprints than this.
-NODE_SIZE = 1024
+NODE_SIZE = 256
 #: Children of an inner node.
 FANOUT = 16
 #: Blocks are split no further once this few bits are left: a node then has at most 2**9 fingerprints.
@@ -267,7 +267,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", di
     labels = components(fingerprint_links(distinct.select("fp"), distance))
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
     rooted = settle(rooted, "rooted-fingerprints")
-    lows = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    lows = settle(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "component-names")
     named = rooted.join(lows, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id_column, "text_key", "fp", "component_id")
 
