@@ -42,7 +42,7 @@ STATES = 11
 NO, YES, UNLESS_E, UNLESS_L, BEFORE_WORD = range(5)
 BLOCK = 64
 #: Distinct slices kept between passes of a task; a full store is emptied, which changes no result.
-KEPT_SLICES = 800_000
+KEPT_SLICES = 150_000
 #: Up to this many bytes a slice is merged by repeated search, beyond by a heap.
 SHORT_SLICE = 48
 
@@ -335,11 +335,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id", te
         return {
             id_column: batch.column(0),
             "token_ids": pa.array([x.astype(np.int32) for x in rows], pa.list_(pa.int32())),
-            "token_offsets": pa.array([codec().offsets(x)[:-1] for x in rows], pa.list_(pa.int64())),
+            "token_offsets": pa.array([codec().offsets(x)[:-1].astype(np.int32) for x in rows], pa.list_(pa.int32())),
         }
 
     kind = dict(df.dtypes)[id_column]
-    return map_arrow(df.select(id_column, text), step, f"`{id_column}` {kind}, token_ids array<int>, token_offsets array<bigint>")
+    return map_arrow(df.select(id_column, text), step, f"`{id_column}` {kind}, token_ids array<int>, token_offsets array<int>")
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id", ids: str = "token_ids") -> DataFrame:

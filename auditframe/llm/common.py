@@ -16,7 +16,9 @@ ship_with_tasks(__name__)
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\f\r"
 #: Bytes of text that one numpy pass holds; a longer single text is a pass of its own.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 1_000_000
+#: Rows of an Arrow batch that one step turns into Python values.
+STEP_ROWS = 1000
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -66,12 +68,12 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
-    """Run ``function`` on every Arrow batch; it returns the output columns in schema order."""
+    """Run ``function`` on slices of every Arrow batch; it returns the output columns in schema order."""
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = function(batch)
+            for start in range(0, batch.num_rows, STEP_ROWS):
+                columns = function(batch.slice(start, STEP_ROWS))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
     return df.mapInArrow(over, schema)

@@ -36,7 +36,7 @@ LEAST_Z, LEAST_TEXTS = 4.0, 3
 PREFIXES = (4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 #: Words whose features a task remembers; a full store is emptied, which changes no score.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 WORD = r"[^\W\d_]+"
 
 
