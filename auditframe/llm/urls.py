@@ -114,7 +114,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]],
     learned = mine_rules(with_tokens(labels.select(F.col(url).alias("url"), "blocked"), "url").select("tokens", "blocked"))
     rows = settle(with_tokens(pages.select(F.col(id_column).alias("id"), F.col(url).alias("url")), "url"), "url-rows")
     rule, verdict = fixed_rule("host", "path", rules)
-    found = mined_verdicts(rows, learned)
+    found = settle(mined_verdicts(rows, learned), "url-verdicts")  # written: one plain side of the join below
     judged = rows.join(found, "tokens", "left").withColumn("rule", rule).withColumn("decided", verdict)
     mined = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
     return judged.select(
