@@ -258,9 +258,10 @@ def fingerprint_links(values: DataFrame, distance: int = 2, node_size: int = NOD
 
 
 def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 2, words_per_shingle: int = 3) -> DataFrame:
-    """(id, text_key, fp, component_id): the smallest id whose fingerprint is reachable by links.
+    """(id, text_key, fp, root, component_id): the smallest id whose fingerprint is reachable by links.
 
-    One row per input row. Null ids are members, but name a component only where it has no other id.
+    One row per input row; root is the smallest fingerprint of the component. Null ids are members, but
+    name a component only where it has no other id. An id with several texts may name several components.
     """
     rows = settle(fingerprints(df, id_column, text, words_per_shingle), "fingerprints")
     distinct = settle(rows.groupBy("fp").agg(F.min(id_column).alias("low_id")), "distinct-fingerprints")
@@ -268,8 +269,8 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", di
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
     rooted = settle(rooted, "rooted-fingerprints")
     lows = settle(rooted.groupBy("root").agg(F.min("low_id").alias("component_id")), "component-names")
-    named = rooted.join(lows, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(id_column, "text_key", "fp", "component_id")
+    named = rooted.join(lows, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select(id_column, "text_key", "fp", "root", "component_id")
 
 
 def keep_one_per_group(df: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = 2) -> DataFrame:
@@ -280,7 +281,7 @@ def keep_one_per_group(df: DataFrame, id_column: str = "doc_id", text: str = "te
     """
     groups = near_groups(df, id_column, text, distance)
     first, key = fresh(df, "first_id"), fresh(df, "first_key")
-    winners = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("unnamed")).agg(
+    winners = groups.groupBy("root").agg(
         F.min(F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), F.col("text_key").alias("key"))).alias("first")
     )
     winners = winners.select(F.col("first.id").alias(first), F.col("first.key").alias(key))
