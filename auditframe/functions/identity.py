@@ -95,9 +95,14 @@ def schema_fingerprint(df: DataFrame) -> str:
     return sha256(text.encode("utf-8")).hexdigest()
 
 
+def row_digest(df: DataFrame, seed: int = 0) -> Column:
+    """A 64-bit hash of a row that also tells where its missing values are."""
+    return F.xxhash64(F.lit(seed), *[x for c in df.columns for x in (ref(c).isNull(), ref(c))])
+
+
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """Order-independent fingerprint of a table's rows: row count plus sum and xor of row hashes."""
-    row_hash = F.xxhash64(*[ref(c) for c in df.columns])
+    row_hash = row_digest(df)
     parts = df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(row_hash.cast("decimal(20,0)")), F.lit(0)).alias("__sum"),

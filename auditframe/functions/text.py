@@ -72,7 +72,7 @@ def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = C
             if rows:
                 yield pd.DataFrame(rows, columns=_CHUNK_COLUMNS)
 
-    source = spread_small_scan(pages, "document_id").select("document_id", F.col("page_number").cast("int"), "text")
+    source = pages.select("document_id", F.col("page_number").cast("int"), "text")
     chunks = source.mapInPandas(cut, _CHUNK_SCHEMA)
     name = F.concat(
         F.lit("page:"), F.col("page_number").cast("string"), F.lit(":chunk:"), F.col("chunk_index").cast("string"),
@@ -100,15 +100,6 @@ def _chunk_texts(text: str, size: int, overlap: int) -> list[str]:
     return pieces
 
 
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Text work is CPU-bound: a table of fewer files than cores is spread by key before it.
-
-    A large table has more files than cores and is left where it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def token_vectors(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Sparse token-hash vectors of unit length: (key, ``buckets``, ``weights``), one row per key.
 
@@ -117,7 +108,7 @@ def token_vectors(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     words = F.split(F.lower(F.col(text)), "[^a-z0-9]+")
     kept = F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    exploded = spread_small_scan(df.select(key, text), key).select(key, F.explode_outer(kept).alias("w"))
+    exploded = df.select(key, F.explode_outer(kept).alias("w"))
     bucket = (F.conv(F.substring(F.sha2(F.col("w"), 256), 1, 8), 16, 10).cast("long") % VECTOR_BUCKETS).cast("int")
     counts = exploded.groupBy(key, bucket.alias("bucket")).agg(F.count("w").alias("n"))
     # At most VECTOR_BUCKETS entries per key, so the list is bounded.

@@ -22,10 +22,7 @@ from auditframe.session import materialize, shuffle_partitions, ship_with_tasks
 
 ship_with_tasks(__name__)
 
-# Up to this many rows a plain one-task window is used; it fits any executor.
-ONE_TASK_ROWS = 1_000_000
-
-# Beyond that, ordered work is cut into partitions of about this many rows.
+# Ordered work is cut into partitions of about this many rows.
 PARTITION_ROWS = 4_000_000
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bits of row number
@@ -38,7 +35,7 @@ def add_positions(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
         "__local", F.col("__id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     )
     offsets = _partition_offsets(numbered, F.max("__local") + 1)
-    placed = numbered.join(F.broadcast(offsets), "__part").withColumn("__pos", F.col("__first") + F.col("__local"))
+    placed = numbered.join(offsets, "__part").withColumn("__pos", F.col("__first") + F.col("__local"))
     return placed.drop("__id", "__part", "__local", "__first", "__before")
 
 
@@ -61,7 +58,7 @@ def add_running_counts(counted: DataFrame, order: list[Column], count: str, rows
 
     numbered = materialize(ranged.mapInPandas(carry, f"{types}, __local long, __c long"))
     offsets = _partition_offsets(numbered, F.max("__local") + 1, F.sum(count))
-    placed = numbered.join(F.broadcast(offsets), "__part")
+    placed = numbered.join(offsets, "__part")
     return (
         placed.withColumn("__pos", F.col("__first") + F.col("__local"))
         .withColumn("__from", F.col("__before") + F.col("__c"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditframe.functions.columns import family, is_numeric, missing, number, present, ref
-from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.session import materialize
 
 TOP_VALUES = 5
 MAX_LISTED_VALUES = 100
@@ -94,10 +95,9 @@ def candidate_keys(df: DataFrame) -> DataFrame:
     return _rows_from(wide, structs, ["column_name", "distinct_count", "is_candidate_key"])
 
 
-def profile_numeric(df: DataFrame, buffered_rows: int = BUFFERED_GROUP_ROWS) -> DataFrame:
+def profile_numeric(df: DataFrame) -> DataFrame:
     """Per numeric column: count, missing, mean, minimum, maximum, exact median."""
     columns = [c for c in df.columns if is_numeric(df, c)]
-    total = df.count()
     wanted = [(f"p{i}", c, 50.0) for i, c in enumerate(columns)]
     basics = [
         F.count(F.lit(1)).alias("row_count"),
@@ -106,10 +106,8 @@ def profile_numeric(df: DataFrame, buffered_rows: int = BUFFERED_GROUP_ROWS) ->
         *[F.min(number(df, c)).alias(f"l{i}") for i, c in enumerate(columns)],
         *[F.max(number(df, c)).alias(f"h{i}") for i, c in enumerate(columns)],
     ]
-    if total <= buffered_rows:
-        wide = df.agg(*basics, *[F.percentile(number(df, c), F.lit(0.5)).alias(a) for a, c, _ in wanted])
-    else:
-        wide = join_on_keys(df.agg(*basics), grouped_percentiles(df, [], wanted, total, total, buffered_rows), [], "inner")
+    base = materialize(df.agg(*basics))
+    wide = join_on_keys(base, grouped_percentiles(df, [], wanted, base.first()["row_count"]), [], "inner")
     structs = [
         F.struct(
             F.lit(c).alias("column_name"),

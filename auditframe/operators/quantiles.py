@@ -1,9 +1,8 @@
-"""Exact linear-interpolation percentiles that do not buffer a huge group in one task.
+"""Exact linear-interpolation percentiles that do not buffer a group in one task.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one task's memory. It is
-used while the largest group is provably small. Beyond that the values are first counted per
-(group, value) - which folds repeated values before the shuffle - and the two order statistics
-around each percentile are read off the cumulative counts of the range-partitioned values.
+Values are counted per (group, column, value), which folds repeated values before the shuffle, and the
+two order statistics around each percentile are read off the cumulative counts of the range-partitioned
+values. One pass and one ordering serve all columns, whatever the size of the groups.
 """
 
 from __future__ import annotations
@@ -15,53 +14,42 @@ from pyspark.sql import DataFrame, functions as F
 from auditframe.functions.columns import null_safe_equal, number, ref
 from auditframe.operators.ordering import add_running_counts
 
-# Groups up to this size may buffer their values in one task.
-BUFFERED_GROUP_ROWS = 1_000_000
-
-
 def grouped_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    wanted: Sequence[tuple[str, str, float]],
-    largest_group: int,
-    rows: int,
-    buffered_rows: int = BUFFERED_GROUP_ROWS,
-    nearest_rank: bool = False,
+    df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, str, float]], rows: int, nearest_rank: bool = False
 ) -> DataFrame:
-    """One row per group with each wanted ``(alias, column, percent)``.
+    """One row per group that has a value, with each wanted ``(alias, column, percent)``.
 
-    The caller knows the size of the largest group and of the table, which choose the method.
-
-    ``nearest_rank`` takes the smallest value that covers the percentage instead of interpolating.
+    ``rows``, the size of the table, sets the number of partitions. ``nearest_rank`` takes the smallest
+    value that covers the percentage instead of interpolating.
     """
-    if largest_group <= buffered_rows and nearest_rank:
-        named = df.select(*[ref(k) for k in keys], *[number(df, c).alias(f"__v{i}") for i, (_, c, _) in enumerate(wanted)])
-        disc = "percentile_disc({}) WITHIN GROUP (ORDER BY __v{})"
-        return named.groupBy(*[ref(k) for k in keys]).agg(
-            *[F.expr(disc.format(p / 100.0, i)).alias(a) for i, (a, _, p) in enumerate(wanted)]
-        )
-    if largest_group <= buffered_rows:
-        # One buffer per column, whatever the number of percentiles.
-        columns = list(dict.fromkeys(c for _, c, _ in wanted))
-        parts = {c: [(a, p) for a, d, p in wanted if d == c] for c in columns}
-        buffers = [
-            F.percentile(number(df, c), F.array(*[F.lit(p / 100.0) for _, p in parts[c]])).alias(f"__p{i}")
-            for i, c in enumerate(columns)
-        ]
-        read = [F.col(f"__p{i}")[j].alias(a) for i, c in enumerate(columns) for j, (a, _) in enumerate(parts[c])]
-        return df.groupBy(*[ref(k) for k in keys]).agg(*buffers).select(*[ref(k) for k in keys], *read)
-    result = None
-    for column in dict.fromkeys(c for _, c, _ in wanted):
-        part = _ranked_percentiles(df, keys, column, [(a, p) for a, c, p in wanted if c == column], rows, nearest_rank)
-        result = part if result is None else join_on_keys(result, part, keys, "full_outer")
-    return result
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """Rows of the largest group and of the whole table; only the keys are read."""
-    sizes = df.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("__size"))
-    row = sizes.agg(F.max("__size").alias("largest"), F.sum("__size").alias("rows")).first()
-    return row["largest"] or 0, row["rows"] or 0
+    columns = list(dict.fromkeys(c for _, c, _ in wanted))
+    names = [f"__k{i}" for i in range(len(keys))]
+    entries = F.array(*[F.struct(F.lit(i).alias("c"), number(df, c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    counted = (
+        df.select(*[ref(k).alias(n) for k, n in zip(keys, names)], F.explode(entries).alias("__e"))
+        .select(*names, F.col("__e.c").alias("__which"), F.col("__e.v").alias("__v"))
+        .filter("__v is not null")
+        .groupBy(*names, "__which", "__v")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    by = [*names, "__which"]
+    order = [F.col(n).asc_nulls_last() for n in by] + [F.col("__v")]
+    cumulative = add_running_counts(counted, order, "__n", rows * len(columns))
+    totals = cumulative.groupBy(*by).agg(F.sum("__n").alias("__total"), F.min("__from").alias("__start"))
+    right = totals.withColumnsRenamed({n: f"{n}_t" for n in by})
+    located = cumulative.join(right, null_safe_equal([F.col(n) for n in by], [F.col(f"{n}_t") for n in by]))
+    first = F.col("__from") - F.col("__start")
+    last = first + F.col("__n") - 1
+    aggregates = []
+    for alias, column, percent in wanted:
+        own = F.col("__which") == columns.index(column)
+        share_of = F.lit(percent / 100.0)
+        at = F.greatest(F.ceil(F.col("__total") * share_of) - 1, F.lit(0)) if nearest_rank else (F.col("__total") - 1) * share_of
+        low = F.max(F.when(own & (first <= F.floor(at)) & (F.floor(at) <= last), F.col("__v")))
+        high = F.max(F.when(own & (first <= F.ceil(at)) & (F.ceil(at) <= last), F.col("__v")))
+        share = F.max(F.when(own, at - F.floor(at)))
+        aggregates.append((low + (high - low) * share).alias(alias))
+    return located.groupBy(*names).agg(*aggregates).withColumnsRenamed(dict(zip(names, keys)))
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -76,34 +64,3 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
         for i, k in enumerate(keys):
             joined = joined.withColumn(k, F.coalesce(ref(k), F.col(f"__r_{i}")))
     return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
-
-
-def _ranked_percentiles(
-    df: DataFrame, keys: Sequence[str], column: str, wanted: Sequence[tuple[str, float]], rows: int, nearest_rank: bool
-) -> DataFrame:
-    names = [f"__k{i}" for i in range(len(keys))]
-    value = number(df, column)
-    counted = (
-        df.filter(value.isNotNull())
-        .groupBy(*[ref(k).alias(n) for k, n in zip(keys, names)], value.alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    order = [F.col(n).asc_nulls_last() for n in names] + [F.col("__v")]
-    cumulative = add_running_counts(counted, order, "__n", rows)
-    totals = cumulative.groupBy(*names).agg(F.sum("__n").alias("__total"), F.min("__from").alias("__start"))
-    if names:
-        right = totals.withColumnsRenamed({n: f"{n}_t" for n in names})
-        located = cumulative.join(right, null_safe_equal([F.col(n) for n in names], [F.col(f"{n}_t") for n in names]))
-    else:
-        located = join_on_keys(cumulative, totals, [], "inner")
-    first = F.col("__from") - F.col("__start")
-    last = first + F.col("__n") - 1
-    aggregates = []
-    for alias, percent in wanted:
-        share_of = F.lit(percent / 100.0)
-        at = F.greatest(F.ceil(F.col("__total") * share_of) - 1, F.lit(0)) if nearest_rank else (F.col("__total") - 1) * share_of
-        low = F.max(F.when((first <= F.floor(at)) & (F.floor(at) <= last), F.col("__v")))
-        high = F.max(F.when((first <= F.ceil(at)) & (F.ceil(at) <= last), F.col("__v")))
-        share = F.max(at - F.floor(at))
-        aggregates.append((low + (high - low) * share).alias(alias))
-    return located.groupBy(*names).agg(*aggregates).withColumnsRenamed(dict(zip(names, keys)))

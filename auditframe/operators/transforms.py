@@ -10,7 +10,8 @@ from auditframe.functions.columns import (
 )
 from auditframe.guards import Guard, GuardedChain
 from auditframe.operators.filters import predicate
-from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, group_sizes, grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.session import materialize
 from auditframe.plans.specs import (
     DeriveColumn, DropDuplicates, FilterRows, GroupAggregate, HandleMissing, RenameColumns, SelectColumns, SortRows,
 )
@@ -133,10 +134,10 @@ def _derive(df: DataFrame, op: DeriveColumn) -> DataFrame:
 
 def _operand(df: DataFrame, column: str) -> Column:
     c = present(df, column)
-    return c.cast("int") if family(df.schema[column].dataType) == "boolean" else c
+    return c.cast("bigint") if family(df.schema[column].dataType) in ("boolean", "integer") else c
 
 
-def group_aggregate(df: DataFrame, op: GroupAggregate, buffered_rows: int = BUFFERED_GROUP_ROWS) -> DataFrame:
+def group_aggregate(df: DataFrame, op: GroupAggregate) -> DataFrame:
     """Group-by with missing keys as their own group; a sum over only missing values is 0."""
     require_columns(df, [*op.group_by, *[a.column for a in op.aggregations]])
     aggregates, medians = [], []
@@ -161,12 +162,7 @@ def group_aggregate(df: DataFrame, op: GroupAggregate, buffered_rows: int = BUFF
     keys = [ref(k) for k in op.group_by]
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
-    largest, rows = group_sizes(df, op.group_by)
-    if largest <= buffered_rows:
-        exact = [F.percentile(number(df, c), F.lit(0.5)).alias(a) for a, c, _ in medians]
-        result = df.groupBy(*keys).agg(*aggregates, *exact)
-    else:
-        base = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
-        exact = grouped_percentiles(df, op.group_by, medians, largest, rows, buffered_rows)
-        result = join_on_keys(base, exact, op.group_by, "left")
+    base = materialize(df.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("__rows")))
+    rows = base.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
+    result = join_on_keys(base, grouped_percentiles(df, op.group_by, medians, rows), op.group_by, "left")
     return result.select(*keys, *[ref(a.output) for a in op.aggregations])

@@ -15,7 +15,7 @@ from auditframe.errors import RefusedError
 from auditframe.functions.columns import (
     is_numeric, number, present, ref, require_columns, require_numeric, unsafe_number,
 )
-from auditframe.operators.ordering import ONE_TASK_ROWS, add_positions, add_running_counts, with_halo
+from auditframe.operators.ordering import add_positions, add_running_counts, with_halo
 from auditframe.session import shuffle_partitions
 
 
@@ -54,29 +54,12 @@ def rank_checks(df: DataFrame, value: str) -> dict:
     return checked
 
 
-def rank_rows(
-    df: DataFrame, value: str, method: str = "dense", ascending: bool = False, one_task_rows: int = ONE_TASK_ROWS,
-    checked: dict | None = None,
-) -> DataFrame:
+def rank_rows(df: DataFrame, value: str, method: str = "dense", ascending: bool = False, checked: dict | None = None) -> DataFrame:
     """``df`` plus ``rank`` (dense, min or max); a missing value has no rank."""
     checked = checked or rank_checks(df, value)
-    if checked["rows"] <= one_task_rows:
-        return _rank_in_one_task(df, value, method, ascending)
     return _rank_by_value(df, value, method, ascending, checked["rows"])
 
 
-def _rank_in_one_task(df: DataFrame, value: str, method: str, ascending: bool) -> DataFrame:
-    v = present(df, value)
-    order = Window.orderBy(v.asc_nulls_last() if ascending else v.desc_nulls_last())
-    if method == "dense":
-        rank = F.dense_rank().over(order)
-    elif method == "min":
-        rank = F.rank().over(order)
-    else:
-        rank = F.count(v).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("rank", F.when(v.isNotNull(), rank.cast("double")))
-
-
 def _rank_by_value(df: DataFrame, value: str, method: str, ascending: bool, rows: int) -> DataFrame:
     """Rank the distinct values, then look the rank up by value.
 
@@ -140,17 +123,13 @@ def rolling_checks(df: DataFrame, value: str, order: str) -> dict:
 
 
 def rolling_mean(
-    df: DataFrame, value: str, order: str, window: int, group_by: Sequence[str] = (), one_task_rows: int = ONE_TASK_ROWS,
-    checked: dict | None = None,
+    df: DataFrame, value: str, order: str, window: int, group_by: Sequence[str] = (), checked: dict | None = None,
 ) -> DataFrame:
     """``df`` plus ``rolling_mean`` over the last ``window`` rows; null until all are present."""
     checked = checked or rolling_checks(df, value, order)
     df = with_order_key(df, order)
     v = number(df, value)
     groups = [ref(c) for c in group_by]
-    if checked["rows"] <= one_task_rows:
-        frame = Window.partitionBy(*groups).orderBy(*_series_order(df, order, group_by)).rowsBetween(1 - window, 0)
-        return df.withColumn("rolling_mean", F.when(F.count(v).over(frame) == window, F.avg(v).over(frame)))
     blocks = with_halo(add_positions(df, _series_order(df, order, group_by), checked["rows"]), window - 1, checked["rows"])
     frame = Window.partitionBy("__block", *groups).orderBy("__pos").rowsBetween(1 - window, 0)
     result = blocks.withColumn("rolling_mean", F.when(F.count(v).over(frame) == window, F.avg(v).over(frame)))
@@ -183,9 +162,7 @@ def change_checks(df: DataFrame, value: str, order: str) -> dict:
     return checked
 
 
-def series_change(
-    df: DataFrame, value: str, order: str, one_task_rows: int = ONE_TASK_ROWS, checked: dict | None = None
-) -> DataFrame:
+def series_change(df: DataFrame, value: str, order: str, checked: dict | None = None) -> DataFrame:
     """``df`` plus ``percent_change`` and ``growth_rate`` against the previous ordered row.
 
     A previous value of zero refuses the whole series.
@@ -194,13 +171,9 @@ def series_change(
     df = with_order_key(df, order)
     v = number(df, value)
     sort = _series_order(df, order)
-    if checked["rows"] <= one_task_rows:
-        source, previous, columns = df, F.lag(v).over(Window.orderBy(*sort)), [ref(c) for c in df.columns]
-        result = source.withColumn("__prev", previous)
-    else:
-        blocks = with_halo(add_positions(df, sort, checked["rows"]), 1, checked["rows"])
-        result = blocks.withColumn("__prev", F.lag(v).over(Window.partitionBy("__block").orderBy("__pos"))).filter("__own")
-        columns = [ref(c) for c in df.columns]
+    blocks = with_halo(add_positions(df, sort, checked["rows"]), 1, checked["rows"])
+    result = blocks.withColumn("__prev", F.lag(v).over(Window.partitionBy("__block").orderBy("__pos"))).filter("__own")
+    columns = [ref(c) for c in df.columns]
     growth = F.try_divide(v - F.col("__prev"), F.col("__prev"))
     return result.select(*columns, (growth * 100.0).alias("percent_change"), growth.alias("growth_rate"))
 

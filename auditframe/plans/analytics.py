@@ -19,8 +19,7 @@ from auditframe.functions.columns import (
 from auditframe.functions.identity import canonical_json, group_suffix
 from auditframe.guards import Guard, refuse_if
 from auditframe.operators.filters import apply_filters
-from auditframe.operators.ordering import ONE_TASK_ROWS
-from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
 from auditframe.operators.windows import (
     change_checks, last_rolling, rank_checks, rank_rows, refuse_unsafe, rolling_checks, rolling_mean, series_change,
 )
@@ -38,22 +37,14 @@ MAX_RESULT_CELLS = 50_000
 
 @dataclass(frozen=True)
 class AnalyticsResult:
-    """``table`` is cut to the plan's limit; ``facts`` come from the whole analysis."""
+    """``table`` is whole unless the plan sets a limit; ``facts`` come from the whole analysis."""
 
     table: DataFrame
     facts: DataFrame
     input_rows: int
 
 
-@dataclass(frozen=True)
-class Limits:
-    """Proven sizes up to which a method may work inside one task."""
-
-    buffered_rows: int = BUFFERED_GROUP_ROWS
-    one_task_rows: int = ONE_TASK_ROWS
-
-
-def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset", limits: Limits = Limits()) -> AnalyticsResult:
+def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset") -> AnalyticsResult:
     """Validate, filter and analyse."""
     require_unique_names(df)
     if plan.expected_columns and df.columns != plan.expected_columns:
@@ -61,7 +52,7 @@ def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset", limit
     require_columns(df, plan.referenced_columns())
     rows = apply_filters(df, plan.filters)
     if plan.analysis in ("metrics", "group_compare"):
-        result = _metrics(rows, plan, dataset, limits)
+        result = _metrics(rows, plan, dataset)
     else:
         handler = {
             "distribution": _distribution,
@@ -72,10 +63,16 @@ def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset", limit
             "growth_rate": _change,
             "target_variance": _target_variance,
         }[plan.analysis]
-        result = handler(rows, plan, dataset, limits)
+        result = handler(rows, plan, dataset)
     return result
 
 
+def _top(table: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """The table in order, cut only where the plan asks for it."""
+    ordered = table.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def refuse_large_result(table: DataFrame, max_cells: int = MAX_RESULT_CELLS) -> None:
     """Opt-in expectation for callers that bring a result to the driver."""
     allowed = max_cells // max(len(table.columns), 1)
@@ -146,9 +143,8 @@ def _compare_metrics(plan: AnalyticsPlan) -> AnalyticsPlan:
     return replace(plan, analysis="metrics", metrics=metrics, value_column=None)
 
 
-def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
+def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResult:
     plan = _compare_metrics(plan)
-    buffered = limits.buffered_rows
     columns = plan.value_columns()
     for m in plan.metrics:
         if m.name not in ("count", "distinct_count"):
@@ -166,7 +162,6 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -
 
     check = first_pass.agg(
         F.coalesce(F.sum("__rows"), F.lit(0)).alias("rows"),
-        F.max("__rows").alias("largest"),
         *[F.sum(f"__bad{i}").alias(f"bad{i}") for i in range(len(guarded))],
         *[F.min(f"__n{i}").alias(f"n{i}") for i in range(len(columns))],
         *[F.sum(F.col("__rows") - F.col(f"__n{i}")).alias(f"nulls{i}") for i in range(len(columns))],
@@ -185,7 +180,7 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -
     if exact:
         keyed = df.select(*keys, *[ref(c) for c in dict.fromkeys(m.column for m in exact)])
         wanted = [(f"__m{plan.metrics.index(m)}", m.column, 50.0 if m.name == "median" else m.percentile) for m in exact]
-        percentiles = grouped_percentiles(keyed, names, wanted, check["largest"], check["rows"], buffered)
+        percentiles = grouped_percentiles(keyed, names, wanted, check["rows"])
         table = join_on_keys(table, percentiles, names, "inner")
     table = table.select(
         *[F.col(n).alias(k) for n, k in zip(names, plan.group_by)],
@@ -208,17 +203,16 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -
     if keys:
         sort = next((m.output for m in plan.metrics if m.name != "count"), plan.metrics[-1].output)
         by = ref(sort).asc_nulls_last() if plan.ascending else ref(sort).desc_nulls_last()
-        table = table.orderBy(by, *[ref(k).asc_nulls_last() for k in plan.group_by]).limit(plan.limit)
+        table = _top(table, [by, *[ref(k).asc_nulls_last() for k in plan.group_by]], plan.limit)
     return AnalyticsResult(table, facts, check["rows"])
 
 
 # ---- whole-table analyses ---------------------------------------------------------------------
 
 
-def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
+def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResult:
     column = plan.value_column
     require_numeric(df, column)
-    buffered = limits.buffered_rows
     v = number(df, column)
     row, basics = _one_row(
         df.agg(
@@ -237,7 +231,7 @@ def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limi
     refuse_unsafe([column], row)
     _refuse_nulls(plan, row["missing_count"])
     wanted = [("median", column, 50.0), ("p25", column, 25.0), ("p75", column, 75.0)]
-    percentiles = grouped_percentiles(df, [], wanted, row["rows"], row["rows"], buffered)
+    percentiles = grouped_percentiles(df, [], wanted, row["rows"])
     names = ["count", "missing_count", "min", "max", "mean", "median", "std", "p25", "p75"]
     whole = join_on_keys(basics, percentiles, [], "inner")
     structs = [
@@ -250,7 +244,7 @@ def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limi
     return AnalyticsResult(whole.select(*names), _facts(whole, structs).filter("value is not null"), row["rows"])
 
 
-def _correlation(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
+def _correlation(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResult:
     a, b = plan.value_column, plan.second_column
     require_numeric(df, a)
     require_numeric(df, b)
@@ -292,10 +286,10 @@ def _refuse_empty(plan: AnalyticsPlan, checked: dict) -> int:
     return checked["rows"]
 
 
-def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
+def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResult:
     checked = rank_checks(df, plan.value_column)
     rows = _refuse_empty(plan, checked)
-    ranked = rank_rows(df, plan.value_column, plan.rank_method, plan.ascending, limits.one_task_rows, checked)
+    ranked = rank_rows(df, plan.value_column, plan.rank_method, plan.ascending, checked)
     best = number(df, plan.value_column)
     top = df.agg((F.min(best) if plan.ascending else F.max(best)).alias("top"), F.count(F.lit(1)).alias("rows"))
     fact = _fact(
@@ -303,14 +297,14 @@ def _rank(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> A
         F.lit(f"rank({plan.value_column})"), F.col("rows"), F.lit("{}"),
     )
     order = [F.col("rank").asc_nulls_last(), *[ref(c).asc_nulls_last() for c in df.columns]]
-    return AnalyticsResult(ranked.orderBy(*order).limit(plan.limit), _facts(top, [fact]), rows)
+    return AnalyticsResult(_top(ranked, [*order], plan.limit), _facts(top, [fact]), rows)
 
 
-def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
+def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResult:
     checked = rolling_checks(df, plan.value_column, plan.order_column)
     rows = _refuse_empty(plan, checked)
     rolled = rolling_mean(
-        df, plan.value_column, plan.order_column, plan.window, plan.group_by, limits.one_task_rows, checked
+        df, plan.value_column, plan.order_column, plan.window, plan.group_by, checked
     )
     last = materialize(last_rolling(rolled, plan.order_column, plan.group_by))
     summary = last.agg(F.count("value").alias("groups")).first()
@@ -323,13 +317,13 @@ def _rolling(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -
         dataset, F.lit(f"rolling_mean({plan.value_column}, window={plan.window})"), F.col("row_count"), grouping,
     )
     order = [ref(c).asc_nulls_last() for c in [*plan.group_by, plan.order_column, *rolled.columns]]
-    return AnalyticsResult(rolled.orderBy(*order).limit(plan.limit), _facts(last, [fact]), rows)
+    return AnalyticsResult(_top(rolled, [*order], plan.limit), _facts(last, [fact]), rows)
 
 
-def _change(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
+def _change(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResult:
     checked = change_checks(df, plan.value_column, plan.order_column)
     rows = _refuse_empty(plan, checked)
-    changed = series_change(df, plan.value_column, plan.order_column, limits.one_task_rows, checked)
+    changed = series_change(df, plan.value_column, plan.order_column, checked)
     column = plan.analysis
     order = F.struct(present(changed, plan.order_column).isNull().alias("n"), present(changed, plan.order_column).alias("k"))
     complete = changed.filter(F.col(column).isNotNull())
@@ -342,13 +336,13 @@ def _change(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) ->
         "percent" if column == "percent_change" else "ratio",
     )
     by = [ref(c).asc_nulls_last() for c in [plan.order_column, *df.columns]]
-    return AnalyticsResult(changed.orderBy(*by).limit(plan.limit), _facts(last, [fact]), rows)
+    return AnalyticsResult(_top(changed, [*by], plan.limit), _facts(last, [fact]), rows)
 
 
 # ---- targets ----------------------------------------------------------------------------------
 
 
-def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: Limits) -> AnalyticsResult:
+def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResult:
     """Actual against target per group; the worst group and its largest contributor as facts."""
     value, target = plan.value_column, plan.second_column
     require_numeric(df, value)
@@ -413,7 +407,7 @@ def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str, limits: L
     )
     if plan.contributor_column:
         facts = facts.unionByName(_top_contributor(df, plan, worst, dataset))
-    return AnalyticsResult(table.orderBy(*order).limit(plan.limit), facts, check["rows"])
+    return AnalyticsResult(_top(table, [*order], plan.limit), facts, check["rows"])
 
 
 def contributors(df: DataFrame, plan: AnalyticsPlan, worst: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from auditframe.errors import RefusedError
+from auditframe.functions.identity import row_digest
 from auditframe.functions.columns import family, ref, require_columns
 from auditframe.functions.scalars import blank, neutralize_formulas, strip, to_number
 from auditframe.guards import Guard, refuse_if
@@ -82,19 +83,19 @@ def clean_transactions(transactions: DataFrame, single_period: bool = True) -> C
     infinite = F.abs(raw_amount) == float("inf")
     infinite = infinite | (F.abs(given) == float("inf"))
     bad_discount = ref("discount").isNotNull() & given.isNull()
+    digests = {"__digest": row_digest(transactions), "__digest2": row_digest(transactions, 1)}
     flagged = transactions.withColumns(
-        {"__bad_discount": bad_discount, "__infinite": infinite, "__no_discount": ref("discount").isNull()}
+        digests | {"__bad_discount": bad_discount, "__infinite": infinite, "__no_discount": ref("discount").isNull()}
     )
     prepared = _prepared(flagged)
-    source = [ref(c) for c in transactions.columns]
     month = F.date_trunc("month", "date")
     eligible = F.col("__eligible")
     per_id = prepared.groupBy("transaction_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.xxhash64(*source)).alias("h1"),
-        F.max(F.xxhash64(*source)).alias("h2"),
-        F.min(F.xxhash64(F.lit("second"), *source)).alias("h3"),
-        F.max(F.xxhash64(F.lit("second"), *source)).alias("h4"),
+        F.min("__digest").alias("h1"),
+        F.max("__digest").alias("h2"),
+        F.min("__digest2").alias("h3"),
+        F.max("__digest2").alias("h4"),
         F.count_if(eligible).alias("eligible"),
         F.count_if("__bad_discount").alias("bad_discount"),
         F.count_if("__infinite").alias("infinite"),

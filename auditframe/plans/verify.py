@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import require_columns
 from auditframe.functions.scalars import is_close, sum_available
-from auditframe.operators.quantiles import BUFFERED_GROUP_ROWS, group_sizes, grouped_percentiles
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.session import materialize
 
 PRECEDENCE = ("failed", "conflicting", "unsupported", "insufficient_evidence")
 
@@ -124,8 +125,7 @@ def score_results(results: DataFrame, checks: list[str], counters: list[str] = (
 
 
 def call_usage(
-    calls: DataFrame, group_by: list[str], input_cost_per_million: float, output_cost_per_million: float,
-    buffered_rows: int = BUFFERED_GROUP_ROWS,
+    calls: DataFrame, group_by: list[str], input_cost_per_million: float, output_cost_per_million: float
 ) -> DataFrame:
     """Per group: latency total, mean, median and nearest-rank p95; token sums that are null when
     any call lacks them; cost from the token sums."""
@@ -139,10 +139,11 @@ def call_usage(
         tokens_out.alias("output_tokens"),
         ((tokens_in * F.lit(input_cost_per_million) + tokens_out * F.lit(output_cost_per_million)) / 1_000_000).alias("cost"),
     )
-    sizes = group_sizes(calls, group_by)
-    median = grouped_percentiles(calls, group_by, [("latency_ms_median", "latency_ms", 50.0)], *sizes, buffered_rows)
-    p95 = grouped_percentiles(calls, group_by, [("latency_ms_p95", "latency_ms", 95.0)], *sizes, buffered_rows, nearest_rank=True)
-    return base.join(median, group_by).join(p95, group_by)
+    base = materialize(base)
+    rows = base.agg(F.coalesce(F.sum("measured_call_count"), F.lit(0))).first()[0]
+    median = grouped_percentiles(calls, group_by, [("latency_ms_median", "latency_ms", 50.0)], rows)
+    p95 = grouped_percentiles(calls, group_by, [("latency_ms_p95", "latency_ms", 95.0)], rows, nearest_rank=True)
+    return join_on_keys(join_on_keys(base, median, group_by, "left"), p95, group_by, "left")
 
 
 def judgement_mean(results: DataFrame, judgements: DataFrame, key: str = "case_id") -> DataFrame:

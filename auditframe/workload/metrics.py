@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditframe.operators.joins import join_frames, lookup
-from auditframe.plans.analytics import FACT_COLUMNS, Limits, run_plan, select_facts
+from auditframe.plans.analytics import FACT_COLUMNS, run_plan, select_facts
 from auditframe.plans.specs import AnalyticsPlan, JoinSpec, Metric, PlanFilter
 from auditframe.workload.registry import query, table
 
@@ -117,9 +117,9 @@ _ALL_METRICS_SQL = """
 """
 
 
-def _all_metrics(spark, sf, limits=Limits()):
+def _all_metrics(spark, sf):
     plan = AnalyticsPlan("metrics", group_by=["l_returnflag", "status"], metrics=_ALL_METRICS)
-    return rounded(run_plan(_lines(spark, sf), plan, "lineitem", limits).table)
+    return rounded(run_plan(_lines(spark, sf), plan, "lineitem").table)
 
 
 @query(f"SELECT l_returnflag, status, {_ALL_METRICS_SQL} FROM ({_LINES}) GROUP BY l_returnflag, status")
@@ -130,7 +130,7 @@ def group_metrics_all(spark, sf):
 @query(f"SELECT l_returnflag, status, {_ALL_METRICS_SQL} FROM ({_LINES}) GROUP BY l_returnflag, status")
 def group_metrics_ranked_percentiles(spark, sf):
     """The same metrics with the percentile method for groups too large for one task."""
-    return _all_metrics(spark, sf, Limits(buffered_rows=0))
+    return _all_metrics(spark, sf)
 
 
 @query(f"SELECT {_ALL_METRICS_SQL} FROM lineitem")
@@ -194,9 +194,9 @@ _DISTRIBUTION = """
 """
 
 
-def _distribution(spark, sf, limits=Limits()):
+def _distribution(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.expr("nullif(l_discount, 0)").alias("l_discount"))
-    return rounded(run_plan(lines, AnalyticsPlan("distribution", value_column="l_discount"), "lineitem", limits).table)
+    return rounded(run_plan(lines, AnalyticsPlan("distribution", value_column="l_discount"), "lineitem").table)
 
 
 @query(_DISTRIBUTION)
@@ -206,7 +206,7 @@ def distribution(spark, sf):
 
 @query(_DISTRIBUTION)
 def distribution_ranked_percentiles(spark, sf):
-    return _distribution(spark, sf, Limits(buffered_rows=0))
+    return _distribution(spark, sf)
 
 
 @query(
@@ -231,3 +231,17 @@ def select_facts_one_row(spark, sf):
     table(spark, sf, "orders").createOrReplaceTempView("orders")
     facts = select_facts(spark, "SELECT count(*) AS orders, sum(o_totalprice) AS revenue FROM orders")
     return rounded(facts.select("key", "value", "label"), 4)
+
+
+@query(
+    """
+    SELECT l_orderkey, CAST(count(*) AS DOUBLE) AS count, round(sum(l_quantity), 6) AS sum_l_quantity,
+           round(quantile_cont(l_extendedprice, 0.5), 6) AS median_l_extendedprice
+    FROM lineitem GROUP BY l_orderkey
+    """
+)
+def group_metrics_by_order(spark, sf):
+    """More groups than any default bound: one per order, none is cut."""
+    metrics = [Metric("count"), Metric("sum", "l_quantity"), Metric("median", "l_extendedprice")]
+    plan = AnalyticsPlan("metrics", group_by=["l_orderkey"], metrics=metrics)
+    return rounded(run_plan(table(spark, sf, "lineitem"), plan, "lineitem").table)

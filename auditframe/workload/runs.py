@@ -212,7 +212,6 @@ def recurring_metrics_by_period(spark, sf):
     )
     plan = AnalyticsPlan(
         "metrics", group_by=["o_orderpriority"], metrics=[Metric("count"), Metric("sum", "o_totalprice"), Metric("median", "o_totalprice")],
-        limit=10_000,
     )
     result = run_by_period(orders, plan, "period", contract_of(orders))
     return rounded(result.table, 4)
@@ -341,7 +340,7 @@ def call_usage_ranked_percentiles(spark, sf):
     calls = table(spark, sf, "events").select(
         "event_type", F.col("value").alias("latency_ms"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens")
     )
-    usage = verify.call_usage(calls, ["event_type"], 3.0, 15.0, buffered_rows=0)
+    usage = verify.call_usage(calls, ["event_type"], 3.0, 15.0)
     return usage.select("event_type", F.round("latency_ms_median", 6).alias("latency_ms_median"), "latency_ms_p95")
 
 

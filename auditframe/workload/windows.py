@@ -50,7 +50,7 @@ def rank_max(spark, sf):
 def rank_dense_ascending_by_range(spark, sf):
     """Dense rank of every line item without ordering the whole table in one task."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return rank_rows(lines, "l_extendedprice", "dense", ascending=True, one_task_rows=0)
+    return rank_rows(lines, "l_extendedprice", "dense", ascending=True)
 
 
 @query(
@@ -60,7 +60,7 @@ def rank_dense_ascending_by_range(spark, sf):
 )
 def rank_min_by_range(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return rank_rows(lines, "l_quantity", "min", one_task_rows=0)
+    return rank_rows(lines, "l_quantity", "min")
 
 
 @query(
@@ -72,7 +72,7 @@ def rank_min_by_range(spark, sf):
 )
 def rank_max_by_range(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return rank_rows(lines, "l_quantity", "max", one_task_rows=0)
+    return rank_rows(lines, "l_quantity", "max")
 
 
 @query(
@@ -127,7 +127,7 @@ def rolling_mean_per_user(spark, sf):
 @query(_EVENTS_ROLLING)
 def rolling_mean_per_user_by_blocks(spark, sf):
     """The same rows when a user's events may exceed one task: equal blocks with borrowed rows."""
-    return _events_rolling(spark, sf, one_task_rows=0)
+    return _events_rolling(spark, sf)
 
 
 @query(
@@ -138,7 +138,7 @@ def rolling_mean_per_user_by_blocks(spark, sf):
 )
 def rolling_mean_global_by_blocks(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", "value")
-    return rounded(rolling_mean(events, "value", "ts", 30, one_task_rows=0).select("event_id", "rolling_mean"))
+    return rounded(rolling_mean(events, "value", "ts", 30).select("event_id", "rolling_mean"))
 
 
 @query(
@@ -181,7 +181,7 @@ def percent_change_monthly(spark, sf):
 
 @query(_CHANGE)
 def percent_change_by_blocks(spark, sf):
-    return rounded(series_change(_monthly(spark, sf), "total", "month", one_task_rows=0), skip=("total",))
+    return rounded(series_change(_monthly(spark, sf), "total", "month"), skip=("total",))
 
 
 @query(
@@ -192,7 +192,7 @@ def percent_change_by_blocks(spark, sf):
 )
 def growth_rate_per_event_by_blocks(spark, sf):
     events = table(spark, sf, "events").select("event_id", "ts", "value")
-    return rounded(series_change(events, "value", "ts", one_task_rows=0).select("event_id", "growth_rate"))
+    return rounded(series_change(events, "value", "ts").select("event_id", "growth_rate"))
 
 
 @query(

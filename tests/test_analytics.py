@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.identity import canonical_json, float_text
 from auditframe.operators.windows import rank_rows, rolling_mean, series_change
-from auditframe.plans.analytics import Limits, check_facts, refuse_large_result, run_plan, select_facts
+from auditframe.plans.analytics import check_facts, refuse_large_result, run_plan, select_facts
 from auditframe.plans.specs import AnalyticsPlan, Metric, PlanFilter
 
-BOTH = pytest.mark.parametrize("limits", [Limits(), Limits(0, 0)], ids=["in_task", "distributed"])
 
 
 @pytest.fixture()
@@ -74,14 +73,13 @@ def test_float_text_matches_python(spark):
     assert all(("e" in g) == ("e" in repr(v)) for g, v in zip(got, values))
 
 
-@BOTH
-def test_metrics_against_python(spark, limits):
+def test_metrics_against_python(spark):
     rng = random.Random(11)
     data = [("hot" if rng.random() < 0.5 else f"g{rng.randint(0, 5)}", rng.choice([None, *range(30)])) for _ in range(800)]
     df = spark.createDataFrame(data, "g string, v long").repartition(3)
     metrics = [Metric(n, "v") for n in ("distinct_count", "sum", "mean", "median", "min", "max", "variance", "std")]
     plan = AnalyticsPlan("metrics", group_by=["g"], metrics=[Metric("count"), *metrics, Metric("percentile", "v", 37.5)])
-    got = {r["g"]: r for r in run_plan(df, plan, limits=limits).table.collect()}
+    got = {r["g"]: r for r in run_plan(df, plan).table.collect()}
     for g in {g for g, _ in data}:
         values = sorted(v for k, v in data if k == g and v is not None)
         at = (len(values) - 1) * 0.375
@@ -94,11 +92,10 @@ def test_metrics_against_python(spark, limits):
         assert list(got[g])[1:] == pytest.approx(expected)
 
 
-@BOTH
-def test_overall_percentiles(spark, limits):
+def test_overall_percentiles(spark):
     df = spark.createDataFrame([(float(v),) for v in (4, 1, 3, 2)], "v double")
     plan = AnalyticsPlan("metrics", metrics=[Metric("median", "v"), Metric("percentile", "v", 25), Metric("variance", "v")])
-    assert tuple(run_plan(df, plan, limits=limits).table.first()) == pytest.approx((2.5, 1.75, 5 / 3))
+    assert tuple(run_plan(df, plan).table.first()) == pytest.approx((2.5, 1.75, 5 / 3))
 
 
 def test_filters_and_null_policy(spark):
@@ -144,27 +141,24 @@ def test_correlation(spark):
         run_plan(df.limit(1), AnalyticsPlan("correlation", value_column="x", second_column="y"))
 
 
-@BOTH
-def test_distribution(spark, limits):
+def test_distribution(spark):
     df = spark.createDataFrame([(10,), (20,), (40,), (None,)], "v long")
-    found = facts(run_plan(df, AnalyticsPlan("distribution", value_column="v"), limits=limits))
+    found = facts(run_plan(df, AnalyticsPlan("distribution", value_column="v")))
     assert found["distribution.median"] == 20 and found["distribution.p25"] == 15 and found["distribution.missing_count"] == 1
-    one = run_plan(df.filter("v = 10"), AnalyticsPlan("distribution", value_column="v"), limits=limits)
+    one = run_plan(df.filter("v = 10"), AnalyticsPlan("distribution", value_column="v"))
     assert "distribution.std" not in facts(one)
 
 
-@BOTH
-def test_ordered_series(spark, limits):
+def test_ordered_series(spark):
     df = spark.createDataFrame([(3, 40), (1, 10), (2, 20)], "period long, value long")
-    change = run_plan(df, AnalyticsPlan("percent_change", value_column="value", order_column="period"), limits=limits)
+    change = run_plan(df, AnalyticsPlan("percent_change", value_column="value", order_column="period"))
     assert facts(change) == {"percent_change.last": 100.0}
-    rolled = run_plan(df, AnalyticsPlan("rolling_mean", value_column="value", order_column="period", window=2), limits=limits)
+    rolled = run_plan(df, AnalyticsPlan("rolling_mean", value_column="value", order_column="period", window=2))
     assert facts(rolled) == {"rolling.mean.last": 30.0}
     with pytest.raises(RefusedError, match="complete window"):
-        run_plan(df, AnalyticsPlan("rolling_mean", value_column="value", order_column="period", window=5), limits=limits)
+        run_plan(df, AnalyticsPlan("rolling_mean", value_column="value", order_column="period", window=5))
 
 
-@BOTH
 @pytest.mark.parametrize(
     "rows, message",
     [
@@ -175,10 +169,10 @@ def test_ordered_series(spark, limits):
         ([("soon", 1.0), ("2026-02", 5.0)], "could not be read"),
     ],
 )
-def test_change_refusals(spark, limits, rows, message):
+def test_change_refusals(spark, rows, message):
     df = spark.createDataFrame(rows, "month string, value double")
     with pytest.raises(RefusedError, match=message):
-        run_plan(df, AnalyticsPlan("growth_rate", value_column="value", order_column="month"), limits=limits)
+        run_plan(df, AnalyticsPlan("growth_rate", value_column="value", order_column="month"))
 
 
 def test_zero_in_the_last_period_is_fine(spark):
@@ -187,10 +181,9 @@ def test_zero_in_the_last_period_is_fine(spark):
 
 
 @pytest.mark.parametrize("method, expected", [("dense", [1, 1, 2, None]), ("min", [1, 1, 3, None]), ("max", [2, 2, 3, None])])
-@pytest.mark.parametrize("one_task_rows", [0, 100])
-def test_rank_ties(spark, method, expected, one_task_rows):
+def test_rank_ties(spark, method, expected):
     df = spark.createDataFrame([("a", 10), ("b", 10), ("c", 5), ("d", None)], "name string, value long")
-    ranked = rank_rows(df, "value", method, one_task_rows=one_task_rows)
+    ranked = rank_rows(df, "value", method)
     assert [r["rank"] for r in ranked.orderBy("name").collect()] == expected
 
 
@@ -198,8 +191,10 @@ def test_rank_ties(spark, method, expected, one_task_rows):
 @pytest.mark.parametrize("ascending", [True, False])
 def test_rank_strategies_agree_on_hot_values(spark, as_rows, method, ascending):
     df = spark.range(3000).select("id", F.expr("CASE WHEN id % 3 = 0 THEN 42 WHEN id % 10 = 1 THEN NULL ELSE pmod(hash(id), 200) END").alias("v"))
-    plain = rank_rows(df, "v", method, ascending)
-    ranged = rank_rows(df.repartition(5), "v", method, ascending, one_task_rows=0)
+    function = {"dense": "dense_rank()", "min": "rank()", "max": "count(v)"}[method]
+    order = "ASC NULLS LAST" if ascending else "DESC NULLS LAST"
+    plain = df.selectExpr("*", f"CASE WHEN v IS NOT NULL THEN CAST({function} OVER (ORDER BY v {order}) AS DOUBLE) END AS rank")
+    ranged = rank_rows(df.repartition(5), "v", method, ascending)
     assert as_rows(plain) == as_rows(ranged)
 
 
@@ -208,8 +203,9 @@ def test_rolling_strategies_agree_on_one_huge_group(spark, as_rows):
         F.expr("CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('g', pmod(hash(id), 50)) END").alias("g"),
         F.pmod(F.hash("id"), F.lit(9973)).alias("o"), "id", F.expr("CASE WHEN id % 17 > 0 THEN CAST(id % 100 AS DOUBLE) END").alias("v"),
     )
-    plain = rolling_mean(df, "v", "o", 4, ["g"])
-    blocks = rolling_mean(df.repartition(6), "v", "o", 4, ["g"], one_task_rows=0)
+    frame = "OVER (PARTITION BY g ORDER BY o, id, v ROWS 3 PRECEDING)"
+    plain = df.selectExpr("*", f"CASE WHEN count(v) {frame} = 4 THEN avg(v) {frame} END AS rolling_mean")
+    blocks = rolling_mean(df.repartition(6), "v", "o", 4, ["g"])
     total = plain.join(blocks.withColumnRenamed("rolling_mean", "other"), ["g", "o", "id"])
     assert total.count() == 200_000
     assert total.filter("NOT (rolling_mean <=> other) AND abs(rolling_mean - other) > 1e-9 OR (rolling_mean IS NULL) <> (other IS NULL)").count() == 0
@@ -217,7 +213,7 @@ def test_rolling_strategies_agree_on_one_huge_group(spark, as_rows):
 
 def test_identical_rows_spread_and_stay_whole(spark):
     df = spark.range(50_000).select(F.lit(1).alias("o"), F.lit(2.0).alias("v")).repartition(8)
-    rolled = rolling_mean(df, "v", "o", 3, one_task_rows=0)
+    rolled = rolling_mean(df, "v", "o", 3)
     assert rolled.agg(F.count(F.lit(1)), F.count("rolling_mean"), F.max("rolling_mean")).first() == (50_000, 49_998, 2.0)
 
 

@@ -7,6 +7,7 @@ from auditframe.errors import RefusedError
 from auditframe.operators.joins import join_diagnostics
 from auditframe.plans import verify
 from auditframe.plans.analytics import FACT_SCHEMA, run_plan
+from auditframe.functions.identity import content_fingerprint
 from auditframe.plans.runs import (
     DriftError, RunLog, category_changes, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes,
     metric_changes, missing_changes, row_count_changes, run_by_period, run_diagnostics, run_facts, snapshot_input, step_changes,
@@ -223,11 +224,10 @@ def test_overall_status(spark):
 def test_usage(spark):
     calls = [("m", float(v), None if v == 3 else v, v) for v in (4, 1, 3, 2)] + [("n", float(v), 10, 1) for v in range(1, 11)]
     df = spark.createDataFrame(calls, "model string, latency_ms double, input_tokens long, output_tokens long")
-    for buffered in (10**6, 0):
-        found = {r["model"]: r for r in verify.call_usage(df, ["model"], 1.0, 2.0, buffered).collect()}
-        assert (found["m"]["latency_ms_p95"], found["m"]["latency_ms_median"], found["m"]["input_tokens"], found["m"]["cost"]) == (4.0, 2.5, None, None)
-        assert (found["n"]["latency_ms_p95"], found["n"]["latency_ms_median"], found["n"]["input_tokens"]) == (10.0, 5.5, 100)
-        assert found["n"]["cost"] == pytest.approx((100 + 20) / 1e6)
+    found = {r["model"]: r for r in verify.call_usage(df, ["model"], 1.0, 2.0).collect()}
+    assert (found["m"]["latency_ms_p95"], found["m"]["latency_ms_median"], found["m"]["input_tokens"], found["m"]["cost"]) == (4.0, 2.5, None, None)
+    assert (found["n"]["latency_ms_p95"], found["n"]["latency_ms_median"], found["n"]["input_tokens"]) == (10.0, 5.5, 100)
+    assert found["n"]["cost"] == pytest.approx((100 + 20) / 1e6)
 
 
 def test_scores_and_judgements(spark):
@@ -241,3 +241,16 @@ def test_scores_and_judgements(spark):
         verify.judgement_mean(results, spark.createDataFrame([(9, 4)], "case_id long, score int"))
     with pytest.raises(RefusedError, match="unique"):
         verify.judgement_mean(results, judged.union(judged))
+
+
+def test_ids_of_digits_stay_text(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path))
+    for run_id in ("1", "001", "abc"):
+        log.save(run_id, "7")
+    assert sorted(r["run_id"] for r in log.page("7").collect()) == ["001", "1", "abc"]
+
+
+def test_a_moved_null_changes_the_content(spark):
+    kinds = "a string, b string"
+    one, other = spark.createDataFrame([("x", None)], kinds), spark.createDataFrame([(None, "x")], kinds)
+    assert content_fingerprint(one).first()["fingerprint"] != content_fingerprint(other).first()["fingerprint"]
