@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ CHUNK_OVERLAP = 200
 _CHUNK_SCHEMA = "document_id string, page_number int, chunk_index int, text string"
 _CHUNK_COLUMNS = ["document_id", "page_number", "chunk_index", "text"]
 _FLUSH_CHARACTERS = 16_000_000
-_INK = re.compile(r"\S")
+_WORDS = re.compile(r"\S+")
 
 
 def document_ids(df: DataFrame, text: str = "text") -> DataFrame:
@@ -63,8 +64,8 @@ def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = C
             rows: list[tuple[str, int, int, str]] = []
             held = 0
             for document_id, page_number, text in batch.itertuples(index=False, name=None):
-                pieces = _chunk_texts(text, chunk_size, overlap)
-                rows.extend((document_id, page_number, i, piece) for i, piece in enumerate(pieces))
+                pieces = (text[a:b].strip() for a, b in _chunk_bounds(text, chunk_size, overlap))
+                rows.extend((document_id, page_number, i, piece) for i, piece in enumerate(filter(None, pieces)))
                 held += len(text)
                 if held > _FLUSH_CHARACTERS:
                     yield pd.DataFrame(rows, columns=_CHUNK_COLUMNS)
@@ -81,23 +82,29 @@ def chunk_pages(pages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = C
     return chunks.withColumn("chunk_id", uuid5(F.regexp_replace("document_id", "-", ""), name))
 
 
-def _chunk_texts(text: str, size: int, overlap: int) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the last blank of their second half."""
-    pieces: list[str] = []
-    start, length = 0, len(text)
-    while start < length:
-        stop = min(length, start + size)
-        if stop < length:
-            blank = text.rfind(" ", start + size // 2, stop)
-            stop = blank if blank > start else stop
-        piece = text[start:stop].strip()
-        if piece:
-            pieces.append(piece)
-        if stop == length:
-            break
-        ink = _INK.search(text, max(start + 1, stop - overlap))
-        start = ink.start() if ink else length
-    return pieces
+def _chunk_bounds(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Where the chunks of a page lie, looked up in the sorted places of its blanks and words.
+
+    A chunk that does not reach the end is cut at the last blank of its second half, or at its full
+    size without one. The next begins ``overlap`` characters before the cut, at the word there or after.
+    """
+    blanks = [at.start() for at in re.finditer(" ", text)]
+    words = [word.span() for word in _WORDS.finditer(text)]
+    ends = [end for _, end in words]
+    begin = 0
+    while begin + size < len(text):
+        full = begin + size
+        before = bisect_left(blanks, full)
+        late_blank = before and blanks[before - 1] >= begin + max(1, size // 2)
+        cut = blanks[before - 1] if late_blank else full
+        yield begin, cut
+        back = max(cut - overlap, begin + 1)
+        word = bisect_right(ends, back)
+        if word == len(words):
+            return
+        begin = max(back, words[word][0])
+    if begin < len(text):
+        yield begin, len(text)
 
 
 def token_vectors(df: DataFrame, key: str, text: str = "text") -> DataFrame:
