@@ -39,7 +39,7 @@ BLOCKS = 8
 GRID_DIMENSIONS = 3
 CELL_RADII = 3.0
 #: Residents and visitors that one task compares at once.
-CELL_ROWS = 1024
+CELL_ROWS = 4096
 #: Added to squared radii, far above the rounding of unit vectors in double precision.
 SLACK = 1e-9
 
