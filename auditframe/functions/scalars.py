@@ -17,6 +17,13 @@ TRUE_WORDS = ("true", "yes", "1")
 FALSE_WORDS = ("false", "no", "0")
 FORMULA_STARTS = ("=", "+", "-", "@")
 
+# What text may look like to be read as a number or an ISO date; Spark's own casts take more ("5d", "12:30").
+NUMBER_TEXT = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$|^[+-]?(?i:inf|infinity)$"
+ISO_DATE_TEXT = "^\\d{4}(-\\d{1,2}(-\\d{1,2}([T ]\\d.*)?)?)?$"
+#: Other accepted dates, month first, each with an optional time; anything else is unreadable.
+DATE_FORMATS = ("M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "yyyyMMdd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "d-MMM-yyyy")
+TIME_FORMAT = "[ H:mm[:ss]]"
+
 RELATIVE_TOLERANCE = 1e-9
 ABSOLUTE_TOLERANCE = 1e-6
 
@@ -36,8 +43,21 @@ def blank(text: Column) -> Column:
 
 
 def to_number(text: Column) -> Column:
-    """Text to double; anything unreadable becomes null, and so does NaN."""
-    return F.nanvl(strip(text).try_cast("double"), F.lit(None))
+    """Text to double; anything but plain decimal or scientific notation becomes null, and so does NaN."""
+    stripped = strip(text)
+    return F.when(stripped.rlike(NUMBER_TEXT), stripped.try_cast("double"))
+
+
+def to_moment(text: Column) -> Column:
+    """Text to timestamp: ISO dates and ``DATE_FORMATS``; a time without a date is unreadable, so null."""
+    stripped = strip(text)
+    iso = F.when(stripped.rlike(ISO_DATE_TEXT), stripped.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(stripped, F.lit(f + TIME_FORMAT)) for f in DATE_FORMATS])
+
+
+def moment(df: DataFrame, column: str) -> Column:
+    """A column as timestamp, text by ``to_moment``; missing or unreadable values are null."""
+    return to_moment(ref(column)) if family(df.schema[column].dataType) == "text" else ref(column).try_cast("timestamp")
 
 
 def normalize_number(text: Column) -> Column:
@@ -49,10 +69,6 @@ def normalize_currency(text: Column) -> Column:
     return to_number(F.regexp_replace(F.regexp_replace(text, "[$,)]", ""), "\\(", "-"))
 
 
-def normalize_date(text: Column) -> Column:
-    return text.try_cast("timestamp")
-
-
 def map_value(df: DataFrame, column: str, transformation: str) -> Column:
     """One mapping transformation; text functions leave other types untouched."""
     c = present(df, column)
@@ -68,7 +84,7 @@ def map_value(df: DataFrame, column: str, transformation: str) -> Column:
     if transformation == "normalize_currency":
         return normalize_currency(c.cast("string"))
     if transformation == "normalize_date":
-        return normalize_date(c)
+        return to_moment(c) if is_text else c.try_cast("timestamp")
     raise RefusedError(f"Unsupported mapping transformation '{transformation}'.")
 
 
@@ -77,7 +93,7 @@ def coerce(column: Column, kind: str, target_type: str) -> Column:
     if target_type == "number":
         return to_number(column) if kind == "text" else column.try_cast("double")
     if target_type == "date":
-        return column.try_cast("timestamp")
+        return to_moment(column) if kind == "text" else column.try_cast("timestamp")
     if target_type == "boolean":
         word = F.lower(strip(column.cast("string")))
         return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))

@@ -1,8 +1,7 @@
 """Ranks, rolling means and period changes over ordered rows.
 
-Small inputs (the row count is known from the refusal check) use a plain Spark window. Larger
-ones use global positions, so that neither a missing ``PARTITION BY`` nor a huge group ends up in
-one task. Both ways give the same rows.
+Global positions stand in for a whole-table window, so that neither a missing ``PARTITION BY`` nor a
+huge group ends up in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from auditframe.errors import RefusedError
 from auditframe.functions.columns import (
     is_numeric, number, present, ref, require_columns, require_numeric, unsafe_number,
 )
+from auditframe.functions.scalars import moment
 from auditframe.operators.ordering import add_positions, add_running_counts, with_halo
 from auditframe.session import shuffle_partitions
 
@@ -87,7 +87,7 @@ def order_key(df: DataFrame, column: str) -> Column:
     """A number as it is, anything else as a timestamp; unparsable text becomes null."""
     if is_numeric(df, column):
         return present(df, column)
-    return ref(column).try_cast("timestamp")
+    return moment(df, column)
 
 
 def with_order_key(df: DataFrame, column: str) -> DataFrame:

@@ -7,9 +7,11 @@ exact percentiles need a second pass, whose strategy the first pass chooses.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import (
@@ -17,7 +19,6 @@ from auditframe.functions.columns import (
     unsafe_number,
 )
 from auditframe.functions.identity import canonical_json, group_suffix
-from auditframe.guards import Guard, refuse_if
 from auditframe.operators.filters import apply_filters
 from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
 from auditframe.operators.windows import (
@@ -25,7 +26,6 @@ from auditframe.operators.windows import (
 )
 from auditframe.plans.specs import AnalyticsPlan, Metric
 from auditframe.session import materialize
-from auditframe.sources.scans import expect_size
 
 FACT_SCHEMA = (
     "key string, metric string, value double, label string, dataset string, calculation string, "
@@ -33,6 +33,9 @@ FACT_SCHEMA = (
 )
 FACT_COLUMNS = [part.split()[0] for part in FACT_SCHEMA.split(", ")]
 MAX_RESULT_CELLS = 50_000
+#: A query begins so, after comments and opening brackets; a last semicolon may have comments behind it.
+SELECT_START = r"(?is)(?:\s|\(|--[^\n]*\n|/\*.*?\*/)*(?:select|with)\b"
+LAST_SEMICOLON = r";\s*(?:--[^\n'\"]*\s*)*$"
 
 
 @dataclass(frozen=True)
@@ -64,6 +67,7 @@ def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset") -> An
             "target_variance": _target_variance,
         }[plan.analysis]
         result = handler(rows, plan, dataset)
+    check_facts(result.facts)
     return result
 
 
@@ -81,11 +85,15 @@ def refuse_large_result(table: DataFrame, max_cells: int = MAX_RESULT_CELLS) ->
 
 
 def check_facts(facts: DataFrame) -> None:
-    """Refuse repeated fact identities and non-finite values."""
-    refuse_if(facts, [Guard("{n} fact value(s) are not finite.", F.isnan("value") | (F.abs("value") == float("inf")))])
-    repeated = facts.filter(F.col("value").isNotNull()).groupBy("key").count().filter("count > 1").limit(1).collect()
-    if repeated:
-        raise RefusedError(f"Analytical facts produced a duplicate identity '{repeated[0]['key']}'.")
+    """Refuse repeated fact identities and non-finite values, both found by one count per identity."""
+    per_key = facts.groupBy("key").agg(
+        F.count("value").alias("n"), F.count_if(F.isnan("value") | (F.abs("value") == float("inf"))).alias("bad")
+    )
+    found = per_key.agg(F.sum("bad").alias("bad"), F.min(F.when(F.col("n") > 1, F.col("key"))).alias("repeated")).first()
+    if found["bad"]:
+        raise RefusedError(f"{found['bad']} fact value(s) are not finite.")
+    if found["repeated"] is not None:
+        raise RefusedError(f"Analytical facts produced a duplicate identity '{found['repeated']}'.")
 
 
 def _one_row(df: DataFrame) -> tuple[dict, DataFrame]:
@@ -442,16 +450,19 @@ def select_facts(spark, select_sql: str, dataset: str = "sql", max_rows: int | N
     Spark's own parser runs the text; anything but a query is refused before it runs, and a
     result beyond ``max_rows`` after.
     """
-    head = select_sql.lstrip().split(None, 1)[0].lower() if select_sql.strip() else ""
-    if head not in ("select", "with"):
+    if not re.match(SELECT_START, select_sql):
         raise RefusedError("Only a single read-only SELECT is accepted.")
-    bounded = spark.sql(f"SELECT * FROM ({select_sql.strip().rstrip(';')}) AS bounded_source")
-    rows = expect_size(bounded, max_rows).limit(2).collect()
-    count = len(rows) if len(rows) < 2 else bounded.count()
+    # The line break closes a trailing comment, so that the bracket stays outside of it.
+    bounded = spark.sql(f"SELECT * FROM ({re.sub(LAST_SEMICOLON, '', select_sql)}\n) AS bounded_source")
+    values = F.struct(*[F.col(f"c{i}") for i in range(len(bounded.columns))])
+    seen = bounded.toDF(*[f"c{i}" for i in range(len(bounded.columns))]).agg(F.count(F.lit(1)).alias("n"), F.any_value(values).alias("row")).first()
+    count = seen["n"]
+    if max_rows is not None and count > max_rows:
+        raise RefusedError(f"Datasets may contain at most {max_rows} rows.")
     facts = [("metric.count", "count", float(count), "count", dataset, "count", count, "{}", None)]
     if count == 1:
-        for name in bounded.columns:
-            value = rows[0][name]
-            if is_numeric(bounded, name) and value is not None:
+        for field, value in zip(bounded.schema.fields, seen["row"]):
+            name = field.name
+            if isinstance(field.dataType, NumericType) and value is not None:
                 facts.append((f"sql.{name}", "sql_value", float(value), name, dataset, "validated read-only SELECT", 1, "{}", None))
     return spark.createDataFrame(facts, FACT_SCHEMA)

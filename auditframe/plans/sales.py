@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.identity import row_digest
 from auditframe.functions.columns import family, ref, require_columns
-from auditframe.functions.scalars import blank, neutralize_formulas, strip, to_number
+from auditframe.functions.scalars import blank, moment, neutralize_formulas, strip, to_number
 from auditframe.guards import Guard, refuse_if
 from auditframe.operators.joins import join_diagnostics, match_counts, one_to_one_outer
 from auditframe.plans.evidence import commission_rate
@@ -20,7 +20,7 @@ from auditframe.session import materialize
 
 TRANSACTION_COLUMNS = ["transaction_id", "date", "salesperson", "customer_id", "amount", "discount", "status"]
 IDENTITY_COLUMNS = ["transaction_id", "salesperson", "customer_id"]
-RESERVED_COLUMNS = {"net_sales", "commission", "region", "period"}
+RESERVED_COLUMNS = {"net_sales", "commission", "region"}
 UNASSIGNED = "Unassigned"
 
 
@@ -56,7 +56,7 @@ def _prepared(transactions: DataFrame) -> DataFrame:
     """Typed transactions with an ``__eligible`` flag; extra source columns stay as they are."""
     typed = {
         **{c: _text(transactions, c) for c in [*IDENTITY_COLUMNS, "status"]},
-        "date": ref("date").try_cast("timestamp"),
+        "date": moment(transactions, "date"),
         "amount": _number(transactions, "amount"),
         "discount": F.coalesce(_number(transactions, "discount"), F.lit(0.0)),
     }
@@ -71,6 +71,8 @@ def _prepared(transactions: DataFrame) -> DataFrame:
 def clean_transactions(transactions: DataFrame, single_period: bool = True) -> CleanTransactions:
     """Completed, valid and unique transactions with ``period`` and ``net_sales``.
 
+    ``period`` is the reporting month; a source column of that name gives way to it.
+
     All refusals and quality counters come from one job: a count per transaction id, whose
     hashes tell equal copies from conflicting ones, summed up to one row.
     """

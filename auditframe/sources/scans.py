@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import ref, require_unique_names
-from auditframe.functions.scalars import collapse_spaces
+from auditframe.functions.scalars import collapse_spaces, to_number
 
 # The texts a CSV scan reads as missing, and schemas that are never imported.
 MISSING_TOKENS = (
@@ -28,17 +28,25 @@ def expect_size(df: DataFrame, max_rows: int | None = None, max_columns: int | N
 # ---- CSV --------------------------------------------------------------------------------------
 
 
-def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None, max_columns: int | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, types: dict[str, str] | None = None, max_columns: int | None = None,
+    multi_line: bool = True, line_sep: str | None = None,
+) -> DataFrame:
     """CSV with a header. Missing tokens become null first, then columns get their type.
 
     With ``types`` the file is read once, lazily. Without, one aggregate over the file finds the
     narrowest of long, double, boolean and string for every column; dates stay text until asked.
+    Quoted text may hold line breaks, so a file is read by one task. ``multi_line=False`` splits files
+    that are known to hold none. All files below ``path`` need one header: a file that differs from
+    it in a name or in the order fails the job. (Repeated or empty names, which get new ones, cannot be
+    compared this way.)
     """
-    names = _header_names(spark, path)
+    options = {"multiLine": multi_line, "escape": '"'} | ({"lineSep": line_sep} if line_sep else {})
+    given, names = _header_names(spark, path, options)
     if max_columns is not None and len(names) > max_columns:
         raise RefusedError(f"Datasets may contain at most {max_columns} columns.")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    text = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", multiLine=False, enforceSchema=True, escape='"')
+    text = spark.read.options(**options).csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=given != names)
     text = text.select(*[F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in names])
     types = types or infer_types(text)
     unknown = sorted(set(types) - set(names))
@@ -47,9 +55,9 @@ def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None
     return text.select(*[_typed(c, types.get(c, "string")).alias(c) for c in names])
 
 
-def _header_names(spark: SparkSession, path: str) -> list[str]:
-    """Header names; a repeated one gets a number and an empty one its position, as CSV readers do."""
-    header = spark.read.csv(path, header=False, encoding="UTF-8", escape='"').first()
+def _header_names(spark: SparkSession, path: str, options: dict) -> tuple[list[str], list[str]]:
+    """Header as given, and its names: a repeated one gets a number and an empty one its position, as CSV readers do."""
+    header = spark.read.options(**options).csv(path, header=False, encoding="UTF-8").first()
     if header is None:
         raise RefusedError("The CSV dataset is empty.")
     given = [(name or "").lstrip("\ufeff") or f"Unnamed: {i}" for i, name in enumerate(header)]
@@ -60,7 +68,7 @@ def _header_names(spark: SparkSession, path: str) -> list[str]:
             repeat += 1
             candidate = f"{name}.{repeat}"
         names.append(candidate)
-    return names
+    return given, names
 
 
 _BOOLEAN_WORDS = ("true", "True", "TRUE", "false", "False", "FALSE")
@@ -78,7 +86,7 @@ def infer_types(text: DataFrame) -> dict[str, str]:
         checks += [
             F.count(v).alias(f"n{i}"),
             F.count_if(v.isNotNull() & F.trim(v).try_cast("long").isNull()).alias(f"l{i}"),
-            F.count_if(v.isNotNull() & F.trim(v).try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(v.isNotNull() & to_number(v).isNull()).alias(f"d{i}"),
             F.count_if(v.isNotNull() & ~v.isin(*_BOOLEAN_WORDS)).alias(f"b{i}"),
             F.count_if(v.rlike("[.eE]")).alias(f"p{i}"),
         ]
@@ -151,9 +159,14 @@ def read_json(spark: SparkSession, path: str, records_key: str | None = None) ->
     return _wrapped_records(_parse(spark, path), records_key)
 
 
-def _parse(spark: SparkSession, path: str) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON record per line, flattened like ``read_json``; the only form whose files split."""
+    return flatten_records(_parse(spark, path, whole_files=False))
+
+
+def _parse(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     try:
-        return spark.read.json(path, multiLine=True, mode="FAILFAST", allowNonNumericNumbers=False)
+        return spark.read.json(path, multiLine=whole_files, mode="FAILFAST", allowNonNumericNumbers=False)
     except Exception as exc:
         raise RefusedError("The JSON is malformed or holds values that are not accepted.") from exc
 

@@ -12,6 +12,10 @@ from auditframe.functions.scalars import neutralize_formulas
 from auditframe.sources.scans import file_fingerprints
 
 
+#: How exports are written and re-opened; text keeps its line breaks, so rows end at a plain line feed only.
+CSV_OPTIONS = {"header": True, "escape": '"', "lineSep": "\n"}
+
+
 @dataclass(frozen=True)
 class Export:
     path: str
@@ -23,13 +27,13 @@ def export_csv(df: DataFrame, path: str) -> Export:
     """Write a table as CSV with formula-like text neutralised; rows are counted in the same job."""
     seen = Observation()
     safe = neutralize_formulas(df).observe(seen, F.count(F.lit(1)).alias("rows"))
-    safe.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    safe.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return Export(path, seen.get["rows"], len(df.columns))
 
 
 def check_export(spark: SparkSession, export: Export, expected_columns: list[str]) -> DataFrame:
     """Re-open an export and compare its columns, their order and the row count."""
-    reopened = spark.read.csv(export.path, header=True, escape='"')
+    reopened = spark.read.options(**CSV_OPTIONS).csv(export.path, multiLine=True)
     rows = reopened.count()
     checks = [
         ("artifact_reopens", True, "CSV artifact reopened successfully."),

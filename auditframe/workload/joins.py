@@ -89,15 +89,16 @@ def join_diagnostics_many_to_many(spark, sf):
 @query(
     """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, s_name
-    FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_type <> 'PROMO') ON l_partkey = p_partkey
-                  LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey
+    FROM lineitem LEFT JOIN part ON l_partkey = CASE WHEN p_type = 'PROMO' THEN -1 - p_partkey ELSE p_partkey END
+                  LEFT JOIN supplier ON l_suppkey = CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -1 - s_suppkey END
     """
 )
 def join_chain_by_role(spark, sf):
+    """Two lookups after one another; promoted parts and makers in debt carry keys that no line names."""
     sources = {
         "lines": table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-        "parts": table(spark, sf, "part").filter("p_type <> 'PROMO'").select("p_partkey", "p_name"),
-        "makers": table(spark, sf, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name"),
+        "parts": table(spark, sf, "part").selectExpr("CASE WHEN p_type = 'PROMO' THEN -1 - p_partkey ELSE p_partkey END AS p_partkey", "p_name"),
+        "makers": table(spark, sf, "supplier").selectExpr("CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -1 - s_suppkey END AS s_suppkey", "s_name"),
     }
     rules = [
         JoinRule("parts", ["l_partkey"], ["p_partkey"], block_row_multiplication=False, max_unmatched_left_percentage=60.0),
@@ -109,8 +110,8 @@ def join_chain_by_role(spark, sf):
 
 
 _MATCH = """
-    (SELECT o_custkey AS custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'
-     GROUP BY o_custkey) a FULL JOIN (SELECT c_custkey AS custkey, c_acctbal FROM customer WHERE c_acctbal > 0) b
+    (SELECT o_custkey AS custkey, count(*) AS n FROM orders GROUP BY o_custkey) a
+    FULL JOIN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -1 - c_custkey END AS custkey, c_acctbal FROM customer) b
     ON a.custkey = b.custkey
 """
 
@@ -123,10 +124,10 @@ _MATCH = """
     """
 )
 def join_one_to_one_outer(spark, sf):
-    urgent = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
-    orders = urgent.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("n"))
-    solvent = table(spark, sf, "customer").filter("c_acctbal > 0").selectExpr("c_custkey AS custkey", "c_acctbal")
-    return one_to_one_outer(orders, solvent, "custkey")
+    """Customers with their orders; customers in debt carry keys that no order names."""
+    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).alias("n"))
+    customers = table(spark, sf, "customer").selectExpr("CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -1 - c_custkey END AS custkey", "c_acctbal")
+    return one_to_one_outer(orders, customers, "custkey")
 
 
 @query(

@@ -16,7 +16,7 @@ from auditframe.workload.registry import query, table
 POLICY = "Monthly commission policy: Salespeople earn a commission rate of 5% of completed net sales after discounts."
 
 # Orders as transactions: finished orders are complete, urgent ones carry a discount, low
-# priority has none stated. Customers in debt are unknown, which leaves their sales unassigned.
+# priority has none stated. Customers in debt carry another key, which leaves their sales unassigned.
 _TRANSACTIONS = """
     SELECT 'T' || o_orderkey AS transaction_id, o_orderdate AS date, o_orderpriority AS salesperson, 'C' || o_custkey AS customer_id,
            o_totalprice AS amount, CASE o_orderpriority WHEN '1-URGENT' THEN 10.5 WHEN '5-LOW' THEN NULL ELSE 0 END AS discount,
@@ -24,8 +24,8 @@ _TRANSACTIONS = """
     FROM orders
 """
 _CUSTOMERS = """
-    SELECT 'C' || c_custkey AS customer_id, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey
-    JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0
+    SELECT CASE WHEN c_acctbal >= 0 THEN 'C' ELSE 'D' END || c_custkey AS customer_id, r_name AS region
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """
 _NET = f"""
     SELECT t.*, strftime(date, '%B %Y') AS period, amount - coalesce(discount, 0) AS net_sales, coalesce(region, 'Unassigned') AS region
@@ -58,10 +58,10 @@ def _transactions(spark, sf):
 
 
 def _customers(spark, sf):
-    customers = table(spark, sf, "customer").filter("c_acctbal >= 0")
+    customers = table(spark, sf, "customer")
     nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.select(F.concat(F.lit("C"), "c_custkey").alias("customer_id"), F.col("r_name").alias("region"))
+    return joined.selectExpr("concat(CASE WHEN c_acctbal >= 0 THEN 'C' ELSE 'D' END, c_custkey) AS customer_id", "r_name AS region")
 
 
 def _report(spark, sf, transactions=None):
@@ -186,7 +186,7 @@ def weighted_required_finals(spark, sf):
 
 @query(
     """
-    WITH held AS (SELECT DISTINCT p_brand AS dataset, p_type AS c FROM part WHERE p_size > 45),
+    WITH held AS (SELECT DISTINCT p_brand || '/' || p_size AS dataset, p_type AS c FROM part),
     m AS (SELECT 'budget' AS role, dataset FROM held WHERE c IN ('ECONOMY', 'SMALL', 'PROMO') GROUP BY dataset HAVING count(*) = 3
           UNION ALL SELECT 'full', dataset FROM held WHERE c IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD') GROUP BY dataset HAVING count(*) = 6
           UNION ALL SELECT 'exotic', dataset FROM held WHERE c = 'EXOTIC' GROUP BY dataset)
@@ -195,8 +195,8 @@ def weighted_required_finals(spark, sf):
     """
 )
 def dataset_roles(spark, sf):
-    """Brands as datasets and product types as their columns: which brand fills which role?"""
-    catalog = table(spark, sf, "part").filter("p_size > 45").select(F.col("p_brand").alias("dataset"), F.col("p_type").alias("column_name"))
+    """Brands and sizes as datasets and product types as their columns: which dataset fills which role?"""
+    catalog = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("dataset"), F.col("p_type").alias("column_name"))
     roles = {
         "budget": ["ECONOMY", "SMALL", "PROMO"],
         "full": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
@@ -206,10 +206,15 @@ def dataset_roles(spark, sf):
 
 
 _MAP_TARGETS = """
-    SELECT DISTINCT replace(p_name, ' ', '_') AS target_field, CASE WHEN p_name LIKE 'red%' THEN 'number' ELSE 'text' END AS target_type
-    FROM part WHERE p_type = 'PROMO'
+    SELECT DISTINCT CASE WHEN p_type = 'PROMO' THEN replace(p_name, ' ', '_') ELSE 'type_' || lower(p_type) END AS target_field,
+           CASE WHEN p_type = 'PROMO' AND p_name LIKE 'red%' THEN 'number' ELSE 'text' END AS target_type
+    FROM part
+"""
+_MAP_SOURCES = """
+    SELECT DISTINCT p_brand AS source_role, CASE WHEN p_size > 49 THEN p_name ELSE 'size ' || p_size END AS source_field,
+           CASE WHEN p_size > 49 AND p_name LIKE '%bolt' THEN 'boolean' ELSE 'string' END AS data_type
+    FROM part
 """
-_MAP_SOURCES = "SELECT DISTINCT p_brand AS source_role, p_name AS source_field, CASE WHEN p_name LIKE '%bolt' THEN 'boolean' ELSE 'string' END AS data_type FROM part WHERE p_size > 49"
 _MAPPED = f"""
     WITH t AS ({_MAP_TARGETS}), s AS ({_MAP_SOURCES}),
     n AS (SELECT target_field, target_type, source_role, source_field, data_type,
@@ -235,13 +240,13 @@ _MAPPED = f"""
 
 def _mapped(spark, sf):
     parts = table(spark, sf, "part")
-    targets = parts.filter("p_type = 'PROMO'").select(
-        F.regexp_replace("p_name", " ", "_").alias("target_field"),
-        F.when(F.col("p_name").startswith("red"), "number").otherwise("text").alias("target_type"),
+    targets = parts.selectExpr(
+        "CASE WHEN p_type = 'PROMO' THEN replace(p_name, ' ', '_') ELSE concat('type_', lower(p_type)) END AS target_field",
+        "CASE WHEN p_type = 'PROMO' AND p_name LIKE 'red%' THEN 'number' ELSE 'text' END AS target_type",
     ).distinct()
-    sources = parts.filter("p_size > 49").select(
-        F.col("p_brand").alias("source_role"), F.col("p_name").alias("source_field"),
-        F.when(F.col("p_name").endswith("bolt"), "boolean").otherwise("string").alias("data_type"),
+    sources = parts.selectExpr(
+        "p_brand AS source_role", "CASE WHEN p_size > 49 THEN p_name ELSE concat('size ', p_size) END AS source_field",
+        "CASE WHEN p_size > 49 AND p_name LIKE '%bolt' THEN 'boolean' ELSE 'string' END AS data_type",
     ).distinct()
     return propose_mappings(field_candidates(targets, sources), targets)
 

@@ -37,12 +37,14 @@ def inspect_columns_customer(spark, sf):
 
 @query(
     """
-    SELECT sum(n)::BIGINT AS row_count, 4::BIGINT AS column_count, sum(n - 1)::BIGINT AS duplicate_row_count
-    FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity, l_discount)
+    SELECT sum(n)::BIGINT AS row_count, 11::BIGINT AS column_count, sum(n - 1)::BIGINT AS duplicate_row_count
+    FROM (SELECT *, count(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem) GROUP BY ALL)
     """
 )
 def inspect_dataset_lineitem(spark, sf):
-    return inspect_dataset(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount"))
+    """All columns of lineitem delivered twice, so that every row has a copy."""
+    lines = table(spark, sf, "lineitem")
+    return inspect_dataset(lines.unionByName(lines))
 
 
 def _numeric_sql(source, columns):
@@ -54,14 +56,14 @@ def _numeric_sql(source, columns):
     )
 
 
-_LINES = "SELECT l_quantity, l_extendedprice, nullif(l_discount, 0) AS l_discount, l_linenumber FROM lineitem"
-_NUMERIC = _numeric_sql(_LINES, ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"])
+_LINES = "SELECT * REPLACE (nullif(l_discount, 0) AS l_discount) FROM lineitem"
+_NUMERIC = _numeric_sql(
+    _LINES, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+)
 
 
 def _lines(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr(
-        "l_quantity", "l_extendedprice", "nullif(l_discount, 0) AS l_discount", "l_linenumber"
-    )
+    return table(spark, sf, "lineitem").withColumn("l_discount", F.expr("nullif(l_discount, 0)"))
 
 
 @query(_NUMERIC)
@@ -90,12 +92,12 @@ def _categorical_sql(source, columns):
 
 @query(
     _categorical_sql(
-        "SELECT nullif(o_orderstatus, 'P') AS status, o_orderpriority FROM orders", ["status", "o_orderpriority"]
+        "SELECT nullif(o_orderstatus, 'P') AS status, o_orderpriority, o_orderdate FROM orders", ["status", "o_orderpriority", "o_orderdate"]
     )
 )
 def profile_categorical_orders(spark, sf):
-    orders = table(spark, sf, "orders").selectExpr("nullif(o_orderstatus, 'P') AS status", "o_orderpriority", "o_totalprice")
-    return profile_categorical(orders)
+    orders = table(spark, sf, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')"))
+    return profile_categorical(orders.withColumnRenamed("o_orderstatus", "status"))
 
 
 def _snapshot_sql(source, columns):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from auditframe.functions.identity import content_fingerprint
-from auditframe.functions.scalars import neutralize_formulas
+from auditframe.functions.scalars import neutralize_formulas, normalize_currency, normalize_number, to_moment
 from auditframe.session import work_path
-from auditframe.sources.scans import file_fingerprints, flatten_records, read_csv, read_parquet
+from auditframe.sources.scans import file_fingerprints, flatten_records, read_csv, read_json, read_json_lines, read_parquet
 from auditframe.sources.sinks import check_export, export_csv, require_checks
 from auditframe.workload.registry import query, table
 
@@ -62,6 +63,109 @@ def json_records_flattened(spark, sf):
     return flatten_records(events)
 
 
+@query(
+    r"""
+    SELECT doc_id, nullif(CASE WHEN regexp_matches(text, '^[\s]*[=+\-@]') THEN '''' || text ELSE text END, '') AS text, lang, source, n_chars
+    FROM documents
+    """
+)
+def csv_documents_round_trip(spark, sf):
+    """Texts with line breaks and quotes through the checked CSV export and back."""
+    documents = table(spark, sf, "documents")
+    export = export_csv(documents, work_path(spark, "documents-csv"))
+    require_checks(check_export(spark, export, documents.columns))
+    return read_csv(spark, export.path, types={"doc_id": "bigint", "n_chars": "bigint"}, line_sep="\n")
+
+
+_JSON_ORDERS = """
+    SELECT o_orderkey AS "order.key", o_orderstatus AS "order.status", o_totalprice AS total, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
+"""
+#: Records of one written JSON document; a document is read as one row, so its size is bounded when it is written.
+DOCUMENT_RECORDS = 5_000
+
+
+def _order_records(spark, sf):
+    return table(spark, sf, "orders").select(
+        F.struct(
+            F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("order"),
+            F.col("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        ).alias("record")
+    )
+
+
+def _json_documents(spark, records, content):
+    """Records dealt evenly to documents, one file each; ``content`` makes the text of the collected records."""
+    documents = -(-records.count() // DOCUMENT_RECORDS) or 1
+    dealt = records.groupBy(F.pmod(F.xxhash64("record"), F.lit(documents)).alias("part")).agg(F.collect_list("record").alias("records"))
+    path = work_path(spark, "orders-json")
+    dealt.select(content(F.col("records")).alias("value"), "part").write.partitionBy("part").text(path)
+    return f"{path}/part=*"
+
+
+@query(_JSON_ORDERS)
+def json_array_scan(spark, sf):
+    """Documents that are an array of nested records."""
+    return read_json(spark, _json_documents(spark, _order_records(spark, sf), F.to_json))
+
+
+@query(_JSON_ORDERS)
+def json_wrapped_scan(spark, sf):
+    """Documents that wrap one array of records among other fields."""
+
+    def content(records):
+        return F.to_json(F.struct(F.size(records).alias("count"), records.alias("orders")))
+
+    return read_json(spark, _json_documents(spark, _order_records(spark, sf), content))
+
+
+@query(_JSON_ORDERS)
+def json_records_key_scan(spark, sf):
+    """Documents with two arrays; the key tells which holds the records."""
+
+    def content(records):
+        return F.to_json(F.struct(records.alias("orders"), F.transform(records, lambda r: r["day"]).alias("days")))
+
+    return read_json(spark, _json_documents(spark, _order_records(spark, sf), content), "orders")
+
+
+@query(_JSON_ORDERS)
+def json_lines_scan(spark, sf):
+    """One record per line, the form that splits."""
+    path = work_path(spark, "orders-jsonl")
+    _order_records(spark, sf).select(F.to_json("record").alias("value")).write.text(path)
+    return read_json_lines(spark, path)
+
+
+@query(
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN date_trunc('day', o_orderdate)::TIMESTAMP END AS day,
+           CASE WHEN o_orderkey % 4 < 2 THEN round(o_totalprice, 2) WHEN o_orderkey % 4 = 2 THEN -round(o_totalprice, 2) END AS price,
+           o_orderkey * 1000.0::DOUBLE AS thousands
+    FROM orders
+    """
+)
+def text_numbers_and_dates(spark, sf):
+    """Dates in four notations and prices in three; a time alone and a number with a suffix are unreadable."""
+    texts = table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        """CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'MM/dd/yyyy')
+           WHEN 2 THEN date_format(o_orderdate, ' MMMM d, yyyy') WHEN 3 THEN date_format(o_orderdate, 'd MMM yyyy') ELSE '12:30' END AS day""",
+        """CASE o_orderkey % 4 WHEN 0 THEN format_string('$%.2f', o_totalprice) WHEN 1 THEN concat(' ', format_number(o_totalprice, 2))
+           WHEN 2 THEN concat('(', format_number(o_totalprice, 2), ')') ELSE concat(cast(o_orderkey AS string), 'd') END AS price""",
+        "format_number(o_orderkey * 1000, 0) AS thousands",
+    )
+    return texts.select(
+        "o_orderkey", to_moment(F.col("day")).alias("day"), normalize_currency(F.col("price")).alias("price"),
+        normalize_number(F.col("thousands")).alias("thousands"),
+    )
+
+
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
+
 @query()
 def source_file_fingerprints(spark, sf):
     """sha256 of every source file (the hashed bytes are not visible to a SQL view)."""
@@ -74,6 +178,6 @@ def table_content_fingerprints(spark, sf):
     """Order-independent row fingerprints (the row hash has no SQL counterpart)."""
     frames = [
         content_fingerprint(table(spark, sf, name)).select(F.lit(name).alias("table_name"), "row_count", "fingerprint")
-        for name in ("orders", "lineitem", "events")
+        for name in TABLES
     ]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return reduce(DataFrame.unionByName, frames)

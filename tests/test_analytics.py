@@ -222,6 +222,9 @@ def test_select_facts(spark):
     one = {r["key"]: r["value"] for r in select_facts(spark, "SELECT sum(b) AS total, 'x' AS t FROM select_facts_input").collect()}
     assert one == {"metric.count": 1.0, "sql.total": 6.0}
     assert [r["value"] for r in select_facts(spark, "SELECT * FROM select_facts_input;").collect()] == [2.0]
+    commented = "-- first\n/* then */ (SELECT sum(a) AS total FROM select_facts_input) -- last"
+    assert [r["value"] for r in select_facts(spark, commented).collect()] == [1.0, 3.0]
+    assert [r["value"] for r in select_facts(spark, "SELECT ';--' AS t, 4 AS n; -- end").collect()] == [1.0, 4.0]
     with pytest.raises(RefusedError, match="at most 1 rows"):
         select_facts(spark, "SELECT * FROM select_facts_input", max_rows=1)
     for text in ("DROP TABLE x", "", "INSERT INTO t VALUES (1)"):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditframe.errors import RefusedError
-from auditframe.functions.scalars import formula_safe, normalize_currency, normalize_number
+from auditframe.functions.scalars import formula_safe, normalize_currency, normalize_number, to_moment
 from auditframe.plans.mapping import SALES_ROLES, clarifications, column_catalog, field_candidates, field_options, identify_roles, propose_mappings, run_transform
 from auditframe.plans.specs import DerivationRule, FieldMapping, FieldReference, JoinRule, TargetColumn, TransformPlan
 
@@ -205,3 +205,24 @@ def test_booleans_and_concat(spark, as_rows):
     assert as_rows(run_transform(p, data).frame) == [(None, "-"), (False, "=Bob-South"), (True, "Ann-North")]
     with pytest.raises(RefusedError, match="type boolean"):
         run_transform(p, frames(spark, orders=[(1, "C1", "x", "maybe")]))
+
+
+def test_text_dates(spark):
+    texts = [
+        "2026-08-31", " 2026-08-31T10:05:00 ", "2026-08", "08/31/2026", "8/5/2026 7:30", "August 5, 2026", "Aug 5, 2026", "5 August 2026",
+        "5-Aug-2026", "2026/8/5", "20260805", "12:30", "31/08/2026", "soon", "", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", to_moment(F.col("t")).alias("m"))
+    found = [None if r["m"] is None else r["m"].strftime("%Y-%m-%d %H:%M") for r in df.orderBy("i").collect()]
+    fifth = "2026-08-05 00:00"
+    assert found == [
+        "2026-08-31 00:00", "2026-08-31 10:05", "2026-08-01 00:00", "2026-08-31 00:00", "2026-08-05 07:30", fifth, fifth, fifth, fifth, fifth, fifth,
+        None, None, None, None, None,
+    ]
+
+
+def test_text_numbers(spark):
+    texts = ["5d", "7F", "0x1p3", "1e3", " +.5 ", "-2.", "1_0", "inf", "NaN", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r[0] for r in df.orderBy("i").select(normalize_number(F.col("t"))).collect()]
+    assert found == [None, None, None, 1000.0, 0.5, -2.0, None, float("inf"), None, None]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditframe.errors import RefusedError
 from auditframe.sources.scans import (
-    expect_size, file_fingerprints, jdbc_options, provenance, read_csv, read_json, read_parquet, read_text_documents,
+    expect_size, file_fingerprints, jdbc_options, provenance, read_csv, read_json, read_json_lines, read_parquet, read_text_documents,
 )
 from auditframe.sources.sinks import Export, check_export, export_csv, integrity_findings, require_checks, write_tables
 from conftest import plan_of
@@ -36,6 +36,32 @@ def test_csv_refusals(spark, tmp_path, content):
         read_csv(spark, put(tmp_path, content, "x.csv")).collect()
 
 
+def test_csv_line_breaks_and_headers(spark, tmp_path, as_rows):
+    texts = spark.createDataFrame([(1, " one\ntwo"), (2, 'a "b",\r\n\nc '), (3, "plain")], "id long, t string")
+    export = export_csv(texts, str(tmp_path / "out"))
+    assert check_export(spark, export, ["id", "t"]).filter("not passed").count() == 0
+    assert as_rows(read_csv(spark, export.path, line_sep="\n")) == as_rows(texts)
+    put(tmp_path / "many", "id,amount\n1,10\n", "a.csv")
+    put(tmp_path / "many", "id,amount\n2,20\n", "b.csv")
+    assert as_rows(read_csv(spark, str(tmp_path / "many"))) == [(1, 10), (2, 20)]
+    put(tmp_path / "many", "amount,id\n30,3\n", "c.csv")
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path / "many"), types={"id": "bigint", "amount": "bigint"}).collect()
+
+
+def test_csv_suffixed_numbers_stay_text(spark, tmp_path):
+    df = read_csv(spark, put(tmp_path, "a,b,c\n1D,1e3,0x1\n2F,.5,7\n", "x.csv"))
+    assert df.dtypes == [("a", "string"), ("b", "double"), ("c", "string")]
+
+
+def test_json_lines(spark, tmp_path, as_rows):
+    path = put(tmp_path, '{"id": 1, "who": {"name": "Ann"}}\n{"id": 2, "who": {"name": null}}\n', "x.jsonl")
+    df = read_json_lines(spark, path)
+    assert sorted(df.columns) == ["id", "who.name"] and as_rows(df.select("id", "`who.name`")) == [(1, "Ann"), (2, None)]
+    with pytest.raises(Exception):
+        read_json_lines(spark, put(tmp_path, '{"id": 1}\n{"id": \n', "y.jsonl")).collect()
+
+
 def test_csv_repeated_and_empty_names(spark, tmp_path):
     df = read_csv(spark, put(tmp_path, "a,a,,a.1,a\n1,2,3,4,5\n", "x.csv"))
     assert df.columns == ["a", "a.2", "Unnamed: 2", "a.1", "a.3"] and tuple(df.first()) == (1, 2, 3, 4, 5)
