@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.text import VECTOR_BUCKETS
 from auditframe.guards import Guard, refuse_if
-from auditframe.session import ship_with_tasks
+from auditframe.session import materialize, ship_with_tasks
 
 ship_with_tasks(__name__)
 
-# A slice of the query set sent to every task holds at most this many numbers; a larger query set
-# is searched slice by slice.
-SLICE_VALUES = 4_000_000
+# A block of queries or items holds at most this many numbers. A query set of one block is broadcast;
+# a larger one is searched block by block in a single job.
+BLOCK_VALUES = 4_000_000
 # Scores are compared at this precision, so that equal vectors tie and the id decides.
 SCORE_DIGITS = 9
-_BLOCK_ROWS = 1024
+# Scores computed in one step of a task, and queries whose best items it hands on at a time.
+_STEP_SCORES = 4_000_000
+_STEP_QUERIES = 1000
 
 
 def validate_vectors(df: DataFrame, vector: str, dimension: int) -> None:
@@ -53,7 +55,7 @@ def top_k(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int) -> DataFrame:
+def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int, block_values: int | None = None) -> DataFrame:
     """Exact cosine top-k over dense vectors, ties by item id.
 
     Queries are validated up front; the stored vectors are checked where they are scored, which
@@ -73,10 +75,12 @@ def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vec
             raise ValueError("A stored embedding contains a non-finite value.")
         return matrix
 
-    return _search(items, queries, item, query, [vector], k, width, stack)
+    return _search(items, queries, item, query, [vector], k, width, stack, block_values)
 
 
-def sparse_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, k: int, width: int = VECTOR_BUCKETS) -> DataFrame:
+def sparse_top_k(
+    items: DataFrame, queries: DataFrame, item: str, query: str, k: int, width: int = VECTOR_BUCKETS, block_values: int | None = None
+) -> DataFrame:
     """Exact cosine top-k over sparse vectors given as ``buckets`` and ``weights`` arrays.
 
     Texts without a word have an empty vector, score 0 and take part like any other. To search a
@@ -91,59 +95,83 @@ def sparse_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, k:
             matrix[np.repeat(np.arange(len(buckets)), sizes), np.concatenate(buckets)] = np.concatenate(weights)
         return matrix
 
-    return _search(items, queries, item, query, ["buckets", "weights"], k, width, fill)
+    return _search(items, queries, item, query, ["buckets", "weights"], k, width, fill, block_values)
 
 
 def _search(
     items: DataFrame, queries: DataFrame, item: str, query: str, vector: list[str], k: int, width: int,
-    matrix_of: Callable[[list[np.ndarray]], np.ndarray],
+    matrix_of: Callable[[list[np.ndarray]], np.ndarray], block_values: int | None,
 ) -> DataFrame:
-    """Every task scores its items against a slice of the queries and hands on only its best ``k``
-    per query, so what is shuffled does not grow with the number of items."""
+    """Every task scores its items against a block of the queries and hands on only its best ``k`` per query.
+
+    One block of queries is broadcast and the items stay where they lie. More of them meet the items in
+    groups of one block of each, so neither the driver nor a task holds more than that, and the items
+    are read once however many queries there are.
+    """
+    block_values = block_values or BLOCK_VALUES
+    items, queries = items.select(item, *vector), queries.select(query, *vector)
     total = queries.count()
     if not total:
         raise RefusedError("There are no queries to search for.")
-    slices = -(-total * width // SLICE_VALUES)
-    found = None
-    for index in range(slices):
-        part = queries if slices == 1 else queries.filter(F.pmod(F.xxhash64(query), F.lit(slices)) == index)
-        held = part.select(query, *vector).toPandas()  # bounded by the slice size
-        if held.empty:
-            continue
-        shared = items.sparkSession.sparkContext.broadcast(
-            (held[query].tolist(), _unit_rows(matrix_of([held[c].to_numpy() for c in vector])))
-        )
-        types = f"{query} {queries.schema[query].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}"
-        best = items.select(item, *vector).mapInPandas(_best_of_task(shared, item, query, vector, k, matrix_of), f"{types}, score double")
-        found = best if found is None else found.unionByName(best)
-    return top_k(found, query, item, k)
-
-
-def _best_of_task(shared, item: str, query: str, vector: list[str], k: int, matrix_of: Callable) -> Callable:
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, probe = shared.value
-        ids: list[np.ndarray | None] = [None] * len(names)
-        scores = [np.empty(0)] * len(names)
-        floor = np.full(len(names), -np.inf)  # the k-th best score so far
-        for batch in batches:
-            for start in range(0, len(batch), _BLOCK_ROWS):
-                block = batch.iloc[start:start + _BLOCK_ROWS]
-                keys = block[item].to_numpy()
-                keys = keys.astype(str) if keys.dtype == object else keys
-                block_scores = np.round(probe @ _unit_rows(matrix_of([block[c].to_numpy() for c in vector])).T, SCORE_DIGITS)
-                for q in np.flatnonzero((block_scores >= floor[:, None]).any(axis=1)):
-                    near = block_scores[q] >= floor[q]
-                    all_ids = keys[near] if ids[q] is None else np.concatenate([ids[q], keys[near]])
-                    all_scores = np.concatenate([scores[q], block_scores[q][near]])
-                    kept = np.lexsort((all_ids, -all_scores))[:k]
-                    ids[q], scores[q] = all_ids[kept], all_scores[kept]
-                    if len(kept) == k:
-                        floor[q] = scores[q][-1]
-        for name, name_ids, name_scores in zip(names, ids, scores):
-            if name_ids is not None:
-                yield pd.DataFrame({query: name, item: name_ids, "score": name_scores})
-
-    return search
+    types = f"{query} {queries.schema[query].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, score double"
+
+    def probe_of(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
+        return rows[query].tolist(), _unit_rows(matrix_of([rows[c].to_numpy() for c in vector]))
+
+    if total * width <= block_values:
+        shared = items.sparkSession.sparkContext.broadcast(probe_of(queries.toPandas()))
+        found = items.mapInPandas(lambda batches: _best_of(*shared.value, batches, item, query, vector, k, matrix_of), types)
+        return top_k(found, query, item, k)
+
+    def search(item_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
+        if item_rows.empty or query_rows.empty:
+            return pd.DataFrame(columns=[query, item, "score"], dtype=object)
+        return pd.concat(_best_of(*probe_of(query_rows), [item_rows], item, query, vector, k, matrix_of))
+
+    # Checkpointed rows keep their partitions, so their numbers deal them evenly and alike on every attempt.
+    items, queries = materialize(items), materialize(queries)
+    block_rows = max(1, block_values // width)
+    item_blocks, query_blocks = (max(1, -(-n // block_rows)) for n in (items.count(), total))
+    items = _dealt(items, "__items", item_blocks, "__queries", query_blocks)
+    queries = _dealt(queries, "__queries", query_blocks, "__items", item_blocks)
+    met = items.groupBy("__items", "__queries").cogroup(queries.groupBy("__items", "__queries"))
+    return top_k(met.applyInPandas(search, types), query, item, k)
+
+
+def _dealt(df: DataFrame, own: str, blocks: int, other: str, other_blocks: int) -> DataFrame:
+    """Every row in one block of its own side, once for each block of the other side."""
+    numbered = df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks).cast("bigint")))
+    return numbered.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_blocks - 1).cast("bigint"))))
+
+
+def _best_of(
+    names: list, probe: np.ndarray, batches: Iterable[pd.DataFrame], item: str, query: str, vector: list[str], k: int, matrix_of: Callable
+) -> Iterator[pd.DataFrame]:
+    """The best ``k`` of all items in ``batches`` for every query, as (query, item, score)."""
+    ids: list[np.ndarray | None] = [None] * len(names)
+    scores = [np.empty(0)] * len(names)
+    floor = np.full(len(names), -np.inf)  # the k-th best score so far
+    step = max(1, min(1024, _STEP_SCORES // len(names)))
+    for batch in batches:
+        for start in range(0, len(batch), step):
+            block = batch.iloc[start:start + step]
+            keys = block[item].to_numpy()
+            keys = keys.astype(str) if keys.dtype == object else keys
+            block_scores = np.round(probe @ _unit_rows(matrix_of([block[c].to_numpy() for c in vector])).T, SCORE_DIGITS)
+            for q in np.flatnonzero((block_scores >= floor[:, None]).any(axis=1)):
+                near = block_scores[q] >= floor[q]
+                all_ids = keys[near] if ids[q] is None else np.concatenate([ids[q], keys[near]])
+                all_scores = np.concatenate([scores[q], block_scores[q][near]])
+                kept = np.lexsort((all_ids, -all_scores))[:k]
+                ids[q], scores[q] = all_ids[kept], all_scores[kept]
+                if len(kept) == k:
+                    floor[q] = scores[q][-1]
+    if ids[0] is None:
+        return  # no items at all
+    for start in range(0, len(names), _STEP_QUERIES):
+        here = slice(start, start + _STEP_QUERIES)
+        rows = [name for name, found in zip(names[here], ids[here]) for _ in found]
+        yield pd.DataFrame({query: rows, item: np.concatenate(ids[here]), "score": np.concatenate(scores[here])})
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions.retrieval import dense_top_k, hit_metrics, sparse_top_k
 from auditframe.functions.scalars import percent_rates
-from auditframe.functions.text import STOP_WORDS, chunk_pages, document_ids, pages_from_text, replace_documents, token_vectors
+from auditframe.functions.text import STOP_WORDS, VECTOR_BUCKETS, chunk_pages, document_ids, pages_from_text, replace_documents, token_vectors
 from auditframe.workload.registry import query, table
 
 # White space as in functions.scalars.SPACE, spelled out for an engine without Unicode classes.
@@ -119,6 +119,23 @@ def cosine_topk_selected_documents(spark, sf):
     return found.withColumn("score", F.round("score", 6)).select("item_id", "doc_id", "score", "rank")
 
 
+@query(
+    f"""
+    SELECT doc_id, item_id, score, rank::INTEGER AS rank FROM (
+        SELECT doc_id, item_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank
+        FROM (SELECT d.doc_id, b.item_id, coalesce(s.score, 0.0) AS score
+              FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN (SELECT DISTINCT item_id FROM benchmark) b
+              LEFT JOIN ({_SPARSE}) s ON s.doc_id = d.doc_id AND s.item_id = b.item_id))
+    WHERE rank <= 3
+    """
+)
+def cosine_topk_every_document(spark, sf):
+    """The three passages most like every document: a query set that grows with the table, met in blocks of 128 vectors."""
+    documents, passages = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    found = sparse_top_k(token_vectors(passages, "item_id"), token_vectors(documents, "doc_id"), "item_id", "doc_id", 3, block_values=128 * VECTOR_BUCKETS)
+    return found.select("doc_id", "item_id", "score", "rank")
+
+
 _CENTROIDS = """
     SELECT label AS query_id, list(v ORDER BY i) AS embedding
     FROM (SELECT label, i, avg(x::DOUBLE) AS v

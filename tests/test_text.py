@@ -12,7 +12,6 @@ import re
 from pyspark.sql import functions as F
 
 from auditframe.errors import RefusedError
-from auditframe.functions import retrieval
 from auditframe.functions.retrieval import dense_top_k, hit_metrics, require_space, sparse_top_k, top_k, validate_vectors
 from auditframe.functions.scalars import SPACE_CHARACTERS, collapse_spaces, strip
 from auditframe.functions.text import DOCUMENT_NAMESPACE, STOP_WORDS, chunk_pages, pages_from_text, replace_documents, token_vectors
@@ -139,9 +138,8 @@ def test_zero_scores_fill_up_by_id(spark, corpus):
     assert [got[1, i] for i in (1, 2, 3)] == ["c5", "c1", "c2"] and [got[2, i] for i in (1, 2, 3)] == ["c1", "c2", "c3"]
 
 
-@pytest.mark.parametrize("slice_values", [10**6, 16])
-def test_dense_search_against_python(spark, monkeypatch, slice_values):
-    monkeypatch.setattr(retrieval, "SLICE_VALUES", slice_values)
+@pytest.mark.parametrize("block_values", [None, 24])
+def test_dense_search_against_python(spark, block_values):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 8)).round(1)
     vectors[100:180] = vectors[0]  # copies tie, the id decides
@@ -149,7 +147,7 @@ def test_dense_search_against_python(spark, monkeypatch, slice_values):
     probes = np.vstack([vectors[0], rng.normal(size=(4, 8))])
     items = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").repartition(7)
     asked = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(probes)], "q long, v array<double>")
-    found = dense_top_k(items, asked, "id", "q", "v", 100)
+    found = dense_top_k(items, asked, "id", "q", "v", 100, block_values)
     got = {}
     for r in found.collect():
         got.setdefault(r["q"], {})[r["rank"]] = r["id"]
@@ -160,6 +158,15 @@ def test_dense_search_against_python(spark, monkeypatch, slice_values):
         assert [got[q][i + 1] for i in range(100)] == expected
 
 
+@pytest.mark.parametrize("block_values", [None, 1])
+def test_search_without_items_and_with_repeated_queries(spark, corpus, block_values):
+    asked = token_vectors(spark.createDataFrame([("a", "tram"), ("b", "granite")], "q string, text string"), "q")
+    vectors = token_vectors(corpus, "chunk_id")
+    assert sparse_top_k(vectors.limit(0), asked, "chunk_id", "q", 2, block_values=block_values).count() == 0
+    found = sparse_top_k(vectors, asked.unionByName(asked), "chunk_id", "q", 2, block_values=block_values).collect()
+    assert sorted((r["q"], r["rank"], r["chunk_id"]) for r in found) == [("a", 1, "c5"), ("a", 2, "c5"), ("b", 1, "c3"), ("b", 2, "c3")]
+
+
 def test_vector_guards(spark):
     good = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
     validate_vectors(good, "v", 2)
