@@ -279,7 +279,11 @@ def keep_one_per_group(df: DataFrame, id_column: str = "doc_id", text: str = "te
     Of rows that share id and text one stays; of one id with several texts in a group, the one of
     smallest text key. All columns are kept.
     """
-    groups = near_groups(df, id_column, text, distance)
+    return keep_first(df, near_groups(df, id_column, text, distance), id_column, text)
+
+
+def keep_first(df: DataFrame, groups: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that come first in their group; ``groups`` is (id, text_key, root)."""
     first, key = fresh(df, "first_id"), fresh(df, "first_key")
     winners = groups.groupBy("root").agg(
         F.min(F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), F.col("text_key").alias("key"))).alias("first")
