@@ -1,13 +1,17 @@
-"""Removal of repeated passages: sliding runs of sentences, joined by hash over the whole corpus.
-
-A text is cut into sentences at sentence ends and line breaks; a sentence longer than ``LONG_SENTENCE``
-words is cut every so many words from its start, so that equal passages are cut alike. A run is a
-window of at least two consecutive sentences and at least ``RUN_WORDS`` words. Two windows slide: the
-shortest run that begins at each sentence, and the shortest that ends at each; together they reach
-every sentence of a repeated passage that is long enough, up to both ends. Runs compare by words,
-letter case and white space aside.
-
-The first occurrence of a run is the one of smallest (id, text key, position). Every sentence that any
+"""Removal of repeated passages: sliding runs of pieces, joined by hash over the whole corpus.
+
+A text is cut into sentences at sentence ends and line breaks, and a sentence of more than
+``SHORT_SENTENCE`` words into pieces at words that its content alone chooses: before each word whose hash
+is the smallest of some ``CUT_WINDOW`` consecutive words of the sentence. So equal passages are cut alike
+wherever they stand, except within their first and last 13 words, which words outside can sway; what
+lies before the first or after the last common cut stays. A run is a window of at least two consecutive
+pieces that reaches over a sentence end and has at least ``RUN_WORDS`` words, or has at least
+``LONG_SENTENCE`` words; so every repeated passage of over 50 words has one. Two windows slide: the
+shortest run that begins at each piece, and the shortest that ends at each; together they reach every
+piece of a repeated passage that is long enough, up to both ends. Runs compare by words, letter case and
+white space aside.
+
+The first occurrence of a run is the one of smallest (id, text key, position). Every piece that any
 later occurrence covers goes, also within the same text; the rest of the text stays as it was.
 
 Defined cases: null texts stay null; texts too short for a run stay whole; rows that share id and text
@@ -20,7 +24,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +35,50 @@ ship_with_tasks(__name__)
 RUN_WORDS = 20
 RUN_SENTENCES = 2
 LONG_SENTENCE = 25
+SHORT_SENTENCE = 14
+CUT_WINDOW = 7
 BASE = 0x9E3779B97F4A7C15
 # Where a sentence ends: its marks with the white space after them, or line breaks.
 SENTENCE_END = r"[.!?]+[\"')\]]*\s+|\s*\n\s*"
 
 
-def sentence_edges(text: str) -> list[int]:
+SPACES = np.array([chr(x).isspace() for x in range(0x3001)] + [False])
+
+
+def powers_of(base: int, count: int) -> np.ndarray:
+    """The first powers of a number modulo 2**64."""
+    out = np.full(count, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of every range of ``values``, from polynomial prefix sums; an odd base can be divided out again."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * powers_of(BASE, len(values)), out=sums[1:])
+    return (sums[stop] - sums[start]) * powers_of(pow(BASE, -1, 1 << 64), len(values) + 1)[start] + (stop - start).astype(np.uint64)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where every word of the text starts, and a hash of its lower-case letters."""
+    lower = text.lower()
+    if len(lower) != len(text):  # letters whose lower case is longer keep their case
+        lower = "".join(low if len(low := c.lower()) == 1 else c for c in text)
+    codes = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    black = np.zeros(len(codes) + 2, dtype=np.int8)
+    black[1:-1] = ~SPACES[np.minimum(codes, len(SPACES) - 1)]
+    change = np.diff(black)
+    start, stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    return start, mixed(range_hashes(codes.astype(np.uint64) + np.uint64(1), start, stop))
+
+
+def sentence_starts(text: str) -> list[int]:
     """Positions that cut the whole text into sentences, 0 and its length included."""
     edges = [0]
     for end in re.finditer(SENTENCE_END, text):
@@ -46,43 +87,50 @@ def sentence_edges(text: str) -> list[int]:
         edges.append(end.end())
     if edges[-1] < len(text):
         edges.append(len(text))
-    out = [0]
-    for start, stop in zip(edges, edges[1:]):
-        if stop - start > 2 * LONG_SENTENCE:
-            words = re.finditer(r"\S+", text[start:stop])
-            out += [start + w.start() for i, w in enumerate(words) if i and i % LONG_SENTENCE == 0]
-        out.append(stop)
-    return out
+    return edges
+
+
+def pieces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, hashes, counts, sentence): where a text is cut, and of every piece its hash, words and sentence."""
+    ends = np.array(sentence_starts(text))
+    start, hashes = word_hashes(text)
+    sentence = np.searchsorted(ends, start, side="right") - 1
+    edges = ends
+    if len(start) >= CUT_WINDOW:
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, CUT_WINDOW)
+        lowest = np.arange(CUT_WINDOW - 1, len(start)) - windows[:, ::-1].argmin(axis=1)  # of equal words the last
+        inside = (sentence[CUT_WINDOW - 1:] == sentence[:len(windows)]) & (np.bincount(sentence)[sentence[:len(windows)]] > SHORT_SENTENCE)
+        cut = np.unique(lowest[inside])
+        cut = cut[(cut > 0) & (sentence[cut] == sentence[cut - 1])]  # a sentence's first word is an edge already
+        edges = np.union1d(ends, start[cut])
+    place = np.searchsorted(start, edges)
+    place[0] = 0
+    return edges, range_hashes(hashes, place[:-1], place[1:]), np.diff(place), np.searchsorted(ends, edges[:-1], side="right") - 1
 
 
-def sentence_hashes(text: str, edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the words of every sentence, and their number."""
-    words = [text[a:b].lower().split() for a, b in zip(edges, edges[1:])]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(x)) for x in words), np.uint64, len(words))
-    return hashes, np.fromiter(map(len, words), np.int64, len(words))
+def sentence_edges(text: str) -> list[int]:
+    """Positions that cut the whole text into pieces, 0 and its length included."""
+    return pieces(text)[0].tolist() if text else [0]
 
 
-def runs(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(hashes: np.ndarray, counts: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first, length) of every distinct run of a text."""
     size = len(hashes)
     words = np.concatenate([[0], np.cumsum(counts)])
     place = np.arange(size)
-    stop = np.maximum(np.searchsorted(words, words[:-1] + RUN_WORDS), place + RUN_SENTENCES)
+    over = np.searchsorted(sentence, sentence, side="right") + 1  # a stop that reaches into the next sentence
+    stop = np.maximum(np.searchsorted(words, words[:-1] + RUN_WORDS), over)
+    stop = np.maximum(np.minimum(stop, np.searchsorted(words, words[:-1] + LONG_SENTENCE)), place + RUN_SENTENCES)
     forward = stop <= size
-    start = np.minimum(np.searchsorted(words, words[1:] - RUN_WORDS, side="right") - 1, place + 1 - RUN_SENTENCES)
+    under = np.searchsorted(sentence, sentence) - 1  # a start in the sentence before
+    start = np.minimum(np.searchsorted(words, words[1:] - RUN_WORDS, side="right") - 1, under)
+    start = np.minimum(np.maximum(start, np.searchsorted(words, words[1:] - LONG_SENTENCE, side="right") - 1), place + 1 - RUN_SENTENCES)
     backward = start >= 0
     first = np.concatenate([place[forward], start[backward]])
     after = np.concatenate([stop[forward], place[backward] + 1])
     pair = np.unique(first * (size + 1) + after)
     first, after = pair // (size + 1), pair % (size + 1)
-    # Polynomial prefix sums modulo 2**64; an odd base can be divided out again.
-    powers = np.full(size + 1, BASE, dtype=np.uint64)
-    inverse = np.full(size + 1, pow(BASE, -1, 1 << 64), dtype=np.uint64)
-    powers[0] = inverse[0] = 1
-    powers, inverse = np.cumprod(powers), np.cumprod(inverse)
-    sums = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum(hashes * powers[:-1], out=sums[1:])
-    return (sums[after] - sums[first]) * inverse[first] + (after - first).astype(np.uint64), first, after - first
+    return range_hashes(mixed(hashes), first, after), first, after - first
 
 
 def run_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -92,8 +140,7 @@ def run_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
         parts = []
         for row, value in enumerate(batch.column(2).to_pylist()):
             if value:
-                edges = sentence_edges(value)
-                found = runs(*sentence_hashes(value, edges))
+                found = runs(*pieces(value)[1:])
                 if len(found[0]):
                     parts.append((np.full(len(found[0]), row), *found))
         row, run, first, length = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
