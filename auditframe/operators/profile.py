@@ -207,3 +207,19 @@ def category_snapshot(df: DataFrame) -> DataFrame:
             F.coalesce("category_values", F.array().cast("array<string>")).alias("category_values"),
         )
     )
+
+
+def category_values(df: DataFrame) -> DataFrame:
+    """(column_name, digest, value): every distinct value of every non-numeric column, however many or long.
+
+    Each column also has one row without digest and value, so that a column of missing values is known.
+    """
+    columns = categorical_columns(df)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    known = names.select("column_name", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("value"))
+    if not columns:
+        return known
+    entries = [F.struct(F.lit(c).alias("c"), present(df, c).cast("string").alias("v")) for c in columns]
+    exploded = df.select(F.explode(F.array(*entries)).alias("e")).where(F.col("e.v").isNotNull())
+    rows = exploded.select(F.col("e.c").alias("column_name"), F.sha2("e.v", 256).alias("digest"), F.col("e.v").alias("value"))
+    return known.unionByName(rows.groupBy("column_name", "digest").agg(F.first("value").alias("value")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from auditframe.plans import verify
 from auditframe.plans.analytics import run_plan
 from auditframe.plans.runs import (
-    RunLog, categories_snapshot, category_changes, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
+    RunLog, categories_snapshot, category_changes, category_values_snapshot, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
     metric_changes, missing_changes, missing_snapshot, row_count_changes, run_by_period, run_diagnostics, run_facts, step_changes,
     unique_count_changes,
     warning_changes,
@@ -116,8 +116,9 @@ def compare_missing_values(spark, sf):
     """
 )
 def compare_categories(spark, sf):
-    previous, current = (categories_snapshot(h, "events") for h in _halves(spark, sf))
-    changes = category_changes(previous, current)
+    halves = _halves(spark, sf)
+    previous, current = (categories_snapshot(h, "events") for h in halves)
+    changes = category_changes(previous, current, tuple(category_values_snapshot(h, "events") for h in halves))
     return changes.withColumn("added", F.array_join("added", "|")).withColumn("removed", F.array_join("removed", "|"))
 
 
