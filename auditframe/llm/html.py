@@ -27,7 +27,7 @@ ship_with_tasks(__name__)
 #: Elements whose content is never text of the page.
 SILENT = "script|style|title|textarea|noscript|template|svg|math|iframe|object|select|button|canvas|audio|video"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]{{0,9999}}\"|'[^']{{0,9999}}')*+|[^>]*)>|<[!?/][^>]*>|<[a-z/!?][^>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>|<[a-z/!?][^>]*\Z",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
