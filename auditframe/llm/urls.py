@@ -1,7 +1,7 @@
 """URL filters: fixed host and path rules, and association rules mined from labelled URLs.
 
 Fixed rules decide first; the longest that fits wins. For the rest FP-growth finds combinations of URL
-tokens (host, its last two labels, path segments, query keys ...) that are frequent among labelled
+tokens (host, its last two or three labels, each label, path segments, query keys ...) that are frequent among labelled
 URLs. A combination becomes a blocking rule if enough of the labelled URLs that have it are surely blocked;
 it is pruned if a part of it blocks as surely. Rules are matched through an inverted index: each rule
 is posted under its rarest token, a URL looks up its own tokens and keeps the rules it has whole. URLs
@@ -62,7 +62,9 @@ def url_tokens(url: str, host: str, path: str) -> Column:
     parts = [
         F.array(F.concat(F.lit("host:"), F.col(host))),
         F.when(F.size(labels) > 1, F.array(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")))).otherwise(F.array().cast("array<string>")),
-        F.when(F.size(labels) > 2, F.array(F.concat(F.lit("label:"), F.get(labels, F.lit(0))))).otherwise(F.array().cast("array<string>")),
+        # The last three labels together where there are more, and every label.
+        F.when(F.size(labels) > 3, F.array(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.filter(labels, lambda s: s != ""), lambda s: F.concat(F.lit("label:"), s)),
         shaped, keys,
     ]
     return F.sort_array(F.array_distinct(F.concat(*parts)))
