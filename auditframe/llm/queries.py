@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm import bpe, html, language, mixing, quality, simhash, spans, toxicity, urls, vectors
+from auditframe.llm import bpe, html, language, lexical, mixing, quality, simhash, spans, spelling, suffixes, toxicity, urls, vectors
 from auditframe.llm.registry import QUERIES, SQL, query  # noqa: F401  (read by the entry points)
 from auditframe.workload.registry import table
 
@@ -156,3 +156,18 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeated_bytes(table(spark, sf_dir, "documents"), width=400).drop("kept")
+
+
+@query()
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
