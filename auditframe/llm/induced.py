@@ -25,7 +25,7 @@ from auditframe.session import ship_with_tasks
 ship_with_tasks(__name__)
 
 #: Suffixes of a range of first symbols, unless one symbol has more.
-RANGE_SUFFIXES = 1 << 16
+RANGE_SUFFIXES = 1 << 15
 #: Tuples that a queue holds before it writes them out.
 HELD_TUPLES = 1 << 21
 #: Bytes of an array that is kept in memory.
@@ -60,49 +60,55 @@ class TupleQueue:
         self.paths: list[str | None] = [None] * ranges
 
     def push(self, at: int, places: np.ndarray, common: np.ndarray) -> None:
-        self.held[at].append(np.stack([places.astype(np.int64), common.astype(np.int64)], axis=1))
+        self.held[at].append((places, common))
         self.count += len(places)
         if self.count > HELD_TUPLES:
             for at, some in enumerate(self.held):
                 if some:
                     self.paths[at] = self.paths[at] or self.shelf.name()
                     with open(self.paths[at], "ab") as file:
-                        for x in some:
-                            x.tofile(file)
+                        for pair in some:
+                            np.stack(pair, axis=1).astype(np.int64).tofile(file)
                     some.clear()
             self.count = 0
 
     def pop(self, at: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
+        parts = self.held[at]
+        self.count -= sum(len(x) for x, _ in parts)
+        self.held[at] = []
         if self.paths[at]:
-            parts.append(np.fromfile(self.paths[at], np.int64).reshape(-1, 2))
+            written = np.fromfile(self.paths[at], np.int64).reshape(-1, 2)
             os.remove(self.paths[at])
             self.paths[at] = None
-        parts += self.held[at]
-        self.count -= sum(len(x) for x in self.held[at])
-        self.held[at] = []
+            parts = [(written[:, 0], written[:, 1].astype(np.int32)), *parts]
         if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.concatenate(parts)
-        return both[:, 0], both[:, 1]
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
 
 def least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The least of values[left] .. values[right], for arrays of bounds."""
     if not len(left):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     width = right - left + 1
     level = np.frexp(width)[1] - 1
-    table = [values]
-    for k in range(int(level.max())):
-        table.append(np.concatenate([np.minimum(table[k][: -(1 << k)], table[k][1 << k :]), table[k][len(values) - (1 << k) :]]))
-    table = np.stack(table)
+    top = int(level.max())
+    if not top:
+        return values[left]
+    table = np.empty((top + 1, len(values)), values.dtype)
+    table[0] = values
+    for k in range(top):
+        np.minimum(table[k, : -(1 << k)], table[k, 1 << k :], out=table[k + 1, : -(1 << k)])
+        table[k + 1, len(values) - (1 << k) :] = table[k, len(values) - (1 << k) :]
     return np.minimum(table[level, left], table[level, right - (1 << level) + 1])
 
 
-def symbol_ranges(counts: np.ndarray) -> np.ndarray:
-    """Borders of ranges of consecutive symbols with about ``RANGE_SUFFIXES`` suffixes; frequent symbols stand alone."""
-    large = np.flatnonzero(counts > RANGE_SUFFIXES // 2)
+def symbol_ranges(counts: np.ndarray, in_runs: np.ndarray) -> np.ndarray:
+    """Borders of ranges of consecutive symbols with about ``RANGE_SUFFIXES`` suffixes.
+
+    Frequent symbols stand alone, and so do those that occur in runs, as they send long chains to themselves.
+    """
+    large = np.flatnonzero((counts > RANGE_SUFFIXES // 2) | in_runs)
     group = np.cumsum(counts) // RANGE_SUFFIXES
     steps = np.flatnonzero(group[1:] != group[:-1]) + 1
     wide = np.arange(0, len(counts), 1 << 15)
@@ -155,7 +161,7 @@ class _Pass:
             start = len(places)
             sender = np.concatenate([sender, last[members]])
             places, last = np.concatenate([places, found]), np.arange(start, start + len(found))
-            rank_class, given = np.concatenate([rank_class, np.ones(len(found), np.int64)]), np.concatenate([given, np.zeros(len(found), np.int64)])
+            rank_class, given = np.concatenate([rank_class, np.ones(len(found), np.int64)]), np.concatenate([given, np.zeros(len(found), np.int32)])
         symbol = (self.key[places] - low).astype(np.uint16)
         own = rank_class == 1
         if own.any():
@@ -182,7 +188,7 @@ class _Pass:
 
     def _common(self, places: np.ndarray, symbol: np.ndarray, rank_class: np.ndarray, given: np.ndarray) -> np.ndarray:
         """Common prefixes as far as they are given: within what arrived, within the seeds, and where the kinds meet."""
-        common = np.zeros(len(places), np.int64)
+        common = np.zeros(len(places), np.int32)
         same = symbol[1:] == symbol[:-1]
         before, after = rank_class[:-1], rank_class[1:]
         runs = np.minimum(self.run[places[:-1]], self.run[places[1:]])
@@ -198,7 +204,7 @@ class _Pass:
             members, found = self._children(parts[-1])
             inside = self.key[found] == symbol
             members, found = members[inside], found[inside]
-            common = np.zeros(len(found), np.int64)
+            common = np.zeros(len(found), np.int32)
             if len(found) > 1:
                 common[1:] = np.minimum(1 + least_between(commons[-1], members[:-1] + 1, members[1:]), self.depth)
             if len(found):
@@ -229,14 +235,14 @@ class _Pass:
         members, found = members[outside], found[outside]
         order = np.argsort(self.key[found], kind="stable")
         members, found = members[order], found[order]
-        sent_common = np.ones(len(found), np.int64)
+        sent_common = np.ones(len(found), np.int32)
         same = np.flatnonzero(self.key[found[1:]] == self.key[found[:-1]]) + 1
         sent_common[same] = np.minimum(1 + least_between(common, members[same - 1] + 1, members[same]), self.depth)
         return places[~seeded], common[~seeded], found, sent_common
 
 
 def _backwards(places: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    turned = np.zeros(len(common), np.int64)
+    turned = np.zeros(len(common), np.int32)
     turned[1:] = common[:0:-1]
     return places[::-1], turned
 
@@ -244,7 +250,7 @@ def _backwards(places: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.n
 def _only(keep: np.ndarray, places: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Some of the suffixes in order; their common prefixes are the least on the way from the one before."""
     at = np.flatnonzero(keep)
-    least = np.zeros(len(at), np.int64)
+    least = np.zeros(len(at), np.int32)
     least[1:] = least_between(common, at[:-1] + 1, at[1:])
     return places[at], least
 
@@ -301,21 +307,23 @@ def suffix_order(symbols: np.ndarray, shelf: Shelf, depth: int) -> Iterator[tupl
     run = np.append(np.minimum(np.repeat(turns, lengths) - np.arange(n - 1) + 1, depth), 1).astype(np.int32)
     seeds = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     if n == 1:
-        yield np.zeros(1, np.int64), np.zeros(1, np.int64)
+        yield np.zeros(1, np.int64), np.zeros(1, np.int32)
         return
     names = substring_names(2 * symbols.astype(np.int64) + rising, seeds)
     if names.max() + 1 == len(seeds):
-        order, common = np.argsort(names), np.zeros(len(seeds), np.int64)
+        order, common = np.argsort(names), np.zeros(len(seeds), np.int32)
     else:
         parts = list(suffix_order(shelf.put(names.astype(np.int32)), shelf, depth))
         order, common = (np.concatenate(x) for x in zip(*parts))
     before = np.append(order[:1], order[:-1])
     shared = seeds[np.minimum(order + common, len(seeds) - 1)] - seeds[order]
-    common = _further(symbols, seeds[before] + shared, seeds[order] + shared, np.minimum(shared, depth), depth)
+    common = _further(symbols, seeds[before] + shared, seeds[order] + shared, np.minimum(shared, depth).astype(np.int32), depth)
     common[:1] = 0
     order = seeds[order]
     top = int(symbols.max()) + 1
-    edges = symbol_ranges(np.bincount(symbols, minlength=top))
+    in_runs = np.zeros(top, bool)
+    in_runs[symbols[turns[lengths > 1]]] = True
+    edges = symbol_ranges(np.bincount(symbols, minlength=top), in_runs)
     cuts = np.searchsorted(symbols[order], edges)
     small = _Pass(symbols, ~rising, run, edges, shelf, depth)
     small.induce(lambda at: (order[cuts[at] : cuts[at + 1]], common[cuts[at] : cuts[at + 1]]))

@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from auditframe.llm import induced
 from auditframe.llm.common import byte_texts, map_arrow, ragged, rows_in_passes, settle
 from auditframe.llm.spans import powers_of
-from auditframe.session import shuffle_partitions, ship_with_tasks
+from auditframe.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
 #: Bytes of the gram that anchors a window.
 ANCHOR_BYTES = 100
 #: Bytes of text in a shard, about.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_500_000
 #: Different segments of one anchor that go to one shard.
 SHARD_SEGMENTS = 2_000
 BASE = 0x9E3779B97F4A7C15
@@ -232,7 +232,7 @@ def marked_windows(docs: DataFrame, width: int) -> DataFrame:
     wanted = shared.groupBy("row").agg(F.collect_list(F.struct(*SEGMENT, "m", "n", "place", (F.col("kinds") > SHARD_SEGMENTS).alias("split"))).alias("wanted"))
     texts = map_arrow(docs.join(wanted, "row").select("text", "wanted"), _fetch(width), "anchor long, d1 long, d2 long, m long, n int, bytes binary, split boolean")
     part = F.when(F.col("split"), F.pmod(F.col("d1"), F.lit(1 << 20))).otherwise(0)
-    parts = max(1, -(-size // SHARD_BYTES), min(shuffle_partitions(spark), size // (SHARD_BYTES // 8)))
+    parts = max(1, -(-size // SHARD_BYTES))
     dealt = texts.withColumn("deal", F.xxhash64("anchor", part)).repartition(int(parts), "deal").drop("deal")
     ordered = settle(dealt.mapInArrow(_sort_shards(width), SORTED), "ordered")
     seen = ordered.where("h1 is not null")
