@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from auditframe.errors import RefusedError
 from auditframe.functions.text import VECTOR_BUCKETS
@@ -15,14 +16,12 @@ from auditframe.session import materialize, ship_with_tasks
 
 ship_with_tasks(__name__)
 
-# A block of queries or items holds at most this many numbers. A query set of one block is broadcast;
-# a larger one is searched block by block in a single job.
-BLOCK_VALUES = 4_000_000
+# Items and queries that meet in one step of a task.
+BLOCK_ITEMS, BLOCK_QUERIES = 4096, 1024
 # Scores are compared at this precision, so that equal vectors tie and the id decides.
 SCORE_DIGITS = 9
-# Scores computed in one step of a task, and queries whose best items it hands on at a time.
-_STEP_SCORES = 4_000_000
-_STEP_QUERIES = 1000
+# What a bound may miss by rounding.
+_SLACK = 10.0 ** (1 - SCORE_DIGITS)
 
 
 def validate_vectors(df: DataFrame, vector: str, dimension: int) -> None:
@@ -55,10 +54,13 @@ def top_k(scores: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int, block_values: int | None = None) -> DataFrame:
+def dense_top_k(
+    items: DataFrame, queries: DataFrame, item: str, query: str, vector: str, k: int, block_items: int = BLOCK_ITEMS,
+    block_queries: int = BLOCK_QUERIES, report: Observation | None = None,
+) -> DataFrame:
     """Exact cosine top-k over dense vectors, ties by item id.
 
-    Queries are validated up front; the stored vectors are checked where they are scored, which
+    Queries are validated up front; the stored vectors are checked where they are packed, which
     spares a second scan of them.
     """
     first = queries.select(F.size(vector)).first()
@@ -66,118 +68,217 @@ def dense_top_k(items: DataFrame, queries: DataFrame, item: str, query: str, vec
         raise RefusedError("There are no queries to search for.")
     width = first[0]
     validate_vectors(queries, vector, width)
-
-    def stack(columns: list[np.ndarray]) -> np.ndarray:
-        if any(len(v) != width for v in columns[0]):
-            raise ValueError(f"Stored and query embedding dimensions do not match (expected {width}).")
-        matrix = np.stack(columns[0]).astype("float64")
-        if not np.isfinite(matrix).all():
-            raise ValueError("A stored embedding contains a non-finite value.")
-        return matrix
-
-    return _search(items, queries, item, query, [vector], k, width, stack, block_values)
+    return _search(items, queries, item, query, [vector], k, partial(_DenseBlock, width), block_items, block_queries, report)
 
 
 def sparse_top_k(
-    items: DataFrame, queries: DataFrame, item: str, query: str, k: int, width: int = VECTOR_BUCKETS, block_values: int | None = None
+    items: DataFrame, queries: DataFrame, item: str, query: str, k: int, width: int = VECTOR_BUCKETS, block_items: int = BLOCK_ITEMS,
+    block_queries: int = BLOCK_QUERIES, report: Observation | None = None,
 ) -> DataFrame:
     """Exact cosine top-k over sparse vectors given as ``buckets`` and ``weights`` arrays.
 
     Texts without a word have an empty vector, score 0 and take part like any other. To search a
     selection of documents, pass only their vectors as ``items``.
     """
+    if queries.isEmpty():
+        raise RefusedError("There are no queries to search for.")
+    return _search(items, queries, item, query, ["buckets", "weights"], k, partial(_SparseBlock, width), block_items, block_queries, report)
+
 
-    def fill(columns: list[np.ndarray]) -> np.ndarray:
-        buckets, weights = columns
-        sizes = [len(b) for b in buckets]
-        matrix = np.zeros((len(buckets), width))
-        if sum(sizes):
-            matrix[np.repeat(np.arange(len(buckets)), sizes), np.concatenate(buckets)] = np.concatenate(weights)
-        return matrix
+class _SparseBlock:
+    """An inverted index over the buckets of a block of vectors, with the largest weight of every list.
 
-    return _search(items, queries, item, query, ["buckets", "weights"], k, width, fill, block_values)
+    A query reads its lists from the one that can add most. Once what the rest can add stays below the
+    floor, no new vector can reach it; those already met whose sum and rest stay below it go, and only
+    the others get their full score.
+    """
+
+    def __init__(self, width: int, block: dict):
+        self.width, sizes = width, np.asarray(block["sizes"])
+        self.buckets, weights = np.asarray(block["first"], dtype=np.int64), np.asarray(block["second"], dtype=float)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        norms = np.sqrt(np.bincount(self.owner, weights * weights, len(sizes)))
+        self.weights = weights / norms[self.owner] if len(weights) else weights
+        self.starts, self.count = np.append(0, np.cumsum(sizes)), len(sizes)
+
+    def invert(self) -> None:
+        order = np.argsort(self.buckets, kind="stable")
+        self.list_owner, self.list_weight = self.owner[order], self.weights[order]
+        self.list_start = np.searchsorted(self.buckets[order], np.arange(self.width + 1))
+        self.most = np.zeros(self.width)
+        np.maximum.at(self.most, self.buckets, np.abs(self.weights))
+
+    def query(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.starts[row], self.starts[row + 1])
+        return self.buckets[own], self.weights[own]
+
+    def _sums(self, buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [slice(self.list_start[b], self.list_start[b + 1]) for b in buckets.tolist()]
+        if not parts:
+            return np.zeros(self.count), np.zeros(0, dtype=np.int64)
+        owner = np.concatenate([self.list_owner[x] for x in parts])
+        added = np.concatenate([self.list_weight[x] * w for x, w in zip(parts, weights.tolist())])
+        return np.bincount(owner, added, self.count).astype(float), owner  # of no entries it counts in integers
+
+    def scores(self, query: tuple[np.ndarray, np.ndarray], floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors that can reach ``floor`` and their scores."""
+        buckets, weights = query
+        can_add = np.abs(weights) * self.most[buckets]
+        order = np.argsort(-can_add, kind="stable")
+        buckets, weights, can_add = buckets[order], weights[order], can_add[order]
+        rest = np.append(np.cumsum(can_add[::-1])[::-1], 0.0)
+        if floor <= _SLACK:
+            return np.arange(self.count), self._sums(buckets, weights)[0]
+        needed = int(np.searchsorted(-rest, -(floor - _SLACK), side="right"))
+        if not needed:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        sums, met = self._sums(buckets[:needed], weights[:needed])
+        near = np.zeros(self.count, dtype=bool)
+        near[met] = True
+        found = np.flatnonzero(near & (sums + rest[needed] >= floor - _SLACK))
+        if len(found) and needed < len(buckets):
+            sums = sums + self._sums(buckets[needed:], weights[needed:])[0]
+        return found, sums[found]
+
+
+class _DenseBlock:
+    """Unit vectors by distance from their mean: a score is at most the mean's plus that distance.
+
+    The farthest come first, so the vectors that can reach a floor are a leading part of the block.
+    """
+
+    def __init__(self, width: int, block: dict):
+        sizes = np.asarray(block["sizes"])
+        if (sizes != width).any():
+            raise ValueError(f"Stored and query embedding dimensions do not match (expected {width}).")
+        matrix = np.asarray(block["second"], dtype=float).reshape(-1, width)
+        if not np.isfinite(matrix).all():
+            raise ValueError("A stored embedding contains a non-finite value.")
+        norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        self.matrix, self.count = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0), len(matrix)
+
+    def invert(self) -> None:
+        self.mean = self.matrix.mean(axis=0)
+        away = np.sqrt(((self.matrix - self.mean) ** 2).sum(axis=1))
+        self.order = np.argsort(-away, kind="stable")
+        self.away, self.far_first = away[self.order], self.matrix[self.order]
+
+    def query(self, row: int) -> np.ndarray:
+        return self.matrix[row]
+
+    def scores(self, query: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        reach = int(np.searchsorted(-self.away, -(floor - _SLACK - float(query @ self.mean)), side="right"))
+        return self.order[:reach], self.far_first[:reach] @ query
+
+
+def _pack(df: DataFrame, key: str, vector: list[str], rows: int) -> DataFrame:
+    """Rows of up to ``rows`` vectors each, packed where they lie: ids, sizes and the numbers of all vectors."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                some = batch.slice(start, rows)
+                lists = [some.column(i) for i in range(1, some.num_columns)]
+                sizes = lists[0].value_lengths().fill_null(0)
+                flat = [x.flatten() for x in lists]
+                first = flat[0].cast(pa.int32()) if len(flat) == 2 else pa.array([], pa.int32())
+                second = flat[-1].cast(pa.float64())
+                if second.null_count:
+                    raise ValueError("A stored embedding contains a non-finite value.")
+                columns = [pa.array([x.to_pylist()], t) for x, t in ((some.column(0), pa.list_(some.column(0).type)), (sizes, pa.list_(pa.int32())), (first, pa.list_(pa.int32())), (second, pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "first", "second"])
+
+    return df.select(key, *vector).mapInArrow(over, f"ids array<{kind}>, sizes array<int>, first array<int>, second array<double>")
 
 
 def _search(
-    items: DataFrame, queries: DataFrame, item: str, query: str, vector: list[str], k: int, width: int,
-    matrix_of: Callable[[list[np.ndarray]], np.ndarray], block_values: int | None,
+    items: DataFrame, queries: DataFrame, item: str, query: str, vector: list[str], k: int, block_of: Callable, block_items: int,
+    block_queries: int, report: Observation | None,
 ) -> DataFrame:
-    """Every task scores its items against a block of the queries and hands on only its best ``k`` per query.
+    """Blocks of items meet blocks of queries, each pair once and in a task of its own, at every size of either side.
 
-    One block of queries is broadcast and the items stay where they lie. More of them meet the items in
-    groups of one block of each, so neither the driver nor a task holds more than that, and the items
-    are read once however many queries there are.
+    A first round lets every block of queries meet a few blocks of items. Its ``k``-th best scores are
+    floors: in the second round, over all other pairs, a vector whose bound stays below the floor is
+    not scored. ``report`` observes ``scored_pairs`` next to the pairs there are.
     """
-    block_values = block_values or BLOCK_VALUES
-    items, queries = items.select(item, *vector), queries.select(query, *vector)
-    total = queries.count()
-    if not total:
-        raise RefusedError("There are no queries to search for.")
-    types = f"{query} {queries.schema[query].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, score double"
-
-    def probe_of(rows: pd.DataFrame) -> tuple[list, np.ndarray]:
-        return rows[query].tolist(), _unit_rows(matrix_of([rows[c].to_numpy() for c in vector]))
-
-    if total * width <= block_values:
-        shared = items.sparkSession.sparkContext.broadcast(probe_of(queries.toPandas()))
-        found = items.mapInPandas(lambda batches: _best_of(*shared.value, batches, item, query, vector, k, matrix_of), types)
-        return top_k(found, query, item, k)
-
-    def search(item_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if item_rows.empty or query_rows.empty:
-            return pd.DataFrame(columns=[query, item, "score"], dtype=object)
-        return pd.concat(_best_of(*probe_of(query_rows), [item_rows], item, query, vector, k, matrix_of))
-
-    # Checkpointed rows keep their partitions, so their numbers deal them evenly and alike on every attempt.
-    items, queries = materialize(items), materialize(queries)
-    block_rows = max(1, block_values // width)
-    item_blocks, query_blocks = (max(1, -(-n // block_rows)) for n in (items.count(), total))
-    items = _dealt(items, "__items", item_blocks, "__queries", query_blocks)
-    queries = _dealt(queries, "__queries", query_blocks, "__items", item_blocks)
-    met = items.groupBy("__items", "__queries").cogroup(queries.groupBy("__items", "__queries"))
-    return top_k(met.applyInPandas(search, types), query, item, k)
-
-
-def _dealt(df: DataFrame, own: str, blocks: int, other: str, other_blocks: int) -> DataFrame:
-    """Every row in one block of its own side, once for each block of the other side."""
-    numbered = df.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks).cast("bigint")))
-    return numbered.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_blocks - 1).cast("bigint"))))
-
-
-def _best_of(
-    names: list, probe: np.ndarray, batches: Iterable[pd.DataFrame], item: str, query: str, vector: list[str], k: int, matrix_of: Callable
-) -> Iterator[pd.DataFrame]:
-    """The best ``k`` of all items in ``batches`` for every query, as (query, item, score)."""
-    ids: list[np.ndarray | None] = [None] * len(names)
-    scores = [np.empty(0)] * len(names)
-    floor = np.full(len(names), -np.inf)  # the k-th best score so far
-    step = max(1, min(1024, _STEP_SCORES // len(names)))
-    for batch in batches:
-        for start in range(0, len(batch), step):
-            block = batch.iloc[start:start + step]
-            keys = block[item].to_numpy()
-            keys = keys.astype(str) if keys.dtype == object else keys
-            block_scores = np.round(probe @ _unit_rows(matrix_of([block[c].to_numpy() for c in vector])).T, SCORE_DIGITS)
-            for q in np.flatnonzero((block_scores >= floor[:, None]).any(axis=1)):
-                near = block_scores[q] >= floor[q]
-                all_ids = keys[near] if ids[q] is None else np.concatenate([ids[q], keys[near]])
-                all_scores = np.concatenate([scores[q], block_scores[q][near]])
-                kept = np.lexsort((all_ids, -all_scores))[:k]
-                ids[q], scores[q] = all_ids[kept], all_scores[kept]
-                if len(kept) == k:
-                    floor[q] = scores[q][-1]
-    if ids[0] is None:
-        return  # no items at all
-    for start in range(0, len(names), _STEP_QUERIES):
-        here = slice(start, start + _STEP_QUERIES)
-        rows = [name for name, found in zip(names[here], ids[here]) for _ in found]
-        yield pd.DataFrame({query: rows, item: np.concatenate(ids[here]), "score": np.concatenate(scores[here])})
-
-
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    """Rows scaled to unit length; a zero row stays zero, so its cosine is 0."""
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    item_blocks = _numbered(_pack(items, item, vector, block_items)).withColumnRenamed("__n", "__i")
+    query_blocks = _numbered(_pack(queries, query, vector, block_queries)).withColumnRenamed("__n", "__q")
+    n_items, n_queries = item_blocks.count(), query_blocks.count()
+    types = f"{query} {queries.schema[query].dataType.simpleString()}, {item} {items.schema[item].dataType.simpleString()}, score double, __asked long, __scored long, __pairs long"
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        stored, asked = block_of(_only_row(left)), block_of(_only_row(right))
+        stored.invert()
+        ids, names = left.column("ids")[0].values, right.column("ids")[0].values
+        floors, number = right.column("floors")[0].as_py() or [], right.column("__q")[0].as_py()
+        floors = dict((x["at"], x["floor"]) for x in floors)
+        best, scored = [], 0
+        for at in range(asked.count):
+            found, scores = stored.scores(asked.query(at), floors.get(at, -np.inf))
+            scored += len(found)
+            scores = np.round(scores, SCORE_DIGITS)
+            kept = _leading(scores, ids, found, k)
+            best.append((np.full(len(kept), at), found[kept], scores[kept]))
+        at, place, score = (np.concatenate(x) for x in zip(*best))
+        rows = [names.take(pa.array(at)), ids.take(pa.array(place)), pa.array(score), pa.array(at + number * block_queries), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())]
+        last = [pa.nulls(1, names.type), pa.nulls(1, ids.type), pa.nulls(1, pa.float64()), pa.nulls(1, pa.int64()), pa.array([scored]), pa.array([asked.count * stored.count])]
+        return pa.table([pa.chunked_array([x, y]) for x, y in zip(rows, last)], names=[query, item, "score", "__asked", "__scored", "__pairs"])
+
+    def met(pair: Column, asked: DataFrame) -> DataFrame:
+        both = _each(item_blocks, "__q", n_queries).where(pair).groupBy("__i", "__q")
+        return both.cogroup(_each(asked, "__i", n_items).where(pair).groupBy("__i", "__q")).applyInArrow(meet, types)
+
+    slots = max(1, n_items // 2)
+    first_pairs = F.pmod("__i", F.lit(slots)) == F.pmod("__q", F.lit(slots))
+    nothing = F.lit(None).cast("array<struct<at:int,floor:double>>")
+    first = materialize(met(first_pairs, query_blocks.withColumn("floors", nothing)))
+    if n_items > 1:
+        ranked = Window.partitionBy("__asked").orderBy(F.col("score").desc())
+        placed = first.where("__scored is null").select("__asked", "score", F.row_number().over(ranked).alias("place")).where(F.col("place") == k)
+        entry = F.struct((F.col("__asked") % block_queries).cast("int").alias("at"), F.col("score").alias("floor"))
+        floors = placed.groupBy(F.floor(F.col("__asked") / block_queries).alias("__q")).agg(F.collect_list(entry).alias("floors"))  # one per query of a block
+        first = first.unionByName(met(~first_pairs, query_blocks.join(floors, "__q", "left")))
+    if report is not None:
+        first = first.observe(report, F.coalesce(F.sum("__scored"), F.lit(0)).alias("scored_pairs"), F.coalesce(F.sum("__pairs"), F.lit(0)).alias("pairs"))
+    return top_k(first.where("__scored is null").select(query, item, "score"), query, item, k)
+
+
+def _only_row(block: pa.Table) -> dict:
+    return {name: block.column(name)[0].values.to_numpy(zero_copy_only=False) for name in ("sizes", "first", "second")}
+
+
+def _leading(scores: np.ndarray, ids: pa.Array, found: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, ties by id."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    kept = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    if len(kept) > k:
+        names = ids.take(pa.array(found[kept])).to_numpy(zero_copy_only=False)
+        names = names.astype(str) if names.dtype == object else names
+        kept = kept[np.lexsort((names, -scores[kept]))[:k]]
+    return kept
+
+
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Written blocks with consecutive numbers ``__n``; a row per partition passes the driver for it."""
+    written = materialize(blocks.withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = {r[0]: r[1] for r in written.groupBy(part.alias("p")).count().collect()}
+    first, firsts = 0, {}
+    for p in sorted(sizes):
+        firsts[p], first = first, first + sizes[p]
+    if not firsts:
+        return written.withColumn("__n", F.lit(0).cast("long")).drop("__id")
+    starts = written.sparkSession.createDataFrame([(p, n) for p, n in firsts.items()], "__p long, __first long")
+    numbered = written.withColumn("__p", part.cast("long")).join(F.broadcast(starts), "__p")  # one row per partition
+    return numbered.withColumn("__n", F.col("__first") + F.col("__id") - F.shiftleft("__p", 33)).drop("__id", "__p", "__first")
+
+
+def _each(blocks: DataFrame, other: str, others: int) -> DataFrame:
+    """Every block once for each block of the other side."""
+    if not others:
+        return blocks.withColumn(other, F.lit(0).cast("long")).where("false")
+    return blocks.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
 
 
 def hit_metrics(ranked: DataFrame, expected: DataFrame, query: str, item: str) -> DataFrame:

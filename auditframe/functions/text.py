@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from auditframe.errors import RefusedError
@@ -27,6 +31,9 @@ _CHUNK_SCHEMA = "document_id string, page_number int, chunk_index int, text stri
 _CHUNK_COLUMNS = ["document_id", "page_number", "chunk_index", "text"]
 _FLUSH_CHARACTERS = 16_000_000
 _WORDS = re.compile(r"\S+")
+_TOKENS = re.compile("[a-z0-9]+")
+# Words whose bucket a task remembers.
+_CACHED_WORDS = 1_000_000
 
 
 def document_ids(df: DataFrame, text: str = "text") -> DataFrame:
@@ -108,24 +115,36 @@ def _chunk_bounds(text: str, size: int, overlap: int) -> Iterator[tuple[int, int
 
 
 def token_vectors(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Sparse token-hash vectors of unit length: (key, ``buckets``, ``weights``), one row per key.
+    """Sparse token-hash vectors of unit length: (key, ``buckets``, ``weights``), one row per text.
 
-    Counting per (key, bucket) is complete before anything is shuffled, because a text's words
-    start out in one task; at most one row per bucket of a text moves, never a word.
+    A narrow map: a text's words are counted and hashed in its own row, every distinct word of a task
+    once. A text without a word, or a null one, has an empty vector.
     """
-    words = F.split(F.lower(F.col(text)), "[^a-z0-9]+")
-    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    exploded = df.select(key, F.explode_outer(kept).alias("w"))
-    bucket = (F.conv(F.substring(F.sha2(F.col("w"), 256), 1, 8), 16, 10).cast("long") % VECTOR_BUCKETS).cast("int")
-    counts = exploded.groupBy(key, bucket.alias("bucket")).agg(F.count("w").alias("n"))
-    # At most VECTOR_BUCKETS entries per key, so the list is bounded.
-    entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n"))
-    vectors = counts.groupBy(key).agg(
-        F.array_sort(F.collect_list(entry)).alias("e"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm")
-    )
-    return vectors.select(
-        key, F.col("e.bucket").alias("buckets"), F.transform("e.n", lambda n: n / F.col("norm")).alias("weights")
-    )
+    kind = df.schema[key].dataType.simpleString()
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket_of: dict[str, int] = {}
+        for batch in batches:
+            buckets, weights = [], []
+            for value in batch.column(1).to_pylist():
+                counts = Counter(_TOKENS.findall(value or ""))
+                for word in STOP_WORDS:
+                    counts.pop(word, None)
+                if len(bucket_of) > _CACHED_WORDS:
+                    bucket_of.clear()
+                sums: dict[int, int] = {}
+                for word, n in counts.items():
+                    bucket = bucket_of.get(word)
+                    if bucket is None:
+                        bucket = bucket_of[word] = int(hashlib.sha256(word.encode()).hexdigest()[:8], 16) % VECTOR_BUCKETS
+                    sums[bucket] = sums.get(bucket, 0) + n
+                norm = math.sqrt(sum(n * n for n in sums.values()))
+                buckets.append(sorted(sums))
+                weights.append([sums[b] / norm for b in buckets[-1]])
+            columns = [batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "buckets", "weights"])
+
+    return df.select(key, F.lower(F.col(text)).alias("text")).mapInArrow(over, f"`{key}` {kind}, buckets array<int>, weights array<double>")
 
 
 def replace_documents(stored: DataFrame, incoming: DataFrame, key: str = "document_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Inspection, profiling, duplicates, candidate keys and category snapshots.
 
-Counters of all columns share one wide aggregate. Only text-like columns are unpivoted, and the
-unpivoted values are counted (and so folded) before anything is ranked or listed.
+Counters of all columns share one wide aggregate. Values are counted by digest in one unpivoted pass
+(``counting``), from which duplicates, candidate keys, distinct counts and top values follow.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditframe.functions.columns import family, is_numeric, missing, number, present, ref
-from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.operators.counting import ROW, counting_pass, shown_values
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys, sketches
 from auditframe.session import materialize
 
 TOP_VALUES = 5
@@ -49,11 +50,12 @@ def inspect_columns(df: DataFrame) -> DataFrame:
     return _rows_from(missing_counts(df), structs, fields)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each fully equal row; missing values equal each other."""
-    groups = df.groupBy(*[present(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)]).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def duplicate_rows(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Rows beyond the first of each fully equal row; missing values equal each other.
+
+    ``counts``: a ``counting_pass`` over whole rows that ran already.
+    """
+    groups = (counting_pass(df, [], True) if counts is None else counts).where(F.col("c") == ROW)
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"),
@@ -69,30 +71,20 @@ def inspect_dataset(df: DataFrame) -> DataFrame:
 
 def uniqueness_violations(df: DataFrame, column: str) -> DataFrame:
     """Number of rows that share their value of ``column`` with another row."""
-    groups = df.groupBy(present(df, column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    groups = counting_pass(df, [column], carried=False)
     return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("violating_rows"))
 
 
-def candidate_keys(df: DataFrame) -> DataFrame:
+def candidate_keys(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Per column: whether it has no missing value and as many distinct values as rows."""
-    wide = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)],
-        *[F.count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(df.columns)],
+    counts = counting_pass(df, carried=False) if counts is None else counts
+    per_column = counts.groupBy("c").agg(F.sum("n").alias("rows"), F.count("d1").alias("distinct"), F.sum(F.when(F.col("d1").isNotNull(), F.col("n"))).alias("filled"))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "c int, column_name string")
+    distinct = F.coalesce("distinct", F.lit(0))
+    unique = (F.col("rows") > 0) & (F.col("filled") == F.col("rows")) & (F.col("distinct") == F.col("rows"))
+    return names.join(per_column, "c", "left").select(
+        "column_name", distinct.alias("distinct_count"), F.coalesce(unique, F.lit(False)).alias("is_candidate_key")
     )
-    structs = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"d{i}").alias("distinct_count"),
-            (
-                (F.col("row_count") > 0)
-                & (F.col(f"n{i}") == F.col("row_count"))
-                & (F.col(f"d{i}") == F.col("row_count"))
-            ).alias("is_candidate_key"),
-        )
-        for i, c in enumerate(df.columns)
-    ]
-    return _rows_from(wide, structs, ["column_name", "distinct_count", "is_candidate_key"])
 
 
 def profile_numeric(df: DataFrame) -> DataFrame:
@@ -106,8 +98,8 @@ def profile_numeric(df: DataFrame) -> DataFrame:
         *[F.min(number(df, c)).alias(f"l{i}") for i, c in enumerate(columns)],
         *[F.max(number(df, c)).alias(f"h{i}") for i, c in enumerate(columns)],
     ]
-    base = materialize(df.agg(*basics))
-    wide = join_on_keys(base, grouped_percentiles(df, [], wanted, base.first()["row_count"]), [], "inner")
+    base = materialize(df.agg(*basics, *sketches(df, wanted)))
+    wide = join_on_keys(base, grouped_percentiles(df, [], wanted, sketched=base), [], "left")
     structs = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -128,40 +120,37 @@ def categorical_columns(df: DataFrame, booleans: bool = True) -> list[str]:
     return [c for c in df.columns if not is_numeric(df, c) and (booleans or family(df.schema[c].dataType) != "boolean")]
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows per (column, stringified value), missing values left out.
-
-    The columns are unpivoted in one pass over the table and folded before the shuffle.
-    """
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), present(df, c).cast("string").alias("v")) for c in columns])
-    long = df.select(F.explode(pairs).alias("p")).select(F.col("p.c").alias("column_name"), F.col("p.v").alias("value"))
-    return long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def profile_categorical(df: DataFrame) -> DataFrame:
+def profile_categorical(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Top values per non-numeric column with the column's count, missing count and distinct count.
 
-    Ties are broken by value.
+    Ties are broken by value. ``counts``: a written ``counting_pass`` over all columns that ran already.
     """
     columns = categorical_columns(df)
-    counted = value_counts(df, columns)
-    order = Window.partitionBy("column_name").orderBy(F.col("n").desc(), F.col("value"))
-    top = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP_VALUES)
-    uniques = counted.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("value_count"))
-    wide = missing_counts(df.select(*[ref(c) for c in columns]))
-    totals = _rows_from(
-        wide,
-        [F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("missing_count")) for i, c in enumerate(columns)],
-        ["column_name", "missing_count"],
+    if counts is None:
+        numbers, counted = {c: i for i, c in enumerate(columns)}, materialize(counting_pass(df, columns))
+    else:
+        numbers = {c: i for i, c in enumerate(df.columns) if c in columns}
+        counted = counts.where(F.col("c").isin(*numbers.values()))
+    missing_ones = F.col("d1").isNull()
+    totals = counted.groupBy("c").agg(
+        F.coalesce(F.sum(F.when(missing_ones, F.col("n"))), F.lit(0)).alias("missing_count"),
+        F.coalesce(F.sum(F.when(~missing_ones, F.col("n"))), F.lit(0)).alias("value_count"), F.count("d1").alias("unique_count"),
     )
+    # Values that begin alike tie here, and are told apart once their texts are known.
+    near = Window.partitionBy("c").orderBy(F.col("n").desc(), F.col("begins"))
+    leading = counted.where(~missing_ones).withColumn("place", F.rank().over(near)).where(F.col("place") <= TOP_VALUES)
+    order = Window.partitionBy("c").orderBy(F.col("n").desc(), F.col("value"))
+    all_columns = columns if counts is None else df.columns
+    top = shown_values(df, all_columns, leading).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_VALUES)
+    names = df.sparkSession.createDataFrame([(i, c) for c, i in numbers.items()], "c int, column_name string")
     # One row per column on two sides and at most five on the third.
     return (
-        totals.join(uniques, "column_name", "left")
-        .join(top, "column_name", "left")
+        names.join(totals, "c", "left")
+        .join(top.select("c", "rank", "value", "n"), "c", "left")
         .select(
             "column_name",
             F.coalesce("value_count", F.lit(0)).alias("value_count"),
-            "missing_count",
+            F.coalesce("missing_count", F.lit(0)).alias("missing_count"),
             F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
             "rank",
             "value",

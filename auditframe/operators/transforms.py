@@ -10,7 +10,7 @@ from auditframe.functions.columns import (
 )
 from auditframe.guards import Guard, GuardedChain
 from auditframe.operators.filters import predicate
-from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys, sketches
 from auditframe.session import materialize
 from auditframe.plans.specs import (
     DeriveColumn, DropDuplicates, FilterRows, GroupAggregate, HandleMissing, RenameColumns, SelectColumns, SortRows,
@@ -162,7 +162,6 @@ def group_aggregate(df: DataFrame, op: GroupAggregate) -> DataFrame:
     keys = [ref(k) for k in op.group_by]
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
-    base = materialize(df.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("__rows")))
-    rows = base.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
-    result = join_on_keys(base, grouped_percentiles(df, op.group_by, medians, rows), op.group_by, "left")
+    base = materialize(df.groupBy(*keys).agg(*aggregates, *sketches(df, medians)))
+    result = join_on_keys(base, grouped_percentiles(df, op.group_by, medians, sketched=base), op.group_by, "left")
     return result.select(*keys, *[ref(a.output) for a in op.aggregations])

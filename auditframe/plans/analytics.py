@@ -19,8 +19,9 @@ from auditframe.functions.columns import (
     unsafe_number,
 )
 from auditframe.functions.identity import canonical_json, group_suffix
+from auditframe.operators.counting import counting_pass
 from auditframe.operators.filters import apply_filters
-from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys, sketches
 from auditframe.operators.windows import (
     change_checks, last_rolling, rank_checks, rank_rows, refuse_unsafe, rolling_checks, rolling_mean, series_change,
 )
@@ -67,8 +68,9 @@ def run_plan(df: DataFrame, plan: AnalyticsPlan, dataset: str = "dataset") -> An
             "target_variance": _target_variance,
         }[plan.analysis]
         result = handler(rows, plan, dataset)
-    check_facts(result.facts)
-    return result
+    facts = materialize(result.facts)
+    check_facts(facts)
+    return replace(result, facts=facts)
 
 
 def _top(table: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
@@ -132,11 +134,11 @@ _NEEDED_VALUES = {"sum": 1, "mean": 1, "median": 1, "min": 1, "max": 1, "varianc
 
 
 def _metric_column(df: DataFrame, metric: Metric) -> Column | None:
-    """The aggregate of one metric; percentiles are left to the second pass."""
+    """The aggregate of one metric; percentiles and distinct counts have passes of their own."""
     if metric.name == "count":
         return F.count(F.lit(1)).cast("double")
     if metric.name == "distinct_count":
-        return F.count_distinct(present(df, metric.column)).cast("double")
+        return None
     v = number(df, metric.column)
     return {
         "sum": F.sum(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "variance": F.var_samp(v),
@@ -165,6 +167,10 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResul
     aggregates += [F.count_if(unsafe_number(df, c)).alias(f"__bad{i}") for i, c in enumerate(guarded)]
     direct = [m for m in plan.metrics if _metric_column(df, m) is not None]
     aggregates += [_metric_column(df, m).alias(f"__m{plan.metrics.index(m)}") for m in direct]
+    distinct = [m for m in plan.metrics if m.name == "distinct_count"]
+    exact = [m for m in plan.metrics if m not in direct and m not in distinct]
+    wanted = [(f"__m{plan.metrics.index(m)}", m.column, 50.0 if m.name == "median" else m.percentile) for m in exact]
+    aggregates += sketches(df, wanted)
     first_pass = df.groupBy(*keys).agg(*aggregates)
     first_pass = materialize(first_pass) if keys else _one_row(first_pass)[1]
 
@@ -184,12 +190,14 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResul
             raise RefusedError(f"{m.name} requires at least {needed} non-null numeric value(s) of '{m.column}' in every group.")
 
     table = first_pass
-    exact = [m for m in plan.metrics if m not in direct]
     if exact:
         keyed = df.select(*keys, *[ref(c) for c in dict.fromkeys(m.column for m in exact)])
-        wanted = [(f"__m{plan.metrics.index(m)}", m.column, 50.0 if m.name == "median" else m.percentile) for m in exact]
-        percentiles = grouped_percentiles(keyed, names, wanted, check["rows"])
+        percentiles = grouped_percentiles(keyed, names, wanted, sketched=first_pass)
         table = join_on_keys(table, percentiles, names, "inner")
+    if distinct:
+        table = join_on_keys(table, _distinct_counts(df, plan, distinct, keys, names), names, "inner")
+    if exact or distinct:
+        table = materialize(table)
     table = table.select(
         *[F.col(n).alias(k) for n, k in zip(names, plan.group_by)],
         *[F.col(f"__m{i}").alias(m.output) for i, m in enumerate(plan.metrics)],
@@ -215,6 +223,14 @@ def _metrics(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> AnalyticsResul
     return AnalyticsResult(table, facts, check["rows"])
 
 
+def _distinct_counts(df: DataFrame, plan: AnalyticsPlan, metrics: list[Metric], keys: list[Column], names: list[str]) -> DataFrame:
+    """Distinct values per group, counted by digest: the other columns are not multiplied for it."""
+    columns = list(dict.fromkeys(m.column for m in metrics))
+    counts = counting_pass(df, columns, carried=False, keys=keys)
+    found = {m: (F.col("c") == columns.index(m.column)) & F.col("d1").isNotNull() for m in metrics}
+    return counts.groupBy(*names).agg(*[F.count_if(own).cast("double").alias(f"__m{plan.metrics.index(m)}") for m, own in found.items()])
+
+
 # ---- whole-table analyses ---------------------------------------------------------------------
 
 
@@ -222,8 +238,10 @@ def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> Analytics
     column = plan.value_column
     require_numeric(df, column)
     v = number(df, column)
+    wanted = [("median", column, 50.0), ("p25", column, 25.0), ("p75", column, 75.0)]
     row, basics = _one_row(
         df.agg(
+            *sketches(df, wanted),
             F.count(F.lit(1)).alias("rows"),
             F.count_if(unsafe_number(df, column)).alias("bad0"),
             F.count(v).cast("double").alias("count"),
@@ -238,8 +256,7 @@ def _distribution(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> Analytics
         raise _no_rows()
     refuse_unsafe([column], row)
     _refuse_nulls(plan, row["missing_count"])
-    wanted = [("median", column, 50.0), ("p25", column, 25.0), ("p75", column, 75.0)]
-    percentiles = grouped_percentiles(df, [], wanted, row["rows"])
+    percentiles = grouped_percentiles(df, [], wanted, sketched=basics)
     names = ["count", "missing_count", "min", "max", "mean", "median", "std", "p25", "p75"]
     whole = join_on_keys(basics, percentiles, [], "inner")
     structs = [
@@ -357,16 +374,21 @@ def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> Analyt
     if not is_numeric(df, target):
         raise RefusedError("Target values must be numeric.")
     v, t = number(df, value), number(df, target)
-    grouped = df.groupBy(*[present(df, k).alias(k) for k in plan.group_by]).agg(
-        F.sum(v).alias("actual"),
-        F.max(t).alias("target"),
-        F.count(F.lit(1)).alias("row_count"),
-        F.count(v).alias("__values"),
-        F.min(t).alias("__low"),
-        F.count_if(missing(df, value) | missing(df, target)).alias("__nulls"),
-        F.count_if(unsafe_number(df, value)).alias("__bad0"),
-        F.count_if(unsafe_number(df, target)).alias("__bad1"),
-    )
+    keys = [present(df, k).alias(k) for k in plan.group_by]
+    counters = {
+        "actual": (F.sum(v), F.sum), "target": (F.max(t), F.max), "row_count": (F.count(F.lit(1)), F.sum), "__values": (F.count(v), F.sum),
+        "__low": (F.min(t), F.min), "__nulls": (F.count_if(missing(df, value) | missing(df, target)), F.sum),
+        "__bad0": (F.count_if(unsafe_number(df, value)), F.sum), "__bad1": (F.count_if(unsafe_number(df, target)), F.sum),
+    }
+    first = [aggregate.alias(name) for name, (aggregate, _) in counters.items()]
+    if plan.contributor_column:
+        # Sums per group and contributor first, then per group: one scan serves both, and the top contributor is a bounded fold.
+        inner = df.groupBy(*keys, present(df, plan.contributor_column).cast("string").alias("__contributor")).agg(*first)
+        best_first = F.struct(F.col("actual").isNull(), -F.col("actual"), F.col("__contributor").isNull(), "__contributor")
+        top = F.min_by(F.struct(F.col("__contributor").alias("contributor"), F.col("actual").alias("value")), best_first).alias("__top")
+        grouped = inner.groupBy(*[ref(k) for k in plan.group_by]).agg(*[again(name).alias(name) for name, (_, again) in counters.items()], top)
+    else:
+        grouped = df.groupBy(*keys).agg(*first)
     whole = materialize(grouped)
     check = whole.agg(
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"),
@@ -394,6 +416,7 @@ def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> Analyt
         (F.col("actual") - F.col("target")).alias("variance"),
         F.greatest(F.col("target") - F.col("actual"), F.lit(0.0)).alias("shortfall"),
         F.col("row_count").cast("double").alias("row_count"),
+        *([F.col("__top")] if plan.contributor_column else []),
     )
     order = [F.col("shortfall").desc(), *[ref(k).asc_nulls_last() for k in plan.group_by]]
     worst = table.orderBy(*order).limit(1)
@@ -414,30 +437,14 @@ def _target_variance(df: DataFrame, plan: AnalyticsPlan, dataset: str) -> Analyt
         ],
     )
     if plan.contributor_column:
-        facts = facts.unionByName(_top_contributor(df, plan, worst, dataset))
-    return AnalyticsResult(_top(table, [*order], plan.limit), facts, check["rows"])
-
-
-def contributors(df: DataFrame, plan: AnalyticsPlan, worst: DataFrame) -> DataFrame:
-    """Sum per contributor inside the worst group; its one row of keys becomes a pushed-down filter."""
-    keys = worst.first()
-    inside = df
-    for f in worst.schema.fields:
-        if f.name in plan.group_by:
-            inside = inside.filter(present(df, f.name).eqNullSafe(F.lit(keys[f.name]).cast(f.dataType)))
-    return inside.groupBy(present(df, plan.contributor_column).alias("contributor")).agg(
-        F.sum(number(df, plan.value_column)).alias("value"), F.count(F.lit(1)).alias("row_count")
-    )
+        facts = facts.unionByName(_top_contributor(plan, worst, dataset))
+    return AnalyticsResult(_top(table.drop("__top"), [*order], plan.limit), facts, check["rows"])
 
 
-def _top_contributor(df: DataFrame, plan: AnalyticsPlan, worst: DataFrame, dataset: str) -> DataFrame:
-    sums = contributors(df, plan, worst).withColumn("contributor", F.col("contributor").cast("string"))
-    best_first = F.struct(-F.col("value"), F.col("contributor").isNull(), "contributor")
-    top = sums.agg(F.min_by(F.struct("contributor", "value"), best_first).alias("t"), F.sum("row_count").alias("row_count"))
-    placed = join_on_keys(top.select("t.*", "row_count"), worst.select(*[ref(k) for k in plan.group_by]), [], "inner")
-    placed = placed.withColumn(plan.contributor_column, F.coalesce("contributor", F.lit("nan")))
+def _top_contributor(plan: AnalyticsPlan, worst: DataFrame, dataset: str) -> DataFrame:
+    placed = worst.select(*[ref(k) for k in plan.group_by], "row_count", F.coalesce("__top.contributor", F.lit("nan")).alias(plan.contributor_column), F.col("__top.value").alias("__value"))
     fact = _fact(
-        F.lit("target.top_contributor"), F.lit("sum"), F.col("value"), ref(plan.contributor_column), dataset,
+        F.lit("target.top_contributor"), F.lit("sum"), F.col("__value"), ref(plan.contributor_column), dataset,
         F.lit(f"sum({plan.value_column}) by {plan.contributor_column} within the largest shortfall group"),
         F.col("row_count"), canonical_json(placed, [*plan.group_by, plan.contributor_column]),
     )

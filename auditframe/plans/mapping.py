@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import family, missing
@@ -13,6 +13,7 @@ from auditframe.operators.joins import join_sources
 from auditframe.operators.transforms import arithmetic
 from auditframe.plans.evidence import policy_rate
 from auditframe.plans.specs import DerivationRule, TransformPlan
+from auditframe.sources.sinks import Export, check_export, export_csv, require_checks
 
 # Business aliases of normalised target names, confidence per kind of match, and
 # the source type words that fit a target type.
@@ -27,6 +28,8 @@ ALIASES = {
     "returns": ("returnamount", "refunds", "refundamount"),
     "orderdate": ("transactiondate", "purchasedate", "date"),
 }
+#: Source columns that a question to a person lists.
+OPTIONS = 20
 CONFIDENCE = {"explicit": 1.0, "exact": 0.99, "normalized": 0.97, "documented_alias": 0.94, "semantic_candidate": 0.75}
 SALES_ROLES = {
     "transactions": ["transaction_id", "date", "salesperson", "customer_id", "amount", "discount", "status"],
@@ -84,8 +87,8 @@ def _aliased_targets(fields: DataFrame, extra: dict[str, list[str]]) -> DataFram
     documented = spark.createDataFrame([(t, a) for t, aliases in ALIASES.items() for a in aliases], "t_norm string, alias string")
     given = spark.createDataFrame([(t, a) for t, aliases in extra.items() for a in aliases], "target_field string, alias string")
     columns = ["target_field", "target_type", normalized_name(F.col("alias")).alias("alias_norm")]
-    by_norm = fields.join(F.broadcast(documented), "t_norm").select(*columns)
-    return by_norm.unionByName(fields.join(F.broadcast(given), "target_field").select(*columns)).distinct()
+    by_norm = fields.join(documented, "t_norm").select(*columns)
+    return by_norm.unionByName(fields.join(given, "target_field").select(*columns)).distinct()
 
 
 # Which target types accept a source, as one flag per class of target types.
@@ -133,12 +136,12 @@ def field_candidates(
     )
     wished = F.struct("source_role", "source_field", "data_type")
     chosen = (
-        t.join(F.broadcast(wishes), "target_field")
+        t.join(wishes, "target_field")
         .join(s, (F.col("wish_role") == F.col("source_role")) & (F.col("wish_field") == F.col("source_field")), "left")
         .withColumn("one", F.when(F.col("source_field").isNotNull(), wished))
         .withColumn("n", F.lit(1))
     )
-    free = t.join(F.broadcast(wishes.select("target_field")), "target_field", "left_anti")
+    free = t.join(wishes.select("target_field"), "target_field", "left_anti")
     by_norm = _summary(s, "s_norm")
     # Different aliases name different columns, so their counts add up.
     aliased = _aliased_targets(free, aliases or {}).join(by_norm, F.col("alias_norm") == F.col("key"))
@@ -213,29 +216,50 @@ def propose_mappings(candidates: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def field_options(
-    fields: DataFrame, sources: DataFrame, aliases: dict[str, list[str]] | None = None
+    fields: DataFrame, sources: DataFrame, aliases: dict[str, list[str]] | None = None, k: int = OPTIONS
 ) -> DataFrame:
-    """Every source column that may be meant by the given fields, for the questions put to a person.
+    """(target_field, options): the first ``k`` source columns by name that may be meant by each field.
 
-    ``fields`` are the few open ones of ``clarifications`` joined back to their targets.
+    A column may be meant if its name or an alias equals the field's, or if it shares a word with it and
+    fits its type. Of every word, name and class of types only the first ``k`` columns go on to the
+    fields: the first ``k`` of a union are among the first ``k`` of its parts, so a word that a third of
+    all columns share costs ``k`` rows per field.
     """
     t = fields.select("target_field", "target_type", normalized_name(F.col("target_field")).alias("t_norm"))
-    s = sources.select("source_role", "source_field", "data_type", normalized_name(F.col("source_field")).alias("s_norm"))
-    keep = ["target_field", "source_role", "source_field"]
-    named = t.join(s, F.col("t_norm") == F.col("s_norm")).select(*keep)
-    aliased = _aliased_targets(t, aliases or {}).join(s, F.col("alias_norm") == F.col("s_norm")).select(*keep)
-    t_words = t.select("target_field", "target_type", F.explode(name_tokens(F.col("target_field"))).alias("word"))
-    s_words = s.select("source_role", "source_field", "data_type", F.explode(name_tokens(F.col("source_field"))).alias("word"))
-    shared = t_words.join(s_words, "word").filter(type_compatible(F.col("target_type"), F.col("data_type"))).select(*keep)
-    return named.unionByName(aliased).unionByName(shared).distinct()
-
-
-def clarifications(mappings: DataFrame, required: list[str], derived: list[str] = ()) -> DataFrame:
-    """Required fields whose mapping is not settled, with the kind of question to ask."""
+    s = sources.select("source_role", "source_field", "data_type", normalized_name(F.col("source_field")).alias("s_norm")).distinct()
+    column = F.struct("source_role", "source_field")
+    # Names are asked for as words of a class that every type fits.
+    words = s.select(F.explode(name_tokens(F.col("source_field"))).alias("word"), column.alias("column"), "data_type")
+    classes = F.array(*[F.when(type_compatible(F.lit(name), F.col("data_type")), F.lit(name)) for name in _CLASSES])
+    entries = words.select("word", "column", F.explode(F.array_compact(classes)).alias("class")).unionByName(
+        s.select(F.concat(F.lit("="), "s_norm").alias("word"), column.alias("column"), F.lit("name").alias("class"))
+    )
+    first = Window.partitionBy("word", "class").orderBy("column")
+    lists = entries.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place")
+    by_word = t.select("target_field", F.explode(name_tokens(F.col("target_field"))).alias("word"), _class_of(F.col("target_type")).alias("class"))
+    by_name = t.select("target_field", F.concat(F.lit("="), "t_norm").alias("word"), F.lit("name").alias("class"))
+    by_alias = _aliased_targets(t, aliases or {}).select("target_field", F.concat(F.lit("="), "alias_norm").alias("word"), F.lit("name").alias("class"))
+    met = by_word.unionByName(by_name).unionByName(by_alias).join(lists, ["word", "class"]).select("target_field", "column").distinct()
+    best = Window.partitionBy("target_field").orderBy("column")
+    kept = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    listed = kept.groupBy("target_field").agg(F.sort_array(F.collect_list("column")).alias("c"))  # at most k
+    return listed.select("target_field", F.transform("c", lambda x: F.concat(x["source_role"], F.lit("."), x["source_field"])).alias("options"))
+
+
+def clarifications(mappings: DataFrame, required: list[str], derived: list[str] = (), options: DataFrame | None = None) -> DataFrame:
+    """Required fields whose mapping is not settled, with the kind of question to ask.
+
+    With ``options`` (of ``field_options``), an ambiguous field also lists the columns to choose from.
+    """
     codes = {"ambiguous": "ambiguous_mapping", "missing": "missing_required_field", "incompatible": "incompatible_type"}
     code = F.element_at(F.create_map(*[F.lit(x) for p in codes.items() for x in p]), F.col("status"))
     open_fields = mappings.filter(F.col("target_field").isin([f for f in required if f not in derived]))
-    return open_fields.filter(F.col("status").isin(*codes)).select("target_field", code.alias("code"), "status")
+    asked = open_fields.filter(F.col("status").isin(*codes)).select("target_field", code.alias("code"), "status")
+    if options is None:
+        return asked
+    nothing = F.array().cast("array<string>")
+    listed = F.when(F.col("status") == "ambiguous", F.coalesce("options", nothing)).otherwise(nothing)
+    return asked.join(options, "target_field", "left").withColumn("options", listed)
 
 
 # ---- execution --------------------------------------------------------------------------------
@@ -368,6 +392,13 @@ def run_transform(plan: TransformPlan, sources: dict[str, DataFrame], evidence:
     )
 
 
+def export_target(target: TargetTable, path: str) -> Export:
+    """Write a target table as CSV, open it again and refuse it unless columns, order and rows are the target's."""
+    export = export_csv(target.frame, path)
+    require_checks(check_export(target.frame.sparkSession, export, target.frame.columns))
+    return export
+
+
 def _checked_counts(
     work: DataFrame, counters: list[Column], outputs: dict[str, str], unique_fields: list[str]
 ) -> tuple[dict, dict[str, int]]:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import require_columns
 from auditframe.functions.scalars import is_close, sum_available
-from auditframe.operators.quantiles import grouped_percentiles, join_on_keys
+from auditframe.operators.quantiles import grouped_percentiles, join_on_keys, sketches
 from auditframe.session import materialize
 
 PRECEDENCE = ("failed", "conflicting", "unsupported", "insufficient_evidence")
@@ -131,6 +131,7 @@ def call_usage(
     any call lacks them; cost from the token sums."""
     require_columns(calls, [*group_by, "latency_ms", "input_tokens", "output_tokens"], "calls")
     tokens_in, tokens_out = sum_available(F.col("input_tokens")), sum_available(F.col("output_tokens"))
+    wanted = [("latency_ms_median", "latency_ms", 50.0), ("latency_ms_p95", "latency_ms", 95.0)]
     base = calls.groupBy(*group_by).agg(
         F.count(F.lit(1)).alias("measured_call_count"),
         F.sum("latency_ms").alias("latency_ms_total"),
@@ -138,12 +139,12 @@ def call_usage(
         tokens_in.alias("input_tokens"),
         tokens_out.alias("output_tokens"),
         ((tokens_in * F.lit(input_cost_per_million) + tokens_out * F.lit(output_cost_per_million)) / 1_000_000).alias("cost"),
+        *sketches(calls, wanted),
     )
     base = materialize(base)
-    rows = base.agg(F.coalesce(F.sum("measured_call_count"), F.lit(0))).first()[0]
-    median = grouped_percentiles(calls, group_by, [("latency_ms_median", "latency_ms", 50.0)], rows)
-    p95 = grouped_percentiles(calls, group_by, [("latency_ms_p95", "latency_ms", 95.0)], rows, nearest_rank=True)
-    return join_on_keys(join_on_keys(base, median, group_by, "left"), p95, group_by, "left")
+    found = grouped_percentiles(calls, group_by, wanted, nearest_rank=["latency_ms_p95"], sketched=base)
+    shown = base.select(*[c for c in base.columns if not c.startswith("__")])
+    return join_on_keys(shown, found, group_by, "left")
 
 
 def judgement_mean(results: DataFrame, judgements: DataFrame, key: str = "case_id") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from auditframe.errors import RefusedError
 from auditframe.functions.columns import ref, require_unique_names
 from auditframe.functions.scalars import collapse_spaces, to_number
+from auditframe.sources import csv_ranges
+from auditframe.sources.json_ranges import stage_elements
 
 # The texts a CSV scan reads as missing, and schemas that are never imported.
 MISSING_TOKENS = (
@@ -30,23 +32,26 @@ def expect_size(df: DataFrame, max_rows: int | None = None, max_columns: int | N
 
 def read_csv(
     spark: SparkSession, path: str, types: dict[str, str] | None = None, max_columns: int | None = None,
-    multi_line: bool = True, line_sep: str | None = None,
+    multi_line: bool = True, line_sep: str | None = None, range_bytes: int | None = None,
 ) -> DataFrame:
     """CSV with a header. Missing tokens become null first, then columns get their type.
 
-    With ``types`` the file is read once, lazily. Without, one aggregate over the file finds the
-    narrowest of long, double, boolean and string for every column; dates stay text until asked.
-    Quoted text may hold line breaks, so a file is read by one task. ``multi_line=False`` splits files
-    that are known to hold none. All files below ``path`` need one header: a file that differs from
-    it in a name or in the order fails the job. (Repeated or empty names, which get new ones, cannot be
-    compared this way.)
+    Without ``types``, one aggregate over the files finds the narrowest of long, double, boolean and
+    string for every column; dates stay text until asked. Quoted text may hold line breaks: files are
+    read in ranges of ``range_bytes`` by many tasks, after a pass that finds out which ranges begin
+    inside a quoted text (``csv_ranges``). ``multi_line=False`` saves that pass for files that are
+    known to hold none. All files below ``path`` need one header: a file that differs from it in a
+    name or in the order fails the job. Lines end in LF, CR and LF, or ``line_sep``.
     """
     options = {"multiLine": multi_line, "escape": '"'} | ({"lineSep": line_sep} if line_sep else {})
     given, names = _header_names(spark, path, options)
     if max_columns is not None and len(names) > max_columns:
         raise RefusedError(f"Datasets may contain at most {max_columns} columns.")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    text = spark.read.options(**options).csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=given != names)
+    if multi_line:
+        text = csv_ranges.parse_records(csv_ranges.read_records(spark, path, given, line_sep or "\n", range_bytes), names)
+    else:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        text = spark.read.options(**options).csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=given != names)
     text = text.select(*[F.when(~ref(c).isin(*MISSING_TOKENS), ref(c)).alias(c) for c in names])
     types = types or infer_types(text)
     unknown = sorted(set(types) - set(names))
@@ -60,7 +65,7 @@ def _header_names(spark: SparkSession, path: str, options: dict) -> tuple[list[s
     header = spark.read.options(**options).csv(path, header=False, encoding="UTF-8").first()
     if header is None:
         raise RefusedError("The CSV dataset is empty.")
-    given = [(name or "").lstrip("\ufeff") or f"Unnamed: {i}" for i, name in enumerate(header)]
+    given = csv_ranges.given_names(list(header))
     names: list[str] = []
     for name in given:
         repeat, candidate = 0, name
@@ -130,83 +135,33 @@ def refuse_nested(df: DataFrame) -> None:
 # ---- JSON -------------------------------------------------------------------------------------
 
 
-def read_json(spark: SparkSession, path: str, records_key: str | None = None) -> DataFrame:
+def read_json(spark: SparkSession, path: str, records_key: str | None = None, range_bytes: int | None = None) -> DataFrame:
     """JSON documents holding an array of records, or an object wrapping exactly one such array.
 
-    Records are flattened one level (``parent.child``); arrays, deeper nesting, name collisions
-    and non-finite constants are refused.
+    A document is cut into its elements by many tasks (``json_ranges``), in ranges of ``range_bytes``,
+    and staged as one element a line. Records are flattened one level (``parent.child``); arrays,
+    deeper nesting, name collisions and non-finite constants are refused.
     """
-    documents = spark.read.text(path, wholetext=True)
-    trimmed = F.regexp_replace("value", "^[\\s\\x{feff}]+", "")
-    lead = F.regexp_extract(trimmed, "^(\\[\\s*[^\\s]|.)", 1)
-    kinds = {(r[0][:1], r[0][-1:]) for r in documents.select(lead.alias("c")).distinct().collect()}
-    tops = {top for top, _ in kinds}
-    if documents.filter(F.col("value").contains("\0")).limit(1).count():
-        raise RefusedError("JSON datasets containing null bytes are not accepted.")
-    if tops == {"["}:
-        if records_key:
-            raise RefusedError("records_key is only valid for a JSON object wrapping a record array.")
-        seconds = {second for _, second in kinds}
-        if seconds <= {"{"}:
-            return flatten_records(_parse(spark, path))
-        if "{" in seconds:
-            raise RefusedError("The JSON top-level array mixes objects and scalars; the structure is ambiguous.")
-        if "]" in seconds:
-            raise RefusedError("The JSON top-level array is empty.")
-        return _scalar_column(_only_scalars(documents.select(F.explode(F.from_json(trimmed, "array<string>")).alias("value")), "top-level array"))
-    if tops != {"{"}:
-        raise RefusedError("JSON must be an array of records or an object wrapping one record array.")
-    return _wrapped_records(_parse(spark, path), records_key)
+    staged = stage_elements(spark, path, records_key, range_bytes)
+    if staged.records:
+        return flatten_records(_parse(spark, staged.path))
+    if staged.wrapped:
+        return _parse(spark, staged.path)
+    return _scalar_column(spark.read.schema("value string").json(staged.path, mode="FAILFAST", allowNonNumericNumbers=False))
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One JSON record per line, flattened like ``read_json``; the only form whose files split."""
-    return flatten_records(_parse(spark, path, whole_files=False))
+    return flatten_records(_parse(spark, path))
 
 
-def _parse(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+def _parse(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.json(path, multiLine=whole_files, mode="FAILFAST", allowNonNumericNumbers=False)
+        return spark.read.json(path, mode="FAILFAST", allowNonNumericNumbers=False)
     except Exception as exc:
         raise RefusedError("The JSON is malformed or holds values that are not accepted.") from exc
 
 
-def _wrapped_records(wrapper: DataFrame, records_key: str | None) -> DataFrame:
-    arrays = {
-        f.name: f.dataType.elementType
-        for f in wrapper.schema.fields
-        if isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, T.ArrayType)
-    }
-    if records_key:
-        if records_key not in wrapper.columns:
-            raise RefusedError(f"JSON object does not contain records_key '{records_key}'.")
-        if records_key not in arrays:
-            raise RefusedError(f"records_key '{records_key}' must contain an array of records.")
-        chosen = records_key
-    else:
-        filled = wrapper.agg(*[F.max(F.size(ref(n))).alias(f"s{i}") for i, n in enumerate(arrays)]).first() if arrays else []
-        candidates = [n for i, n in enumerate(arrays) if (filled[i] or 0) > 0]
-        if len(candidates) > 1:
-            raise RefusedError(
-                f"JSON object contains multiple record arrays ({', '.join(sorted(candidates))}); specify records_key."
-            )
-        if not candidates:
-            raise RefusedError("JSON object does not contain a clearly selected array of records.")
-        chosen = candidates[0]
-    if wrapper.filter(F.size(ref(chosen)) > 0).limit(1).count() == 0:
-        raise RefusedError(f"The JSON {chosen} is empty.")
-    records = wrapper.select(F.explode(ref(chosen)).alias("value"))
-    if isinstance(arrays[chosen], T.StructType):
-        return flatten_records(records.select("value.*"))
-    return _only_scalars(records, chosen) if isinstance(arrays[chosen], T.StringType) else records
-
-
-def _only_scalars(values: DataFrame, label: str) -> DataFrame:
-    if values.filter(F.col("value").rlike("^\\s*[{\\[]")).limit(1).count():
-        raise RefusedError(f"The JSON {label} mixes objects and scalars; the structure is ambiguous.")
-    return values
-
-
 def _scalar_column(values: DataFrame) -> DataFrame:
     return values.select(_typed("value", infer_types(values)["value"]).alias("value"))
 

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from auditframe.workload import (  # noqa: F401  (importing registers the queries)
-    documents, joins, metrics, operations, pipelines, quality, runs, sources, windows,
+    boundaries, documents, joins, metrics, operations, pipelines, quality, runs, sources, windows,
 )
 from auditframe.workload.registry import QUERIES, SQL
 

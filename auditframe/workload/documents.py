@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions.retrieval import dense_top_k, hit_metrics, sparse_top_k
 from auditframe.functions.scalars import percent_rates
-from auditframe.functions.text import STOP_WORDS, VECTOR_BUCKETS, chunk_pages, document_ids, pages_from_text, replace_documents, token_vectors
+from auditframe.functions.text import STOP_WORDS, chunk_pages, document_ids, pages_from_text, replace_documents, token_vectors
 from auditframe.workload.registry import query, table
 
 # White space as in functions.scalars.SPACE, spelled out for an engine without Unicode classes.
@@ -130,9 +130,9 @@ def cosine_topk_selected_documents(spark, sf):
     """
 )
 def cosine_topk_every_document(spark, sf):
-    """The three passages most like every document: a query set that grows with the table, met in blocks of 128 vectors."""
+    """The three passages most like every document: a query set that grows with the table."""
     documents, passages = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    found = sparse_top_k(token_vectors(passages, "item_id"), token_vectors(documents, "doc_id"), "item_id", "doc_id", 3, block_values=128 * VECTOR_BUCKETS)
+    found = sparse_top_k(token_vectors(passages, "item_id"), token_vectors(documents, "doc_id"), "item_id", "doc_id", 3)
     return found.select("doc_id", "item_id", "score", "rank")
 
 

@@ -127,12 +127,6 @@ def group_metrics_all(spark, sf):
     return _all_metrics(spark, sf)
 
 
-@query(f"SELECT l_returnflag, status, {_ALL_METRICS_SQL} FROM ({_LINES}) GROUP BY l_returnflag, status")
-def group_metrics_ranked_percentiles(spark, sf):
-    """The same metrics with the percentile method for groups too large for one task."""
-    return _all_metrics(spark, sf)
-
-
 @query(f"SELECT {_ALL_METRICS_SQL} FROM lineitem")
 def overall_metrics(spark, sf):
     return rounded(run_plan(_lines(spark, sf), AnalyticsPlan("metrics", metrics=_ALL_METRICS), "lineitem").table)
@@ -204,11 +198,6 @@ def distribution(spark, sf):
     return _distribution(spark, sf)
 
 
-@query(_DISTRIBUTION)
-def distribution_ranked_percentiles(spark, sf):
-    return _distribution(spark, sf)
-
-
 @query(
     """
     SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, round(corr(l_quantity, l_extendedprice), 6) AS pearson, count(*) AS paired_rows

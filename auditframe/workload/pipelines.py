@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditframe.plans.grades import GradePolicy, required_finals
-from auditframe.plans.mapping import clarifications, field_candidates, identify_roles, propose_mappings, run_transform
+from auditframe.plans.mapping import (
+    clarifications, export_target, field_candidates, field_options, identify_roles, propose_mappings, run_transform,
+)
 from auditframe.plans.sales import clean_transactions, sales_report
 from auditframe.plans.specs import (
     DerivationRule, FieldMapping, FieldReference, JoinRule, TargetColumn, TransformPlan,
 )
+from auditframe.session import work_path
+from auditframe.sources.scans import read_csv
 from auditframe.workload.metrics import rounded
 from auditframe.workload.registry import query, table
 
@@ -238,7 +242,7 @@ _MAPPED = f"""
 """
 
 
-def _mapped(spark, sf):
+def _catalog(spark, sf):
     parts = table(spark, sf, "part")
     targets = parts.selectExpr(
         "CASE WHEN p_type = 'PROMO' THEN replace(p_name, ' ', '_') ELSE concat('type_', lower(p_type)) END AS target_field",
@@ -248,24 +252,39 @@ def _mapped(spark, sf):
         "p_brand AS source_role", "CASE WHEN p_size > 49 THEN p_name ELSE concat('size ', p_size) END AS source_field",
         "CASE WHEN p_size > 49 AND p_name LIKE '%bolt' THEN 'boolean' ELSE 'string' END AS data_type",
     ).distinct()
-    return propose_mappings(field_candidates(targets, sources), targets)
+    return targets, sources
 
 
 @query(_MAPPED)
 def mapping_candidates(spark, sf):
     """Product names as a column catalog: which source field fits which target field?"""
-    return _mapped(spark, sf)
+    targets, sources = _catalog(spark, sf)
+    return propose_mappings(field_candidates(targets, sources), targets)
 
 
 @query(
     f"""
+    WITH t AS ({_MAP_TARGETS}), s AS ({_MAP_SOURCES}),
+    o AS (SELECT DISTINCT target_field, source_role, source_field FROM t JOIN s
+          ON replace(target_field, '_', '') = replace(source_field, ' ', '')
+          OR (len(list_intersect([x FOR x IN split(target_field, '_') IF length(x) > 2], [x FOR x IN split(source_field, ' ') IF length(x) > 2])) > 0
+              AND NOT (target_type = 'number' AND data_type = 'boolean'))
+          WHERE target_field IN ('red_bolt', 'red_gear', 'cold_rod', 'new_plate', 'hot_ring')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY target_field ORDER BY source_role, source_field) AS place FROM o),
+    l AS (SELECT target_field, string_agg(source_role || '.' || source_field, '|' ORDER BY source_role, source_field) AS options FROM k WHERE place <= 5 GROUP BY target_field)
     SELECT target_field, CASE status WHEN 'ambiguous' THEN 'ambiguous_mapping' WHEN 'missing' THEN 'missing_required_field'
-           ELSE 'incompatible_type' END AS code, status
-    FROM ({_MAPPED}) WHERE status IN ('ambiguous', 'missing', 'incompatible') AND target_field IN ('red_bolt', 'red_gear', 'cold_rod', 'new_plate', 'hot_ring')
+           ELSE 'incompatible_type' END AS code, status, CASE WHEN status = 'ambiguous' THEN coalesce(options, '') ELSE '' END AS options
+    FROM ({_MAPPED}) LEFT JOIN l USING (target_field)
+    WHERE status IN ('ambiguous', 'missing', 'incompatible') AND target_field IN ('red_bolt', 'red_gear', 'cold_rod', 'new_plate', 'hot_ring')
     """
 )
 def mapping_clarifications(spark, sf):
-    return clarifications(_mapped(spark, sf), ["red_bolt", "red_gear", "cold_rod", "new_plate", "hot_ring", "derived"], ["derived"])
+    """Open required fields, each ambiguous one with the first five columns it may mean."""
+    targets, sources = _catalog(spark, sf)
+    wanted = ["red_bolt", "red_gear", "cold_rod", "new_plate", "hot_ring", "derived"]
+    options = field_options(targets.filter(F.col("target_field").isin(wanted)), sources, k=5)
+    asked = clarifications(propose_mappings(field_candidates(targets, sources), targets), wanted, ["derived"], options)
+    return asked.withColumn("options", F.array_join("options", "|"))
 
 
 # ---- source-to-target table -------------------------------------------------------------------
@@ -281,7 +300,7 @@ def mapping_clarifications(spark, sf):
     """
 )
 def source_to_target_table(spark, sf):
-    """Orders and customers mapped, cleaned and derived into a fixed target table."""
+    """Orders and customers mapped, cleaned and derived into a fixed target table, exported, checked and read back."""
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("gross"),
         F.length("o_orderpriority").alias("o_share"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"),
@@ -318,5 +337,7 @@ def source_to_target_table(spark, sf):
         unique_fields=["Order ID"],
     )
     evidence = spark.createDataFrame([("policy-1", POLICY)], "chunk_id string, text string")
-    frame = run_transform(plan, {"orders": orders, "customers": customers}, evidence).frame
+    export = export_target(run_transform(plan, {"orders": orders, "customers": customers}, evidence), work_path(spark, "target-csv"))
+    types = {"Order ID": "double", "Gross Sales": "double", "Net Sales": "double", "Commission": "double", "Parts": "double", "Order Date": "timestamp", "Done": "boolean"}
+    frame = read_csv(spark, export.path, types=types, line_sep="\n")
     return frame.withColumn("Customer Name", F.trim("`Customer Name`"))

@@ -71,12 +71,6 @@ def profile_numeric_lineitem(spark, sf):
     return rounded(profile_numeric(_lines(spark, sf)))
 
 
-@query(_NUMERIC)
-def profile_numeric_ranked_medians(spark, sf):
-    """The same profile with the median method for columns too large for one task."""
-    return rounded(profile_numeric(_lines(spark, sf)))
-
-
 def _categorical_sql(source, columns):
     union = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM ({source})" for c in columns)
     return f"""

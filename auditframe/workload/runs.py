@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from auditframe.plans import verify
 from auditframe.plans.analytics import run_plan
+from auditframe.plans.runlog import RunLog
 from auditframe.plans.runs import (
-    RunLog, categories_snapshot, category_changes, category_values_snapshot, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
+    categories_snapshot, category_changes, category_values_snapshot, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
     metric_changes, missing_changes, missing_snapshot, row_count_changes, run_by_period, run_diagnostics, run_facts, step_changes,
     unique_count_changes,
     warning_changes,
@@ -337,20 +338,6 @@ def call_usage_by_type(spark, sf):
     )
 
 
-@query(
-    """
-    SELECT event_type, round(quantile_cont(value, 0.5), 6) AS latency_ms_median, quantile_disc(value, 0.95) AS latency_ms_p95
-    FROM events GROUP BY event_type
-    """
-)
-def call_usage_ranked_percentiles(spark, sf):
-    calls = table(spark, sf, "events").select(
-        "event_type", F.col("value").alias("latency_ms"), F.col("event_id").alias("input_tokens"), F.col("user_id").alias("output_tokens")
-    )
-    usage = verify.call_usage(calls, ["event_type"], 3.0, 15.0)
-    return usage.select("event_type", F.round("latency_ms_median", 6).alias("latency_ms_median"), "latency_ms_p95")
-
-
 @query(
     """
     SELECT count(*) AS completed_case_count, count(*) FILTER (quality = 1 AND toxic = 0) AS passed_count,

@@ -11,7 +11,7 @@ from auditframe.functions.identity import content_fingerprint
 from auditframe.functions.scalars import neutralize_formulas, normalize_currency, normalize_number, to_moment
 from auditframe.session import work_path
 from auditframe.sources.scans import file_fingerprints, flatten_records, read_csv, read_json, read_json_lines, read_parquet
-from auditframe.sources.sinks import check_export, export_csv, require_checks
+from auditframe.sources.sinks import CSV_OPTIONS, check_export, export_csv, require_checks
 from auditframe.workload.registry import query, table
 
 
@@ -77,10 +77,19 @@ def csv_documents_round_trip(spark, sf):
     return read_csv(spark, export.path, types={"doc_id": "bigint", "n_chars": "bigint"}, line_sep="\n")
 
 
+@query("SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
+def csv_one_file_in_ranges(spark, sf):
+    """All documents, with line breaks and quotes, as one CSV file that many tasks read."""
+    documents = table(spark, sf, "documents")
+    path = work_path(spark, "documents-one-csv")
+    documents.coalesce(1).write.options(**CSV_OPTIONS).csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_csv(spark, path, types={"doc_id": "bigint", "n_chars": "bigint"}, range_bytes=1 << 19)
+
+
 _JSON_ORDERS = """
     SELECT o_orderkey AS "order.key", o_orderstatus AS "order.status", o_totalprice AS total, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
 """
-#: Records of one written JSON document; a document is read as one row, so its size is bounded when it is written.
+#: Records of one written JSON document; a document is written as one row.
 DOCUMENT_RECORDS = 5_000
 
 
@@ -108,6 +117,17 @@ def json_array_scan(spark, sf):
     return read_json(spark, _json_documents(spark, _order_records(spark, sf), F.to_json))
 
 
+@query(_JSON_ORDERS)
+def json_one_array_in_ranges(spark, sf):
+    """All orders as one array in one file that many tasks read."""
+    records = _order_records(spark, sf).select("record", F.col("record.order.key").alias("key"))
+    first, last = records.agg(F.min("key"), F.max("key")).first()
+    line = F.concat(F.when(F.col("key") == first, "[").otherwise(""), F.to_json("record"), F.when(F.col("key") == last, "]").otherwise(","))
+    path = work_path(spark, "orders-one-json")
+    records.coalesce(1).sortWithinPartitions("key").select(line.alias("value")).write.text(path)
+    return read_json(spark, path, range_bytes=1 << 18)
+
+
 @query(_JSON_ORDERS)
 def json_wrapped_scan(spark, sf):
     """Documents that wrap one array of records among other fields."""

@@ -124,12 +124,6 @@ def rolling_mean_per_user(spark, sf):
     return _events_rolling(spark, sf)
 
 
-@query(_EVENTS_ROLLING)
-def rolling_mean_per_user_by_blocks(spark, sf):
-    """The same rows when a user's events may exceed one task: equal blocks with borrowed rows."""
-    return _events_rolling(spark, sf)
-
-
 @query(
     """
     SELECT event_id, CASE WHEN count(value) OVER w = 30 THEN round(avg(value) OVER w, 6) END AS rolling_mean
@@ -179,11 +173,6 @@ def percent_change_monthly(spark, sf):
     return rounded(series_change(_monthly(spark, sf), "total", "month"), skip=("total",))
 
 
-@query(_CHANGE)
-def percent_change_by_blocks(spark, sf):
-    return rounded(series_change(_monthly(spark, sf), "total", "month"), skip=("total",))
-
-
 @query(
     """
     SELECT event_id, round((value - p) / p, 6) AS growth_rate

@@ -16,13 +16,14 @@ from auditframe.session import build_session
 from auditframe.workload import QUERIES
 
 HEADLINE = (
-    "flagship_target_variance", "target_facts_with_contributor", "group_metrics_all", "group_metrics_ranked_percentiles",
+    "flagship_target_variance", "target_facts_with_contributor", "group_metrics_all",
     "overall_metrics", "distribution", "correlation", "filter_ranges", "derive_divide_ratio_percentage", "dedupe_keep_first",
     "join_diagnostics_one_to_many", "join_chain_by_role", "join_outer", "rank_dense", "rank_dense_ascending_by_range",
-    "rolling_mean_per_user", "rolling_mean_per_user_by_blocks", "percent_change_monthly", "profile_numeric_lineitem",
+    "rolling_mean_per_user", "percent_change_monthly", "profile_numeric_lineitem",
     "profile_categorical_orders", "category_snapshot_documents", "recurring_metrics_by_period", "compare_metric_changes",
     "sales_regional_performance", "source_to_target_table", "mapping_candidates", "claims_verified", "call_usage_by_type",
-    "chunk_documents", "token_vectors_documents", "cosine_topk_sparse", "cosine_topk_dense", "csv_export_and_scan",
+    "chunk_documents", "token_vectors_documents", "cosine_topk_sparse", "cosine_topk_every_document", "cosine_topk_dense", "csv_export_and_scan",
+    "csv_one_file_in_ranges", "json_one_array_in_ranges",
 )
 
 

@@ -72,9 +72,19 @@ def test_ambiguity_and_given_aliases(spark):
 def test_options_of_open_fields(spark, as_rows):
     fields = spark.createDataFrame([("Customer Label", "text"), ("Region", "text")], "target_field string, target_type string")
     s = spark.createDataFrame(SOURCES, "source_role string, source_field string, data_type string")
-    assert as_rows(field_options(fields, s)) == [
-        ("Customer Label", "master", "customer_name"), ("Customer Label", "orders", "customer_id"), ("Region", "master", "territory")
-    ]
+    found = {r["target_field"]: r["options"] for r in field_options(fields, s).collect()}
+    assert found == {"Customer Label": ["master.customer_name", "orders.customer_id"], "Region": ["master.territory"]}
+    assert field_options(fields, s, k=1).where("target_field = 'Customer Label'").first()["options"] == ["master.customer_name"]
+
+
+def test_options_of_a_word_that_all_columns_share(spark):
+    fields = spark.createDataFrame([("Total Amount", "number"), ("total", "text")], "target_field string, target_type string")
+    rows = [(f"r{i:04}", f"total_{i:04}", "date" if i % 2 else "double") for i in range(2000)] + [("z", "amount", "int"), ("z", "totalamount", "boolean")]
+    s = spark.createDataFrame(rows, "source_role string, source_field string, data_type string")
+    found = {r["target_field"]: r["options"] for r in field_options(fields, s, k=3).collect()}
+    assert found["Total Amount"] == [f"r{i:04}.total_{i:04}" for i in (0, 2, 4)] and found["total"] == [f"r{i:04}.total_{i:04}" for i in (0, 1, 2)]
+    asked = clarifications(spark.createDataFrame([("total", "ambiguous"), ("Total Amount", "missing")], "target_field string, status string"), ["total", "Total Amount"], options=field_options(fields, s, k=3))
+    assert {r["target_field"]: len(r["options"]) for r in asked.collect()} == {"total": 3, "Total Amount": 0}
 
 
 def test_one_column_behind_two_words(spark):

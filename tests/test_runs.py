@@ -1,5 +1,8 @@
 """Contracts, run log, comparison, claims and evaluation aggregates."""
 
+import threading
+from datetime import datetime, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,8 +11,9 @@ from auditframe.operators.joins import join_diagnostics
 from auditframe.plans import verify
 from auditframe.plans.analytics import FACT_SCHEMA, run_plan
 from auditframe.functions.identity import content_fingerprint
+from auditframe.plans.runlog import RunLog
 from auditframe.plans.runs import (
-    DriftError, RunLog, category_changes, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes,
+    DriftError, category_changes, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes,
     metric_changes, missing_changes, row_count_changes, run_by_period, run_diagnostics, run_facts, snapshot_input, step_changes,
     verification_status, warning_changes,
 )
@@ -250,6 +254,62 @@ def test_ids_of_digits_stay_text(spark, tmp_path):
     assert sorted(r["run_id"] for r in log.page("7").collect()) == ["001", "1", "abc"]
 
 
+def test_one_of_two_saves_at_once_is_kept(spark, tmp_path):
+    """Both write their tables first; only one can create the commit."""
+    log = RunLog(spark, str(tmp_path / "log"))
+    gate, outcomes = threading.Barrier(2), []
+    create = log.files.create
+
+    def held(name, text):
+        if name.startswith("commits/"):
+            gate.wait(60)
+        return create(name, text)
+
+    log.files.create = held
+
+    def save(warning):
+        try:
+            log.save("r", "w", warnings=[warning])
+            outcomes.append(warning)
+        except RefusedError as refusal:
+            assert "immutable" in str(refusal)
+
+    threads = [threading.Thread(target=save, args=(x,)) for x in ("one", "two")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(outcomes) == 1 and [r["warning"] for r in log.table("warnings", "r").collect()] == outcomes
+    assert [(r["run_id"], r["position"]) for r in log.page("w").collect()] == [("r", 0)]
+
+
+def test_an_attempt_without_commit_is_no_run(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"))
+    log.files.create, create = (lambda name, text: (_ for _ in ()).throw(OSError("lost"))), log.files.create
+    with pytest.raises(OSError):
+        log.save("r", "w", warnings=["first try"])
+    log.files.create = create
+    assert log.page("w").count() == 0 and log.commit_of("r") is None
+    log.save("r", "w", warnings=["second try"])
+    assert log.table("warnings", "r").first()["warning"] == "second try" and log.page("w").count() == 1
+
+
+def test_a_page_opens_only_the_segments_it_needs(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"))
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for i in range(6):
+        log.save(f"r{i}", "w", started_at=start + timedelta(days=i))
+        if i % 2:
+            assert log.compact("w") == 2
+    log.save("late", "w", started_at=start + timedelta(days=1, hours=1))
+    log.save("other", "x")
+    assert log.compact("nothing") == 0 and len(log.segments_for("w", 2)) == 1 and len(log.segments_for("w", 3)) == 2
+    assert [r["run_id"] for r in log.page("w", limit=2).collect()] == ["r5", "r4"]
+    assert [(r["run_id"], r["position"]) for r in log.page("w", limit=3, offset=3).collect()] == [("r2", 3), ("late", 4), ("r1", 5)]
+    log.compact("w")
+    assert [r["run_id"] for r in log.page("w", limit=10).collect()] == ["r5", "r4", "r3", "r2", "late", "r1", "r0"]
+
+
 def test_a_moved_null_changes_the_content(spark):
     kinds = "a string, b string"
     one, other = spark.createDataFrame([("x", None)], kinds), spark.createDataFrame([(None, "x")], kinds)

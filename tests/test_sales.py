@@ -9,17 +9,17 @@ from auditframe.plans.grades import GradePolicy, grade_policy, required_finals
 from auditframe.plans.sales import clean_customers, clean_targets, clean_transactions, report_tables, sales_report
 
 SCHEMA = "transaction_id string, date string, salesperson string, customer_id string, amount double, discount double, status string"
-AUGUST = [
-    ("T1001", "2026-08-03", "Alice", "C001", 1000.0, 100.0, "complete"),
-    ("T1002", "2026-08-08", " Bob ", "C002", 800.0, None, "Complete"),
-    ("T1003", "2026-08-15", "Alice", "C003", 500.0, 50.0, "complete"),
-    ("T1003", "2026-08-15", "Alice", "C003", 500.0, 50.0, "complete"),
-    ("T1004", "2026-08-20", "Cara", "C004", 400.0, 0.0, "cancelled"),
-    ("T1005", "2026-08-27", "Bob", "C999", 200.0, 0.0, " COMPLETE "),
+MARCH = [
+    ("A1", "2026-03-02", "Ida", "K1", 640.0, 40.0, "complete"),
+    ("A2", "2026-03-11", " Jon ", "K2", 910.0, None, "Complete"),
+    ("A3", "2026-03-15", "Ida", "K3", 275.0, 25.0, "complete"),
+    ("A3", "2026-03-15", "Ida", "K3", 275.0, 25.0, "complete"),
+    ("A4", "2026-03-21", "Lea", "K4", 330.0, 0.0, "cancelled"),
+    ("A5", "2026-03-30", "Jon", "K9", 120.0, 0.0, " COMPLETE "),
 ]
-SEPTEMBER = [("T2001", "2026-09-02", "Alice", "C001", 1500.0, 100.0, "complete"), ("T2002", "2026-09-09", "Bob", "C002", 1630.0, 0.0, "complete")]
-CUSTOMERS = [("C001", "North"), ("C002", "South"), ("C003", "North"), ("C004", "West"), ("C002", "South")]
-TARGETS = [("North", 2000), ("South", 1000), ("West", 500)]
+APRIL = [("B1", "2026-04-04", "Ida", "K1", 705.0, 5.0, "complete"), ("B2", "2026-04-19", "Jon", "K2", 440.0, 0.0, "complete")]
+CUSTOMERS = [("K1", "Coast"), ("K2", "Hills"), ("K3", "Coast"), ("K4", "Valley"), ("K2", "Hills")]
+TARGETS = [("Coast", 1500), ("Hills", 1200), ("Valley", 300)]
 POLICY = "Monthly commission policy: Salespeople earn a commission rate of 5% of completed net sales after discounts."
 
 
@@ -27,68 +27,68 @@ def evidence(spark, *texts):
     return spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
 
 
-def report(spark, transactions=AUGUST, targets=TARGETS, customers=CUSTOMERS, **options):
+def report(spark, transactions=MARCH, targets=TARGETS, customers=CUSTOMERS, **options):
     return sales_report(
         spark.createDataFrame(transactions, SCHEMA).withColumn("note", F.lit("=x")), spark.createDataFrame(customers, "customer_id string, region string"),
         spark.createDataFrame(targets, "region string, target long"), evidence(spark, POLICY), **options,
     )
 
 
-def test_august(spark):
+def test_one_month(spark):
     r = report(spark)
     facts = {f["key"]: f["value"] for f in r.facts.collect()}
-    assert facts["total.net_sales"] == 2350 and facts["total.commission"] == pytest.approx(117.5)
-    assert facts["regional.North.variance"] == -650 and facts["regional.South.variance"] == -200
-    assert facts["regional.West.underperformance"] == 500 and facts["regional.largest_underperformance"] == 650
-    assert "regional.Unassigned.target" not in facts and facts["regional.Unassigned.net_sales"] == 200
-    assert facts["commission.Bob"] == pytest.approx(50)
-    assert r.periods == ["August 2026"]
+    assert facts["total.net_sales"] == 1880 and facts["total.commission"] == pytest.approx(94)
+    assert facts["regional.Coast.variance"] == -650 and facts["regional.Hills.variance"] == -290
+    assert facts["regional.Valley.underperformance"] == 300 and facts["regional.largest_underperformance"] == 650
+    assert "regional.Unassigned.target" not in facts and facts["regional.Unassigned.net_sales"] == 120
+    assert facts["commission.Jon"] == pytest.approx(51.5)
+    assert r.periods == ["March 2026"]
     assert r.quality["cleaned_rows"] == 4 and r.quality["duplicate_transaction_rows_removed"] == 1
     assert r.quality["customer_unmatched_rows"] == 1 and r.quality["missing_discounts_filled_with_zero"] == 1
     assert (r.quality["regions_missing_targets"], r.quality["targets_without_sales"], r.quality["matched_regions"]) == (1, 1, 2)
     assert len(r.warnings) == 4 and r.join_account.first()["left_unmatched_rows"] == 1
     regional = {x["region"]: x for x in r.regional.collect()}
-    assert regional["North"]["share_of_shortfall_pct"] == pytest.approx(650 / 1350 * 100)
+    assert regional["Coast"]["share_of_shortfall_pct"] == pytest.approx(650 / 1240 * 100)
     assert regional["Unassigned"]["performance_status"] == "Target missing" and regional["Unassigned"]["underperformance"] is None
     assert r.cleaned.columns[-2:] == ["note", "period"] and r.cleaned.count() == 4
     assert sum(x["share_of_sales_pct"] for x in r.commissions.collect()) == pytest.approx(100)
 
 
 def test_report_tables(spark):
-    tables = report_tables(report(spark), {"transactions": "=august.csv"})
+    tables = report_tables(report(spark), {"transactions": "=march.csv"})
     assert set(tables) == {
         "executive_summary", "regional_performance", "salesperson_performance", "cleaned_transactions", "data_quality", "provenance",
     }
     assert {x["note"] for x in tables["cleaned_transactions"].collect()} == {"'=x"}
-    assert "'=august.csv" in {x["value"] for x in tables["provenance"].collect()}
+    assert "'=march.csv" in {x["value"] for x in tables["provenance"].collect()}
     summary = tables["executive_summary"].first()
-    assert summary["total_net_sales"] == 2350 and summary["largest_shortfall_region"] == "North"
+    assert summary["total_net_sales"] == 1880 and summary["largest_shortfall_region"] == "Coast"
 
 
 def test_every_month_in_one_run(spark):
-    both = report(spark, AUGUST + SEPTEMBER, single_period=False)
+    both = report(spark, MARCH + APRIL, single_period=False)
     totals = {f["period"]: f["value"] for f in both.facts.filter("key = 'total.net_sales'").collect()}
-    assert totals == {"August 2026": 2350, "September 2026": 3030} and both.periods == ["August 2026", "September 2026"]
-    assert both.regional.filter("period = 'September 2026'").count() == 3
+    assert totals == {"March 2026": 1880, "April 2026": 1140} and both.periods == ["March 2026", "April 2026"]
+    assert both.regional.filter("period = 'April 2026'").count() == 3
 
 
 @pytest.mark.parametrize(
     "extra, message",
     [
-        (("T9", "2026-09-01", "A", "C001", 5.0, 0.0, "complete"), "multiple reporting months"),
-        (("T1001", "2026-08-03", "Alice", "C001", 1.0, 0.0, "complete"), "conflicting duplicate"),
-        (("T9", "2026-08-01", "A", "C001", 5.0, 6.0, "complete"), "invalid values"),
-        (("T9", "2026-08-01", "A", "C001", 5.0, -1.0, "complete"), "invalid values"),
-        (("T9", "2026-08-01", "A", "C001", float("inf"), 0.0, "complete"), "finite"),
+        (("T9", "2026-04-01", "A", "K1", 5.0, 0.0, "complete"), "multiple reporting months"),
+        (("A1", "2026-03-02", "Ida", "K1", 1.0, 0.0, "complete"), "conflicting duplicate"),
+        (("T9", "2026-03-01", "A", "K1", 5.0, 6.0, "complete"), "invalid values"),
+        (("T9", "2026-03-01", "A", "K1", 5.0, -1.0, "complete"), "invalid values"),
+        (("T9", "2026-03-01", "A", "K1", float("inf"), 0.0, "complete"), "finite"),
     ],
 )
 def test_transaction_refusals(spark, extra, message):
     with pytest.raises(RefusedError, match=message):
-        clean_transactions(spark.createDataFrame(AUGUST + [extra], SCHEMA))
+        clean_transactions(spark.createDataFrame(MARCH + [extra], SCHEMA))
 
 
 def test_text_amounts(spark):
-    df = spark.createDataFrame(AUGUST[:1], SCHEMA)
+    df = spark.createDataFrame(MARCH[:1], SCHEMA)
     words = df.withColumn("amount", F.lit(" 1000 ")).withColumn("discount", F.lit("ten"))
     with pytest.raises(RefusedError, match="Discount values must be numeric"):
         clean_transactions(words)
@@ -100,7 +100,7 @@ def test_text_amounts(spark):
 
 
 def test_reserved_and_missing_columns(spark):
-    df = spark.createDataFrame(AUGUST, SCHEMA)
+    df = spark.createDataFrame(MARCH, SCHEMA)
     with pytest.raises(RefusedError, match="reserved"):
         clean_transactions(df.withColumn("region", F.lit("x")))
     with pytest.raises(RefusedError, match="Unknown column"):

@@ -138,8 +138,8 @@ def test_zero_scores_fill_up_by_id(spark, corpus):
     assert [got[1, i] for i in (1, 2, 3)] == ["c5", "c1", "c2"] and [got[2, i] for i in (1, 2, 3)] == ["c1", "c2", "c3"]
 
 
-@pytest.mark.parametrize("block_values", [None, 24])
-def test_dense_search_against_python(spark, block_values):
+@pytest.mark.parametrize("blocks", [(4096, 1024), (16, 2)])
+def test_dense_search_against_python(spark, blocks):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(300, 8)).round(1)
     vectors[100:180] = vectors[0]  # copies tie, the id decides
@@ -147,7 +147,7 @@ def test_dense_search_against_python(spark, block_values):
     probes = np.vstack([vectors[0], rng.normal(size=(4, 8))])
     items = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").repartition(7)
     asked = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(probes)], "q long, v array<double>")
-    found = dense_top_k(items, asked, "id", "q", "v", 100, block_values)
+    found = dense_top_k(items, asked, "id", "q", "v", 100, *blocks)
     got = {}
     for r in found.collect():
         got.setdefault(r["q"], {})[r["rank"]] = r["id"]
@@ -158,12 +158,12 @@ def test_dense_search_against_python(spark, block_values):
         assert [got[q][i + 1] for i in range(100)] == expected
 
 
-@pytest.mark.parametrize("block_values", [None, 1])
-def test_search_without_items_and_with_repeated_queries(spark, corpus, block_values):
+@pytest.mark.parametrize("rows", [1, 4096])
+def test_search_without_items_and_with_repeated_queries(spark, corpus, rows):
     asked = token_vectors(spark.createDataFrame([("a", "tram"), ("b", "granite")], "q string, text string"), "q")
     vectors = token_vectors(corpus, "chunk_id")
-    assert sparse_top_k(vectors.limit(0), asked, "chunk_id", "q", 2, block_values=block_values).count() == 0
-    found = sparse_top_k(vectors, asked.unionByName(asked), "chunk_id", "q", 2, block_values=block_values).collect()
+    assert sparse_top_k(vectors.limit(0), asked, "chunk_id", "q", 2, block_items=rows, block_queries=rows).count() == 0
+    found = sparse_top_k(vectors, asked.unionByName(asked), "chunk_id", "q", 2, block_items=rows, block_queries=rows).collect()
     assert sorted((r["q"], r["rank"], r["chunk_id"]) for r in found) == [("a", 1, "c5"), ("a", 2, "c5"), ("b", 1, "c3"), ("b", 2, "c3")]
 
 
