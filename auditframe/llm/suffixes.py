@@ -221,10 +221,11 @@ def marked_windows(docs: DataFrame, width: int) -> DataFrame:
     """(row, first, length): runs of windows of the numbered ``docs`` (row, text) that start anywhere else too."""
     spark = docs.sparkSession
     every = settle(map_arrow(docs, _segment_rows(width), "row long, place int, n int, anchor long, d1 long, d2 long"), "segments")
-    anchors = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # Written, so that Spark can split a frequent anchor in the joins.
+    anchors = settle(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     places = settle(every.join(anchors, "anchor", "left_semi"), "repeated-anchors")
     folded = settle(places.groupBy(*SEGMENT).agg(F.count("*").alias("m"), F.min(F.struct("row", "place", "n")).alias("at")), "folded")
-    kinds = folded.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = settle(folded.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
     folded = folded.join(kinds, "anchor")
     alone = folded.where("kinds = 1 and m > 1").select(*SEGMENT, F.lit(0).alias("first"), F.col("at.n").alias("length"))
     shared = settle(folded.where("kinds > 1").select(*SEGMENT, "m", "at.*", "kinds"), "shared-anchors")
@@ -239,7 +240,7 @@ def marked_windows(docs: DataFrame, width: int) -> DataFrame:
     again = seen.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
     across = seen.where("d1 is not null").join(again, ["h1", "h2"], "left_semi")
     found = alone.unionByName(ordered.where("h1 is null").select(*SEGMENT, "first", "length")).unionByName(across.select(*SEGMENT, "first", "length"))
-    return places.join(found, SEGMENT).select("row", (F.col("place") + F.col("first")).alias("first"), "length")
+    return places.join(settle(found, "marked"), SEGMENT).select("row", (F.col("place") + F.col("first")).alias("first"), "length")
 
 
 def without_repeated_bytes(docs: DataFrame, width: int = 400, id_column: str = "doc_id", text: str = "text") -> DataFrame:
