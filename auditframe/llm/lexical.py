@@ -44,9 +44,9 @@ LEVELS = (1, 2, 3, 5, 9, 17, 33)
 BITS_PER_ENTRY, BITS_SET = 8, 3
 BLOCK_DOCS = 256
 #: Bits of a block before they are packed; a larger single filter is a block of its own.
-BLOCK_BITS = 32_000_000
+BLOCK_BITS = 8_000_000
 #: Bytes of text whose documents are sorted and cut into blocks together.
-SORT_BYTES = 8_000_000
+SORT_BYTES = 2_000_000
 #: Terms of a block of items; a single larger item is a block of its own.
 ITEM_TERMS = 10_000
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
