@@ -158,16 +158,60 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql="""
+    WITH docs AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+    windows AS (SELECT n, i, md5_number(substr(hx, 2 * i + 1, 800)) AS h FROM (SELECT n, hx, unnest(range(length(hx) // 2 - 399)) AS i FROM docs WHERE length(hx) >= 800)),
+    again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+    starts AS (SELECT n, i, i > coalesce(lag(i) OVER (PARTITION BY n ORDER BY i), -1000) + 400 AS opens FROM windows SEMI JOIN again USING (h)),
+    numbered AS (SELECT n, i, sum(opens::INT) OVER (PARTITION BY n ORDER BY i) AS span FROM starts),
+    spans AS (SELECT n, span, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY n, span),
+    pieces AS (SELECT n, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT n, max(b), 1000000000000 FROM spans GROUP BY n),
+    kept AS (SELECT n, string_agg(substr(hx, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS hx FROM pieces JOIN docs USING (n) GROUP BY n),
+    cut AS (SELECT n, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM spans GROUP BY n)
+    SELECT doc_id, length(d.hx) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
+    FROM docs d LEFT JOIN kept k ON k.n = d.n LEFT JOIN cut c ON c.n = d.n
+""")
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeated_bytes(table(spark, sf_dir, "documents"), width=400).drop("kept")
 
 
-@query()
+TERMS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(sql=f"""
+    WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {TERMS_SQL} AS terms FROM documents),
+    held AS (SELECT d, doc_id, terms, len(terms)::BIGINT AS n_terms FROM docs WHERE len(terms) > 0),
+    corpus AS (SELECT count(*)::BIGINT AS n, sum(n_terms)::BIGINT AS l FROM held),
+    sized AS (SELECT d, doc_id, 50 + (50 * n_terms * n) // l AS m FROM held, corpus),
+    counts AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(terms) AS term FROM held) GROUP BY d, term),
+    weights AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), corpus),
+    asked AS (SELECT DISTINCT r, item_id, term FROM (SELECT row_number() OVER () AS r, item_id, unnest({TERMS_SQL}) AS term FROM benchmark)),
+    scores AS (SELECT r, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+        FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sized USING (d) GROUP BY r, item_id, d, doc_id),
+    places AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+    SELECT item_id, place::INTEGER AS rank, doc_id, score FROM places WHERE place <= 50
+""")
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
-@query()
+@query(sql="""
+    WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) AS r(i)),
+    runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    long_runs AS (SELECT run, list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END) AS chars FROM runs WHERE length(run) >= 7),
+    summed AS (SELECT run, xor(list_reduce(list_prepend(4294967295, flatten(chars)::BIGINT[]), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM long_runs, crc),
+    damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed),
+    words AS (SELECT word, count(*) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+    less AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+    near AS (
+        SELECT a.word, b.word AS other FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM words a JOIN less b ON a.word = b.rest
+        UNION SELECT b.word, a.word FROM words a JOIN less b ON a.word = b.rest
+    ), best AS (SELECT near.word, other, n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY n DESC, other) AS place FROM near JOIN words ON words.word = other),
+    forms AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word AND place = 1),
+    steps AS (SELECT word, form AS root FROM forms WHERE form IS NOT NULL UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL),
+    roots AS (SELECT s.word, s.root FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NULL)
+    SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN roots USING (word)
+""")
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
