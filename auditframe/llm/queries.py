@@ -160,12 +160,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql="""
     WITH docs AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
-    windows AS (SELECT n, i, md5_number(substr(hx, 2 * i + 1, 800)) AS h FROM (SELECT n, hx, unnest(range(length(hx) // 2 - 399)) AS i FROM docs WHERE length(hx) >= 800)),
+    blocks AS (SELECT n, base, substr(hx, 2 * base + 1, 2798) AS piece FROM (SELECT n, hx, unnest(range(0, length(hx) // 2 - 399, 1000)) AS base FROM docs WHERE length(hx) >= 800)),
+    windows AS (SELECT n, base + j AS i, md5_number(substr(piece, 2 * j + 1, 800)) AS h FROM (SELECT *, unnest(range(length(piece) // 2 - 399)) AS j FROM blocks)),
     again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
     starts AS (SELECT n, i, i > coalesce(lag(i) OVER (PARTITION BY n ORDER BY i), -1000) + 400 AS opens FROM windows SEMI JOIN again USING (h)),
     numbered AS (SELECT n, i, sum(opens::INT) OVER (PARTITION BY n ORDER BY i) AS span FROM starts),
     spans AS (SELECT n, span, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY n, span),
-    pieces AS (SELECT n, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT n, max(b), 1000000000000 FROM spans GROUP BY n),
+    pieces AS (SELECT n, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT n, max(b), 1000000000 FROM spans GROUP BY n),
     kept AS (SELECT n, string_agg(substr(hx, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS hx FROM pieces JOIN docs USING (n) GROUP BY n),
     cut AS (SELECT n, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM spans GROUP BY n)
     SELECT doc_id, length(d.hx) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
