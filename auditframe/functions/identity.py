@@ -100,13 +100,39 @@ def row_digest(df: DataFrame, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *[x for c in df.columns for x in (ref(c).isNull(), ref(c))])
 
 
+def row_text(df: DataFrame) -> Column:
+    """A row as text that tells its values apart: each with its length in front, ``-`` for a missing one."""
+    parts = []
+    for f in df.schema.fields:
+        text = float_text(ref(f.name).cast("double")) if family(f.dataType) == "float" else ref(f.name).cast("string")
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            text = F.when(F.isnan(ref(f.name)) | (F.abs(ref(f.name)) == float("inf")), ref(f.name).cast("string")).otherwise(text)
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def content_sums(df: DataFrame) -> DataFrame:
+    """One row that stands for a set of rows, whatever their order: their number and the sums of both halves of their md5.
+
+    Sums of parts add up to the sums of the whole, so a table whose parts are known needs no scan.
+    """
+    digest = F.md5(F.encode(row_text(df), "UTF-8"))
+    halves = [F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+    sums = [F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").alias(n) for h, n in zip(halves, ("high", "low"))]
+    return df.agg(F.count(F.lit(1)).alias("row_count"), *sums)
+
+
+def merged_sums(parts: DataFrame) -> DataFrame:
+    """The sums of a whole from those of its parts."""
+    return parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast(kind).alias(n) for n, kind in (("row_count", "bigint"), ("high", "decimal(38,0)"), ("low", "decimal(38,0)"))])
+
+
+def fingerprint_of(sums: DataFrame) -> DataFrame:
+    """(row_count, fingerprint): sha256 over the sums."""
+    text = F.concat_ws(":", *[F.col(n).cast("string") for n in ("row_count", "high", "low")])
+    return sums.select("row_count", F.sha2(text, 256).alias("fingerprint"))
+
+
 def content_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent fingerprint of a table's rows: row count plus sum and xor of row hashes."""
-    row_hash = row_digest(df)
-    parts = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(row_hash.cast("decimal(20,0)")), F.lit(0)).alias("__sum"),
-        F.coalesce(F.bit_xor(row_hash), F.lit(0)).alias("__xor"),
-    )
-    text = F.concat_ws(":", F.col("row_count").cast("string"), F.col("__sum").cast("string"), F.col("__xor").cast("string"))
-    return parts.select("row_count", F.sha2(text, 256).alias("fingerprint"))
+    """Order-independent fingerprint of a table's rows."""
+    return fingerprint_of(content_sums(df))

@@ -13,6 +13,7 @@ file and ``MAX_RANGES`` files, whatever the size of the input, so their states f
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -68,3 +69,28 @@ def states_at_start(functions: Iterable[tuple[Place, Callable]], first: object)
         states[place] = state
         state = function(state)
     return states
+
+
+def range_digests(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(file, start, size, ended, unended): sha256 of the lines that begin in each range, with and without a last line end."""
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, place = [], None
+        for at, values in by_range(batches):
+            if at != place:
+                if place is not None:
+                    rows.append((*place, size, digest.hexdigest(), before.hexdigest()))
+                place, size, digest = at, 0, hashlib.sha256()
+            lines = values.to_pylist()
+            text = b"\n".join(lines)
+            digest.update(text)
+            before = digest.copy()
+            digest.update(b"\n")
+            size += len(text) + 1
+        if place is not None:
+            rows.append((*place, size, digest.hexdigest(), before.hexdigest()))
+        kinds = [pa.int64()] * 3 + [pa.string()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["file", "start", "size", "ended", "unended"])
+
+    chunks = open_ranges(spark, path, "\n", range_bytes)
+    return chunks.mapInArrow(over, "file long, start long, size long, ended string, unended string")

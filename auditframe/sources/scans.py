@@ -9,6 +9,7 @@ from auditframe.functions.columns import ref, require_unique_names
 from auditframe.functions.scalars import collapse_spaces, to_number
 from auditframe.sources import csv_ranges
 from auditframe.sources.json_ranges import stage_elements
+from auditframe.sources.ranges import range_digests
 
 # The texts a CSV scan reads as missing, and schemas that are never imported.
 MISSING_TOKENS = (
@@ -250,9 +251,29 @@ def read_table(spark: SparkSession, options: dict[str, str], properties: dict[st
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 and size of every file below a path, computed where the files are read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("byte_size"), F.sha2(F.col("content"), 256).alias("sha256"))
+    """(path, byte_size, sha256) of every file below a path, from the digests of its ranges, read by many tasks.
+
+    A file of one range has the sha256 of its bytes; a larger one that of its range digests in order, so
+    a file of any size is read in parts, and one that grows changes its last branch only.
+    """
+    branches = file_branches(spark, path)
+    listed = F.sort_array(F.collect_list(F.struct("start", "sha256")))
+    whole = branches.groupBy("path", "byte_size").agg(listed.alias("b"))
+    joined = F.concat_ws("", F.transform("b", lambda x: x["sha256"]))
+    return whole.select("path", "byte_size", F.when(F.size("b") == 1, F.col("b")[0]["sha256"]).otherwise(F.sha2(joined, 256)).alias("sha256"))
+
+
+def file_branches(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(path, byte_size, start, sha256): one row per range of every file, the leaves of its fingerprint."""
+    listed = spark.read.format("binaryFile").load(path)
+    files = listed.select("path", F.col("length").alias("byte_size"), F.xxhash64("_metadata.file_path").alias("file"))
+    ranges = range_digests(spark, path, range_bytes)
+    per_file = ranges.groupBy("file").agg(F.sum("size").alias("counted"), F.max("start").alias("last"))
+    named = files.join(per_file, "file", "left").join(ranges, "file", "left")
+    # The reader does not tell whether a file ends in a line end; its size does.
+    without = (F.col("start") == F.col("last")) & (F.col("counted") == F.col("byte_size") + 1)
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return named.select("path", "byte_size", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce(F.when(without, F.col("unended")).otherwise(F.col("ended")), nothing).alias("sha256"))
 
 
 def provenance(df: DataFrame, source_type: str, identity: str, fingerprint: str, details: dict[str, str] | None = None) -> DataFrame:

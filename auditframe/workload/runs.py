@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from auditframe.plans import verify
 from auditframe.plans.analytics import run_plan
+from auditframe.plans.recurring import PeriodStore, check_files, list_files
 from auditframe.plans.runlog import RunLog
 from auditframe.plans.runs import (
-    categories_snapshot, category_changes, category_values_snapshot, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
+    DriftError, categories_snapshot, category_changes, category_values_snapshot, check_contract, contract_of, diagnostic_changes, duplicate_changes, input_changes, input_snapshot,
     metric_changes, missing_changes, missing_snapshot, row_count_changes, run_by_period, run_diagnostics, run_facts, step_changes,
     unique_count_changes,
     warning_changes,
@@ -365,3 +366,51 @@ def judgement_mean_labels(spark, sf):
     cases = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"))
     judged = table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), (F.col("quality") + 1).alias("score"))
     return rounded(verify.judgement_mean(cases, judged))
+
+
+_REFRESHED = """
+    SELECT strftime(o_orderdate, '%Y') AS year, o_orderpriority, CAST(count(*) AS DOUBLE) AS count, round(sum(o_totalprice), 4) AS sum_o_totalprice
+    FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE strftime(o_orderdate, '%Y') = '1995' AND o_orderstatus = 'F') GROUP BY ALL
+"""
+
+
+@query(f"SELECT *, year = '1995' AS computed_again FROM ({_REFRESHED})")
+def refreshed_metrics_by_year(spark, sf):
+    """A plan over a folder of years: after late orders of one year arrive, that year alone is computed again."""
+    orders = table(spark, sf, "orders").withColumn("year", F.date_format("o_orderdate", "yyyy")).select("o_orderpriority", "o_totalprice", "o_orderstatus", "year")
+    contract, folder = contract_of(orders), work_path(spark, "orders-by-year")
+    plan = AnalyticsPlan("metrics", group_by=["o_orderpriority"], metrics=[Metric("count"), Metric("sum", "o_totalprice")])
+    store = PeriodStore(spark, work_path(spark, "period-store"))
+    orders.repartition("year").write.partitionBy("year").parquet(folder)
+    store.refresh(folder, plan, "year", contract)
+    orders.filter("year = '1995' AND o_orderstatus = 'F'").write.mode("append").partitionBy("year").parquet(folder)
+    again = store.refresh(folder, plan, "year", contract)
+    return rounded(store.results(), 4).withColumn("computed_again", F.col("year").isin(again))
+
+
+@query(
+    """
+    SELECT strftime(o_orderdate, '%Y') AS year, CASE WHEN count(*) FILTER (o_orderstatus = 'P') % 2 = 1 THEN 'schema' END AS drift_kind
+    FROM orders GROUP BY ALL
+    """
+)
+def drifting_files_by_year(spark, sf):
+    """A folder of years, each checked alone: years with an odd number of pending orders were written with another column."""
+    orders = table(spark, sf, "orders").withColumn("year", F.date_format("o_orderdate", "yyyy")).select("o_orderpriority", "o_totalprice", "o_orderstatus", "year")
+    contract, folder = contract_of(orders), work_path(spark, "drifting-years")
+    odd = orders.groupBy("year").agg((F.count_if(F.col("o_orderstatus") == "P") % 2 == 1).alias("odd"))
+    years = {r["year"]: r["odd"] for r in odd.collect()}  # one row per year
+    for year, is_odd in years.items():
+        rows = orders.filter(F.col("year") == year).drop("year")
+        (rows.withColumn("note", F.lit("x")) if is_odd else rows).write.parquet(f"{folder}/year={year}")
+    files = {}
+    for r in list_files(spark, folder, "year").collect():
+        files.setdefault(r["period"], []).append(r["path"])
+    found = []
+    for year, paths in files.items():
+        try:
+            check_files(spark, paths, contract, "year")
+            found.append((year, None))
+        except DriftError as drift:
+            found.append((year, drift.finding.kind))
+    return spark.createDataFrame(found, "year string, drift_kind string")
