@@ -7,8 +7,9 @@ affects the grams that lie over it and no others.
 
 Lists. A gram left of the edit keeps its distance from the word's start and everything before it; a gram right of it
 keeps its distance from the end and everything behind it. So an inverted list is kept per gram and text before it, and
-per gram and text behind it. Of the grams of a word two are probed: one, and one that starts where the first has
-ended. No edit affects both (their affected-gram bound is 1), so one of the two lists holds every near word.
+per gram and text behind it. Of the grams of a word two are probed: one in its middle, and the one that starts where
+that has ended. No edit affects both (their affected-gram bound is 1), so one of the two lists holds every near word.
+A word is listed only where a near word can ask.
 
 Merging. A list of more than ``LONG_LIST`` words is not scanned. Its words are looked up by both sides at once: for
 every place of the edit the text left of it and the text right of it. That is the intersection of the last unaffected
@@ -33,12 +34,14 @@ ship_with_tasks(__name__)
 RUN = "[A-Za-z\\u00C0-\\u00FF]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Code points of a gram.
-SHORTEST, LONGEST = 3, 6
+SHORTEST, LONGEST = 3, 5
 #: A gram is frequent if it makes up this share of all grams of its length.
 SHARE = 1 / 4096
 #: Lists of more words than this are merged instead of scanned.
 LONG_LIST = 32
 END = "$"
+#: Words of this many code points or more always have a gram in the middle with a gram behind it.
+WHOLE = 2 * LONGEST - SHORTEST
 START_SIDE, END_SIDE = 0, 1
 
 
@@ -56,9 +59,10 @@ def frequent_grams(words: DataFrame, share: float = SHARE) -> frozenset[str]:
     """Grams of ``SHORTEST`` to ``LONGEST`` - 1 code points with at least ``share`` of the grams of their length: at most 1 / share a length."""
     found: set[str] = set()
     for length in range(SHORTEST, LONGEST):
-        grams = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - length + 1), lambda i: F.substring("word", i, F.lit(length)))).alias("gram"))
+        long_enough = words.where(F.length("word") >= length)
+        grams = long_enough.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - length + 1), lambda i: F.substring("word", i, F.lit(length)))).alias("gram"))
         counts = grams.groupBy("gram").count()
-        total = words.agg(F.sum(F.length("word") - length + 1)).first()[0] or 0
+        total = long_enough.agg(F.sum(F.length("word") - length + 1)).first()[0] or 0
         found.update(row["gram"] for row in counts.where(F.col("count") >= max(1, total * share)).select("gram").toLocalIterator())
     return frozenset(found)
 
@@ -80,16 +84,33 @@ def affected_bound(spans: list[tuple[int, int]]) -> int:
 
 
 def probes(word: str, frequent: frozenset[str]) -> tuple[str, str]:
-    """What stands before the end of one gram and behind the start of another; no edit affects both grams.
+    """What stands before the end of one gram in the middle, and behind it; no edit affects both lists' grams.
 
-    Of all such pairs the one whose shorter text is longest, so that both lists are short.
+    Words of less than ``WHOLE`` code points may have no two such grams; nothing is asked of them on the left.
     """
-    spans, text = grams(word, frequent), word + END
-    starts = [a for a, _ in spans]
-    best = max(((min(b, len(text) - behind), b, behind) for _, b in spans for behind in starts if behind >= b), default=None)
-    if best is None:
-        return "", text
-    return text[: best[1]], text[best[2] :]
+    text, spans = word + END, grams(word, frequent)
+    cut = spans[_middle_start(len(word))][1] if spans else len(text)
+    return (text[:cut], text[cut:]) if cut + SHORTEST <= len(text) else ("", text)
+
+
+def _middle_start(length: int) -> int:
+    """Where the gram starts behind whose end a word is cut; the end is at most one place from the middle."""
+    return max(0, (length + 1) // 2 - LONGEST + 1)
+
+
+def indexed(word: str, frequent: frozenset[str], short_words: bool = False) -> tuple[set[str], set[str]]:
+    """The texts before ends and behind starts of the word's grams, as far as a near word can ask for them.
+
+    A near word is at most one longer or shorter, and is cut at most one place from its middle.
+    """
+    text, length = word + END, len(word)
+    middles = [((length + more + 1) // 2, more) for more in (-1, 0, 1)]
+    ends = {m + d for m, _ in middles for d in (-1, 0, 1)}
+    starts = {m + d - more for m, more in middles for d in (-1, 0, 1)}
+    before = {text[:b] for _, b in grams(word, frequent) if b in ends}
+    if short_words:
+        before.add("")
+    return before, {text[a:] for a in starts if 0 <= a <= len(text) - SHORTEST}
 
 
 def _hash(texts: list[str]) -> np.ndarray:
@@ -98,17 +119,15 @@ def _hash(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x) for x in texts], dtype=np.uint64).view(np.int64)
 
 
-def _postings(frequent: frozenset[str], asked: bool):
+def _postings(frequent: frozenset[str], asked: bool, short_words: bool):
     def over(batch: pa.RecordBatch) -> dict:
         keys, words = [], []
         for word in batch.column(0).to_pylist():
-            text = word + END
             if asked:
-                before, behind = probes(word, frequent)
-                own = [f"{START_SIDE}{before}", f"{END_SIDE}{behind}"]
+                before, behind = ([x] for x in probes(word, frequent))
             else:
-                spans = grams(word, frequent)
-                own = [f"{START_SIDE}{text[:b]}" for b in sorted({b for _, b in spans} | {0})] + [f"{END_SIDE}{text[a:]}" for a, _ in spans]
+                before, behind = indexed(word, frequent, short_words)
+            own = [f"{START_SIDE}{x}" for x in before] + [f"{END_SIDE}{x}" for x in behind]
             keys += own
             words += [word] * len(own)
         return {"key": pa.array(_hash(keys)), "word": pa.array(words, pa.string())}
@@ -126,8 +145,9 @@ def near_words(words: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     """(word, near) for all ordered pairs of distinct words of ``words`` that differ by one edit."""
     words = words.select("word")
     frequent = frequent_grams(words)
-    lists = settle(map_arrow(words, _postings(frequent, False), "key long, word string"), "gram-lists")
-    asked = settle(map_arrow(words, _postings(frequent, True), "key long, word string"), "gram-probes")
+    short_words = (words.agg(F.min(F.length("word"))).first()[0] or WHOLE) < WHOLE
+    lists = settle(map_arrow(words, _postings(frequent, False, short_words), "key long, word string"), "gram-lists")
+    asked = settle(map_arrow(words, _postings(frequent, True, short_words), "key long, word string"), "gram-probes")
     long = settle(lists.groupBy("key").count().where(F.col("count") > long_list).select("key"), "long-lists")
     scanned = asked.join(long, "key", "left_anti").join(lists.select("key", F.col("word").alias("near")), "key").select("word", "near")
     askers = asked.join(long, "key", "left_semi").select("word").distinct()

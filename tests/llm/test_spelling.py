@@ -50,14 +50,20 @@ def test_no_edit_affects_both_probes():
     for word in words:
         before, behind = spelling.probes(word, frequent)
         for near in {word[:i] + x + word[j:] for i in range(len(word) + 1) for j in (i, i + 1) for x in ("", "a", "z") if j <= len(word)} - {word}:
-            spans = spelling.grams(near, frequent)
-            text = near + spelling.END
-            starts = {text[:b] for _, b in spans} | {""}
-            ends = {text[a:] for a, _ in spans}
-            assert before in starts or behind in ends, (word, near)
+            if len(near) < spelling.WHOLE:
+                continue
+            starts, ends = spelling.indexed(near, frequent)
+            assert before and (before in starts or behind in ends), (word, near)
         assert spelling.affected_bound(spelling.grams(word, frequent)) <= spelling.LONGEST
 
 
+def test_shorter_words(spark):
+    rows = [(i, t) for i, t in enumerate(["cat cats cat cats", "bat bats bat", "a ab abc abc a ab", "house houses house houses mouse mouse"])]
+    found = spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"), least_length=1, factor=1)
+    expected = plain.spellings(plain.damaged(rows, least=1), factor=2)
+    assert {(r["word"], r["n"], r["n_near"]) for r in found.collect()} == {(w, n, k) for w, _, _, n, k, _ in expected}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.variants(docs).count() == 0
