@@ -158,7 +158,12 @@ def near_words(words: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
 
 def variants(docs: DataFrame, least_length: int = 7, least_count: int = 2, every: int = 31, factor: int = 10, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per word its count, near words, the form it is probably a variant of and the root of its forms."""
+    """Per word its count, near words, the form it is probably a variant of and the root of its forms.
+
+    ``factor`` must be above 1, so that forms lead to ever more frequent words and end.
+    """
+    if factor <= 1:
+        raise ValueError("A form must be more frequent than its variant.")
     counted = damaged_words(docs, least_length, every, id_column, text).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
     counted = settle(counted, "words")
     pairs = near_words(counted).join(counted.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
