@@ -48,7 +48,7 @@ def test_scalars_in_ranges(spark, tmp_path):
     path.write_text(json.dumps(list(range(100))))
     assert sorted(r[0] for r in read_json(spark, str(path), range_bytes=50).collect()) == list(range(100))
     path.write_text(json.dumps({"v": ["a,b", 'c"', "]"] * 5, "w": 1}))
-    assert sorted(r[0] for r in read_json(spark, str(path), range_bytes=16).collect()) == sorted(["a,b", 'c"', "]"] * 20)
+    assert sorted(r[0] for r in read_json(spark, str(path), range_bytes=16).collect()) == sorted(["a,b", 'c"', "]"] * 5)
 
 
 @pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2}', '{"a": [{"b": 1}]', '[{"a": "x}]', '[{"a": 1},, {"a": 2}]', '[{"a": 1} {"a": 2}]', '{"a" [1]}', "{}", '[{"a": 1}, null]'])
