@@ -136,8 +136,8 @@ def rolling_mean(
     return result.filter("__own").select(*[ref(c) for c in df.columns], "rolling_mean")
 
 
-def change_checks(df: DataFrame, value: str, order: str) -> dict:
-    """Refuse a series without changes or with a zero to divide by.
+def change_checks(df: DataFrame, value: str, order: str, refuse_zero: bool = True) -> dict:
+    """Refuse a series without changes or, unless told otherwise, with a zero to divide by.
 
     Whether a previous value is zero follows from the zero count and the last row's value, so
     the check needs no ordered pass.
@@ -155,26 +155,31 @@ def change_checks(df: DataFrame, value: str, order: str) -> dict:
     if not checked["rows"]:
         return checked
     last_value = checked["last"]["v"]
-    if checked["zeros"] - (last_value == 0) > 0:
+    if refuse_zero and checked["zeros"] - (last_value == 0) > 0:
         raise RefusedError("Division by zero: a previous period value is 0.")
     if checked["filled"] - (last_value is not None) <= 0:
         raise RefusedError("Percent change requires at least two ordered values.")
     return checked
 
 
-def series_change(df: DataFrame, value: str, order: str, checked: dict | None = None) -> DataFrame:
+def series_change(df: DataFrame, value: str, order: str, checked: dict | None = None, refuse_zero: bool = True) -> DataFrame:
     """``df`` plus ``percent_change`` and ``growth_rate`` against the previous ordered row.
 
-    A previous value of zero refuses the whole series.
+    A previous value of zero refuses the whole series. With ``refuse_zero=False`` the change from it is
+    that of floating-point division: infinite with the sign of the change, NaN from zero to zero.
     """
-    checked = checked or change_checks(df, value, order)
+    checked = checked or change_checks(df, value, order, refuse_zero)
     df = with_order_key(df, order)
     v = number(df, value)
     sort = _series_order(df, order)
     blocks = with_halo(add_positions(df, sort, checked["rows"]), 1, checked["rows"])
     result = blocks.withColumn("__prev", F.lag(v).over(Window.partitionBy("__block").orderBy("__pos"))).filter("__own")
     columns = [ref(c) for c in df.columns]
-    growth = F.try_divide(v - F.col("__prev"), F.col("__prev"))
+    change = v - F.col("__prev")
+    growth = F.try_divide(change, F.col("__prev"))
+    if not refuse_zero:
+        signed = [F.when(change > 0, float("inf")), F.when(change < 0, float("-inf")), F.when(change == 0, float("nan"))]
+        growth = F.when(F.col("__prev") == 0, F.coalesce(*signed)).otherwise(growth)
     return result.select(*columns, (growth * 100.0).alias("percent_change"), growth.alias("growth_rate"))
 
 

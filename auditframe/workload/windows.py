@@ -180,8 +180,9 @@ def percent_change_monthly(spark, sf):
     """
 )
 def growth_rate_per_event_by_blocks(spark, sf):
+    """The change of every event's value; values may be zero, and the change from one is infinite as in the SQL."""
     events = table(spark, sf, "events").select("event_id", "ts", "value")
-    return rounded(series_change(events, "value", "ts").select("event_id", "growth_rate"))
+    return rounded(series_change(events, "value", "ts", refuse_zero=False).select("event_id", "growth_rate"))
 
 
 @query(

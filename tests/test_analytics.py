@@ -3,6 +3,7 @@
 import json
 import random
 import statistics
+from datetime import datetime
 from hashlib import sha256
 
 import pytest
@@ -13,6 +14,7 @@ from auditframe.functions.identity import canonical_json, float_text
 from auditframe.operators.windows import rank_rows, rolling_mean, series_change
 from auditframe.plans.analytics import check_facts, refuse_large_result, run_plan, select_facts
 from auditframe.plans.specs import AnalyticsPlan, Metric, PlanFilter
+from auditframe.workload import QUERIES
 
 
 
@@ -240,3 +242,17 @@ def test_result_expectations(spark, sales):
     check_facts(twice)
     with pytest.raises(RefusedError, match="duplicate identity"):
         check_facts(twice.union(twice))
+
+
+def test_change_from_zero_is_infinite_where_asked(spark):
+    rows = [(1, 5.0), (2, 0.0), (3, 0.0), (4, 2.0), (5, 0.0), (6, -2.0), (7, None), (8, 1.0)]
+    df = spark.createDataFrame(rows, "at int, value double")
+    found = [r["growth_rate"] for r in series_change(df, "value", "at", refuse_zero=False).orderBy("at").collect()]
+    assert str(found) == "[None, -1.0, nan, inf, -1.0, -inf, None, None]"
+
+
+def test_growth_per_event_with_a_zero(spark, tmp_path):
+    rows = [(1, datetime(2024, 1, 1), 0.0), (2, datetime(2024, 1, 2), 3.0), (3, datetime(2024, 1, 3), 6.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["event_id"]: r["growth_rate"] for r in QUERIES["growth_rate_per_event_by_blocks"](spark, str(tmp_path)).collect()}
+    assert found == {1: None, 2: float("inf"), 3: 1.0}
