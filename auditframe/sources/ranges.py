@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from auditframe.errors import RefusedError
-from auditframe.session import ship_with_tasks
+from auditframe.session import session_with, ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -37,13 +37,9 @@ def open_ranges(spark: SparkSession, path: str, separator: str, range_bytes: int
     if listed[0] > MAX_RANGES:
         raise RefusedError(f"More than {MAX_RANGES} files are read below one path; read them in parts.")
     size = max(range_bytes or RANGE_BYTES, -(-listed[1] // MAX_RANGES))
-    pinned = spark.newSession()
-    for name, value in spark.conf.getAll.items():
-        if spark.conf.isModifiable(name):
-            pinned.conf.set(name, value)
-    pinned.conf.set("spark.sql.files.maxPartitionBytes", str(size))
-    pinned.conf.set("spark.sql.files.openCostInBytes", "0")
-    pinned.conf.set("spark.sql.files.minPartitionNum", "1")
+    pinned = session_with(
+        spark, {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": 0, "spark.sql.files.minPartitionNum": 1}
+    )
     chunks = pinned.read.text(path, lineSep=separator)
     return chunks.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
 

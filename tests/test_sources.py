@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from auditframe.errors import RefusedError
 from auditframe.sources.scans import (
-    expect_size, file_fingerprints, jdbc_options, provenance, read_csv, read_json, read_json_lines, read_parquet, read_text_documents,
+    expect_size, file_fingerprints, jdbc_options, provenance, read_csv, read_json, read_json_lines, read_parquet, read_text_documents, write_text_documents,
 )
 from auditframe.sources.sinks import Export, check_export, export_csv, integrity_findings, require_checks, write_tables
+from auditframe.workload import QUERIES
 from conftest import plan_of
 
 
@@ -168,3 +169,18 @@ def test_integrity(spark, tmp_path):
 def test_write_tables(spark, tmp_path):
     written = write_tables({"a": spark.range(2), "b": spark.range(3)}, str(tmp_path / "set"))
     assert {n: spark.read.parquet(p).count() for n, p in written.items()} == {"a": 2, "b": 3}
+
+
+def test_texts_are_files_of_their_own_in_few_folders(spark, tmp_path):
+    texts = [f"text {i % 90}\nline two" for i in range(100)]
+    write_text_documents(spark.createDataFrame([(t,) for t in texts], "body string").repartition(3), "body", str(tmp_path / "t"))
+    assert len(list(tmp_path.glob("t/folder=*"))) <= 3 and len(list(tmp_path.glob("t/folder=*/*.txt"))) == 100
+    read = read_text_documents(spark, f"{tmp_path}/t/folder=*")
+    assert sorted(r["text"] for r in read.collect()) == sorted(t.replace("\n", " ") for t in texts)
+
+
+def test_documents_of_one_id_are_files_of_their_own(spark, tmp_path):
+    rows = [(1, "same words"), (1, "same words"), (None, "other words"), (None, "third")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["text"]: r["files"] for r in QUERIES["text_files_scan"](spark, str(tmp_path)).collect()}
+    assert found == {"same words": 2, "other words": 1, "third": 1}
