@@ -1,17 +1,19 @@
 """Groups of near copies: texts whose sets of word shingles have a Jaccard similarity of a bound or more.
 
-One 64-bit SimHash fingerprint cannot find such pairs: at similarity 0.8 two fingerprints differ in
-about 10 bits, and an index over so many bits no longer separates anything. So candidates come from
-bands of min-hashes: two texts agree on a band with probability similarity ** BAND_ROWS, and meet if
-they agree on one of BANDS. Every candidate pair is then decided by the exact similarity of its texts.
+Every set of shingles has a SimHash fingerprint. Those that differ in at most ``DISTANCE`` bits are found in
+the Gray-order index of simhash.py, and the links between them are the first candidates. At similarity 0.8
+two fingerprints differ in about 10 of 64 bits, where an index over fingerprints no longer separates
+anything. So bands of min-hashes add what SimHash cannot reach: two texts agree on a band with probability
+similarity ** BAND_ROWS, and meet if they agree on one of BANDS. Every candidate pair is decided by the
+exact similarity of its texts.
 
-A bucket of n texts is first compared with its smallest member only. Where that leaves its members in
-several groups, the pairs between the groups are compared as well; the pairs within a group need no
-comparison, because they could not change it. So a large group of near copies costs n comparisons, and
-no candidate is left out.
+A bucket of n texts is first compared with its smallest member only, so a large group of near copies costs n
+comparisons. Where that leaves the members of a bucket in several groups, pairs between groups are found by
+the rarest shingles of each text (``crossing_pairs``), which similar texts must share and texts that have
+only a passage in common do not; no candidate of the bound is left out.
 
-Recall: a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**5)**25 = 0.99995, more similar
-pairs with more. Precision is exact up to 64-bit hashes of the shingles.
+Recall: a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**5)**25 = 0.99995 in the bands alone,
+more similar pairs with more. Precision is exact up to 64-bit hashes of the shingles.
 
 Defined cases: shingles are of lower-case words between white space; fewer words than a shingle are one
 shingle; texts without words, and null, are equal to each other and to nothing else.
@@ -24,11 +26,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.llm.common import byte_texts, map_arrow, settle, text_key
 from auditframe.llm.components import components
+from auditframe.llm.simhash import fingerprint_links, majority
 from auditframe.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -37,6 +40,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 BAND_ROWS = 5
+#: Bits in which the fingerprints of SimHash candidates may differ.
+DISTANCE = 3
 #: Shingles that one numpy pass holds.
 PASS = 1024
 _DRAW = np.random.default_rng(5)
@@ -73,16 +78,64 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_column: str, text: str, words_per_shingle: int) -> DataFrame:
-    """(id, text_key, node, bands): per row the hash of its set of shingles and the keys of its bands."""
+    """(id, text_key, node, fp, bands): per row the hash of its set of shingles, its SimHash fingerprint and the keys of its bands."""
 
     def step(batch):
         sets = [shingle_set(x, words_per_shingle) for x in byte_texts(batch.column(2))]
         nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+        prints = np.array([majority(x) for x in sets], dtype=np.uint64).view(np.int64)
         keys = [bands(x) for x in sets]
-        return {id_column: batch.column(0), "text_key": batch.column(1), "node": pa.array(nodes), "bands": pa.array(keys, pa.list_(pa.int64()))}
+        columns = {id_column: batch.column(0), "text_key": batch.column(1), "node": pa.array(nodes), "fp": pa.array(prints)}
+        return {**columns, "bands": pa.array(keys, pa.list_(pa.int64()))}
 
     rows = df.select(F.col(id_column).alias(id_column), text_key(text).alias("text_key"), F.col(text).alias("text"))
-    return map_arrow(rows, step, f"`{id_column}` {dict(df.dtypes)[id_column]}, text_key bigint, node bigint, bands array<bigint>")
+    return map_arrow(rows, step, f"`{id_column}` {dict(df.dtypes)[id_column]}, text_key bigint, node bigint, fp bigint, bands array<bigint>")
+
+
+def fingerprint_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) with equal or near fingerprints, as many as connect them."""
+    heads = settle(nodes.groupBy("fp").agg(F.min("node").alias("a")), "fingerprint-heads")
+    equal = nodes.join(heads, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    links = fingerprint_links(heads.select("fp"), distance).distinct().withColumnsRenamed({"a": "fp", "b": "other"})
+    near = links.join(heads, "fp").join(heads.select(F.col("fp").alias("other"), F.col("a").alias("b")), "other")
+    return equal.unionByName(near.select("a", "b"))
+
+
+def crossing_pairs(members: DataFrame, texts: DataFrame, least: float, words_per_shingle: int) -> DataFrame:
+    """Pairs (a, b) of members (node, root) with different roots that can have the similarity, and all that have it.
+
+    The shingles of each set are ordered by how many sets hold them, rarest first. Two sets of the
+    similarity share a shingle among the first few of each; where the first shared one stands bounds what
+    they can share at most. So a shingle of many sets meets only where a set has hardly any rarer ones.
+    """
+
+    def step(batch):
+        sets = [shingle_set(x, words_per_shingle).view(np.int64) for x in byte_texts(batch.column(2))]
+        return {"node": batch.column(0), "root": batch.column(1), "shingles": pa.array(sets, pa.list_(pa.int64()))}
+
+    sets = map_arrow(members.join(texts, "node").select("node", "root", "text"), step, "node bigint, root bigint, shingles array<bigint>")
+    held = settle(sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "open-shingles")
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    rarest = Window.partitionBy("node").orderBy("holders", "shingle")
+    placed = held.join(counts, "shingle").withColumn("place", F.row_number().over(rarest))
+
+    def needed(share: float):
+        return F.ceil(F.col("size") * share - 1e-9)
+
+    # Of two sets the smaller meets by fewer of its shingles, because most of it must be shared.
+    first = placed.where((F.col("holders") > 1) & (F.col("place") <= F.col("size") - needed(least) + 1))
+    first = settle(first.withColumn("low", F.col("place") <= F.col("size") - needed(2 * least / (1 + least)) + 1), "rarest-shingles")
+    one = first.where("low").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "size", "place")])
+    two = first.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "size", "place")])
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) + 1
+    fits = (
+        (F.struct("a_size", "a_node") < F.struct("b_size", "b_node"))
+        & (F.col("a_root") != F.col("b_root"))
+        & (F.col("a_size") >= F.col("b_size") * least - 1e-9)
+        & (left >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-9)
+    )
+    pairs = one.join(two, "shingle").where(fits)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float, words_per_shingle: int) -> DataFrame:
@@ -113,12 +166,13 @@ def near_copy_groups(
 ) -> DataFrame:
     """(id, text_key, root): one row per input row; equal roots name rows linked by pairs of at least the similarity."""
     rows = settle(sketches(df, id_column, text, words_per_shingle), "sketches")
-    members = rows.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
-    members = settle(members, "band-members")
+    sets = settle(rows.dropDuplicates(["node"]).select("node", "fp", "bands"), "distinct-sets")
+    members = settle(sets.select("node", F.explode("bands").alias("bucket")), "band-members")
     starts = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
     # Written, so that the join sees two plain shuffles and Spark can split a bucket that many share.
     meets = settle(members.join(settle(starts, "band-starts"), "bucket"), "band-meets")
-    first = settle(meets.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "first-pairs")
+    met = meets.where("node <> a").select("a", F.col("node").alias("b")).unionByName(fingerprint_pairs(sets.select("node", "fp")))
+    first = settle(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
     wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # One text stands for all rows of its set; every text of the same set has the same similarities.
     chosen = rows.select("node", "text_key").join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key"))
@@ -127,13 +181,11 @@ def near_copy_groups(
     links = settle(similar_pairs(first, texts, least, words_per_shingle), "first-links")
 
     labels = components(links)
-    rooted = meets.join(labels, "node", "left").select("bucket", "node", "a", F.coalesce("root", "node").alias("root"))
+    rooted = meets.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     rooted = settle(rooted, "rooted-members")
     mixed = settle(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "mixed-buckets")
-    open_members = settle(rooted.join(mixed, "bucket"), "open-members")
-    one = open_members.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    two = open_members.select("bucket", F.col("node").alias("b"), F.col("root").alias("b_root"))
-    rest = one.join(two, "bucket").where("a < b and a_root <> b_root").select("a", "b").distinct()
+    open_members = settle(rooted.join(mixed, "bucket").select("node", "root").distinct(), "open-members")
+    rest = crossing_pairs(open_members, texts, least, words_per_shingle)
     rest = settle(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
     if not rest.isEmpty():
         labels = components(links.unionByName(similar_pairs(rest, texts, least, words_per_shingle)))

@@ -52,7 +52,12 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(words_per_shingle))))
     count = max(1, len(words) - words_per_shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, count)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, count))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's hashes: a bit is set if more than half of them have it; zero without any."""
+    count = len(hashes)
     # One byte per bit, added eight bytes at a time; 255 rows cannot overflow a byte.
     bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").view(np.uint64).reshape(count, 8)
     if count <= 255:

@@ -51,7 +51,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe.encode(docs, bpe.read_ranks(public_tokenizers.path(BPE_RANKS)))
 
 
-#: The second stage keeps its given name, but finds its pairs by min-hash bands and exact comparison (copies.py).
+#: The second stage finds near copies by SimHash, and those that it cannot reach by min-hash bands; all are compared (copies.py).
 STAGES = [
     ("language ID", identify_language),
     ("SimHash near-dedup", drop_near_copies),

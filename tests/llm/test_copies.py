@@ -101,3 +101,45 @@ def test_recall_of_the_bands_at_the_bound():
         assert copies.similarity(a, b) == 0.8
         met += bool(np.any(copies.bands(a) == copies.bands(b)))
     assert met >= 3996  # 0.99995 expected
+
+
+def test_simhash_finds_copies_that_share_no_band(spark, monkeypatch):
+    """With a band of its own for every text, only the fingerprints are left to find near copies."""
+    from pyspark.sql import functions as F
+
+    plain = copies.sketches
+    monkeypatch.setattr(copies, "sketches", lambda *args: plain(*args).withColumn("bands", F.array("node")))
+    draw, rows = random.Random(8), []
+    for i in range(20):
+        words = [f"w{draw.randint(0, 5000)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, f"end{i}"]))]
+    found = [copies.majority(copies.shingle_set(t.encode())) for _, t in rows]
+    near = [i for i in range(20) if (found[2 * i] ^ found[2 * i + 1]).bit_count() <= copies.DISTANCE]
+    assert len(near) > 15
+    kept = survivors(spark, rows)
+    assert not {2 * i + 1 for i in near} & set(kept) and {2 * i for i in range(20)} <= set(kept)
+
+
+def crowd(size, own):
+    """Texts that share a passage of 80 words and have ``own`` words of their own in front."""
+    passage = " ".join(f"p{i}" for i in range(80))
+    return [(i, " ".join(f"o{i}x{j}" for j in range(own)) + " " + passage) for i in range(size)]
+
+
+def test_texts_with_a_common_passage_make_no_pairs(spark):
+    rows = crowd(200, 30)  # 76 of 136 shingles shared: far from similar
+    rows += [(1000 + i, f"{t} {'a' if i % 2 else 'b'}") for i, t in rows[:40]]  # near copies of some, of other roots here
+    texts = spark.createDataFrame([(i, t) for i, t in rows], "node long, text string")
+    pairs = copies.crossing_pairs(texts.select("node", texts["node"].alias("root")), texts, 0.8, 5)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, 1000 + i) for i in range(40)}
+
+
+def test_crossing_pairs_hold_every_similar_pair(spark):
+    rows = [(i, t) for i, t in planted() + [(900 + i, t) for i, t in crowd(30, 6)] if t]
+    sets = {i: copies.shingle_set(t.encode()) for i, t in rows}
+    ids = {sets[i].tobytes(): i for i in sorted(sets, reverse=True)}  # one row per set
+    rows = [(i, t) for i, t in rows if ids[sets[i].tobytes()] == i and len(sets[i])]
+    wanted = {(a, b) for a, _ in rows for b, _ in rows if a < b and copies.similarity(sets[a], sets[b]) >= 0.8}
+    texts = spark.createDataFrame(rows, "node long, text string")
+    found = {(r.a, r.b) for r in copies.crossing_pairs(texts.select("node", texts["node"].alias("root")), texts, 0.8, 5).collect()}
+    assert len(wanted) > 100 and wanted <= found and len(found) < 2 * len(wanted)
