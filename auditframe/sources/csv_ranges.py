@@ -1,9 +1,9 @@
 """CSV whose quoted texts hold line breaks, read by many tasks per file.
 
-A range of lines either begins between records or inside a quoted field. Its state function says where it ends for
-each; with it the first pass keeps what crosses the range's borders: the text up to the first record's end if it begins
-inside, and an unfinished last record. Records that cross ranges are put together from these; all others are cut out of
-the range by the second pass. Spark's own parser then reads every record.
+A range of lines either begins between records or inside a quoted field. The first pass finds its state function, whether
+it ends inside for each, and keeps no text. With the states at the start of all ranges known, the second pass cuts the
+records out of each range, and one more over the ranges whose borders cut a record keeps the pieces of those: the text up
+to the end of the record in which the range begins, and an unfinished last record. Spark's own parser reads every record.
 """
 
 from __future__ import annotations
@@ -14,17 +14,21 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from auditframe.errors import RefusedError
-from auditframe.session import materialize, ship_with_tasks
+from auditframe.session import ship_with_tasks
 from auditframe.sources.ranges import Place, by_range, open_ranges, states_at_start
 
 ship_with_tasks(__name__)
 
 _QUOTED = re.compile(rb'(?:[^"]|"")*+')
 
-RANGE = "file long, start long, ends_inside boolean, ends_inside_if_inside boolean, head binary, head_closed boolean, tail binary, tail_if_inside binary"
+RANGE = "file long, start long, ends_inside boolean, ends_inside_if_inside boolean"
+_PIECES = "file long, start long, part int, text binary"
+#: Lines that are Python objects at one time.
+STEP_LINES = 1024
 
 
 def ends_inside(line: bytes, inside: bool) -> bool:
@@ -45,45 +49,26 @@ def ends_inside(line: bytes, inside: bool) -> bool:
     return True if inside or b'"' in line else False
 
 
-class _Hypothesis:
-    """One of the two states that a range may begin in, followed through its lines."""
-
-    def __init__(self, inside: bool):
-        self.inside, self.open = inside, []
-        self.head: list[bytes] | None = [] if inside else None
-        self.head_closed = not inside
-
-    def line(self, line: bytes) -> None:
-        self.inside = ends_inside(line, self.inside)
-        if not self.head_closed:
-            self.head.append(line)
-            self.head_closed = not self.inside
-        elif self.inside:
-            self.open.append(line)
-        else:
-            self.open.clear()
+def _lines(values: pa.Array, crlf: bool) -> Iterator[bytes]:
+    for begin in range(0, len(values), STEP_LINES):
+        for line in values.slice(begin, STEP_LINES).to_pylist():
+            yield line[:-1] if crlf and line[-1:] == b"\r" else line
 
 
 def _functions(crlf: bool):
-    def row(place: Place, outside: _Hypothesis, inside: _Hypothesis) -> tuple:
-        tails = [b"\n".join(x.open) if x.open else None for x in (outside, inside)]
-        return (*place, outside.inside, inside.inside, b"\n".join(inside.head), inside.head_closed, *tails)
-
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, place, both = [], None, ()
+        rows, place, outside, inside = [], None, False, True
         for at, values in by_range(batches):
             if at != place:
                 if place is not None:
-                    rows.append(row(place, *both))
-                place, both = at, (_Hypothesis(False), _Hypothesis(True))
-            for line in values.to_pylist():
-                line = line[:-1] if crlf and line[-1:] == b"\r" else line
-                for x in both:
-                    x.line(line)
+                    rows.append((*place, outside, inside))
+                place, outside, inside = at, False, True
+            for line in _lines(values.filter(pc.match_substring(values, '"')), crlf):  # others change neither state
+                outside, inside = ends_inside(line, outside), ends_inside(line, inside)
         if place is not None:
-            rows.append(row(place, *both))
-        kinds = [pa.int64()] * 2 + [pa.bool_()] * 2 + [pa.binary(), pa.bool_()] + [pa.binary()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 8, kinds)], [x.split()[0] for x in RANGE.split(", ")])
+            rows.append((*place, outside, inside))
+        kinds = [pa.int64()] * 2 + [pa.bool_()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 4, kinds)], [x.split()[0] for x in RANGE.split(", ")])
 
     return over
 
@@ -108,24 +93,30 @@ def _records(inside: dict[Place, bool], header: list[str], crlf: bool):
                     raise ValueError("The ranges of a CSV file changed between its two passes.")
                 place, open_lines, state = at, [], inside[at]
                 in_head, at_header = state, at[1] == 0
+            plain = not (crlf or state or at_header or open_lines or in_head)
+            if plain and not pc.any(pc.match_substring(values, '"')).as_py():
+                yield pa.RecordBatch.from_arrays([values.filter(pc.greater(pc.binary_length(values), 0))], ["record"])
+                continue
             found = []
-            for line in values.to_pylist():
-                line = line[:-1] if crlf and line[-1:] == b"\r" else line
+            for line in _lines(values, crlf):
                 state = ends_inside(line, state)
-                if state or open_lines or in_head:
+                if in_head:
+                    in_head = state
+                    continue
+                if state or open_lines:
                     open_lines.append(line)
                     if state:
                         continue
-                    line, skipped = b"\n".join(open_lines), in_head
-                    open_lines, in_head = [], False
-                    if skipped:
-                        continue
+                    line, open_lines = b"\n".join(open_lines), []
                 if at_header:
                     at_header = False
                     if _header_of(line) != header:
                         raise ValueError(f"A CSV file has another header: {_header_of(line)} instead of {header}.")
                 elif line:
                     found.append(line)
+                if len(found) == STEP_LINES:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["record"])
+                    found = []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["record"])
         if at_header:
@@ -134,19 +125,43 @@ def _records(inside: dict[Place, bool], header: list[str], crlf: bool):
     return over
 
 
-def _across(functions: DataFrame, inside: dict[Place, bool]) -> DataFrame:
+def _pieces(inside: dict[Place, bool], crossed: set[Place], crlf: bool):
+    """What the borders of ranges cut: part 0 is the end of a record that began before, part 1 begins one that goes on."""
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, state, in_head = None, [], False, False
+
+        def piece() -> pa.RecordBatch:
+            columns = [[place[0]], [place[1]], [0 if in_head else 1], [b"\n".join(held)]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["file", "start", "part", "text"])
+
+        for at, values in by_range(batches):
+            if at != place:
+                if held:
+                    yield piece()
+                place, held, state = at, [], inside[at]
+                in_head = state
+            if at not in crossed:
+                continue
+            for line in _lines(values, crlf):
+                state = ends_inside(line, state)
+                if state or in_head:
+                    held.append(line)
+                if not state:
+                    if in_head:
+                        yield piece()
+                        in_head = False
+                    held = []
+        if held:
+            yield piece()
+
+    return over
+
+
+def _across(pieces: DataFrame) -> DataFrame:
     """Records that cross ranges: an unfinished last record and all that follows it up to its end."""
-    spark = functions.sparkSession
-    known = spark.createDataFrame([(*place, state) for place, state in inside.items()], "file long, start long, inside boolean")
-    pieces = functions.join(known, ["file", "start"]).select(
-        "file",
-        F.explode(
-            F.array(
-                F.struct("start", F.lit(0).alias("part"), F.when(F.col("inside"), F.col("head")).alias("text")),
-                F.struct("start", F.lit(1).alias("part"), F.when(F.col("inside"), F.col("tail_if_inside")).otherwise(F.col("tail")).alias("text")),
-            )
-        ).alias("piece"),
-    ).where("piece.text is not null")
+    pieces = pieces.select("file", F.struct("start", "part", "text").alias("piece"))
     begins = F.sum(F.col("piece.part")).over(Window.partitionBy("file").orderBy("piece.start", "piece.part"))
     whole = pieces.withColumn("record", begins).groupBy("file", "record").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
     return whole.select(F.array_join(F.transform("pieces", lambda x: x["text"].cast("string")), "\n").cast("binary").alias("record"))
@@ -162,11 +177,13 @@ def read_records(spark: SparkSession, path: str, header: list[str], line_sep: st
     crlf = line_sep == "\n" and first is not None and bytes(first[0]).endswith(b"\r")
     if first is not None and line_sep == "\n" and b"\r" in bytes(first[0])[:-1]:
         raise RefusedError("The CSV text ends its lines with CR alone; name it as line_sep.")
-    functions = materialize(lines.mapInArrow(_functions(crlf), RANGE))
-    seen = functions.select("file", "start", "ends_inside", "ends_inside_if_inside").collect()
+    seen = lines.mapInArrow(_functions(crlf), RANGE).collect()  # one row per range
     inside = states_at_start((((r[0], r[1]), lambda state, r=r: r[3] if state else r[2]) for r in seen), False)
     within = lines.mapInArrow(_records(inside, header, crlf), "record binary")
-    return within.unionByName(_across(functions, inside))
+    crossed = {(r[0], r[1]) for r in seen if inside[r[0], r[1]] or r[2]}
+    if not crossed:
+        return within
+    return within.unionByName(_across(lines.mapInArrow(_pieces(inside, crossed, crlf), _PIECES)))
 
 
 def parse_records(records: DataFrame, names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from auditframe.errors import RefusedError
+from auditframe.sources import csv_ranges, ranges
 from auditframe.sources.csv_ranges import ends_inside
 from auditframe.sources.scans import read_csv
 
@@ -70,3 +71,13 @@ def test_plain_quote_and_repeated_names_in_many_files(spark, tmp_path, as_rows):
     (folder / "9.csv").write_bytes(b"a,,a\n1,2,3\n")
     with pytest.raises(Exception, match="another header"):
         read_csv(spark, str(folder), types={}).collect()
+
+
+def test_the_first_pass_keeps_no_text(spark, tmp_path):
+    """Lines without quotes could all be the end of a quoted text; one row of fixed size says so."""
+    path = tmp_path / "x.csv"
+    path.write_bytes(b"a,b\n" + b"".join(b"%d,plain\n" % i for i in range(3000)))
+    lines = ranges.open_ranges(spark, str(path), "\n", 9000)
+    found = lines.mapInArrow(csv_ranges._functions(False), csv_ranges.RANGE).collect()
+    assert len(found) > 2 and {len(r) for r in found} == {4} and {tuple(r)[2:] for r in found} == {(False, True)}
+    assert read_csv(spark, str(path), types={}, range_bytes=9000).count() == 3000
