@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from auditframe.functions.identity import content_sums, fingerprint_of, merged_sums
 from auditframe.functions.scalars import neutralize_formulas, normalize_currency, normalize_number, to_moment
@@ -79,13 +79,21 @@ def csv_documents_round_trip(spark, sf):
 
 @query("SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
 def csv_one_file_in_ranges(spark, sf):
-    """All documents, with line breaks and quotes, as one CSV file that many tasks read."""
+    """All documents, with line breaks and quotes, as one CSV file that many tasks read.
+
+    A task writes a file, so each further ``FILE_BYTES`` of the table are one more file, read in the same way.
+    """
     documents = table(spark, sf, "documents")
     path = work_path(spark, "documents-one-csv")
-    documents.coalesce(1).write.options(**CSV_OPTIONS).csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    size = spark.read.format("binaryFile").load(f"{sf}/documents.parquet").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    files = -(-size // FILE_BYTES) or 1
+    documents.coalesce(files).write.options(**CSV_OPTIONS).csv(path, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return read_csv(spark, path, types={"doc_id": "bigint", "n_chars": "bigint"}, range_bytes=1 << 19)
 
 
+#: Bytes of the table, and orders, of one written file; up to these there is a single one.
+FILE_BYTES, FILE_RECORDS = 64 << 20, 250_000
+
 _JSON_ORDERS = """
     SELECT o_orderkey AS "order.key", o_orderstatus AS "order.status", o_totalprice AS total, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders
 """
@@ -119,12 +127,20 @@ def json_array_scan(spark, sf):
 
 @query(_JSON_ORDERS)
 def json_one_array_in_ranges(spark, sf):
-    """All orders as one array in one file that many tasks read."""
+    """All orders as one array in one file that many tasks read.
+
+    A task orders and writes a file, so each further ``FILE_RECORDS`` orders are one more array and file.
+    """
     records = _order_records(spark, sf).select("record", F.col("record.order.key").alias("key"))
-    first, last = records.agg(F.min("key"), F.max("key")).first()
-    line = F.concat(F.when(F.col("key") == first, "[").otherwise(""), F.to_json("record"), F.when(F.col("key") == last, "]").otherwise(","))
+    files = -(-records.count() // FILE_RECORDS) or 1
+    dealt = records.withColumn("part", F.pmod(F.xxhash64("record"), F.lit(files)))
+    in_file = Window.partitionBy("part").orderBy("key")
+    place = F.row_number().over(in_file).alias("place")
+    placed = dealt.select("record", "part", place, F.lead(F.lit(True)).over(in_file).isNull().alias("last"))
+    line = F.concat(F.when(F.col("place") == 1, "[").otherwise(""), F.to_json("record"), F.when(F.col("last"), "]").otherwise(","))
     path = work_path(spark, "orders-one-json")
-    records.coalesce(1).sortWithinPartitions("key").select(line.alias("value")).write.text(path)
+    placed.sortWithinPartitions("part", "place").select(line.alias("value"), "part").write.partitionBy("part").text(path)
+    path = f"{path}/part=*"
     return read_json(spark, path, range_bytes=1 << 18)
 
 

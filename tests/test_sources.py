@@ -1,6 +1,7 @@
 """Scans and sinks on small files."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from auditframe.sources.scans import (
     expect_size, file_fingerprints, jdbc_options, provenance, read_csv, read_json, read_json_lines, read_parquet, read_text_documents, write_text_documents,
 )
 from auditframe.sources.sinks import Export, check_export, export_csv, integrity_findings, require_checks, write_tables
-from auditframe.workload import QUERIES
+from auditframe.workload import QUERIES, sources
 from conftest import plan_of
 
 
@@ -184,3 +185,19 @@ def test_documents_of_one_id_are_files_of_their_own(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["text"]: r["files"] for r in QUERIES["text_files_scan"](spark, str(tmp_path)).collect()}
     assert found == {"same words": 2, "other words": 1, "third": 1}
+
+
+def test_large_tables_are_written_as_several_files(spark, tmp_path, monkeypatch):
+    """Past a bound a further file is begun, so that no task reads the whole table."""
+    monkeypatch.setattr(sources, "FILE_RECORDS", 7)
+    monkeypatch.setattr(sources, "FILE_BYTES", 3000)
+    monkeypatch.setattr(sources, "work_path", lambda session, label: f"{tmp_path}/{label}")
+    when = datetime(2024, 5, 6)
+    orders = [(i // 2, "O", 1.5 * i, when) for i in range(30)] + [(None, "F", 2.0, when)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    found = sorted(r["total"] for r in QUERIES["json_one_array_in_ranges"](spark, str(tmp_path)).collect())
+    assert found == sorted(x[2] for x in orders) and len(list(tmp_path.glob("orders-one-json/part=*/*.txt"))) > 2
+    docs = [(i, f'line "{i}"\nnext', "en", "s", 9) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["csv_one_file_in_ranges"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == docs and len(list(tmp_path.glob("documents-one-csv/*.csv"))) > 1
