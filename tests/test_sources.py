@@ -180,11 +180,11 @@ def test_texts_are_files_of_their_own_in_few_folders(spark, tmp_path):
     assert sorted(r["text"] for r in read.collect()) == sorted(t.replace("\n", " ") for t in texts)
 
 
-def test_documents_of_one_id_are_files_of_their_own(spark, tmp_path):
-    rows = [(1, "same words"), (1, "same words"), (None, "other words"), (None, "third")]
+def test_documents_of_one_id_share_a_file(spark, tmp_path):
+    rows = [(1, "same words"), (1, "same words"), (2, "same words"), (None, "third"), (None, "third")]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["text"]: r["files"] for r in QUERIES["text_files_scan"](spark, str(tmp_path)).collect()}
-    assert found == {"same words": 2, "other words": 1, "third": 1}
+    assert found == {"same words same words": 1, "same words": 1, "third third": 1}
 
 
 def test_large_tables_are_written_as_several_files(spark, tmp_path, monkeypatch):
