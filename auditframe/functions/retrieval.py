@@ -18,6 +18,8 @@ ship_with_tasks(__name__)
 
 # Items and queries that meet in one step of a task.
 BLOCK_ITEMS, BLOCK_QUERIES = 4096, 1024
+# Numbers of a block's vectors; a block of long vectors has fewer of them.
+BLOCK_ENTRIES = 1 << 20
 # Scores are compared at this precision, so that equal vectors tie and the id decides.
 SCORE_DIGITS = 9
 # What a bound may miss by rounding.
@@ -172,13 +174,21 @@ class _DenseBlock:
 
 
 def _pack(df: DataFrame, key: str, vector: list[str], rows: int) -> DataFrame:
-    """Rows of up to ``rows`` vectors each, packed where they lie: ids, sizes and the numbers of all vectors."""
+    """Rows of up to ``rows`` vectors and about ``BLOCK_ENTRIES`` numbers each, packed where they lie: ids, sizes and the numbers."""
     kind = df.schema[key].dataType.simpleString()
 
+    def one(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                some = batch.slice(start, rows)
+            entries = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy())
+            start = 0
+            while start < batch.num_rows:
+                before = entries[start - 1] if start else 0
+                full = int(np.searchsorted(entries, before + BLOCK_ENTRIES, side="right"))
+                some = batch.slice(start, min(max(full - start, 1), rows))
+                start += some.num_rows
                 lists = [some.column(i) for i in range(1, some.num_columns)]
                 sizes = lists[0].value_lengths().fill_null(0)
                 flat = [x.flatten() for x in lists]
@@ -186,8 +196,7 @@ def _pack(df: DataFrame, key: str, vector: list[str], rows: int) -> DataFrame:
                 second = flat[-1].cast(pa.float64())
                 if second.null_count:
                     raise ValueError("A stored embedding contains a non-finite value.")
-                columns = [pa.array([x.to_pylist()], t) for x, t in ((some.column(0), pa.list_(some.column(0).type)), (sizes, pa.list_(pa.int32())), (first, pa.list_(pa.int32())), (second, pa.list_(pa.float64())))]
-                yield pa.RecordBatch.from_arrays(columns, ["ids", "sizes", "first", "second"])
+                yield pa.RecordBatch.from_arrays([one(x) for x in (some.column(0), sizes, first, second)], ["ids", "sizes", "first", "second"])
 
     return df.select(key, *vector).mapInArrow(over, f"ids array<{kind}>, sizes array<int>, first array<int>, second array<double>")
 

@@ -9,6 +9,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,7 +34,9 @@ _FLUSH_CHARACTERS = 16_000_000
 _WORDS = re.compile(r"\S+")
 _TOKENS = re.compile("[a-z0-9]+")
 # Words whose bucket a task remembers.
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 200_000
+# Texts whose vectors are held at one time.
+STEP_TEXTS = 256
 
 
 def document_ids(df: DataFrame, text: str = "text") -> DataFrame:
@@ -124,10 +127,10 @@ def token_vectors(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket_of: dict[str, int] = {}
-        for batch in batches:
-            buckets, weights = [], []
-            for value in batch.column(1).to_pylist():
-                counts = Counter(_TOKENS.findall(value or ""))
+        for batch in (b.slice(at, STEP_TEXTS) for b in batches for at in range(0, b.num_rows, STEP_TEXTS)):
+            buckets, weights, ends = [], [], [0]
+            for value in batch.column(1):
+                counts = Counter(found.group() for found in _TOKENS.finditer(value.as_py() or ""))
                 for word in STOP_WORDS:
                     counts.pop(word, None)
                 if len(bucket_of) > _CACHED_WORDS:
@@ -139,10 +142,12 @@ def token_vectors(df: DataFrame, key: str, text: str = "text") -> DataFrame:
                         bucket = bucket_of[word] = int(hashlib.sha256(word.encode()).hexdigest()[:8], 16) % VECTOR_BUCKETS
                     sums[bucket] = sums.get(bucket, 0) + n
                 norm = math.sqrt(sum(n * n for n in sums.values()))
-                buckets.append(sorted(sums))
-                weights.append([sums[b] / norm for b in buckets[-1]])
-            columns = [batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, [key, "buckets", "weights"])
+                own = np.array(sorted(sums), np.int32)
+                buckets.append(own)
+                weights.append(np.array([sums[b] / norm for b in own.tolist()], np.float64))
+                ends.append(ends[-1] + len(own))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (buckets, weights)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], [key, "buckets", "weights"])
 
     return df.select(key, F.lower(F.col(text)).alias("text")).mapInArrow(over, f"`{key}` {kind}, buckets array<int>, weights array<double>")
 

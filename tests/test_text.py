@@ -12,6 +12,7 @@ import re
 from pyspark.sql import functions as F
 
 from auditframe.errors import RefusedError
+from auditframe.functions import retrieval, text as texts_module
 from auditframe.functions.retrieval import dense_top_k, hit_metrics, require_space, sparse_top_k, top_k, validate_vectors
 from auditframe.functions.scalars import SPACE_CHARACTERS, collapse_spaces, strip
 from auditframe.functions.text import DOCUMENT_NAMESPACE, STOP_WORDS, chunk_pages, pages_from_text, replace_documents, token_vectors
@@ -191,3 +192,18 @@ def test_reingest(spark, as_rows):
     old = spark.createDataFrame([("d1", "x"), ("d1", "y"), ("d2", "z")], "document_id string, text string")
     new = spark.createDataFrame([("d1", "n")], "document_id string, text string")
     assert as_rows(replace_documents(old, new)) == [("d1", "n"), ("d2", "z")]
+
+
+def test_blocks_are_bounded_by_their_numbers(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_ENTRIES", 10)
+    rows = [(i, [1.0] * size) for i, size in enumerate([4, 4, 4, 25, 1, 0, 9, 2])]
+    blocks = retrieval._pack(spark.createDataFrame(rows, "id long, v array<double>").coalesce(1), "id", ["v"], 3).collect()
+    assert [b["ids"] for b in blocks] == [[0, 1], [2], [3], [4, 5, 6], [7]]
+    assert [b["sizes"] for b in blocks] == [[4, 4], [4], [25], [1, 0, 9], [2]] and sum(len(b["second"]) for b in blocks) == 49
+
+
+def test_vectors_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(texts_module, "STEP_TEXTS", 3)
+    rows = [(i, "alpha beta " * i + f"word{i}") for i in range(10)] + [(10, None), (11, "")]
+    got = {r["id"]: dict(zip(r["buckets"], r["weights"])) for r in token_vectors(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id").collect()}
+    assert len(got) == 12 and not got[10] and not got[11] and all(abs(sum(w * w for w in got[i].values()) - 1) < 1e-9 for i in range(10))
