@@ -7,10 +7,12 @@ anything. So bands of min-hashes add what SimHash cannot reach: two texts agree
 similarity ** BAND_ROWS, and meet if they agree on one of BANDS. Every candidate pair is decided by the
 exact similarity of its texts.
 
-A bucket of n texts is first compared with its smallest member only, so a large group of near copies costs n
-comparisons. Where that leaves the members of a bucket in several groups, pairs between groups are found by
-the rarest shingles of each text (``crossing_pairs``), which similar texts must share and texts that have
-only a passage in common do not; no candidate of the bound is left out.
+A bucket of n texts is first compared with one member only, so a large group of near copies costs n
+comparisons: with the member that shares its buckets with most, the text from which others were changed
+rather than one more copy. Where that leaves the other members of a bucket in several groups, pairs between
+groups are found by what each text changes of that member (``crossing_pairs``): similar texts must share rare
+changes, and neither texts that have only a passage in common nor copies changed each in its own way do; no
+candidate of the bound is left out.
 
 Recall: a pair of similarity 0.8 meets with probability 1 - (1 - 0.8**5)**25 = 0.99995 in the bands alone,
 more similar pairs with more. Precision is exact up to 64-bit hashes of the shingles.
@@ -102,39 +104,55 @@ def fingerprint_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def crossing_pairs(members: DataFrame, texts: DataFrame, least: float, words_per_shingle: int) -> DataFrame:
-    """Pairs (a, b) of members (node, root) with different roots that can have the similarity, and all that have it.
+    """Pairs (a, b) of members (pivot, node, root) of one pivot with different roots that can have the similarity, and all that have it.
 
-    The shingles of each set are ordered by how many sets hold them, rarest first. Two sets of the
-    similarity share a shingle among the first few of each; where the first shared one stands bounds what
-    they can share at most. So a shingle of many sets meets only where a set has hardly any rarer ones.
+    Members without the column pivot have the empty set for one. A set is taken as the shingles in which it differs from its pivot. Two sets differ in what stands in one of
+    these differences only, so where a set is not similar to the pivot, similar ones share some of its
+    differences. The differences are ordered by how many sets of the pivot have them, rarest first: a common one
+    is among the first few of each, and where it stands bounds what they can share at most. Near copies of one
+    text with changes of their own share hardly any, however many they are.
     """
+    apart = (1 - least) / (1 + least)  # two similar sets differ in at most this share of their sizes' sum
 
     def step(batch):
-        sets = [shingle_set(x, words_per_shingle).view(np.int64) for x in byte_texts(batch.column(2))]
-        return {"node": batch.column(0), "root": batch.column(1), "shingles": pa.array(sets, pa.list_(pa.int64()))}
-
-    sets = map_arrow(members.join(texts, "node").select("node", "root", "text"), step, "node bigint, root bigint, shingles array<bigint>")
-    held = settle(sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "open-shingles")
-    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
-    rarest = Window.partitionBy("node").orderBy("holders", "shingle")
-    placed = held.join(counts, "shingle").withColumn("place", F.row_number().over(rarest))
-
-    def needed(share: float):
-        return F.ceil(F.col("size") * share - 1e-9)
-
-    # Of two sets the smaller meets by fewer of its shingles, because most of it must be shared.
-    first = placed.where((F.col("holders") > 1) & (F.col("place") <= F.col("size") - needed(least) + 1))
-    first = settle(first.withColumn("low", F.col("place") <= F.col("size") - needed(2 * least / (1 + least)) + 1), "rarest-shingles")
-    one = first.where("low").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "size", "place")])
-    two = first.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "size", "place")])
-    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) + 1
+        known: dict[int, np.ndarray] = {}
+        rows = []
+        for pivot, text, own in zip(batch.column(0).to_pylist(), byte_texts(batch.column(3)), byte_texts(batch.column(4))):
+            if pivot not in known:
+                known = {pivot: shingle_set(text, words_per_shingle)}
+            base, shingles = known[pivot], shingle_set(own, words_per_shingle)
+            changes = np.setxor1d(base, shingles, assume_unique=True).view(np.int64)
+            rows.append((changes, len(shingles), len(base), len(changes), similarity(base, shingles) >= least))
+        changes, *counts, near = zip(*rows) if rows else [()] * 5
+        names = dict(zip(("pivot", "node", "root"), batch.columns))
+        return names | {"shingles": pa.array(changes, pa.list_(pa.int64()))} | {k: pa.array(v, pa.int64()) for k, v in zip(("size", "base", "changed"), counts)} | {"near": pa.array(near, pa.bool_())}
+
+    if "pivot" in members.columns:
+        paired = members.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+    else:
+        paired = members.join(texts, "node").withColumns({"pivot": F.lit(0).cast("long"), "pivot_text": F.lit("")})
+    paired = paired.select("pivot", "node", "root", "pivot_text", "text")
+    sets = map_arrow(paired, step, "pivot bigint, node bigint, root bigint, shingles array<bigint>, size bigint, base bigint, changed bigint, near boolean")
+    held = settle(sets.withColumn("shingle", F.explode("shingles")).drop("shingles"), "open-shingles")
+    counts = held.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    rarest = Window.partitionBy("pivot", "node").orderBy("holders", "shingle")
+    # What one set alone has comes first and meets nothing; it only moves the places of the others.
+    alone = F.col("changed") - F.count(F.lit(1)).over(Window.partitionBy("pivot", "node"))
+    placed = held.join(counts, ["pivot", "shingle"]).withColumn("place", alone + F.row_number().over(rarest))
+    # Common changes that any similar set of another root has at least.
+    beside = F.when(F.col("near"), F.col("size") - F.col("base")).otherwise(F.col("size") + F.col("base"))
+    common = F.greatest(F.lit(1), F.ceil((F.col("changed") - beside * apart) / 2 - 1e-9))
+    first = settle(placed.where(F.col("place") <= F.col("changed") - common + 1).drop("base", "holders"), "rarest-shingles")
+    names = ("node", "root", "size", "changed", "near", "place")
+    one, two = (first.select("pivot", "shingle", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+    left = F.least(F.col("a_changed") - F.col("a_place"), F.col("b_changed") - F.col("b_place")) + 1
     fits = (
-        (F.struct("a_size", "a_node") < F.struct("b_size", "b_node"))
+        (F.col("b_near") | (F.col("a_node") < F.col("b_node")))
         & (F.col("a_root") != F.col("b_root"))
-        & (F.col("a_size") >= F.col("b_size") * least - 1e-9)
-        & (left >= (F.col("a_size") + F.col("b_size")) * (least / (1 + least)) - 1e-9)
+        & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * least - 1e-9)
+        & (left >= (F.col("a_changed") + F.col("b_changed") - (F.col("a_size") + F.col("b_size")) * apart) / 2 - 1e-9)
     )
-    pairs = one.join(two, "shingle").where(fits)
+    pairs = one.where("not a_near").join(two, ["pivot", "shingle"]).where(fits)
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
@@ -168,9 +186,13 @@ def near_copy_groups(
     rows = settle(sketches(df, id_column, text, words_per_shingle), "sketches")
     sets = settle(rows.dropDuplicates(["node"]).select("node", "fp", "bands"), "distinct-sets")
     members = settle(sets.select("node", F.explode("bands").alias("bucket")), "band-members")
-    starts = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written, so that the join sees two plain shuffles and Spark can split a bucket that many share.
-    meets = settle(members.join(settle(starts, "band-starts"), "bucket"), "band-meets")
+    shared = settle(members.join(settle(sizes, "band-sizes"), "bucket"), "band-shares")
+    met_by = settle(shared.groupBy("node").agg(F.sum("n").alias("degree")), "band-degrees")
+    shared = shared.join(met_by, "node")
+    starts = shared.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("start")).select("bucket", F.col("start.node").alias("a"))
+    meets = settle(shared.select("bucket", "node").join(settle(starts, "band-starts"), "bucket"), "band-meets")
     met = meets.where("node <> a").select("a", F.col("node").alias("b")).unionByName(fingerprint_pairs(sets.select("node", "fp")))
     first = settle(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
     wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -181,10 +203,10 @@ def near_copy_groups(
     links = settle(similar_pairs(first, texts, least, words_per_shingle), "first-links")
 
     labels = components(links)
-    rooted = meets.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rooted = meets.where("node <> a").join(labels, "node", "left").select("bucket", F.col("a").alias("pivot"), "node", F.coalesce("root", "node").alias("root"))
     rooted = settle(rooted, "rooted-members")
     mixed = settle(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "mixed-buckets")
-    open_members = settle(rooted.join(mixed, "bucket").select("node", "root").distinct(), "open-members")
+    open_members = settle(rooted.join(mixed, "bucket").select("pivot", "node", "root").distinct(), "open-members")
     rest = crossing_pairs(open_members, texts, least, words_per_shingle)
     rest = settle(rest.join(first, ["a", "b"], "left_anti"), "other-pairs")
     if not rest.isEmpty():

@@ -143,3 +143,26 @@ def test_crossing_pairs_hold_every_similar_pair(spark):
     texts = spark.createDataFrame(rows, "node long, text string")
     found = {(r.a, r.b) for r in copies.crossing_pairs(texts.select("node", texts["node"].alias("root")), texts, 0.8, 5).collect()}
     assert len(wanted) > 100 and wanted <= found and len(found) < 2 * len(wanted)
+
+
+def changed_copies(count):
+    """A text of 146 shingles and copies of it, each with 1 to 7 changed words: many are similar to it and few to each other."""
+    draw = random.Random(9)
+    words = [f"w{draw.randint(0, 5000)}" for _ in range(150)]
+    rows = [" ".join(words)]
+    for _ in range(count):
+        own = list(words)
+        for place in draw.sample(range(150), draw.randint(1, 7)):
+            own[place] = f"x{draw.randint(0, 500)}"
+        rows.append(" ".join(own))
+    return list(enumerate(rows))
+
+
+def test_pairs_of_a_large_group_grow_no_faster_than_it(spark, monkeypatch):
+    """Copies changed each in its own way meet the text they share, not one another."""
+    made, plain = {}, copies.settle
+    for count in (150, 600):
+        rows = changed_copies(count)
+        monkeypatch.setattr(copies, "settle", lambda df, label: made.setdefault(f"{label} {count}", plain(df, label)))
+        assert survivors(spark, rows) == plain_survivors(rows)
+        assert made[f"other-pairs {count}"].count() <= 2 * count
