@@ -47,6 +47,10 @@ BLOCK_DOCS = 256
 BLOCK_BITS = 8_000_000
 #: Bytes of text whose documents are sorted and cut into blocks together.
 SORT_BYTES = 2_000_000
+#: Documents of an Arrow batch that are Python values at a time.
+READ_ROWS = 100
+#: Terms of an item whose scores are held for a block's documents at a time.
+SCORE_TERMS = 1_000
 #: Terms of a block of items; a single larger item is a block of its own.
 ITEM_TERMS = 10_000
 TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -83,21 +87,27 @@ def bit_places(hashes: np.ndarray, width: int) -> np.ndarray:
     return ((hashes[:, None] + step[:, None] * np.arange(BITS_SET, dtype=np.uint64)) >> np.uint64(7)).astype(np.int64) % width
 
 
-def _block(docs: list, counted: list[Counter], hashed: list[np.ndarray]) -> dict:
-    """One index row. Every document has its terms as space-joined bytes and its counts as 32-bit numbers."""
+def _held(doc, counted: Counter) -> tuple:
+    """(doc, terms, counts, entries): a document's terms as space-joined bytes, its counts as 32-bit numbers, the hashes of its entries."""
+    counts = np.fromiter(counted.values(), np.uint32, len(counted))
+    return doc, b" ".join(counted), counts, entries(list(counted), counts)[0]
+
+
+def _block(rows: list[tuple]) -> dict:
+    """One index row."""
+    docs, terms, counts, hashed = map(list, zip(*rows))
     width = max(8, BITS_PER_ENTRY * max(len(x) for x in hashed))
     bits = np.zeros((width, len(docs)), dtype=np.uint8)
     for column, hashes in enumerate(hashed):
         bits[bit_places(hashes, width).ravel(), column] = 1
-    terms = [b" ".join(x) for x in counted]
     return {
         "docs": docs,
-        "lengths": [sum(x.values()) for x in counted],
+        "lengths": [int(x.sum(dtype=np.int64)) for x in counts],
         "width": width,
         "slices": np.packbits(bits, axis=1).tobytes(),
         "offsets": np.cumsum([0, *(len(x) for x in terms)]).tolist(),
         "terms": b"".join(terms),
-        "counts": np.concatenate([np.fromiter(x.values(), np.uint32, len(x)) for x in counted]).tobytes(),
+        "counts": np.concatenate(counts).tobytes(),
     }
 
 
@@ -105,30 +115,28 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     """The written index: one row per block; documents without a term are left out, as they never score."""
     schema = pa.schema([("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("width", pa.int32()), ("slices", pa.binary()), ("offsets", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.binary())])
 
-    def blocks(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for doc, counted in held:
-            rows.append((doc, counted, entries(list(counted), np.fromiter(counted.values(), np.int64, len(counted)))[0]))
-        rows.sort(key=lambda row: len(row[2]))
+    def blocks(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda row: len(row[3]))
         start = 0
         while start < len(rows):
             stop = start + 1
-            while stop < min(len(rows), start + BLOCK_DOCS) and (stop + 1 - start) * len(rows[stop][2]) * BITS_PER_ENTRY <= BLOCK_BITS:
+            while stop < min(len(rows), start + BLOCK_DOCS) and (stop + 1 - start) * len(rows[stop][3]) * BITS_PER_ENTRY <= BLOCK_BITS:
                 stop += 1
-            some, start = rows[start:stop], stop
-            block = _block([x[0] for x in some], [x[1] for x in some], [x[2] for x in some])
+            block, start = _block(rows[start:stop]), stop
             yield pa.RecordBatch.from_arrays([pa.array([block[f.name]], f.type) for f in schema], schema=schema)
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-                if counted := term_counts(text):
-                    held.append((doc, counted))
-                size += len(text)
-                if size >= SORT_BYTES:
-                    yield from blocks(held)
-                    held, size = [], 0
+            for start in range(0, batch.num_rows, READ_ROWS):
+                some = batch.slice(start, READ_ROWS)
+                for doc, text in zip(some.column(0).to_pylist(), byte_texts(some.column(1))):
+                    if counted := term_counts(text):
+                        held.append(_held(doc, counted))
+                    size += len(text)
+                    if size >= SORT_BYTES:
+                        yield from blocks(held)
+                        held, size = [], 0
         yield from blocks(held)
 
     return settle(docs.select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(over, INDEX), "signatures")
@@ -179,7 +187,7 @@ def document_frequencies(index: DataFrame, terms: tuple[bytes, ...]) -> np.ndarr
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows([batch]):
                 joined, ends = row["terms"], row["offsets"]
                 for start, end in zip(ends, ends[1:]):
                     counts[[known[x] for x in joined[start:end].split(b" ") if x in known]] += 1
@@ -230,8 +238,13 @@ class Searcher:
             if not len(alive):
                 break
             reached[alive] += np.unpackbits(still, axis=1, count=docs)
-        scores = np.take_along_axis(worth, reached.astype(np.int64), axis=0) * self.weights[:, None]
-        return np.stack([scores[x].sum(axis=0) for x in self.items.places])
+        # Item by item: scores of all terms at once would take 24 times the memory of ``reached``.
+        scores = np.zeros((len(self.items.places), docs), dtype=np.int64)
+        for score, places in zip(scores, self.items.places):
+            for start in range(0, len(places), SCORE_TERMS):
+                some = places[start : start + SCORE_TERMS]
+                score += (np.take_along_axis(worth, reached[some], axis=0) * self.weights[some, None]).sum(axis=0)
+        return scores
 
     def exact(self, row: dict, wanted: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, document, score) of the pairs that ``wanted`` (items by documents) marks, if above 0."""

@@ -1,6 +1,7 @@
 """Ranked search against scoring every pair, bounds against scores, odd rows."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import plain
@@ -59,3 +60,22 @@ def test_empty_tables(spark):
     found = lexical.search(none, items)
     assert found.count() == 0 and found.dtypes == [("item_id", "int"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
     assert lexical.search(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items.limit(0)).count() == 0
+
+
+def test_bounds_hold_scores_of_one_item_at_a_time():
+    """The scores of all terms of a block of items at once took 24 bytes a term and document."""
+    terms = [f"t{i}".encode() for i in range(lexical.ITEM_TERMS)]
+    items = lexical.Items(tuple(range(200)), tuple(terms), tuple(np.arange(i, len(terms), 200) for i in range(200)))
+    searcher = lexical.Searcher(items, np.arange(1, len(terms) + 1), 256, 256 * 300)
+    held = [lexical._held(doc, lexical.Counter({x: 1 + (doc + n) % 40 for n, x in enumerate(terms[doc::37])})) for doc in range(256)]
+    row = lexical._block(held)
+    tracemalloc.start()
+    bounds = searcher.bounds(row)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(terms) * 256
+    for doc in (0, 100, 255):
+        own = dict(zip(held[doc][1].split(b" "), held[doc][2].tolist()))
+        m = int(searcher.lengths(row)[doc])
+        exact = [sum(int(searcher.weights[t]) * lexical.term_score(1, own[terms[t]], m) for t in x if terms[t] in own) for x in items.places]
+        assert (bounds[:, doc] >= exact).all()
