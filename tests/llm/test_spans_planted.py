@@ -80,3 +80,21 @@ def test_single_sentences_of_middle_length_stay(spark):
     line = " ".join(f"w{i}" for i in range(24)) + "."
     frame = spark.createDataFrame([(i, f"Own {i} words here. {line} Then others {i} follow.") for i in range(3)], DOCS)
     assert spans.without_repeats(frame).where("n_removed > 0").count() == 0
+
+
+def test_texts_of_a_pass_are_cut_as_each_alone():
+    draw = random.Random(3)
+    marks = ["a", "b", "Σ", "İ", ".", "!", '"', "')", " ", "  ", "\n", "\t", "　", "word", "The", "of"]
+    texts = ["", None, " ", "\n", " \n a", "a\n ", ". ", '." a', "ends.", " begins"]
+    texts += ["".join(draw.choices(marks, k=draw.randint(0, 40))) for _ in range(500)]
+    texts += [" ".join(draw.choices(["x", "y", "z.", 'v!"'], k=draw.randint(20, 200))) for _ in range(100)]
+    draw.shuffle(texts)
+    passes = list(spans.in_passes(texts))
+    assert len(passes) < 10
+    edges, found = [], []
+    for start, cut in passes:
+        edges += [[0, *cut.ends[a:b].tolist()] for a, b in zip(cut.first, cut.first[1:])]
+        found += [(start + int(x[0]), *map(int, x[1:])) for x in zip(*spans.runs(cut))]
+    assert edges == [spans.sentence_edges(x or "") for x in texts]
+    assert "".join(x or "" for x in texts) == "".join((x or "")[a:b] for x, own in zip(texts, edges) for a, b in zip(own, own[1:]))
+    assert sorted(found) == sorted((i, *map(int, x[1:])) for i, text in enumerate(texts) for x in zip(*spans.runs(spans.pieces([text or ""]))))
