@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditframe.errors import RefusedError
+from auditframe.sources import scans
 from auditframe.sources.scans import (
     expect_size, file_fingerprints, jdbc_options, provenance, read_csv, read_json, read_json_lines, read_parquet, read_text_documents, write_text_documents,
 )
 from auditframe.sources.sinks import Export, check_export, export_csv, integrity_findings, require_checks, write_tables
+from auditframe.sources.text_files import folder_groups
 from auditframe.workload import QUERIES, sources
 from conftest import plan_of
 
@@ -180,6 +182,46 @@ def test_texts_are_files_of_their_own_in_few_folders(spark, tmp_path):
     assert sorted(r["text"] for r in read.collect()) == sorted(t.replace("\n", " ") for t in texts)
 
 
+def test_texts_in_a_folder_are_written_by_the_tasks(spark, tmp_path):
+    """Spark's writer adds a checksum file to each text there and starts a process for the mode of both."""
+    texts = ["plain", "größe\r\nzwei", "", None, "x" * 100_000]
+    write_text_documents(spark.createDataFrame([(t,) for t in texts], "body string").repartition(2), "body", str(tmp_path / "t"))
+    files = [p for p in tmp_path.glob("t/**/*") if p.is_file()]
+    assert sorted(p.read_bytes() for p in files if p.name != "_SUCCESS") == sorted(((t or "") + "\n").encode() for t in texts)
+    assert all(p.parent.name.startswith("folder=") for p in files if p.name != "_SUCCESS")
+    with pytest.raises(Exception):
+        write_text_documents(spark.createDataFrame([("again",)], "body string"), "body", str(tmp_path / "t"))
+    broken = spark.range(20).select(F.when(F.col("id") < 15, "a").otherwise(F.raise_error(F.lit("stop")).cast("string")).alias("body"))
+    with pytest.raises(Exception, match="stop"):
+        write_text_documents(broken, "body", str(tmp_path / "u"))
+    assert not list(tmp_path.glob("u/*"))
+
+
+def test_other_stores_get_the_same_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "system_path", lambda *_: None)
+    monkeypatch.setattr(scans, "FOLDER_FILES", 4)
+    texts = sorted(f"text {i}" for i in range(30))
+    write_text_documents(spark.createDataFrame([(t,) for t in texts], "body string").repartition(3), "body", str(tmp_path / "t"))
+    assert sorted(r["text"] for r in read_text_documents(spark, f"{tmp_path}/t/folder=*").collect()) == texts
+
+
+def test_folders_are_listed_some_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "FOLDER_FILES", 4)
+    monkeypatch.setattr(scans, "FOLDERS_AT_ONCE", 2)
+    texts = [f"text {i % 20}" for i in range(30)]
+    write_text_documents(spark.createDataFrame([(t,) for t in texts], "body string").repartition(3), "body", str(tmp_path / "t"))
+    put(tmp_path / "t" / "folder=[a]*", "\ufeff odd  name\n", "x.txt")
+    pattern = f"{tmp_path}/t/folder=*"
+    groups = folder_groups(spark, pattern, 2)
+    assert len(groups) > 4 and {len(g) for g in groups} <= {1, 2} and folder_groups(spark, pattern, 100) == [[pattern]]
+    assert folder_groups(spark, f"{pattern}/*.txt", 2) == [[f"{pattern}/*.txt"]]
+    read = read_text_documents(spark, pattern)
+    assert sorted(r["text"] for r in read.collect()) == sorted([*texts, "odd name"])
+    put(tmp_path / "t" / "folder=zz", b"\xff\xfe", "bad.txt")
+    with pytest.raises(RefusedError, match="UTF-8"):
+        read_text_documents(spark, pattern)
+
+
 def test_documents_of_one_id_share_a_file(spark, tmp_path):
     rows = [(1, "same words"), (1, "same words"), (2, "same words"), (None, "third"), (None, "third")]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
